@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,3 +12,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once. Without this, an expression that mentions its input many times
     is copied into the plan that often, and nesting such functions multiplies the copies."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and join keys refer to by name.
+
+    After a plain `withColumn`, a filter on the new column is pushed below it with the whole expression copied in (and
+    again for every inferred not-null test), so costly text expressions run several times. A one-row generator keeps
+    the computed value and the filter on it apart."""
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))

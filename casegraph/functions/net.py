@@ -24,9 +24,8 @@ def is_v6(address: Column) -> Column:
 
 
 def v4_number(address: Column) -> Column:
-    o = F.split(address, r"\.")
-    part = lambda i: F.try_element_at(o, F.lit(i)).try_cast("long")
-    return F.when(is_v4(address), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
+    fold = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.try_cast("long"))
+    return F.when(is_v4(address), fold(F.split(address, r"\.")))
 
 
 def v4_text(number: Column) -> Column:

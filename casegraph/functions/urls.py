@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph.functions.binding import let
+from casegraph.functions.binding import let, with_bound
 from casegraph.functions.text import html_decode, is_ascii, trim_ws
 
 HTTP = r"(?i)^https?://[^/?#\s]"
@@ -185,16 +185,15 @@ def _punycode(hosts: pd.Series) -> pd.Series:
 def with_canonical_url(df: DataFrame, source: str, target: str) -> DataFrame:
     """Add the canonical URL. ASCII hosts stay in the JVM; the rest take one Arrow round trip."""
     u = trim_ws(F.col(source))
-    plain = df.filter(is_ascii(raw_host(u)) | F.col(source).isNull()).withColumn(target, canonical_url(F.col(source)))
+    plain = with_bound(df.filter(is_ascii(raw_host(u)) | F.col(source).isNull()), **{target: canonical_url(F.col(source))})
     named = df.filter(~is_ascii(raw_host(u)))
     puny = _punycode(raw_host(u))
-    named = named.withColumn("__host", puny).withColumn(
-        target,
-        F.when(
+    named = with_bound(named.withColumn("__host", puny), **{
+        target: F.when(
             is_http(u) & F.col("__host").isNotNull(),
             _assemble(u, host_col=F.col("__host"), user=True, query=True, fragment=False),
-        ),
-    ).drop("__host")
+        )
+    }).drop("__host")
     return plain.unionByName(named)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph import fixed_values as fv
+from casegraph.functions.binding import let, with_bound
 from casegraph.functions.ordered import first_wins
 from casegraph.functions.text import extension_kind, extension_of, literal_map, not_blank
 from casegraph.operators.containers import INVALID, container_entries
@@ -238,7 +239,7 @@ def pdf_info(artifacts: DataFrame) -> DataFrame:
         artifacts.filter(F.startswith(F.hex(F.substring("content", 1, 5)), F.lit("255044462D")))
         .select("artifact_id", F.explode(F.flatten(F.array(*hits))).alias("h")).select("artifact_id", "h.*")
         .filter(F.col("token") != "")
-        .withColumn("value", _pdf_string(F.col("token")))
+        .transform(lambda tokens: with_bound(tokens, value=let(F.col("token"), _pdf_string)))
         .filter(not_blank(F.col("value")))
     )
     return observation_rows(

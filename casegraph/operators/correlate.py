@@ -98,7 +98,7 @@ def project_scoped(child: DataFrame, parents: DataFrame, child_key: str, parent_
 
 def new_resources(results: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """First result per canonical URL (case ignored over the whole URL) that is not known yet."""
-    keyed = results.filter(F.col("canonical_url").isNotNull()).withColumn("url_key", F.lower("canonical_url"))
+    keyed = results.withColumn("url_key", F.lower("canonical_url")).filter(F.col("url_key").isNotNull())
     first = first_wins(keyed, ["url_key"], order)
     return first.join(
         known.select(F.lower("canonical_url").alias("url_key")), "url_key", "left_anti"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casegraph import fixed_values as fv
 from casegraph import schemas
 from casegraph.functions import net, urls
+from casegraph.functions.binding import with_bound
 from casegraph.functions.ordered import first_wins
 from casegraph.session import shared_folder
 
@@ -17,27 +18,21 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     links = pages.filter(F.contains(F.lower(html), F.lit("<a"))).select(
         F.col(url).alias("source_url"), F.explode(urls.anchors(F.col(html))).alias("a")
     )
-    return (
-        links.select(
-            "source_url", F.col("a.position").alias("position"),
-            urls.absolute_uri(urls.resolve_link(F.col("source_url"), F.col("a.href"))).alias("url"),
-            F.col("a.text").alias("text"),
-        )
-        .filter(F.col("url").isNotNull())
-    )
+    resolved = with_bound(
+        links, url=urls.absolute_uri(urls.resolve_link(F.col("source_url"), F.col("a.href"))))
+    return resolved.filter(F.col("url").isNotNull()).select(
+        "source_url", F.col("a.position").alias("position"), "url", F.col("a.text").alias("text"))
 
 
 def expand_cidr(prefixes: DataFrame, cidr: str = "cidr", budget: int = fv.EXPANDED_ADDRESSES) -> DataFrame:
     """(cidr, address): addresses from the masked network upward, at most `budget` per prefix."""
     budget = max(1, min(budget, fv.EXPANDED_ADDRESSES))
-    p = net.cidr_prefix(F.col(cidr))
-    network = net.masked_hex(net.cidr_network(F.col(cidr)), p)
-    width = F.length(network) * 4
-    host_bits = F.least(width - p, F.lit(17))
+    parsed = with_bound(
+        prefixes.select(F.col(cidr).alias("cidr")), hex=net.cidr_network(F.col("cidr")), prefix=net.cidr_prefix(F.col("cidr")))
+    masked = with_bound(parsed, net=net.masked_hex(F.col("hex"), F.col("prefix"))).filter(F.col("net").isNotNull())
+    host_bits = F.least(F.length("net") * 4 - F.col("prefix"), F.lit(17))  # 2^17 exceeds every budget
     last = F.least(F.pow(F.lit(2), host_bits).cast("long"), F.lit(budget).cast("long")) - 1
-    rows = prefixes.select(
-        F.col(cidr).alias("cidr"), network.alias("net"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")
-    ).filter(F.col("net").isNotNull())
+    rows = masked.select("cidr", "net", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
     v4 = F.length("net") == 8
     base4 = F.conv("net", 16, 10).cast("long")
     # the budget is below 2^16 + 1, so a v6 address only changes its last 32 bits plus no carry: low bits are zero
@@ -96,7 +91,7 @@ def exposed_backups(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """Findings for candidates that answered 2xx in a captured response log (canonical_url, status_code)."""
     hits = responses.filter(F.col("status_code").between(200, 299)).select("canonical_url").distinct()
     return (
-        candidates.select("candidate", urls.canonical_url(F.col("candidate")).alias("canonical_url")).distinct()
+        with_bound(candidates.select("candidate").distinct(), canonical_url=urls.canonical_url(F.col("candidate")))
         .join(hits, "canonical_url", "left_semi")
         .select(
             F.lit("web.backup.exposed").alias("rule_id"), F.lit("Potential backup file exposed").alias("title"),
@@ -139,14 +134,10 @@ def site_map(
     spark = links.sparkSession
     shared_folder(spark)
     key = lambda c: F.lower(urls.canonical_url(F.col(c)))
-    edges = (
-        links.select(
-            key("source_url").alias("page"), "position", F.col("url").alias("target_url"), key("url").alias("target"),
-            "text", urls.host(F.col("url")).alias("target_host"),
-        )
-        .filter(F.col("target").isNotNull() & (urls.host(F.col("source_url")) == F.col("target_host")))
-        .drop("target_host").checkpoint()
-    )
+    same_host = urls.raw_host(F.col("source_url")) == urls.raw_host(F.col("url"))
+    edges = with_bound(links.filter(same_host), page=key("source_url"), target=key("url")).select(
+        "page", "position", F.col("url").alias("target_url"), "target", "text"
+    ).filter(F.col("target").isNotNull()).checkpoint()
     # order: the queue order as a sortable string, parent's key then link position
     frontier = roots.select("root", key("root").alias("page"), F.lit("").alias("order"))
     visited = None

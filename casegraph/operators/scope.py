@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casegraph import fixed_values as fv
 from casegraph.functions import net, urls
+from casegraph.functions.binding import with_bound
 from casegraph.functions.text import rank_of, trim_ws
 
 
@@ -19,7 +20,7 @@ def scope_entries_clean(entries: DataFrame) -> DataFrame:
 
 def _requests(url_rows: DataFrame, url: str) -> DataFrame:
     u = F.col(url)
-    return url_rows.withColumn("__scheme", urls.scheme(u)).withColumn("__host", urls.host(u))
+    return with_bound(url_rows, __scheme=urls.scheme(u), __host=urls.host(u))
 
 
 def _by_mode(entries: DataFrame, mode: str) -> DataFrame:
@@ -48,11 +49,11 @@ def allowed_hosts(requests: DataFrame, allowed: DataFrame) -> DataFrame:
 def _below_prefix(requests: DataFrame, allowed: DataFrame, url: str) -> DataFrame:
     """Rows under an allowed URL: equal scheme, host and port, and a path equal or below."""
     u, value = F.col(url), F.col("raw_value")
-    prefix = allowed.filter(F.col("kind") == "url").select(
-        urls.scheme(value).alias("__s"), urls.host(value).alias("__h"), urls.port(value).alias("__p"),
-        F.rtrim(urls.path(trim_ws(value)), F.lit("/")).alias("__base"),
-    ).distinct()
-    keyed = requests.withColumn("__port", urls.port(u)).withColumn("__path", urls.path(u))
+    prefix = with_bound(
+        allowed.filter(F.col("kind") == "url"), __s=urls.scheme(value), __h=urls.host(value), __p=urls.port(value),
+        __base=F.rtrim(urls.path(trim_ws(value)), F.lit("/")),
+    ).select("__s", "__h", "__p", "__base").distinct()
+    keyed = with_bound(requests, __port=urls.port(u), __path=urls.path(u))
     condition = (
         (F.col("__scheme") == F.col("__s")) & (F.col("__host") == F.col("__h")) & (F.col("__port") == F.col("__p"))
         & ((F.col("__base") == "") | (F.col("__path") == F.col("__base"))
@@ -85,19 +86,15 @@ def cidr_match(rows: DataFrame, networks: DataFrame, address: str, cidr: str) ->
 
     The range condition becomes equality: both sides are keyed by (family, prefix length, masked address). A row is
     repeated once per *distinct prefix length* of its family (at most 33 + 129 values, whatever the table size)."""
-    nets = (
-        networks.withColumn("__prefix", net.cidr_prefix(F.col(cidr)))
-        .withColumn("__net", net.masked_hex(net.cidr_network(F.col(cidr)), F.col("__prefix")))
-        .filter(F.col("__net").isNotNull())
-    )
+    nets = with_bound(networks, __prefix=net.cidr_prefix(F.col(cidr)))
+    nets = with_bound(nets, __net=net.masked_hex(net.cidr_network(F.col(cidr)), F.col("__prefix"))).filter(
+        F.col("__net").isNotNull())
     lengths = nets.select(F.length("__net").alias("__width"), "__prefix").distinct()
-    keyed = (
-        rows.withColumn("__hex", net.address_hex(F.col(address))).filter(F.col("__hex").isNotNull())
-        .withColumn("__width", F.length("__hex"))
-        .join(F.broadcast(lengths), "__width")  # at most 33 + 129 rows by construction
-        .withColumn("__net", net.masked_hex(F.col("__hex"), F.col("__prefix")))
-        .drop("__width", "__hex")
+    hexed = with_bound(rows, __hex=net.address_hex(F.col(address))).filter(F.col("__hex").isNotNull())
+    keyed = hexed.withColumn("__width", F.length("__hex")).join(
+        F.broadcast(lengths), "__width"  # at most 33 + 129 rows by construction
     )
+    keyed = with_bound(keyed, __net=net.masked_hex(F.col("__hex"), F.col("__prefix"))).drop("__width", "__hex")
     return keyed.join(nets, ["__prefix", "__net"]).drop("__prefix", "__net")
 
 
@@ -110,7 +107,7 @@ def resolved_scope(url_rows: DataFrame, dns: DataFrame, url: str = "url") -> Dat
              F.count(F.lit(1)).alias("n"))
         .filter(F.col("public"))
     )
-    requests = url_rows.filter(urls.user_info(F.col(url)) == "").withColumn("__host", urls.host(F.col(url)))
+    requests = with_bound(url_rows.filter(urls.user_info(F.col(url)) == ""), __host=urls.host(F.col(url)))
     named = requests.filter(net.address_hex(F.col("__host")).isNull()).join(hosts, "__host", "left_semi")
     literal = requests.filter(~net.non_public_address(F.col("__host")))
     return named.select(url_rows.columns).unionByName(literal.select(url_rows.columns))
@@ -146,11 +143,10 @@ def scope_normalize(entries: DataFrame, order: list[str]) -> DataFrame:
     """Infer kinds, normalize values, keep the last mode per (project, kind, value). Invalid values are dropped
     (the caller reads them from the anti side). Non-ASCII names go through IDNA in `urls.with_canonical_url`."""
     v = trim_ws(F.col("value"))
-    cleaned = (
-        entries.withColumn("kind", F.coalesce("kind", infer_scope_kind(v)))
-        .withColumn("value", normalize_scope_value(F.col("kind"), F.col("value")))
-        .filter(F.col("value").isNotNull())
-    )
+    kinds = with_bound(entries.withColumnRenamed("kind", "__given"), kind=F.coalesce("__given", infer_scope_kind(v)))
+    cleaned = with_bound(
+        kinds.withColumnRenamed("value", "__raw"), value=normalize_scope_value(F.col("kind"), F.col("__raw"))
+    ).filter(F.col("value").isNotNull())
     return cleaned.groupBy("project_id", "kind", "value").agg(
         F.max_by("maximum_mode", F.struct(*order)).alias("maximum_mode")
     )

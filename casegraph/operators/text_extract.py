@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph import fixed_values as fv
+from casegraph.functions.binding import with_bound
 from casegraph.functions.ordered import match_array
 from casegraph.functions.text import html_decode, map_text_key, map_xmp_property, trim_ws
 from casegraph.operators.observations import observation_rows
@@ -37,8 +38,8 @@ def text_key_values(texts: DataFrame, ascii_only: bool = False) -> DataFrame:
     candidates = texts.filter(F.col("text").rlike("[=:]"))
     rows = (
         _lines(candidates, ["=", ":"])
-        .withColumn("key", trim_ws(F.regexp_extract("line", separator, 1)))
-        .withColumn("raw", trim_ws(F.regexp_extract("line", separator, 2)))
+        .transform(lambda lines: with_bound(
+            lines, key=trim_ws(F.regexp_extract("line", separator, 1)), raw=trim_ws(F.regexp_extract("line", separator, 2))))
         .filter((F.col("raw") != "") & F.col("line").rlike(separator))
         .withColumn("category", map_text_key(F.col("key")))
         .select(
@@ -167,7 +168,7 @@ def loose_xmp(texts: DataFrame, extractor: str = "builtin.pdf", location: str =
     ).otherwise(F.regexp_extract("value", fv.LOOSE_XMP_ATTRIBUTE, group))
     prop = F.col("property")
     rows = (
-        hits.withColumn("property", pick(1)).withColumn("text", trim_ws(html_decode(pick(2))))
+        with_bound(hits, property=pick(1), text=trim_ws(html_decode(pick(2))))
         .filter(F.char_length("text").between(1, fv.XMP_VALUE_CHARS))
         .select(
             "artifact_id", "pattern_no", "match_no", F.col("text").alias("value"),

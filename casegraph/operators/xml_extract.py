@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casegraph import fixed_values as fv
 from casegraph import schemas
+from casegraph.functions.binding import with_bound
 from casegraph.functions.text import classify_reference, html_decode, map_xmp_property, not_blank, trim_ws
 from casegraph.functions.urls import absolute_uri
 from casegraph.operators.observations import observation_rows
@@ -98,9 +99,10 @@ def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     """(source, url) of every `loc` in any namespace. Documents with a DTD or bad XML yield nothing."""
     nodes = xml_nodes(sitemaps.select("source", "xml"))
     return (
-        nodes.filter((F.col("name") == "loc") & F.col("attribute").isNull())
-        .select("source", absolute_uri(trim_ws(F.col("value"))).alias("url"))
-        .filter(F.col("url").isNotNull())
+        with_bound(
+            nodes.filter((F.col("name") == "loc") & F.col("attribute").isNull()),
+            url=absolute_uri(trim_ws(F.col("value"))),
+        ).filter(F.col("url").isNotNull()).select("source", "url")
     )
 
 
@@ -149,7 +151,7 @@ def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str
     rows = (
         xml_nodes(packets)
         .filter(~F.col("name").isin(ERROR, COMMENT) & not_blank(F.col("value")))
-        .withColumn("value", trim_ws(html_decode(F.col("value"))))
+        .transform(lambda n: with_bound(n.withColumnRenamed("value", "__raw"), value=trim_ws(html_decode(F.col("__raw")))))
         .filter(F.char_length("value").between(1, fv.XMP_VALUE_CHARS))
         .withColumn("property", prop)
         .withColumn("category", map_xmp_property(F.col("property")))

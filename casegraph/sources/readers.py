@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casegraph import fixed_values as fv
 from casegraph import schemas
 from casegraph.functions import urls
+from casegraph.functions.binding import with_bound
 from casegraph.functions.text import literal_map, stable_id, trim_ws
 from casegraph.operators.correlate import new_resources
 from casegraph.operators.discovery import extract_links
@@ -184,7 +185,7 @@ def import_search_pages(pages: DataFrame, target: str, types: list[str]) -> Data
     target_url = F.when(wrapped != "", F.coalesce(F.try_url_decode(wrapped), F.col("url"))).otherwise(F.col("url"))
     u = F.col("target_url")
     return (
-        links.withColumn("target_url", urls.absolute_uri(target_url))
+        with_bound(links, target_url=urls.absolute_uri(target_url))
         .filter(urls.below_host(urls.host(u), F.lit(target)) & urls.has_file_type(urls.path(u), types))
         .select(u.alias("url"), F.col("text").alias("title"))
     )

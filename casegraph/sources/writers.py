@@ -49,12 +49,12 @@ def sink_report_tables(report: dict[str, DataFrame], path: str) -> dict[str, str
     return written
 
 
-def ndjson_envelope(df: DataFrame, run_id: Column, coverage: Column) -> DataFrame:
+def ndjson_envelope(df: DataFrame, run_id: Column, coverage: Column, data: list[str] | None = None) -> DataFrame:
     """One `{schema_version, success, data, errors, run_id, coverage}` line per row; nulls are left out."""
     return df.select(
         F.to_json(F.struct(
             F.lit("1").alias("schema_version"), F.lit(True).alias("success"),
-            F.struct(*[F.col(c) for c in df.columns]).alias("data"), F.array().cast("array<string>").alias("errors"),
+            F.struct(*[F.col(c) for c in data or df.columns]).alias("data"), F.array().cast("array<string>").alias("errors"),
             run_id.alias("run_id"), coverage.alias("coverage"),
         )).alias("value")
     )
