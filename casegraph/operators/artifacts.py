@@ -215,26 +215,23 @@ def _pdf_string(token: Column) -> Column:
     return F.rtrim(text, F.lit("\x00"))
 
 
+def _pdf_tokens(text: Column, number: int, key: str, category: str, location: str, guard: str, confidence: float) -> Column:
+    """Every token of one key in file order, with its string or the empty string. Info keys number from the second
+    occurrence on, file-specification keys always."""
+    found = F.regexp_extract_all(text, F.lit(f"/{key}{guard}{_PDF_GAP}{_PDF_STRING}"), F.lit(1))
+    numbered = lambda i: F.concat(F.lit(location + ":"), i.cast("string"))
+    place = (lambda i: F.when(i == 0, F.lit(location)).otherwise(numbered(i))) if guard else numbered
+    return F.transform(F.slice(found, 1, fv.PDF_TOKENS_PER_KEY), lambda v, i: F.struct(
+        F.lit(number).alias("key_no"), i.alias("occurrence"), v.alias("token"), F.lit(category).alias("category"),
+        place(i).alias("location"), F.lit(confidence).alias("confidence")))
+
+
 def pdf_info(artifacts: DataFrame) -> DataFrame:
     """Info dictionary and file-specification strings of uncompressed PDF objects."""
     text = F.decode("content", "ISO-8859-1")
-    token = lambda key, guard: rf"/{key}{guard}{_PDF_GAP}{_PDF_STRING}"
-    specs = [(k, c, f"pdf/info/{k}", True, 1.0) for k, c in fv.PDF_INFO_KEYS.items()]
-    specs += [(k, c, f"pdf/filespec/{k}", False, 0.85) for k, c in fv.PDF_FILE_KEYS.items()]
-    hits = []
-    for number, (key, category, location, is_info, confidence) in enumerate(specs):
-        pattern = token(key, rf"(?!{_PDF_NAME_CHAR})" if is_info else "")
-        hits.append(F.transform(
-            F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), 1, fv.PDF_TOKENS_PER_KEY),
-            lambda v, i, number=number, category=category, location=location, is_info=is_info, confidence=confidence:
-            F.struct(
-                F.lit(number).alias("key_no"), i.alias("occurrence"), v.alias("token"),
-                F.lit(category).alias("category"),
-                (F.when(i == 0, F.lit(location)) if is_info else F.when(F.lit(False), F.lit(location)))
-                .otherwise(F.concat(F.lit(location + ":"), i.cast("string"))).alias("location"),
-                F.lit(confidence).alias("confidence"),
-            ),
-        ))
+    keys = [(k, c, f"pdf/info/{k}", rf"(?!{_PDF_NAME_CHAR})", 1.0) for k, c in fv.PDF_INFO_KEYS.items()]
+    keys += [(k, c, f"pdf/filespec/{k}", "", 0.85) for k, c in fv.PDF_FILE_KEYS.items()]
+    hits = [_pdf_tokens(text, number, *key) for number, key in enumerate(keys)]
     rows = (
         artifacts.filter(F.startswith(F.hex(F.substring("content", 1, 5)), F.lit("255044462D")))
         .select("artifact_id", F.explode(F.flatten(F.array(*hits))).alias("h")).select("artifact_id", "h.*")

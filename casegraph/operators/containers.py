@@ -55,9 +55,12 @@ def _directory(content) -> list[tuple]:
         return [(INVALID, str(problem), 0, 0, None)]
 
 
+_FIELDS = schemas.CONTAINER_ENTRIES.elementType.fieldNames()
+
+
 @F.pandas_udf(schemas.CONTAINER_ENTRIES)
 def _directories(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: [] if c is None else _directory(c))
+    return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in _directory(c)])
 
 
 def container_entries(artifacts: DataFrame) -> DataFrame:

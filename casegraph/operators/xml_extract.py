@@ -84,9 +84,12 @@ def _flatten(xml: str) -> list[tuple]:
     return rows
 
 
+_FIELDS = schemas.XML_NODES.elementType.fieldNames()
+
+
 @F.pandas_udf(schemas.XML_NODES)
 def xml_node_array(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else _flatten(t))
+    return texts.map(lambda t: [] if t is None else [dict(zip(_FIELDS, row)) for row in _flatten(t)])
 
 
 def xml_nodes(df: DataFrame, xml: str = "xml") -> DataFrame:

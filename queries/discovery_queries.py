@@ -27,7 +27,7 @@ def pages(spark, d):
 LINKS_SQL = f"""
 anchors AS (
   SELECT page_id, url AS source_url, i - 1 AS position, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)$', 1) AS text
-  FROM (SELECT page_id, url, unnest(list_zip(regexp_extract_all(html, '<a href="[^"]*">[^<]*'), range(1, 1000))) AS z,
+  FROM (SELECT page_id, url, unnest(list_zip(regexp_extract_all(html, '<a href="[^"]*">[^<]*'), range(1, len(regexp_extract_all(html, '<a href="[^"]*">[^<]*')) + 1))) AS z,
         z[1] AS a, z[2] AS i FROM pages) WHERE z[1] IS NOT NULL),
 links AS (
   SELECT page_id, source_url, position, regexp_extract(source_url, '^([a-z]+://[^/]+)', 1) || {escape_sql('href')} AS url, text FROM anchors)

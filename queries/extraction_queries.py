@@ -36,7 +36,8 @@ def customer(spark, d):
 
 
 def lit(*parts):
-    return F.concat(*[F.lit(p) if isinstance(p, str) and p.startswith("'") is False and p not in NAMES else F.col(p) for p in parts])
+    """Concatenate column names from NAMES and literal text."""
+    return F.concat(*[F.col(p) if p in NAMES else F.lit(p) for p in parts])
 
 
 NAMES = {"k", "n", "c_name", "c_mktsegment"}
@@ -45,7 +46,7 @@ NAMES = {"k", "n", "c_name", "c_mktsegment"}
 # ---------------------------------------------------------------- text
 
 CONFIG_SQL = """
-lines AS (SELECT artifact_id, i, line FROM (SELECT artifact_id, unnest(list_zip(string_split(text, chr(10)), range(1, 100000))) AS z, z[1] AS line, z[2] AS i FROM texts) WHERE line IS NOT NULL)
+lines AS (SELECT artifact_id, i, line FROM (SELECT artifact_id, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) AS z, z[1] AS line, z[2] AS i FROM texts) WHERE line IS NOT NULL)
 """
 TEXTS_SQL = """
 texts AS (SELECT 'doc-' || doc_id AS artifact_id, text FROM documents
@@ -287,7 +288,7 @@ def pdf_files(spark, d):
     wide = F.hex(F.encode(F.col("c_mktsegment"), "UTF-16BE"))
     body = F.concat(
         F.lit("%PDF-1.4\n1 0 obj\n<< /AuthorX (no) /Author ("), F.col("c_name"), F.lit(" \\(a\\)) /Producer <FEFF"), wide,
-        F.lit("> /Title%c\n (One) /Title (Tw\\157 "), F.col("k"), F.lit(") /Filter /FlateDecode /UF (a.doc) >>\nendobj\n"))
+        F.lit("> /Title %c\n (One) /Title (Tw\\157 "), F.col("k"), F.lit(") /Filter /FlateDecode /UF (a.doc) >>\nendobj\n"))
     return customer(spark, d).select(
         F.concat(F.lit("pdf-"), F.col("k")).alias("artifact_id"), F.encode(body, "ISO-8859-1").alias("content"),
         F.concat(F.lit("/in/"), F.col("k"), F.lit(".pdf")).alias("original_path"))
