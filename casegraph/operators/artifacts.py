@@ -206,13 +206,28 @@ def _pdf_string(token: Column) -> Column:
     digits = F.regexp_replace(body, r"\s", "")
     digits = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
     raw = F.when(F.startswith(token, F.lit("<")), F.upper(digits)).otherwise(F.hex(F.encode(literal, "ISO-8859-1")))
-    wide = F.substr(raw, F.lit(5))
-    pairs = r"^(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2}){0,4000}$"
-    text = (
-        F.when(F.startswith(raw, F.lit("FEFF")) & wide.rlike(pairs), F.decode(F.unhex(wide), "UTF-16BE"))
-        .otherwise(F.decode(F.unhex(raw), "ISO-8859-1"))
+    return let(raw, lambda r: F.rtrim(
+        F.when(F.startswith(r, F.lit("FEFF")), _utf16_hex(F.substr(r, F.lit(5))))
+        .when(F.startswith(r, F.lit("FFFE")), _utf16_hex(F.regexp_replace(F.substr(r, F.lit(5)), "(..)(..)", "$2$1")))
+        .otherwise(F.decode(F.unhex(r), "ISO-8859-1")),
+        F.lit("\x00"),
+    ))
+
+
+def _utf16_hex(digits: Column) -> Column:
+    """Text of big-endian UTF-16 in hex; lone surrogates become the replacement character."""
+
+    def sound(units: Column) -> Column:
+        return F.transform(units, lambda u, i: F.when(
+            (u.rlike("^D[89AB]") & ~F.coalesce(F.get(units, i + 1).rlike("^D[C-F]"), F.lit(False)))
+            | (u.rlike("^D[C-F]") & ~F.coalesce(F.get(units, i - 1).rlike("^D[89AB]"), F.lit(False))),
+            F.lit("FFFD"),
+        ).otherwise(u))
+
+    return let(
+        F.regexp_extract_all(digits, F.lit("(.{4})"), F.lit(1)),
+        lambda units: F.decode(F.unhex(F.array_join(sound(units), "")), "UTF-16BE"),
     )
-    return F.rtrim(text, F.lit("\x00"))
 
 
 def _pdf_tokens(text: Column, number: int, key: str, category: str, location: str, guard: str, confidence: float) -> Column:

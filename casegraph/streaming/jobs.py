@@ -13,6 +13,9 @@ from casegraph.plans.evidence import analyze
 from casegraph.plans.registry import ExtractorRegistry
 
 
+KEPT_STATES = 10  # replays read one state back; older tables are only kept for inspection
+
+
 def stream_import_urls(urls: DataFrame, out: str, checkpoint: str, within: str | None = None, event_time: str | None = None) -> StreamingQuery:
     """Stream of (url, ..) -> only canonical URLs never seen before (case ignored).
 
@@ -81,13 +84,14 @@ def stream_endpoint_health(
             batch = (
                 batch.join(newest, "endpoint_id", "left")
                 .filter(F.col("__newest").isNull() | (
-                    F.col("attempted_at").cast("timestamp") > F.col("__newest") - F.make_dt_interval(secs=F.lit(lateness_seconds))))
+                    F.col("attempted_at").cast("timestamp") >= F.col("__newest") - F.make_dt_interval(secs=F.lit(lateness_seconds))))
                 .drop("__newest")
             )
             chunks = att.attempt_chunks(batch, slice_seconds).unionByName(state.withColumn("chunk", F.lit(-1).cast("long")))
         else:
             chunks = att.attempt_chunks(batch, slice_seconds)
         att.combine_chunks(chunks).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        _delete(batch.sparkSession, f"{state_path}/batch={batch_id - KEPT_STATES}")
 
     return (
         attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -95,6 +99,12 @@ def stream_endpoint_health(
     )
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove an old state table, on whatever file system holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def latest_health(spark: SparkSession, state_path: str) -> DataFrame:
     """Health rows of the newest complete state table."""
     jvm = spark.sparkContext._jvm
@@ -125,7 +135,7 @@ def stream_analyze(
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         if batch_id > 0:
-            earlier = session.read.parquet(*[f"{out}/seen/batch={n}" for n in range(batch_id)])
+            earlier = session.read.parquet(f"{out}/seen").filter(F.col("batch") < batch_id)
             batch = batch.join(earlier.select("artifact_id"), "artifact_id", "left_anti")
         # same bytes twice in one batch: keep one row, chosen by path, without shuffling contents of others
         chosen = batch.groupBy("artifact_id").agg(F.min("original_path").alias("original_path"))
