@@ -133,6 +133,10 @@ MAGIC_NUMBERS = [
     ("49492A00", "image", "image/tiff"),
     ("4D4D002A", "image", "image/tiff"),
 ]
+CONTAINER_MIME_TYPES = {
+    "open_xml": "application/vnd.openxmlformats-officedocument", "open_document": "application/vnd.oasis.opendocument",
+    "zip": "application/zip",
+}
 ZIP_MAGIC = ["504B0304", "504B0506"]
 
 # Extension fallback when no magic number matches.

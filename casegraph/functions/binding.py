@@ -22,3 +22,15 @@ def with_bound(df: DataFrame, **columns: Column) -> DataFrame:
     the computed value and the filter on it apart."""
     packed = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select("*", F.inline(F.array(packed)))
+
+
+def explode_rows(df: DataFrame, array: Column, name: str, *keep: str | Column, position: str | None = None) -> DataFrame:
+    """`keep` columns plus one row per array element (NULL elements dropped).
+
+    A plain `explode` of an expression makes the optimizer test `size(expression) > 0` in a filter below it, which runs
+    the expression twice; the outer form followed by a filter on the generated column runs it once."""
+    if position:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+    else:
+        rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())

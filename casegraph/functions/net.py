@@ -111,6 +111,13 @@ def masked_hex(hex_digits: Column, prefix: Column) -> Column:
     return let(hex_digits, mask)
 
 
+def network_key(hex_digits: Column, prefix: Column) -> Column:
+    """Join key of a network inside one (width, prefix) class: a shifted number for v4, masked digits for v6."""
+    number = F.conv(hex_digits, 16, 10).cast("long")
+    shifted = F.call_function("shiftright", number, (F.lit(32) - prefix).cast("int")).cast("string")
+    return F.when(F.length(hex_digits) == 8, shifted).otherwise(masked_hex(hex_digits, prefix))
+
+
 def cidr_network(cidr: Column) -> Column:
     """Address part of a CIDR as hex digits."""
     return address_hex(F.substring_index(cidr, "/", 1))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph import fixed_values as fv
-from casegraph.functions.binding import let, with_bound
+from casegraph.functions.binding import explode_rows, let, with_bound
 from casegraph.functions.ordered import first_wins
 from casegraph.functions.text import extension_kind, extension_of, literal_map, not_blank
-from casegraph.operators.containers import INVALID, container_entries
+from casegraph.operators.containers import INVALID, container_entries, zip_kind
 from casegraph.operators.observations import observation_rows
 
 
@@ -38,45 +38,18 @@ def magic_kind(artifacts: DataFrame) -> DataFrame:
     text = ~sample.rlike(r"\x00") & (
         F.regexp_count(sample, F.lit(r"[\x01-\x08\x0e-\x1f]")) <= F.floor(F.length(head) / 20)
     )
-    plain = (
-        artifacts.withColumn("__zip", zip_like)
-        .withColumn(
-            "kind",
-            kind.when(svg, "svg").when(by_ext_kind.isNotNull(), by_ext_kind).when(text, "text").otherwise("unknown"),
-        )
-        .withColumn(
-            "mime_type",
+    # one narrow pass: only the bytes of ZIP-like rows travel to Python
+    rows = artifacts.withColumn("__zip", zip_kind(F.when(zip_like, F.col("content"))))
+    container = F.col("__zip")
+    return rows.withColumns({
+        "kind": F.coalesce(
+            container,
+            kind.when(svg, "svg").when(by_ext_kind.isNotNull(), by_ext_kind).when(text, "text").otherwise("unknown")),
+        "mime_type": F.coalesce(
+            F.when(container.isNotNull(), F.coalesce(literal_map(fv.CONTAINER_MIME_TYPES)[container], F.lit("application/octet-stream"))),
             mime.when(svg, "image/svg+xml").when(by_ext_mime.isNotNull(), by_ext_mime).when(text, "text/plain")
-            .otherwise("application/octet-stream"),
-        )
-    )
-    # only ZIP-like rows pay for reading a container directory
-    others = plain.filter(~F.col("__zip")).drop("__zip")
-    zips = plain.filter(F.col("__zip")).drop("__zip", "kind", "mime_type")
-    names = (
-        container_entries(zips).groupBy("artifact_id").agg(
-            F.max(F.col("entry_no") == INVALID).alias("broken"),
-            F.max((F.col("entry_no") < 2000) & (F.lower("name") == "[content_types].xml")).alias("ooxml"),
-            F.max((F.col("entry_no") < 2000) & F.lower("name").isin("meta-inf/manifest.xml", "meta.xml")).alias("odf"),
-        )
-    )
-    zips = (
-        zips.join(names, "artifact_id", "left")
-        .withColumn(
-            "kind",
-            F.when(F.col("broken"), "unknown").when(F.col("ooxml"), "open_xml").when(F.col("odf"), "open_document")
-            .otherwise("zip"),
-        )
-        .withColumn(
-            "mime_type",
-            F.when(F.col("broken"), "application/octet-stream")
-            .when(F.col("ooxml"), "application/vnd.openxmlformats-officedocument")
-            .when(F.col("odf"), "application/vnd.oasis.opendocument")
-            .otherwise("application/zip"),
-        )
-        .drop("broken", "ooxml", "odf")
-    )
-    return others.unionByName(zips.select(others.columns))
+            .otherwise("application/octet-stream")),
+    }).drop("__zip")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -127,11 +100,8 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.array().cast("array<struct<kind:string,value:string,severity:string>>")),
     )
-    base = (
-        artifacts.withColumn("__entropy", byte_entropy(sample))
-        .select("artifact_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
-        .select("artifact_id", "r.*")
-    )
+    base = explode_rows(artifacts.withColumn("__entropy", byte_entropy(sample)), rules, "r", "artifact_id").select(
+        "artifact_id", "r.*")
     return base.unionByName(container_risk(artifacts))
 
 
@@ -150,7 +120,7 @@ def container_risk(artifacts: DataFrame) -> DataFrame:
                flag("embedded_object", "medium")),
     ))
     return (
-        entries.select("artifact_id", "entry_no", "name", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("f"))
+        explode_rows(entries, flags, "f", "artifact_id", "entry_no", "name")
         .select(
             "artifact_id", F.col("f.kind").alias("kind"),
             F.when(F.col("entry_no") == INVALID, "Invalid ZIP container").otherwise(F.col("name")).alias("value"),
@@ -166,11 +136,9 @@ IMAGE_SPAN = (
 
 def embedded_images(artifacts: DataFrame, extractor: str = "builtin.indesign", location: str = "indesign") -> DataFrame:
     """Complete JPEG and PNG spans inside a content, as `format:length`, first 32."""
-    spans = artifacts.select(
-        "artifact_id",
-        F.posexplode(F.slice(
-            F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(IMAGE_SPAN), F.lit(0)), 1, fv.EMBEDDED_IMAGES
-        )).alias("image_no", "span"),
+    found = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(IMAGE_SPAN), F.lit(0))
+    spans = explode_rows(
+        artifacts, F.slice(found, 1, fv.EMBEDDED_IMAGES), "span", "artifact_id", position="image_no"
     ).filter(F.char_length("span") <= fv.EMBEDDED_IMAGE_BYTES)
     rows = spans.select(
         "artifact_id", F.lit("embedded_image").alias("category"),
@@ -247,9 +215,9 @@ def pdf_info(artifacts: DataFrame) -> DataFrame:
     keys = [(k, c, f"pdf/info/{k}", rf"(?!{_PDF_NAME_CHAR})", 1.0) for k, c in fv.PDF_INFO_KEYS.items()]
     keys += [(k, c, f"pdf/filespec/{k}", "", 0.85) for k, c in fv.PDF_FILE_KEYS.items()]
     hits = [_pdf_tokens(text, number, *key) for number, key in enumerate(keys)]
+    pdfs = artifacts.filter(F.startswith(F.hex(F.substring("content", 1, 5)), F.lit("255044462D")))
     rows = (
-        artifacts.filter(F.startswith(F.hex(F.substring("content", 1, 5)), F.lit("255044462D")))
-        .select("artifact_id", F.explode(F.flatten(F.array(*hits))).alias("h")).select("artifact_id", "h.*")
+        explode_rows(pdfs, F.flatten(F.array(*hits)), "h", "artifact_id").select("artifact_id", "h.*")
         .filter(F.col("token") != "")
         .transform(lambda tokens: with_bound(tokens, value=let(F.col("token"), _pdf_string)))
         .filter(not_blank(F.col("value")))

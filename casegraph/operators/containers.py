@@ -8,10 +8,12 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegraph import fixed_values as fv
 from casegraph import schemas
-from casegraph.functions.text import classify_reference, map_office_element, not_blank, safe_entry_path, slug_property
+from casegraph.functions.binding import explode_rows, with_bound
+from casegraph.functions.text import classify_reference, map_office_element, safe_entry_path, slug_property
 from casegraph.operators.observations import cumulative_budget, diagnostics, observation_rows
 from casegraph.operators.xml_extract import COMMENT, ERROR, xml_nodes
 
@@ -63,9 +65,28 @@ def _directories(contents: pd.Series) -> pd.Series:
     return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in _directory(c)])
 
 
+@F.pandas_udf(T.StringType())
+def zip_kind(contents: pd.Series) -> pd.Series:
+    """Kind of a ZIP-like content by its first 2000 member names; unreadable containers are `unknown`."""
+
+    def one(content):
+        if content is None:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                names = {name.lower() for name in archive.namelist()[:2000]}
+        except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+            return "unknown"
+        if "[content_types].xml" in names:
+            return "open_xml"
+        return "open_document" if names & {"meta-inf/manifest.xml", "meta.xml"} else "zip"
+
+    return contents.map(one)
+
+
 def container_entries(artifacts: DataFrame) -> DataFrame:
     """(artifact_id, content) -> directory rows with running size and safety flags."""
-    rows = artifacts.select("artifact_id", F.explode(_directories("content")).alias("e")).select("artifact_id", "e.*")
+    rows = explode_rows(artifacts, _directories("content"), "e", "artifact_id").select("artifact_id", "e.*")
     budgeted = cumulative_budget(rows, ["artifact_id"], ["entry_no"], "size", fv.CONTAINER_BYTES)
     size, packed = F.col("size"), F.col("compressed_size")
     return (
@@ -115,40 +136,22 @@ def office_properties(entries: DataFrame) -> DataFrame:
     parts = entries.filter(
         "within_entries AND within_budget AND safe_path AND is_metadata AND NOT suspicious_ratio AND xml IS NOT NULL"
     ).select("artifact_id", "entry_no", F.col("name").alias("entry"), "xml")
-    nodes = xml_nodes(parts).filter(~F.col("name").isin(ERROR, COMMENT))
-    is_custom = F.lower("entry") == "docprops/custom.xml"
-    attribute, leaf = F.col("attribute"), F.col("attribute").isNull()
-    target = (F.col("name") == "Relationship") & (attribute == "Target")
+    n, v, attribute = F.col("name"), F.col("value"), F.col("attribute")
+    in_custom = F.lower("entry") == "docprops/custom.xml"
+    leaf, target = attribute.isNull(), (n == "Relationship") & (attribute == "Target")
+    custom = in_custom & leaf & F.col("parent_label").isNotNull()
     rows = (
-        nodes.filter(not_blank(F.col("value")) & (leaf | target))
-        .filter(~(is_custom & leaf))
-        .withColumn(
-            "category",
-            F.when(target, classify_reference(F.col("value"))).when(leaf, map_office_element(F.col("name"))),
+        with_bound(
+            xml_nodes(parts).filter(~n.isin(ERROR, COMMENT)),
+            category=F.when(target, classify_reference(v)).when(custom, slug_property(F.col("parent_label")))
+            .when(leaf & ~in_custom, map_office_element(n)),
         )
         .filter(F.col("category").isNotNull())
         .withColumn(
             "location",
-            F.when(target, F.concat(F.col("entry"), F.lit("@Target")))
+            F.when(target, F.concat(F.col("entry"), F.lit("@Target"))).when(custom, F.concat_ws("/", "entry", "parent_label"))
             .otherwise(F.concat_ws("/", "entry", "name")),
         )
-        .withColumn("confidence", F.lit(1.0))
-        .select("artifact_id", "category", "value", "location", "confidence", "entry_no", "seq")
-    )
-    return observation_rows(
-        rows.unionByName(_custom_properties(nodes.filter(is_custom))), "builtin.zip-xml", ["entry_no", "seq"]
-    )
-
-
-def _custom_properties(nodes: DataFrame) -> DataFrame:
-    """`property name=".."` followed by its value element: the value's seq is the property's plus one."""
-    names = nodes.filter((F.col("name") == "property") & (F.col("attribute") == "name")).select(
-        "artifact_id", "entry_no", (F.col("seq") + 1).alias("seq"), F.col("value").alias("property")
-    )
-    values = nodes.filter(F.col("attribute").isNull() & not_blank(F.col("value"))).select(
-        "artifact_id", "entry_no", "entry", "seq", "value"
-    )
-    return values.join(names, ["artifact_id", "entry_no", "seq"]).select(
-        "artifact_id", slug_property(F.col("property")).alias("category"), "value",
-        F.concat_ws("/", "entry", "property").alias("location"), F.lit(0.9).alias("confidence"), "entry_no", "seq",
+        .withColumn("confidence", F.when(custom, 0.9).otherwise(1.0))
     )
+    return observation_rows(rows, "builtin.zip-xml", ["entry_no", "seq"])

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from casegraph import fixed_values as fv
 from casegraph import schemas
 from casegraph.functions import net, urls
-from casegraph.functions.binding import with_bound
+from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.ordered import first_wins
 from casegraph.session import shared_folder
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source_url, position, url, text) of the http(s) links of each page, resolved against the page URL."""
-    links = pages.filter(F.contains(F.lower(html), F.lit("<a"))).select(
-        F.col(url).alias("source_url"), F.explode(urls.anchors(F.col(html))).alias("a")
-    )
+    links = explode_rows(pages, urls.anchors(F.col(html)), "a", F.col(url).alias("source_url"))
     resolved = with_bound(
         links, url=urls.absolute_uri(urls.resolve_link(F.col("source_url"), F.col("a.href"))))
     return resolved.filter(F.col("url").isNotNull()).select(
@@ -191,8 +189,8 @@ def host_intel_flatten(responses: DataFrame, body: str = "body") -> tuple[DataFr
         *[F.slice(f"d.{c}", 1, n).alias(c) for c, n in bounded.items()],
         F.size("d.data").alias("service_count"), (F.size("d.data") > fv.HOST_SERVICES).alias("services_truncated"),
     )
-    services = doc.select(
-        "requested_ip", F.posexplode(F.slice("d.data", 1, fv.HOST_SERVICES)).alias("service_no", "s")
+    services = explode_rows(
+        doc, F.slice("d.data", 1, fv.HOST_SERVICES), "s", "requested_ip", position="service_no"
     ).select(
         "requested_ip", "service_no", F.col("s.port").alias("port"), F.col("s.transport").alias("transport"),
         F.col("s.product").alias("product"), F.col("s.version").alias("version"),

@@ -87,15 +87,16 @@ def cidr_match(rows: DataFrame, networks: DataFrame, address: str, cidr: str) ->
     The range condition becomes equality: both sides are keyed by (family, prefix length, masked address). A row is
     repeated once per *distinct prefix length* of its family (at most 33 + 129 values, whatever the table size)."""
     nets = with_bound(networks, __prefix=net.cidr_prefix(F.col(cidr)))
-    nets = with_bound(nets, __net=net.masked_hex(net.cidr_network(F.col(cidr)), F.col("__prefix"))).filter(
-        F.col("__net").isNotNull())
-    lengths = nets.select(F.length("__net").alias("__width"), "__prefix").distinct()
+    nets = with_bound(nets, __hex=net.cidr_network(F.col(cidr))).withColumn("__width", F.length("__hex"))
+    nets = with_bound(nets, __net=net.network_key(F.col("__hex"), F.col("__prefix"))).filter(
+        F.col("__net").isNotNull()).drop("__hex")
+    lengths = nets.select("__width", "__prefix").distinct()
     hexed = with_bound(rows, __hex=net.address_hex(F.col(address))).filter(F.col("__hex").isNotNull())
     keyed = hexed.withColumn("__width", F.length("__hex")).join(
         F.broadcast(lengths), "__width"  # at most 33 + 129 rows by construction
     )
-    keyed = with_bound(keyed, __net=net.masked_hex(F.col("__hex"), F.col("__prefix"))).drop("__width", "__hex")
-    return keyed.join(nets, ["__prefix", "__net"]).drop("__prefix", "__net")
+    keyed = with_bound(keyed, __net=net.network_key(F.col("__hex"), F.col("__prefix"))).drop("__hex")
+    return keyed.join(nets, ["__width", "__prefix", "__net"]).drop("__width", "__prefix", "__net")
 
 
 def resolved_scope(url_rows: DataFrame, dns: DataFrame, url: str = "url") -> DataFrame:

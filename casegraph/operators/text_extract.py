@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph import fixed_values as fv
-from casegraph.functions.binding import with_bound
+from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.ordered import match_array
 from casegraph.functions.text import html_decode, map_text_key, map_xmp_property, trim_ws
 from casegraph.operators.observations import observation_rows
@@ -19,7 +19,7 @@ LINE_BREAK = r"\r\n|\n|\r"
 def _lines(texts: DataFrame, markers: list[str]) -> DataFrame:
     """(artifact_id, line, line_no) of the lines that can match."""
     return (
-        texts.select("artifact_id", F.posexplode(F.split("text", LINE_BREAK)).alias("i", "line"))
+        explode_rows(texts, F.split("text", LINE_BREAK), "line", "artifact_id", position="i")
         .filter(_has_any(F.col("line"), markers))
         .select("artifact_id", "line", (F.col("i") + 1).alias("line_no"))
     )
@@ -55,13 +55,14 @@ def text_key_values(texts: DataFrame, ascii_only: bool = False) -> DataFrame:
 def text_emails(texts: DataFrame, ascii_only: bool = False) -> DataFrame:
     """Guarded e-mail addresses per line; texts without `@` never reach the pattern."""
     rows = (
-        _lines(texts.filter(F.contains("text", F.lit("@"))), ["@"])
-        .select(
-            "artifact_id", F.lit("email").alias("category"),
-            F.posexplode(match_array(F.col("line"), fv.EMAIL)).alias("match_no", "value"),
-            F.concat(F.lit("line:"), F.col("line_no").cast("string")).alias("location"),
-            F.lit(0.9).alias("confidence"), "line_no",
+        explode_rows(
+            _lines(texts.filter(F.contains("text", F.lit("@"))), ["@"]), match_array(F.col("line"), fv.EMAIL), "value",
+            "artifact_id", "line_no", position="match_no",
         )
+        .withColumns({
+            "category": F.lit("email"), "confidence": F.lit(0.9),
+            "location": F.concat(F.lit("line:"), F.col("line_no").cast("string")),
+        })
     )
     return observation_rows(
         rows, "builtin.text", ["line_no", "match_no"], ["category", "normalized_value"], ascii_only
@@ -92,7 +93,7 @@ def _hits(text: Column, pattern_no: int, pattern: str, limit: int = fv.MATCHES_P
 def _scan(texts: DataFrame, patterns: list[tuple[str, int]]) -> DataFrame:
     """All pattern hits of all texts as rows; one pass per text, capped before the explode."""
     hits = F.flatten(F.array(*[_hits(F.col("text"), no, p, cap) for no, (p, cap) in enumerate(patterns)]))
-    return texts.select("artifact_id", "pass_no", F.explode(hits).alias("h")).select("artifact_id", "pass_no", "h.*")
+    return explode_rows(texts, hits, "h", "artifact_id", "pass_no").select("artifact_id", "pass_no", "h.*")
 
 
 def binary_strings(artifacts: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def binary_strings(artifacts: DataFrame) -> DataFrame:
             html_decode(F.regexp_extract(v, fv.XMP_STRING, 2)),
             F.concat(F.lit("binary/xmp/"), prop), 0.9)))
     )
-    rows = hits.select("artifact_id", "pass_no", "pattern_no", "match_no", F.posexplode(found).alias("part", "o"))
+    rows = explode_rows(hits, found, "o", "artifact_id", "pass_no", "pattern_no", "match_no", position="part")
     rows = rows.select("artifact_id", "pass_no", "pattern_no", "match_no", "part", "o.*")
     return observation_rows(
         rows, "builtin.binary-strings", ["pass_no", "pattern_no", "match_no", "part"], ["category", "normalized_value"]

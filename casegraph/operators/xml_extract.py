@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casegraph import fixed_values as fv
 from casegraph import schemas
-from casegraph.functions.binding import with_bound
+from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.text import classify_reference, html_decode, map_xmp_property, not_blank, trim_ws
 from casegraph.functions.urls import absolute_uri
 from casegraph.operators.observations import observation_rows
@@ -26,9 +26,11 @@ class _BadXml(Exception):
 
 
 def _flatten(xml: str) -> list[tuple]:
-    """One XML text -> (seq, depth, name, parent property, attribute, value) rows, or one error row."""
+    """One XML text -> (seq, depth, name, parent property, parent label, attribute, value) rows, or one error row.
+
+    The parent label is the `name` attribute of the parent element."""
     rows: list[tuple] = []
-    stack: list[list] = []  # [seq, name, text parts, has child]
+    stack: list[list] = []  # [seq, name, text parts, has child, name attribute]
     seq = 0
 
     def local(name: str) -> str:
@@ -40,6 +42,9 @@ def _flatten(xml: str) -> list[tuple]:
                 return frame[1]
         return name
 
+    def label():
+        return stack[-1][4] if stack else None
+
     def start(tag, attributes):
         nonlocal seq
         seq += 1
@@ -51,13 +56,13 @@ def _flatten(xml: str) -> list[tuple]:
             stack[-1][3] = True
         for key, value in attributes.items():
             if key != "xmlns" and not key.startswith("xmlns:"):
-                rows.append((seq, len(stack), name, parent, local(key), value))
-        stack.append([seq, name, [], False])
+                rows.append((seq, len(stack), name, parent, label(), local(key), value))
+        stack.append([seq, name, [], False, attributes.get("name")])
 
     def end(tag):
-        number, name, parts, has_child = stack.pop()
+        number, name, parts, has_child, _ = stack.pop()
         if not has_child:
-            rows.append((number, len(stack), name, owner(name), None, "".join(parts)))
+            rows.append((number, len(stack), name, owner(name), label(), None, "".join(parts)))
 
     def text(data):
         if stack:
@@ -66,7 +71,7 @@ def _flatten(xml: str) -> list[tuple]:
     def comment(data):
         nonlocal seq
         seq += 1
-        rows.append((seq, len(stack), COMMENT, None, None, data))
+        rows.append((seq, len(stack), COMMENT, None, None, None, data))
 
     def doctype(*_):
         raise _BadXml("document type declarations are refused")
@@ -80,7 +85,7 @@ def _flatten(xml: str) -> list[tuple]:
     try:
         parser.Parse(xml.encode("utf-8") if isinstance(xml, str) else xml, True)
     except (expat.ExpatError, _BadXml, UnicodeEncodeError) as problem:
-        return [(0, 0, ERROR, None, None, str(problem))]
+        return [(0, 0, ERROR, None, None, None, str(problem))]
     return rows
 
 
@@ -95,7 +100,7 @@ def xml_node_array(texts: pd.Series) -> pd.Series:
 def xml_nodes(df: DataFrame, xml: str = "xml") -> DataFrame:
     """Every other column plus one row per attribute, leaf and comment. Bad XML gives one `#error` row."""
     keep = [c for c in df.columns if c != xml]
-    return df.select(*keep, F.explode(xml_node_array(xml)).alias("n")).select(*keep, "n.*")
+    return explode_rows(df, xml_node_array(xml), "n", *keep).select(*keep, "n.*")
 
 
 def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
@@ -138,14 +143,14 @@ def svg_metadata(artifacts: DataFrame) -> DataFrame:
 PACKET = r"(?is)<x:xmpmeta.*?</x:xmpmeta>|<rdf:RDF.*?</rdf:RDF>"
 
 
+def _packets(texts: DataFrame) -> DataFrame:
+    found = F.slice(F.regexp_extract_all("text", F.lit(PACKET), F.lit(0)), 1, fv.XMP_PACKETS)
+    return explode_rows(texts, found, "xml", "artifact_id", position="packet")
+
+
 def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str = "pdf/raw") -> DataFrame:
     """(artifact_id, text) -> observations of the complete XMP packets, first 64 per text."""
-    packets = texts.filter(F.lower("text").rlike("<x:xmpmeta|<rdf:rdf")).select(
-        "artifact_id",
-        F.posexplode(
-            F.slice(F.regexp_extract_all("text", F.lit(PACKET), F.lit(0)), 1, fv.XMP_PACKETS)
-        ).alias("packet", "xml"),
-    )
+    packets = _packets(texts)
     a = F.col("attribute")
     is_item = F.lower("name") == "li"
     prop = F.when(a.isNotNull(), F.when(F.lower(a) == "li", F.col("parent_property")).otherwise(a)).otherwise(
@@ -173,13 +178,7 @@ def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str
 
 def xmp_diagnostics(texts: DataFrame, location: str = "pdf/raw") -> DataFrame:
     """Packets that do not parse, as diagnostics."""
-    packets = texts.select(
-        "artifact_id",
-        F.posexplode(
-            F.slice(F.regexp_extract_all("text", F.lit(PACKET), F.lit(0)), 1, fv.XMP_PACKETS)
-        ).alias("packet", "xml"),
-    )
-    return xml_nodes(packets).filter(F.col("name") == ERROR).select(
+    return xml_nodes(_packets(texts)).filter(F.col("name") == ERROR).select(
         "artifact_id", F.lit("xmp.invalid").alias("code"),
         F.concat(F.lit(f"{location}/xmp:"), F.col("packet").cast("string"), F.lit(": "), F.col("value")).alias("message"),
         F.lit(False).alias("is_error"),

@@ -24,7 +24,8 @@ ENDPOINT_RECORDS = "uri STRING, secret_ref STRING, weight INT, tags ARRAY<STRING
 # Shapes returned by Python helpers are type objects, so that modules load before a session exists.
 XML_NODES = T.ArrayType(T.StructType([
     T.StructField("seq", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("name", T.StringType()),
-    T.StructField("parent_property", T.StringType()), T.StructField("attribute", T.StringType()),
+    T.StructField("parent_property", T.StringType()), T.StructField("parent_label", T.StringType()),
+    T.StructField("attribute", T.StringType()),
     T.StructField("value", T.StringType()),
 ]))
 CONTAINER_ENTRIES = T.ArrayType(T.StructType([
