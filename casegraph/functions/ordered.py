@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegraph.session import shared_folder
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keep the first row per key. A minimum over (order, row) combines map-side, so a hot key
@@ -26,3 +29,28 @@ def match_array(text: Column, pattern: str, group: int = 0, limit: int | None =
     return F.slice(found, 1, limit) if limit else found
 
 
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rank 1..n inside each group, also when one group owns a large share of the rows.
+
+    Rows are range-partitioned by (group, order), so a big group spans many partitions in order. A row's rank is its
+    number inside its own partition piece plus the sizes of the group's earlier pieces. The ranged rows are
+    checkpointed: pieces and piece sizes must come from one and the same partitioning. `order` must be total."""
+    shared_folder(df.sparkSession)
+    ranged = (
+        df.repartitionByRange(*[F.col(g) for g in group], *order)
+        .withColumn("__piece", F.spark_partition_id()).checkpoint()
+    )
+    earlier = W.partitionBy(*group).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = (
+        ranged.groupBy(*group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        .select(*group, "__piece", "__before")
+    )
+    inside = F.row_number().over(W.partitionBy(*group, "__piece").orderBy(*order))
+    return (
+        ranged.withColumn("__inside", inside).join(pieces, [*group, "__piece"])
+        .withColumn(name, (F.col("__before") + F.col("__inside")).cast("int"))
+        .select(*df.columns, name)
+    )

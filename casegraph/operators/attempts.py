@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casegraph import fixed_values as fv
+from casegraph.functions.ordered import ranked
 
 SLICE_SECONDS = 60
 STATE = [
@@ -129,13 +130,15 @@ def endpoint_summary(endpoints: DataFrame) -> DataFrame:
 
 def rank_endpoints(endpoints: DataFrame, policy: str, first: int | None = None) -> DataFrame:
     """Rank inside each pool. `least_latency`: moving average (missing last), then failures; `failover`: the reverse.
-    With `first`, only the best rows are kept and the limit is applied before the shuffle."""
+    With `first`, only the best rows are kept and the limit is applied before the shuffle; without it the ranking is
+    split over range partitions, so a large pool does not land in one task."""
     latency = F.col("ewma_latency_ms").asc_nulls_last()
     order = [latency, F.col("failure_count").asc()] if policy == "least_latency" else [F.col("failure_count").asc(), latency]
-    ranked = endpoints.withColumn(
-        "rank", F.row_number().over(W.partitionBy("pool_id").orderBy(*order, F.col("id").asc()))
-    )
-    return ranked.filter(F.col("rank") <= first) if first else ranked
+    order.append(F.col("id").asc())
+    if first is None:
+        return ranked(endpoints, ["pool_id"], order, "rank")
+    best = F.row_number().over(W.partitionBy("pool_id").orderBy(*order))
+    return endpoints.withColumn("rank", best).filter(F.col("rank") <= first)
 
 
 def provider_circuit(attempts: DataFrame, pool_sizes: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ def build_session(app: str = "casegraph", master: str | None = None, **conf: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # the expressions are large: do not record a Python call site for each of their nodes
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # merge session windows before the shuffle, so a busy session key sends sessions instead of rows
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # artifact bodies are large: keep Arrow batches and scan splits small enough for executor memory
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     )

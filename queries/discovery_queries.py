@@ -324,12 +324,13 @@ def captured_links(spark, d):
 @query("site_map", f"""
 WITH RECURSIVE {CAPTURED_SQL},
 walk AS (
-  SELECT url AS root, lower({canonical_sql('url')}) AS page, 0 AS depth FROM pages
+  SELECT root, lower({canonical_sql('root')}) AS page, 0 AS depth FROM (SELECT min(url) AS root FROM pages GROUP BY {host_sql('url')})
   UNION
   SELECT root, target, depth + 1 FROM walk JOIN edges USING (page) WHERE depth < 3)
 SELECT root, page, CAST(min(depth) AS BIGINT) AS depth FROM walk WHERE depth > 0 GROUP BY ALL""")
 def site_map(spark, d):
-    roots = pages(spark, d).select(F.col("url").alias("root"))
+    """One walk per host, from its first URL."""
+    roots = pages(spark, d).groupBy(urls.host(F.col("url")).alias("host")).agg(F.min("url").alias("root")).select("root")
     found = disc.site_map(captured_links(spark, d), roots, max_depth=2, max_pages=10_000)
     return found.select("root", F.lower(urls.canonical_url(F.col("url"))).alias("page"), F.col("depth").cast("long").alias("depth"))
 
