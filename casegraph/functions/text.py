@@ -75,10 +75,11 @@ def normalize_value(category: Column, value: Column, ascii_only: bool = False) -
 
 def html_decode(value: Column) -> Column:
     """Named references, then numeric ones, then `&amp;`, so nothing is decoded twice."""
-    out = value
-    for name, char in fv.HTML_ENTITIES.items():
-        if name != "amp":
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    named = {f"&{name};": char for name, char in fv.HTML_ENTITIES.items() if name != "amp"}
+    out = F.aggregate(
+        F.arrays_zip(F.lit(list(named)).alias("name"), F.lit(list(named.values())).alias("char")), value,
+        lambda acc, entity: F.replace(acc, entity["name"], entity["char"]),
+    )
     out = _numeric(out, r"&#(\d{1,7});", lambda n: F.concat(F.lit("&#"), n, F.lit(";")), 10)
     out = _numeric(out, r"&#[xX]([0-9A-Fa-f]{1,6});", lambda n: F.concat(F.lit("&#x"), n, F.lit(";")), 16)
     out = F.replace(out, F.lit("&amp;"), F.lit("&"))

@@ -29,6 +29,12 @@ def build_session(app: str = "casegraph", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def use_utc(spark: SparkSession) -> None:
+    """Times without an offset are UTC everywhere in this engine; dates are read and written in the session zone."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one is set only where none is configured (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
