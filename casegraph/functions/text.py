@@ -55,7 +55,8 @@ def parse_date(value: Column) -> Column:
             .when(text.rlike(fv.DATE_SLASHED), F.try_to_timestamp(text, F.lit("MM/dd/yyyy[ HH:mm:ss]")))
         )
 
-    return let(trim_ws(value), parse)
+    # the shortest accepted spelling has ten characters: most other values stop here
+    return F.when(F.char_length(value) >= 10, let(trim_ws(value), parse))
 
 
 def iso_date(ts: Column) -> Column:

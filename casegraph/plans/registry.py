@@ -16,8 +16,8 @@ Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def _text_of(df: DataFrame) -> DataFrame:
-    return df.select("artifact_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).filter(
-        "text IS NOT NULL")
+    """UTF-8 text; broken sequences become the replacement character, as a text reader would show them."""
+    return df.select("artifact_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def extract_containers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +33,7 @@ def extract_svg(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract_pdf(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits, rejected = size_budget(df, fv.PDF_BYTES, "pdf.size_budget", "PDF exceeds the bounded parser window.")
-    text = fits.select("artifact_id", F.decode("content", "ISO-8859-1").alias("text"))
+    text = _text_of(fits)
     rows = (
         art.pdf_info(fits)
         .unionByName(xml_extract.xmp_packets(text)).unionByName(text_extract.loose_xmp(text))
@@ -43,7 +43,7 @@ def extract_pdf(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_indesign(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    text = df.select("artifact_id", F.decode("content", "ISO-8859-1").alias("text"))
+    text = _text_of(df)
     rows = (
         text_extract.legacy_indicators(df, "builtin.indesign", "indesign/binary")
         .unionByName(xml_extract.xmp_packets(text, "builtin.indesign", "indesign"))
