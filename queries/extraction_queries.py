@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from casegraph.operators import artifacts as art
 from casegraph.operators import containers, text_extract, xml_extract
 from casegraph.operators.observations import extraction_diagnostics as count_diagnostics
-from casegraph.plans.evidence import analyze, correlate_project
+from casegraph.plans.evidence import analyze, correlate_project, stage_by_kind
 from casegraph.plans.registry import SearchProviderRegistry, default_extractors
 from casegraph.sources import readers
 from casegraph.session import scratch_path
@@ -353,7 +353,7 @@ UNION ALL SELECT 'zip-' || c_custkey, 'macro', 'word/vbaProject.bin', 'high' FRO
 UNION ALL SELECT 'zip-' || c_custkey, 'mime_mismatch', 'Extension suggests open_xml, magic bytes identify unknown', 'medium' FROM f WHERE c_mktsegment = 'MACHINERY'""")
 def static_risk(spark, d):
     """Everything but the hash and entropy rows, which every artifact has (see `byte_entropy`)."""
-    files = art.magic_kind(mixed_files(spark, d)).withColumn("sha256", F.sha2("content", 256))
+    files = stage_by_kind(mixed_files(spark, d)).withColumn("sha256", F.sha2("content", 256))
     return art.static_risk(files).filter(~F.col("kind").isin("sha256", "entropy")).select("artifact_id", F.col("kind").alias("risk"), "value", "severity")
 
 
