@@ -182,6 +182,11 @@ def _punycode(hosts: pd.Series) -> pd.Series:
     return hosts.map(one)
 
 
+def ascii_host(name: Column) -> Column:
+    """IDNA form of a host name; only non-ASCII names travel to Python."""
+    return F.coalesce(_punycode(F.when(~is_ascii(name), name)), name)
+
+
 def with_canonical_url(df: DataFrame, source: str, target: str) -> DataFrame:
     """Add the canonical URL. ASCII hosts stay in the JVM; the rest take one Arrow round trip."""
     u = trim_ws(F.col(source))

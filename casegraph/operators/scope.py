@@ -115,10 +115,11 @@ def resolved_scope(url_rows: DataFrame, dns: DataFrame, url: str = "url") -> Dat
 
 
 def infer_scope_kind(value):
+    """Addresses first (an IPv6 address looks like a scheme), then anything with a scheme."""
     return (
-        F.when(value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]+:[^:]*$") & value.rlike("(?i)^[a-z][a-z0-9+.-]*:(//|[a-z])"), "url")
-        .when(net.address_hex(value).isNotNull(), "ip")
+        F.when(net.address_hex(value).isNotNull(), "ip")
         .when(F.contains(value, F.lit("/")) & net.address_hex(F.substring_index(value, "/", 1)).isNotNull(), "cidr")
+        .when(value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]+:"), "url")
         .when(F.contains(value, F.lit(".")), "domain")
         .otherwise("host")
     )
@@ -134,7 +135,7 @@ def normalize_scope_value(kind, value):
     )
     return (
         F.when((kind == "url") & urls.is_http(v), F.rtrim(server, F.lit("/")))
-        .when(kind.isin("domain", "host"), F.lower(F.rtrim(v, F.lit("."))))
+        .when(kind.isin("domain", "host"), urls.ascii_host(F.lower(F.rtrim(v, F.lit(".")))))
         .when(kind == "ip", net.address_text(v))
         .when(kind == "cidr", net.normalize_cidr(v))
     )
@@ -142,7 +143,7 @@ def normalize_scope_value(kind, value):
 
 def scope_normalize(entries: DataFrame, order: list[str]) -> DataFrame:
     """Infer kinds, normalize values, keep the last mode per (project, kind, value). Invalid values are dropped
-    (the caller reads them from the anti side). Non-ASCII names go through IDNA in `urls.with_canonical_url`."""
+    (the caller reads them from the anti side)."""
     v = trim_ws(F.col("value"))
     kinds = with_bound(entries.withColumnRenamed("kind", "__given"), kind=F.coalesce("__given", infer_scope_kind(v)))
     cleaned = with_bound(

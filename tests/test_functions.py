@@ -131,6 +131,14 @@ def test_scope_domain_and_mode(rows):
     assert values(scope.scope_filter(df, entries, "aggressive"), "url") == [requests[3]]
 
 
+def test_scope_normalize(rows):
+    entries = rows([("p", None, " BÜCHER.example. ", "passive", 1), ("p", None, "xn--bcher-kva.example", "active", 2),
+                    ("p", None, "192.0.2.129/24", "active", 1), ("p", None, "https://Ex.test:443/a/?q=1", "active", 1)],
+                   "project_id string, kind string, value string, maximum_mode string, created_at int")
+    out = {(r.kind, r.value, r.maximum_mode) for r in scope.scope_normalize(entries, ["created_at"]).collect()}
+    assert out == {("domain", "xn--bcher-kva.example", "active"), ("cidr", "192.0.2.0/24", "active"), ("url", "https://ex.test/a", "active")}
+
+
 def test_expand_v6(rows):
     out = discovery.expand_cidr(rows([("2001:db8::ff/126",), ("192.0.2.7/30",), ("bad",)], "cidr string"))
     assert [r.address for r in out.orderBy("cidr", "address").collect()] == [
