@@ -36,13 +36,13 @@ def query(name: str, sql: str | None = None):
 @query("op2_line_dedup", f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
 keyed AS (SELECT *, {LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
 common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
 SELECT k.doc_id, count(*) AS n_lines,
        count(*) FILTER (WHERE c.keeper IS NOT NULL AND c.keeper <> k.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE c.keeper IS NULL OR c.keeper = k.doc_id), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.keeper IS NULL OR c.keeper = k.doc_id), '')) AS kept_sha256
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id
 """)
 def op2_line_dedup(spark, d):
