@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import line_dedup
+from casegraph.llm import line_dedup, substring_dedup
 from casegraph.llm.common import prepare, table
 from casegraph.session import use_utc
 
@@ -48,3 +48,9 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id
 def op2_line_dedup(spark, d):
     docs = table(spark, d, "documents")
     return line_dedup.clean(line_dedup.build(docs), docs, with_text=False)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark, d):
+    docs = table(spark, d, "documents")
+    return substring_dedup.dedup(docs, with_text=False).drop("spans")
