@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import line_dedup, substring_dedup
+from casegraph.llm import line_dedup, near_dedup, substring_dedup
 from casegraph.llm.common import prepare, table
 from casegraph.session import use_utc
 
@@ -54,3 +54,24 @@ def op2_line_dedup(spark, d):
 def op9_substring_dedup(spark, d):
     docs = table(spark, d, "documents")
     return substring_dedup.dedup(docs, with_text=False).drop("spans")
+
+
+WORDS3 = f"regexp_extract_all({LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op5_minhash_near_dedup", f"""
+WITH RECURSIVE worded AS (SELECT doc_id, coalesce({WORDS3}, []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE
+    list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s FROM worded),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
+""")
+def op5_minhash_near_dedup(spark, d):
+    return near_dedup.groups(table(spark, d, "documents"), width=3, percent=85)
