@@ -6,8 +6,9 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casegraph.llm import line_dedup, near_dedup, substring_dedup
+from casegraph.llm import decontaminate, line_dedup, near_dedup, substring_dedup
 from casegraph.llm.common import prepare, table
 from casegraph.session import use_utc
 
@@ -75,3 +76,31 @@ FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 """)
 def op5_minhash_near_dedup(spark, d):
     return near_dedup.groups(table(spark, d, "documents"), width=3, percent=85)
+
+
+WORDS6 = f"coalesce(regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+@query("op6_decontaminate", f"""
+WITH docs AS (SELECT doc_id, {WORDS6} AS w FROM documents),
+items AS (SELECT item_id, {WORDS6} AS w FROM benchmark),
+tests AS (
+  SELECT item_id, least(len(w), 13) AS size, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i+12], ' '))) AS gram
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM tests),
+spots AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos,
+         unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i+size-1], ' '))) AS gram
+  FROM docs, sizes WHERE len(w) >= size),
+found AS (SELECT DISTINCT s.doc_id, s.pos, s.size, t.item_id FROM spots s JOIN tests t ON s.size = t.size AND s.gram = t.gram),
+hits AS (SELECT doc_id, count(DISTINCT h) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS h FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+""")
+def op6_decontaminate(spark, d):
+    found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
