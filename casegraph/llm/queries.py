@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontaminate, line_dedup, near_dedup, substring_dedup
-from casegraph.llm.common import prepare, table
+from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, substring_dedup
+from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,15 @@ def op6_decontaminate(spark, d):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies; $CASEGRAPH_TOKENIZERS names another folder."""
+    folder = os.environ.get("CASEGRAPH_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark, d):
+    texts = id_and_text(table(spark, d, "documents"), "doc_id", "text")
+    return pieces.encode(texts, tokenizer("piece_bpe_32k.model")).drop("text")
