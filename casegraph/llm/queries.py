@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, substring_dedup
+from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, substring_dedup, top_k
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -117,3 +117,15 @@ def tokenizer(name: str) -> str:
 def op1_sentencepiece(spark, d):
     texts = id_and_text(table(spark, d, "documents"), "doc_id", "text")
     return pieces.encode(texts, tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+@query("op4_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS f FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.f, c.f)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op4_top_k(spark, d):
+    return top_k.top_k(table(spark, d, "embeddings"), lambda vec_id: vec_id % 20 == 0)
