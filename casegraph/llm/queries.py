@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, substring_dedup, top_k
+from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, secrets, substring_dedup, top_k
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -129,3 +129,23 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """)
 def op4_top_k(spark, d):
     return top_k.top_k(table(spark, d, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def span_digest(found, kinds: list[str]):
+    """Counts per base kind, the digest of the base spans and all spans as text, from an operator's spans."""
+    said = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(kind)))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, kinds),
+        F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", said), ",").alias("spans"))
+
+
+@query("op10_secrets")
+def op10_secrets(spark, d):
+    found = secrets.scan(table(spark, d, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    return span_digest(found, ["assign", "access", "hex"])
