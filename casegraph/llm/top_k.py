@@ -14,9 +14,10 @@ only what is strictly below the threshold, so ties at rank k stay; they go to th
 Components become floor(scale * x). Products are summed in double where that is exact (|q| |c| < 2^53), else in 64-bit
 integers; a score beyond 64 bits wraps.
 
-Cases: vectors that are null, hold null or non-finite components or components beyond 2^31 after scaling take no part, nor do rows with a null id;
-vectors of different dimension never meet; fewer than k candidates give all; equal rows count each; a query row's
-own id is not its candidate; empty tables give an empty result.
+Cases: vectors that are null or empty, hold null or non-finite components or components beyond 2^31 after scaling take
+no part, nor do rows with a null id; of several rows under one id the largest vector counts; vectors of different
+dimension never meet; fewer than k candidates give all; a query's own id is not its candidate; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ def integral(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Dat
     """(vec_id, v array<long>, dim, norm) of the vectors that take part."""
     scaled = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     fits = F.forall(F.col(vec_col), lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(2.0 ** 31 / scale), F.lit(False)))
-    return (
+    kept = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col))
         .filter(F.col("vec_id").isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & fits)
-        .select("vec_id", scaled.alias("v"))
-        .withColumn("dim", F.size("v"))
+        .groupBy("vec_id").agg(F.max(scaled).alias("v"))
+    )
+    return (
+        kept.withColumn("dim", F.size("v"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
     )
 
@@ -53,14 +56,15 @@ def buckets(vectors: DataFrame, count: int) -> DataFrame:
     """(bucket, dim, longest, ids, norms, matrix): packed candidates, longest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for n, batch in enumerate(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim))
                 norms = rows.column("norm").to_numpy()
+                made += 1
                 yield pa.RecordBatch.from_pylist([{
-                    "bucket": (part << 24) + (n << 12) + int(dim) % 4096, "dim": int(dim), "longest": float(norms.max()),
+                    "bucket": (part << 32) + made, "dim": int(dim), "longest": float(norms.max()),
                     "ids": rows.column("vec_id").to_numpy().tobytes(), "norms": norms.tobytes(),
                     "matrix": rows.column("v").flatten().to_numpy().astype(np.int32).tobytes(),
                 }], schema=pa.schema([("bucket", pa.int64()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("norms", pa.binary()), ("matrix", pa.binary())]))
@@ -159,6 +163,6 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
         .filter((F.col("bucket") != F.col("top_bucket")) & able)
         .select("bucket", "block", "vec_id", "v", "norm", "threshold")
     )
-    found = first.unionByName(scored(spread, route, k)).dropDuplicates(["query_id", "vec_id"])
+    found = first.unionByName(scored(spread, route, k))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
