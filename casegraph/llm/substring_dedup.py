@@ -115,7 +115,8 @@ def blocks(found: DataFrame) -> DataFrame:
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     windows = cut(distinct.join(several, "anchor", "left_semi").select(
         "anchor", "block", "source", F.posexplode("hashes").alias("at", "hash")))
-    least = windows.groupBy("anchor", "hash").agg(F.min("source").alias("least"), F.max("source").alias("most")).filter("least < most").drop("most")
+    # a table of its own, so that the join's hot partitions can be split
+    least = cut(windows.groupBy("anchor", "hash").agg(F.min("source").alias("least"), F.max("source").alias("most")).filter("least < most").drop("most"))
     early = (
         windows.join(least, ["anchor", "hash"]).filter("least < source")
         .groupBy("anchor", "block").agg(F.collect_list("at").alias("early"))
