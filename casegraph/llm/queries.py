@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, secrets, substring_dedup, top_k
+from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -149,3 +149,9 @@ def span_digest(found, kinds: list[str]):
 def op10_secrets(spark, d):
     found = secrets.scan(table(spark, d, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
     return span_digest(found, ["assign", "access", "hex"])
+
+
+@query("op3_private_spans")
+def op3_private_spans(spark, d):
+    docs = table(spark, d, "documents")
+    return span_digest(private.scan(docs, private.train(docs)), ["email", "ip", "card", "phone"])
