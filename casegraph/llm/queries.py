@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k
+from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -155,3 +155,9 @@ def op10_secrets(spark, d):
 def op3_private_spans(spark, d):
     docs = table(spark, d, "documents")
     return span_digest(private.scan(docs, private.train(docs)), ["email", "ip", "card", "phone"])
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, d, "labels")))
