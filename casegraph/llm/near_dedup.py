@@ -7,9 +7,9 @@
 3. ``candidates``: per band the documents with one value form a bucket. A bucket of m gives m - 1 edges, to its centre:
    the member that shares the most buckets, as the origin of a family does.
 4. ``verified``: links are confirmed on the full sets.
-5. ``leftovers``: members of one bucket that ended in different components are compared too, unless size or the metric
-   forbids a link: with exact distances to the centre, |d(a,c) - d(b,c)| > 1 - threshold excludes (a, b). So the star
-   loses no link of its bucket, and a bucket that is one component costs nothing.
+5. ``leftovers``: members of one centre that ended in different components are compared too, unless a bound forbids a
+   link: their sizes, what each shares with the centre, and what each has outside it that anyone else has. So the star
+   loses no link of its bucket, and a family that is one component costs nothing.
 
 With the default 32 bands of 5 bins a pair at similarity 0.85 shares no band with probability 7e-9 (at 0.8: 3e-6).
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.llm.common import WordHashes, cut, id_and_text, mix64, texts_of
@@ -107,15 +107,8 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, stars
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, both, either): exact sizes of intersection and union; pairs whose sizes forbid a link are not compared."""
-    sizes = sets.select("doc_id", "n")
-    possible = (
-        pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
-    possible = cut(possible)
-    asked = possible.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles array<long>): the full sets of some documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -125,30 +118,50 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, pe
             ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "shingles"])
 
-    full = cut(texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>"))
-    both = F.size(F.array_intersect("sa", "sb"))
+    return texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, both, na, nb): exact sizes of the intersection and of the sets."""
+    pairs = cut(pairs)
+    full = cut(_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
     return (
-        possible.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
-        .select("a", "b", both.cast("long").alias("both"), (F.col("na") + F.col("nb") - both).alias("either"))
+        pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
+        .select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"))
     )
 
 
-def leftovers(placed: DataFrame, stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that neither sizes nor distances to the centre exclude."""
-    labelled = placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+def is_link(percent: int) -> Column:
+    return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+
+
+def leftovers(placed: DataFrame, stars: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs under one centre, in different components, that no bound excludes.
+
+    With c the centre, a set's part in c and its part outside, counting outside only shingles that another open document
+    holds too: |a & b| <= min(|a & c|, |b & c|) + min(out(a), out(b)). A document is asked only if the shingles it shares
+    with anyone suffice, and only documents outside the centre's component ask."""
+    named = labels.withColumnRenamed("node", "doc_id")
+    of_centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("c_component"))
+    members = placed.filter("doc_id <> centre").select("centre", "doc_id", "n").distinct().join(named, "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    open_ = labelled.join(cut(mixed.select("band")), "band").filter("doc_id <> centre")
-    # distance to the centre; pairs that sizes exclude were not measured and stay unknown
-    measured = stars.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    open_ = cut(open_.withColumn("a", F.least("doc_id", "centre")).withColumn("b", F.greatest("doc_id", "centre")).join(
-        measured, ["a", "b"], "left").select("band", "doc_id", "n", "component", "d"))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = 1 - percent / 100 + 1e-9
-    near = F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= apart)
-    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (
-        F.col("x.component") != F.col("y.component")) & near & sized).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    members = cut(members)
+    mixed = cut(members.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("centre"))
+    open_ = members.join(mixed, "centre").join(of_centre, "centre", "left").withColumn("c_component", F.coalesce("c_component", "centre"))
+    open_ = open_.withColumn("a", F.least("doc_id", "centre")).withColumn("b", F.greatest("doc_id", "centre"))
+    open_ = cut(open_.join(stars.select("a", "b", "both"), ["a", "b"]).drop("a", "b"))
+    asked = open_.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
+    tokens = cut(_sets(texts, asked, width)).select("doc_id", F.explode("shingles").alias("shingle"))
+    several = cut(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle"))
+    shared = tokens.join(several, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    open_ = cut(open_.join(cut(shared), "doc_id").filter(F.col("shared") * 100 >= F.col("n") * percent).withColumn("out", F.col("shared") - F.col("both")))
+    x, y = open_.filter("component <> c_component").alias("x"), open_.alias("y")
+    col = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    most = F.least(*col("both")) + F.least(*col("out"))
+    once = (F.col("y.component") == F.col("y.c_component")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    fits = (F.least(*col("n")) * 100 >= F.greatest(*col("n")) * percent) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
+    return x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.component") != F.col("y.component")) & once & fits).select(
+        F.least(*col("doc_id")).alias("a"), F.greatest(*col("doc_id")).alias("b")).distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
@@ -162,13 +175,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sets = classes.select("doc_id", "n", "bands")
     known = texts.filter(F.col("doc_id").isNotNull())
     placed, stars = candidates(sets)
-    checked = cut(verified(stars, sets, known, width, percent))
-    linked = cut(checked.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
+    checked = cut(verified(stars, known, width))
+    linked = cut(checked.filter(is_link(percent)).select("a", "b"))
     labels = components(linked)
-    rest = cut(leftovers(placed, checked, labels, percent))
+    rest = cut(leftovers(placed, checked, labels, known, width, percent))
     if not rest.isEmpty():
-        more = verified(rest, sets, known, width, percent).filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
-        labels = components(linked.unionByName(more))
+        labels = components(linked.unionByName(verified(rest, known, width).filter(is_link(percent)).select("a", "b")))
     of_class = cut(classes.select("s1", "s2", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "s1", "s2", F.coalesce("component", "doc_id").alias("class_id")))
     named = sketched.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
