@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
+from casegraph.llm import chat, decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -161,3 +161,27 @@ def op3_private_spans(spark, d):
 def op7_toxicity(spark, d):
     docs = table(spark, d, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, d, "labels")))
+
+
+@query("op8_chat_perspectives", """
+WITH said AS (
+  SELECT conv_id, turn, replace(replace(CASE WHEN length(role) > 0 THEN role ELSE 'unknown' END, '<|', '<\\|'), chr(10), ' ') AS speaker,
+         replace(coalesce(text, ''), '<|', '<\\|') AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+shown AS (
+  SELECT s.*, p.perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS shown_as
+  FROM said s JOIN people p ON s.conv_id = p.conv_id),
+made AS (
+  SELECT *, '<|' || shown_as || '|>' || chr(10) || CASE WHEN shown_as = 'user' THEN speaker || ': ' ELSE '' END || said || '<|end|>' || chr(10) AS segment
+  FROM shown),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS seg_end FROM made
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said))
+SELECT conv_id, perspective, position, turn, speaker, shown_as, segment, (seg_end - length(segment))::BIGINT AS seg_start, seg_end::BIGINT AS seg_end,
+       CASE WHEN shown_as = 'assistant' THEN (seg_end - length(segment) + 14)::BIGINT END AS mask_start,
+       CASE WHEN shown_as = 'assistant' THEN (seg_end - 1)::BIGINT END AS mask_end
+FROM placed
+""")
+def op8_chat_perspectives(spark, d):
+    return chat.perspectives(table(spark, d, "conversations"))
