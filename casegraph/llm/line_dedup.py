@@ -269,34 +269,45 @@ def drops(index: LineIndex, refs: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
 
 
-def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256[, kept]) for documents that the index holds."""
+def _kept(text: bytes, drop: list[dict] | None, min_chars: int) -> tuple[bytes, int]:
+    """A text without its dropped lines, and how many those are."""
+    import xxhash
+
+    if not drop:
+        return text, 0
+    gone = {np.array([d["k1"], d["k2"]], np.int64).tobytes() for d in drop}
+    stay = [not k or xxhash.xxh3_128_digest(k) not in gone for k in keys_of(text, min_chars)]
+    return b"\n".join(line for line, s in zip(text.split(b"\n"), stay) if s), len(stay) - sum(stay)
+
+
+def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) for documents that the index holds."""
     min_chars = index.min_chars
-    texts = id_and_text(docs, id_col, text_col)
-    joined = texts.join(drops(index, index.refs), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            texts = [t or b"" for t in texts_of(batch.column("text"))]
+            made = [_kept(t, d, min_chars) for t, d in zip(texts, batch.column("drop").to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()),
+                pa.array([n for _, n in made], pa.int64()), pa.array([sha256(t) for t, _ in made], pa.string())],
+                ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
+    joined = id_and_text(docs, id_col, text_col).join(drops(index, index.refs), "doc_id", "left")
+    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def cleaned(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with the text that is kept; a null text stays null."""
+    min_chars, at = index.min_chars, docs.columns.index(text_col)
+    lost = drops(index, index.refs).toDF("__id", "__drop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines_n, dropped, digests, kept = [], [], [], []
-            for text, drop in zip(texts_of(batch.column("text")), batch.column("drop").to_pylist()):
-                text = text or b""
-                n, lost = text.count(b"\n") + 1, 0
-                if drop:
-                    gone = {np.array([d["k1"], d["k2"]], np.int64).tobytes() for d in drop}
-                    stay = [not k or xxhash.xxh3_128_digest(k) not in gone for k in keys_of(text, min_chars)]
-                    lost = n - sum(stay)
-                    text = b"\n".join(line for line, s in zip(text.split(b"\n"), stay) if s)
-                lines_n.append(n)
-                dropped.append(lost)
-                digests.append(sha256(text))
-                kept.append(text)
-            columns = [batch.column("doc_id"), pa.array(lines_n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text)
+            made = [None if t is None else _kept(t, d, min_chars)[0] for t, d in zip(texts_of(batch.column(at)), batch.column("__drop").to_pylist())]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(made, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    joined = docs.join(lost, docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    return joined.mapInArrow(run, docs.schema)

@@ -49,7 +49,7 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id
 """)
 def op2_line_dedup(spark, d):
     docs = table(spark, d, "documents")
-    return line_dedup.clean(line_dedup.build(docs), docs, with_text=False)
+    return line_dedup.clean(line_dedup.build(docs), docs)
 
 
 @query("op9_substring_dedup")

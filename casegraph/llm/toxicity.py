@@ -256,3 +256,16 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def acceptable(docs: DataFrame, grammar: Grammar, text_col: str = "text", limit: float = 0.7) -> DataFrame:
+    """The rows of `docs`, all columns, whose score stays below the limit."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = grammar.classes()
+        for batch in batches:
+            counts = np.array([matched(t, classes) for t in texts_of(batch.column(at))]).reshape(-1, N_PATTERNS)
+            yield batch.filter(pa.array(scores(counts, grammar.weights, grammar.bias) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
