@@ -184,6 +184,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     of_class = cut(classes.select("s1", "s2", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "s1", "s2", F.coalesce("component", "doc_id").alias("class_id")))
     named = sketched.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
