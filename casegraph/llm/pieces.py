@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from casegraph.llm.common import batches_by_bytes, mix64, sha256, texts_of
 
 BOUNDARY = rb"\n| *[^ \n]+| +"
-BATCH = 8 << 20
+BATCH = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -103,47 +103,50 @@ class Lattice:
 
 def lattice(units: list[bytes], vocabulary: Vocabulary, steps: np.ndarray, char_size: np.ndarray) -> Lattice:
     data = np.frombuffer(b"".join(units), np.uint8)
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    start = np.cumsum(sizes) - sizes
-    unit = np.repeat(np.arange(len(units)), sizes)
+    sizes = np.fromiter(map(len, units), np.int32, len(units))
+    start = np.cumsum(sizes, dtype=np.int32) - sizes
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
     stop = np.repeat(start + sizes, sizes)
     # edges: walk the trie from every byte at once
-    at, node, found = np.arange(len(data)), np.zeros(len(data), np.int64), []
+    at, node, found = np.arange(len(data), dtype=np.int32), np.zeros(len(data), np.int32), []
     depth = 0
     while len(at):
         inside = at + depth < stop[at]
         at, node = at[inside], node[inside]
-        node = steps[node * 256 + data[at + depth]].astype(np.int64)
+        node = steps[node * 256 + data[at + depth]].astype(np.int32)
         at, node = at[node > 0], node[node > 0]
         depth += 1
         piece = vocabulary.piece_at[node]
         ends = piece >= 0
         found.append((at[ends], np.full(int(ends.sum()), depth, np.int32), piece[ends]))
-    begin, length, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+    begin, length, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32),) * 3
+    del found, stop
     # bytes of characters that are no piece
     lone = np.zeros(len(data), bool)
     lone[begin[length == char_size[data[begin]]]] = True
-    heads = np.maximum.accumulate(np.where(char_size[data] > 0, np.arange(len(data)), 0)) if len(data) else begin
-    bare = np.flatnonzero(~lone[heads])
+    heads = np.maximum.accumulate(np.where(char_size[data] > 0, np.arange(len(data), dtype=np.int32), 0)) if len(data) else begin
+    bare = np.flatnonzero(~lone[heads]).astype(np.int32)
     begin = np.r_[begin, bare]
     length = np.r_[length, np.ones(len(bare), np.int32)]
-    piece = np.r_[piece, vocabulary.byte_piece[data[bare]]].astype(np.int32)
+    piece = np.r_[piece, vocabulary.byte_piece[data[bare]]]
     # forward filtering, by the distance of an edge's end from the start of its unit
-    source = begin + unit[begin]
-    target = source + length
-    far = begin + length - start[unit[begin]]
-    order = np.argsort((far << 40) | (target << 8) | length)  # one order, whatever the batch
-    source, target, length, piece, far = source[order], target[order], length[order], piece[order], far[order]
+    own = unit[begin]
+    far = begin + length - start[own]
+    target = begin + own + length
+    del begin, own, heads, lone
+    order = np.argsort((far.astype(np.int64) << 40) | (target.astype(np.int64) << 8) | length).astype(np.int32)  # one order, whatever the batch
+    far, target, length, piece = far[order], target[order], length[order], piece[order]
+    bounds = np.searchsorted(far, np.arange(1, (int(far[-1]) if len(far) else 0) + 2))
+    del far
     total = np.full(len(data) + len(units), -np.inf)
-    first = start + np.arange(len(units))
+    first = start + np.arange(len(units), dtype=np.int32)
     total[first] = 0.0
-    share = np.zeros(len(source))
-    weight = vocabulary.weight[piece]
-    bounds = np.searchsorted(far, np.arange(1, (int(far[-1]) if len(far) else 0) + 2))
+    share = np.zeros(len(target))
     for low, high in zip(bounds[:-1], bounds[1:]):
         if low == high:
             continue
-        value, into = total[source[low:high]] + weight[low:high], target[low:high]
+        into = target[low:high]
+        value = total[into - length[low:high]] + vocabulary.weight[piece[low:high]]
         heads = np.flatnonzero(np.r_[True, into[1:] != into[:-1]])
         counts = np.diff(np.r_[heads, len(into)])
         top = np.maximum.reduceat(value, heads)
@@ -151,15 +154,16 @@ def lattice(units: list[bytes], vocabulary: Vocabulary, steps: np.ndarray, char_
         sums = np.add.reduceat(value, heads)
         total[into[heads]] = top + np.log(sums)
         share[low:high] = value / np.repeat(sums, counts)
-    order = np.argsort((target << 8) | length)
+    order = np.argsort((target.astype(np.int64) << 8) | length).astype(np.int32)
     target, share = target[order], share[order]
     heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else target
     counts = np.diff(np.r_[heads, len(target)])
     run = np.cumsum(share)
-    run -= np.repeat(run[heads] - share[heads], counts) if len(heads) else 0
+    del share
+    run -= np.repeat(run[heads] - np.diff(np.r_[0.0, run])[heads], counts) if len(heads) else 0
     key = target + np.minimum(run, 1.0)
     if len(heads):
-        key[heads + counts - 1] = target[heads] + 1
+        key[heads + counts - 1] = target[heads] + 1.0
     return Lattice(first, first + sizes, key, piece[order], length[order])
 
 
