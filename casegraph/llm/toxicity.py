@@ -198,7 +198,8 @@ def lexicon(sample: DataFrame, rate: float) -> frozenset[str]:
             limit = s
     if limit is None:
         return frozenset()
-    found = {r.feature for r in stats.filter((F.round("surprise", 2) >= float(limit)) & (F.col("t") >= 3)).select("feature").collect()}
+    listed = {*THREAT, *TARGET, *NEGATE, *REPORT}
+    found = {r.feature for r in stats.filter((F.round("surprise", 2) >= float(limit)) & (F.col("t") >= 3)).select("feature").collect()} - listed
     # a word whose beginning is listed needs no entry
     return frozenset(f for f in found if not any(f.rstrip("*")[:n] + "*" in found for n in STEM if n < len(f.rstrip("*"))))
 
