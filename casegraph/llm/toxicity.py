@@ -34,6 +34,7 @@ from casegraph.llm.common import cut, id_and_text, mix64, texts_of
 END, QUOTE = b"|", b'"'
 WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 39 else 32 for b in range(256))
+KEPT = bytes(b if b in END + QUOTE else WORDS[b] for b in range(256))
 MARKS = [(mark, b" " + END + b" ") for mark in (b".", b"!", b"?", b";", b":", b"\n")] + [(b'"', b" \" ")]
 
 #: Word lists in the four languages of the tables (fixed values).
@@ -53,8 +54,7 @@ STEM = (4, 5, 6)
 def symbols(text: bytes) -> list[bytes]:
     for mark, spaced in MARKS:
         text = text.replace(mark, spaced)
-    kept = bytes(b if b in (124, 34) else WORDS[b] for b in range(256))
-    return text.translate(kept).split()
+    return text.translate(KEPT).split()
 
 
 def features_of(words: set[bytes]) -> set[str]:
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     share = F.create_map(*[v for k, n in sizes.items() for v in (F.lit(k), F.lit(int(min(1.0, max_rows / n) * (1 << 30))))])
     picked = marks.filter(place < share[F.col("toxic")])
-    sample = cut(id_and_text(docs, id_col, text_col).join(picked, "doc_id").select("text", "toxic"))
+    sample = cut(id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("text", "toxic"))  # about 2 max_rows ids
     insults = lexicon(sample, rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
