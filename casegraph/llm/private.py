@@ -35,6 +35,7 @@ FINDERS = (spans.emails, spans.ips, spans.cards, spans.phones)
 TAGS = 1 + 2 * len(KINDS)            # O, then B and I of each kind
 GATE = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]")
 REACH, WINDOW, STEP, HIDDEN, EMBED = 24, 64, 32, 12, 8
+REGIONS = 256                        # tagged together: bounds a worker's memory, not what is read
 #: Characters: letters by case, digits, the signs of the kinds, space, other letters, the rest.
 SIGNS = "@.-+()[]_%/:;,\n \"'="
 LETTERS = "atdo"                     # kept apart, for spelled signs
@@ -347,7 +348,9 @@ def scan(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = [[(k, s, e, True) for k, find in enumerate(FINDERS) for s, e in find(t)] for t in texts]
             where = [(n, s, e) for n, t in enumerate(texts) for s, e in regions(t)]
-            for (n, start, _), own in zip(where, tagged(tagger, [texts[n][s:e] for n, s, e in where], sure)):
+            parts = (where[low: low + REGIONS] for low in range(0, len(where), REGIONS))
+            tags = ((at, own) for part in parts for at, own in zip(part, tagged(tagger, [texts[n][s:e] for n, s, e in part], sure)))
+            for (n, start, _), own in tags:
                 matched = [m.span() for p in (spans.CARD, spans.IP, spans.PHONE) for m in p.finditer(texts[n])] if own else []
                 for kind, low, high in own:
                     s, e = start + low, start + high
