@@ -103,7 +103,6 @@ PDF_INFO_KEYS = {
     "Keywords": "keywords", "Trapped": "pdf.trapped",
 }
 PDF_FILE_KEYS = {"UF": "embedded_object", "F": "embedded_object", "Desc": "comments"}
-PDF_TOKENS_PER_KEY = 1_000
 
 # Families of the differential comparison: family -> categories ("history*" = prefix).
 CATEGORY_FAMILIES = {
@@ -184,11 +183,12 @@ COOLDOWN_SECONDS = 120
 LEASE_TTL_SECONDS = 900
 CIRCUIT_ENDPOINTS = 3
 
+# Byte order marks of text, in hexadecimal.
+BYTE_ORDER_MARKS = ["EFBBBF", "FFFE", "FEFF", "0000FEFF"]
+
 # HTTP body markers.
 CHALLENGE_MARKERS = ["captcha", "challenge-platform"]
 TECHNOLOGY_MARKERS = [("wp-content", "WordPress"), ("__next", "Next.js"), ("drupal", "Drupal")]
-OUTCOME_PREVIEW_BYTES = 64 * 1024
-TECHNOLOGY_PREVIEW_BYTES = 128 * 1024
 
 # Backup suffixes and root candidates.
 BACKUP_SUFFIXES = ["~", ".bak", ".old", ".orig", ".save", ".zip"]
@@ -199,21 +199,23 @@ LABEL_PATTERN = r"^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 # Word characters as in the .NET definition of \w.
 WORD = r"\p{L}\p{Mn}\p{Nd}\p{Pc}"
 EMAIL = rf"(?<![{WORD}.+-])[{WORD}.+-]+@[{WORD}.-]+\.[A-Za-z]{{2,}}(?![{WORD}.-])"
-EMAIL_UNGUARDED = rf"[{WORD}.+-]+@[{WORD}.-]+\.[A-Za-z]{{2,}}"
-UNC_PATH = r"\\\\[A-Za-z0-9._-]+\\[^\x00-\x1f\s]{1,512}"
-URL = r"""(?i)https?://[^\x00-\x20<>"']{3,2048}"""
+# A match starts where the last one ended or where a run of local characters starts: the plain pattern's matches, in
+# linear time.
+EMAIL_UNGUARDED = rf"(?:\G|(?<![{WORD}.+-]))[{WORD}.+-]++@[{WORD}.-]+\.[A-Za-z]{{2,}}"
+UNC_PATH = r"\\\\[A-Za-z0-9._-]+\\[^\x00-\x1f\s]+"
+URL = r"""(?i)https?://[^\x00-\x20<>"']{3,}"""
 WINDOWS_PATH = (
-    r"""[A-Za-z]:\\(?:[^\x00-\x1f<>:"/\\|?*]+\\){1,20}[^\x00-\x1f<>:"/\\|?*]{0,255}"""
+    r"""[A-Za-z]:\\(?:[^\x00-\x1f<>:"/\\|?*]++\\)++[^\x00-\x1f<>:"/\\|?*]*"""
 )
-USER_IN_PATH = r"(?i)\\Users\\([^\\]{1,128})\\"
+USER_IN_PATH = r"(?i)\\Users\\([^\\]+)\\"
 USER_IN_PROFILE_PATH = r"(?i)\\(?:Users|Documents and Settings)\\([^\\]+)\\"
-XMP_STRING = r"(?i)<(?:dc|xmp|pdf|photoshop):([A-Za-z][A-Za-z0-9_-]{0,63})[^>]*>([^<]{1,4096})<"
-INDICATOR_URL = r"""(?i)(?:https?|ftp|ldap)://[^\x00-\x20<>"']{3,2048}"""
-INDICATOR_PATH = r"""(?:[A-Za-z]:\\|\\\\)[^\x00-\x1f<>:"|?*]{2,1024}"""
-INDICATOR_PRINTER = r"(?i)(?:winspool|printer|printto)[\x00:= ]{0,4}[^\x00\r\n]{3,256}"
+XMP_STRING = r"(?i)<(?:dc|xmp|pdf|photoshop):([A-Za-z][A-Za-z0-9_-]*)[^>]*>([^<]+)<"
+INDICATOR_URL = r"""(?i)(?:https?|ftp|ldap)://[^\x00-\x20<>"']{3,}"""
+INDICATOR_PATH = r"""(?:[A-Za-z]:\\|\\\\)[^\x00-\x1f<>:"|?*]{2,}"""
+INDICATOR_PRINTER = r"(?i)(?:winspool|printer|printto)[\x00:= ]{0,4}[^\x00\r\n]{3,}"
 INDICATOR_APPLICATION = (
     r"(?i)(?:Adobe|Acrobat|InDesign|LibreOffice|OpenOffice|Microsoft (?:Word|Excel|PowerPoint)"
-    r"|Corel WordPerfect)[^\x00\r\n]{0,128}"
+    r"|Corel WordPerfect)[^\x00\r\n]*"
 )
 LOOSE_XMP_ELEMENT = r"(?i)<(?:dc|xmp|xap|pdf|photoshop):([A-Za-z][A-Za-z0-9_-]*)[^>]*>([^<]+)<"
 LOOSE_XMP_ATTRIBUTE = (
@@ -221,30 +223,6 @@ LOOSE_XMP_ATTRIBUTE = (
 )
 DIAGNOSTIC_URL = r"""(?i)https?://[^\s<>"']+"""
 
-# Limits that are part of the results.
-MATCHES_PER_PATTERN = 500
-XMP_MATCHES = 1_000
-LOOSE_XMP_MATCHES = 10_000
-XMP_PACKETS = 64
-XMP_VALUE_CHARS = 16_384
-RISK_URLS = 1_000
-RISK_SAMPLE_BYTES = 64 * 1024 * 1024
-RISK_TEXT_BYTES = 8 * 1024 * 1024
-EMBEDDED_IMAGES = 32
-EMBEDDED_IMAGE_BYTES = 32 * 1024 * 1024
-CONTAINER_ENTRIES = 10_000
-CONTAINER_BYTES = 500 * 1024 * 1024
-ENTRY_XML_BYTES = 8 * 1024 * 1024
-ARTIFACT_BYTES = 100 * 1024 * 1024
-TEXT_BYTES = 16 * 1024 * 1024
-BINARY_BYTES = 32 * 1024 * 1024
-PDF_BYTES = 64 * 1024 * 1024
-EXPANDED_ADDRESSES = 65_536
-PAGE_LIMIT = 10_000
-DIAGNOSTIC_CHARS = 2_048
-HOST_SERVICES = 512
-BANNER_CHARS = 4_096
-
 # Named character references decoded in link text and attribute values ("amp" is decoded last).
 HTML_ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "\xa9", "reg": "\xae",

@@ -9,7 +9,7 @@ from casegraph import fixed_values as fv
 
 
 def classify_outcome(status: Column, body: Column) -> Column:
-    preview = F.lower(F.substring(body, 1, fv.OUTCOME_PREVIEW_BYTES))
+    preview = F.lower(body)
     challenge = F.lit(False)
     for marker in fv.CHALLENGE_MARKERS:
         challenge = challenge | F.contains(preview, F.lit(marker))
@@ -25,7 +25,7 @@ def classify_outcome(status: Column, body: Column) -> Column:
 
 
 def detect_technology(server: Column, powered_by: Column, body: Column) -> Column:
-    preview = F.lower(F.substring(body, 1, fv.TECHNOLOGY_PREVIEW_BYTES))
+    preview = F.lower(body)
     marked = F
     for marker, name in fv.TECHNOLOGY_MARKERS:
         marked = marked.when(F.contains(preview, F.lit(marker)), F.lit(name))

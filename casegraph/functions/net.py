@@ -151,6 +151,36 @@ def _in_fixed_prefixes(hex_digits: Column, prefixes: list[str]) -> Column:
     return out
 
 
+def last_hex(hex_digits: Column, prefix: Column) -> Column:
+    """Hex digits with every bit after `prefix` set."""
+
+    def fill(h: Column) -> Column:
+        whole = F.floor(prefix / 4).cast("int")
+        bits = prefix - whole * 4
+        nibble = F.conv(F.substr(h, whole + 1, F.lit(1)), 16, 10).cast("int")
+        ones = F.when(bits == 1, 7).when(bits == 2, 3).when(bits == 3, 1).otherwise(15)
+        partial = F.when(whole < F.length(h), F.lower(F.hex(nibble.bitwiseOR(ones)))).otherwise(F.lit(""))
+        return F.rpad(F.concat(F.substr(h, F.lit(1), whole), partial), F.length(h), F.lit("f"))
+
+    return let(hex_digits, fill)
+
+
+def overlaps_non_public(low: Column, high: Column) -> Column:
+    """Whether an interval of addresses (hex digits of one width) meets a non-public prefix."""
+
+    def meets(prefixes: list[str], lead: str = "") -> Column:
+        out = F.lit(False)
+        for prefix in prefixes:
+            block = ipaddress.ip_network(prefix)
+            width = block.max_prefixlen // 4
+            first, last = (lead + format(int(a), f"0{width}x") for a in (block.network_address, block.broadcast_address))
+            out = out | ((low <= last) & (high >= first))
+        return out
+
+    return F.when(F.length(low) == 8, meets(fv.NON_PUBLIC_V4)).otherwise(
+        meets(fv.NON_PUBLIC_V6) | meets(fv.NON_PUBLIC_V4, "0" * 20 + "ffff"))
+
+
 def non_public_address(address: Column) -> Column:
     """TRUE for loopback, private, link-local, documentation, multicast, reserved; NULL if not an address."""
     def judge(h: Column) -> Column:

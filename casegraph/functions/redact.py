@@ -20,8 +20,8 @@ def is_sensitive(category: Column) -> Column:
     return F.lower(category).isin(fv.SENSITIVE_CATEGORIES)
 
 
-def sanitize_diagnostic(message: Column) -> Column:
-    """Strip credentials, query and fragment of every URL in a message and bound its length."""
+def sanitize_diagnostic(message: Column, limit: int | None = None) -> Column:
+    """Strip credentials, query and fragment of every URL in a message; a `limit` bounds its length."""
     urls = F.array_sort(
         F.array_distinct(F.regexp_extract_all(message, F.lit(fv.DIAGNOSTIC_URL), F.lit(0))),
         lambda a, b: F.length(b) - F.length(a),
@@ -35,9 +35,9 @@ def sanitize_diagnostic(message: Column) -> Column:
         F.contains(F.lower(message), F.lit("://")),
         F.aggregate(urls, message, lambda acc, url: F.replace(acc, url, clean(url))),
     ).otherwise(message)
-    return F.when(F.char_length(text) <= fv.DIAGNOSTIC_CHARS, text).otherwise(
-        F.concat(F.left(text, F.lit(fv.DIAGNOSTIC_CHARS)), F.lit(" [truncated]"))
-    )
+    if limit is None:
+        return text
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit)), F.lit(" [truncated]")))
 
 
 def csv_safe(value: Column) -> Column:

@@ -35,7 +35,10 @@ def magic_kind(artifacts: DataFrame) -> DataFrame:
     ext = extension_of(F.col("original_path"))
     by_ext_kind = literal_map({k: v[0] for k, v in fv.FALLBACK_EXTENSIONS.items()})[ext]
     by_ext_mime = literal_map({k: v[1] for k, v in fv.FALLBACK_EXTENSIONS.items()})[ext]
-    text = ~sample.rlike(r"\x00") & (
+    marked = F.lit(False)
+    for mark in fv.BYTE_ORDER_MARKS:
+        marked = marked | F.startswith(lead, F.lit(mark))
+    text = marked | ~sample.rlike(r"\x00") & (
         F.regexp_count(sample, F.lit(r"[\x01-\x08\x0e-\x1f]")) <= F.floor(F.length(head) / 20)
     )
     # one narrow pass: only the bytes of ZIP-like rows travel to Python
@@ -70,8 +73,7 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
     """(artifact_id, original_path, size, sha256, kind, content) -> (artifact_id, kind, value, severity) rows.
 
     Row-level rules are built in one pass and exploded; only containers are opened."""
-    sample = F.substring("content", 1, fv.RISK_SAMPLE_BYTES)
-    text = F.decode(F.substring("content", 1, fv.RISK_TEXT_BYTES), "ISO-8859-1")
+    text = F.decode("content", "ISO-8859-1")
     row = lambda kind, value, severity: F.struct(
         F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(severity).alias("severity")
     )
@@ -80,10 +82,6 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
         F.array(
             row("sha256", F.col("sha256"), "informational"),
             row("entropy", F.format_string("%.4f", F.col("__entropy")), "informational"),
-            F.when(F.col("size") > fv.RISK_SAMPLE_BYTES, row(
-                "analysis_truncated",
-                F.format_string("Static sample limited to %d of %d bytes", F.lit(fv.RISK_SAMPLE_BYTES), F.col("size")),
-                "low")),
             F.when(expected != F.col("kind"), row(
                 "mime_mismatch",
                 F.concat(F.lit("Extension suggests "), expected, F.lit(", magic bytes identify "), F.col("kind")),
@@ -95,19 +93,19 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
         F.when(
             F.contains(F.lower(text), F.lit("://")),
             F.transform(
-                F.slice(F.regexp_extract_all(text, F.lit(fv.URL), F.lit(0)), 1, fv.RISK_URLS),
+                F.regexp_extract_all(text, F.lit(fv.URL), F.lit(0)),
                 lambda u: row("url", u, "informational"),
             ),
         ).otherwise(F.array().cast("array<struct<kind:string,value:string,severity:string>>")),
     )
-    base = explode_rows(artifacts.withColumn("__entropy", byte_entropy(sample)), rules, "r", "artifact_id").select(
+    base = explode_rows(artifacts.withColumn("__entropy", byte_entropy("content")), rules, "r", "artifact_id").select(
         "artifact_id", "r.*")
     return base.unionByName(container_risk(artifacts))
 
 
 def container_risk(artifacts: DataFrame) -> DataFrame:
     containers = artifacts.filter(F.col("kind").isin("open_xml", "open_document", "zip"))
-    entries = container_entries(containers).filter(F.col("entry_no") < fv.CONTAINER_ENTRIES)
+    entries = container_entries(containers)
     low = F.lower("name")
     flag = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
     flags = F.when(
@@ -135,11 +133,10 @@ IMAGE_SPAN = (
 
 
 def embedded_images(artifacts: DataFrame, extractor: str = "builtin.indesign", location: str = "indesign") -> DataFrame:
-    """Complete JPEG and PNG spans inside a content, as `format:length`, first 32."""
+    """Complete JPEG and PNG spans inside a content, as `format:length`."""
     found = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(IMAGE_SPAN), F.lit(0))
     spans = explode_rows(
-        artifacts, F.slice(found, 1, fv.EMBEDDED_IMAGES), "span", "artifact_id", position="image_no"
-    ).filter(F.char_length("span") <= fv.EMBEDDED_IMAGE_BYTES)
+        artifacts, found, "span", "artifact_id", position="image_no")
     rows = spans.select(
         "artifact_id", F.lit("embedded_image").alias("category"),
         F.concat(
@@ -204,7 +201,7 @@ def _pdf_tokens(text: Column, number: int, key: str, category: str, location: st
     found = F.regexp_extract_all(text, F.lit(f"/{key}{guard}{_PDF_GAP}{_PDF_STRING}"), F.lit(1))
     numbered = lambda i: F.concat(F.lit(location + ":"), i.cast("string"))
     place = (lambda i: F.when(i == 0, F.lit(location)).otherwise(numbered(i))) if guard else numbered
-    return F.transform(F.slice(found, 1, fv.PDF_TOKENS_PER_KEY), lambda v, i: F.struct(
+    return F.transform(found, lambda v, i: F.struct(
         F.lit(number).alias("key_no"), i.alias("occurrence"), v.alias("token"), F.lit(category).alias("category"),
         place(i).alias("location"), F.lit(confidence).alias("confidence")))
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph import fixed_values as fv
 from casegraph import schemas
 from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.text import classify_reference, map_office_element, safe_entry_path, slug_property
@@ -33,24 +32,23 @@ def _suspicious(size: int, packed: int) -> bool:
     return (size > 0 and packed == 0) or (size > 1024 * 1024 and size // max(1, packed) > 1_000)
 
 
-def _directory(content) -> list[tuple]:
-    """Central directory of one container; small metadata entries carry their XML text."""
+def _directory(content, max_entries: int | None = None, max_bytes: int | None = None) -> list[tuple]:
+    """Central directory of one container; metadata entries carry their XML bytes, whose declared encoding the parser obeys."""
     try:
         with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
             rows, total = [], 0
-            for number, entry in enumerate(archive.infolist()[: fv.CONTAINER_ENTRIES + 1]):
+            for number, entry in enumerate(archive.infolist()):
                 total += entry.file_size
                 xml = None
                 readable = (
-                    number < fv.CONTAINER_ENTRIES and total <= fv.CONTAINER_BYTES
-                    and entry.file_size <= fv.ENTRY_XML_BYTES
+                    (max_entries is None or number < max_entries) and (max_bytes is None or total <= max_bytes)
                     and not _suspicious(entry.file_size, entry.compress_size)
                 )
                 if readable and _metadata_name(entry.filename):
                     try:
-                        xml = archive.read(entry).decode("utf-8-sig", errors="replace")
-                    except Exception:  # a broken member is reported through its empty text
-                        xml = ""
+                        xml = archive.read(entry)
+                    except Exception:  # a broken member is reported as invalid XML
+                        xml = b""
                 rows.append((number, entry.orig_filename, entry.file_size, entry.compress_size, xml))
             return rows
     except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError) as problem:
@@ -60,21 +58,24 @@ def _directory(content) -> list[tuple]:
 _FIELDS = schemas.CONTAINER_ENTRIES.elementType.fieldNames()
 
 
-@F.pandas_udf(schemas.CONTAINER_ENTRIES)
-def _directories(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in _directory(c)])
+def _directories(content: Column, max_entries: int | None, max_bytes: int | None) -> Column:
+    @F.pandas_udf(schemas.CONTAINER_ENTRIES)
+    def listed(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in _directory(c, max_entries, max_bytes)])
+
+    return listed(content)
 
 
 @F.pandas_udf(T.StringType())
 def zip_kind(contents: pd.Series) -> pd.Series:
-    """Kind of a ZIP-like content by its first 2000 member names; unreadable containers are `unknown`."""
+    """Kind of a ZIP-like content by its member names; unreadable containers are `unknown`."""
 
     def one(content):
         if content is None:
             return None
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                names = {name.lower() for name in archive.namelist()[:2000]}
+                names = {name.lower() for name in archive.namelist()}
         except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
             return "unknown"
         if "[content_types].xml" in names:
@@ -84,13 +85,13 @@ def zip_kind(contents: pd.Series) -> pd.Series:
     return contents.map(one)
 
 
-def container_entries(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, content) -> directory rows with running size and safety flags."""
-    rows = explode_rows(artifacts, _directories("content"), "e", "artifact_id").select("artifact_id", "e.*")
-    budgeted = cumulative_budget(rows, ["artifact_id"], ["entry_no"], "size", fv.CONTAINER_BYTES)
+def container_entries(artifacts: DataFrame, max_entries: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(artifact_id, content) -> directory rows with running size and safety flags; limits hold when given."""
+    rows = explode_rows(artifacts, _directories(F.col("content"), max_entries, max_bytes), "e", "artifact_id").select("artifact_id", "e.*")
+    budgeted = cumulative_budget(rows, ["artifact_id"], ["entry_no"], "size", max_bytes if max_bytes is not None else 2 ** 63 - 1)
     size, packed = F.col("size"), F.col("compressed_size")
     return (
-        budgeted.withColumn("within_entries", F.col("entry_no") < fv.CONTAINER_ENTRIES)
+        budgeted.withColumn("within_entries", F.lit(True) if max_entries is None else F.col("entry_no") < max_entries)
         .withColumn("safe_path", safe_entry_path(F.col("name")))
         .withColumn("is_metadata", metadata_entry(F.col("name")))
         .withColumn(
@@ -128,14 +129,21 @@ def container_diagnostics(entries: DataFrame) -> DataFrame:
         .unionByName(diagnostics(
             within.filter("safe_path AND is_metadata AND suspicious_ratio"), "zip.compression_ratio",
             F.concat(F.lit("Suspicious compression ratio rejected: "), F.col("name")), True))
+        .unionByName(diagnostics(
+            xml_nodes(_parts(entries)).filter(F.col("name") == ERROR), "xml.invalid",
+            F.concat_ws(": ", "entry", "value"), False))
     )
 
 
-def office_properties(entries: DataFrame) -> DataFrame:
-    """Container rows -> observations of core, app, custom, ODF meta and relationship parts."""
-    parts = entries.filter(
+def _parts(entries: DataFrame) -> DataFrame:
+    return entries.filter(
         "within_entries AND within_budget AND safe_path AND is_metadata AND NOT suspicious_ratio AND xml IS NOT NULL"
     ).select("artifact_id", "entry_no", F.col("name").alias("entry"), "xml")
+
+
+def office_properties(entries: DataFrame) -> DataFrame:
+    """Container rows -> observations of core, app, custom, ODF meta and relationship parts."""
+    parts = _parts(entries)
     n, v, attribute = F.col("name"), F.col("value"), F.col("attribute")
     in_custom = F.lower("entry") == "docprops/custom.xml"
     leaf, target = attribute.isNull(), (n == "Relationship") & (attribute == "Target")

@@ -22,23 +22,37 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
         "source_url", F.col("a.position").alias("position"), "url", F.col("a.text").alias("text"))
 
 
-def expand_cidr(prefixes: DataFrame, cidr: str = "cidr", budget: int = fv.EXPANDED_ADDRESSES) -> DataFrame:
-    """(cidr, address): addresses from the masked network upward, at most `budget` per prefix."""
-    budget = max(1, min(budget, fv.EXPANDED_ADDRESSES))
+def expand_cidr(prefixes: DataFrame, cidr: str = "cidr", budget: int | None = None) -> DataFrame:
+    """(cidr, address): addresses from the masked network upward, all or at most `budget` per prefix.
+
+    Only the last 32 bits are counted up: a v6 prefix shorter than /96 lists its first 2^32 addresses."""
     parsed = with_bound(
         prefixes.select(F.col(cidr).alias("cidr")), hex=net.cidr_network(F.col("cidr")), prefix=net.cidr_prefix(F.col("cidr")))
     masked = with_bound(parsed, net=net.masked_hex(F.col("hex"), F.col("prefix"))).filter(F.col("net").isNotNull())
-    host_bits = F.least(F.length("net") * 4 - F.col("prefix"), F.lit(17))  # 2^17 exceeds every budget
-    last = F.least(F.pow(F.lit(2), host_bits).cast("long"), F.lit(budget).cast("long")) - 1
-    rows = masked.select("cidr", "net", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    host_bits = F.least(F.length("net") * 4 - F.col("prefix"), F.lit(32))
+    last = F.pow(F.lit(2), host_bits).cast("long") - 1
+    if budget is not None:
+        last = F.least(last, F.lit(max(1, budget) - 1).cast("long"))
+    # in runs of 2^16, so that no array grows with the range
+    runs = masked.select("cidr", "net", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / 65536))).alias("run"))
+    low, high = F.col("run") * 65536, F.least(F.col("last"), F.col("run") * 65536 + 65535)
+    rows = runs.select("cidr", "net", F.explode(F.sequence(low, high)).alias("i"))
     v4 = F.length("net") == 8
     base4 = F.conv("net", 16, 10).cast("long")
-    # the budget is below 2^16 + 1, so a v6 address only changes its last 32 bits plus no carry: low bits are zero
+    # a v6 address only changes its last 32 bits, and without a carry: its host bits start at zero
     low6 = F.conv(F.substring("net", 25, 8), 16, 10).cast("long")
     address6 = net.v6_text(F.concat(F.substring("net", 1, 24), F.lower(F.lpad(F.hex(low6 + F.col("i")), 8, "0"))))
     return rows.select("cidr", F.when(v4, net.v4_text(base4 + F.col("i"))).otherwise(address6).alias("address"))
 
 
+def non_public_ranges(prefixes: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """Prefixes that hold any non-public address, by their first and last address: nothing is expanded."""
+    parsed = with_bound(
+        prefixes.select(F.col(cidr).alias("cidr")), hex=net.cidr_network(F.col("cidr")), prefix=net.cidr_prefix(F.col("cidr")))
+    edges = with_bound(parsed, low=net.masked_hex(F.col("hex"), F.col("prefix")), high=net.last_hex(F.col("hex"), F.col("prefix")))
+    return edges.filter(net.overlaps_non_public(F.col("low"), F.col("high"))).select("cidr").distinct()
+
+
 def refused_ranges(expanded: DataFrame, allowed: DataFrame) -> DataFrame:
     """Prefixes with any address that is not allowed: the whole range is refused."""
     return expanded.join(allowed.select("address"), "address", "left_anti").select("cidr").distinct()
@@ -70,8 +84,8 @@ def backup_candidates(resources: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def union_candidates(resources: DataFrame, roots: DataFrame, limit: int, order: str, url: str = "url") -> DataFrame:
-    """Generated candidates, then the fixed root files, distinct, first `limit` in that order."""
+def union_candidates(resources: DataFrame, roots: DataFrame, limit: int | None, order: str, url: str = "url") -> DataFrame:
+    """Generated candidates, then the fixed root files, distinct; with a `limit` the first in that order."""
     generated = backup_candidates(resources, url).join(
         resources.select(F.col(url).alias("url"), F.col(order).alias("__o")), "url"
     ).select("candidate", F.lit(0).alias("part"), F.col("__o").cast("long").alias("o"), "suffix_no")
@@ -82,7 +96,7 @@ def union_candidates(resources: DataFrame, roots: DataFrame, limit: int, order:
     ).select("candidate", "part", "o", "suffix_no")
     keys = ["part", "o", "suffix_no"]
     distinct = first_wins(generated.unionByName(fixed), ["candidate"], keys)
-    return distinct.orderBy(*keys, "candidate").limit(limit).select("candidate")
+    return (distinct if limit is None else distinct.orderBy(*keys, "candidate").limit(limit)).select("candidate")
 
 
 def exposed_backups(candidates: DataFrame, responses: DataFrame) -> DataFrame:
@@ -181,21 +195,19 @@ def host_intel_flatten(responses: DataFrame, body: str = "body") -> tuple[DataFr
     """(requested_ip, body) -> host rows and service rows of saved host documents."""
     doc = responses.select("requested_ip", F.from_json(body, schemas.HOST_DOCUMENT).alias("d")).filter(
         F.col("d").isNotNull())
-    bounded = {"ports": 2048, "hostnames": 256, "domains": 256, "tags": 256, "cpe": 512}
+    lists = ["ports", "hostnames", "domains", "tags", "cpe"]
     plain = ["ip_str", "org", "isp", "asn", "os", "last_update", "country_code", "country_name", "city", "region_code",
              "latitude", "longitude"]
     hosts = doc.select(
         "requested_ip", *[F.col(f"d.{c}").alias(c) for c in plain],
-        *[F.slice(f"d.{c}", 1, n).alias(c) for c, n in bounded.items()],
-        F.size("d.data").alias("service_count"), (F.size("d.data") > fv.HOST_SERVICES).alias("services_truncated"),
+        *[F.col(f"d.{c}").alias(c) for c in lists], F.size("d.data").alias("service_count"),
     )
     services = explode_rows(
-        doc, F.slice("d.data", 1, fv.HOST_SERVICES), "s", "requested_ip", position="service_no"
+        doc, F.col("d.data"), "s", "requested_ip", position="service_no"
     ).select(
         "requested_ip", "service_no", F.col("s.port").alias("port"), F.col("s.transport").alias("transport"),
         F.col("s.product").alias("product"), F.col("s.version").alias("version"),
-        F.slice("s.hostnames", 1, 64).alias("hostnames"), F.slice("s.cpe", 1, 128).alias("cpe"),
-        F.left(F.col("s.data"), F.lit(fv.BANNER_CHARS)).alias("banner"),
+        F.col("s.hostnames").alias("hostnames"), F.col("s.cpe").alias("cpe"), F.col("s.data").alias("banner"),
     )
     return hosts, services
 

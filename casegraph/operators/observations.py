@@ -57,7 +57,7 @@ def cumulative_budget(
     df: DataFrame, group: list[str], order: list[str], size: str, budget: int, within_budget: str = "within_budget"
 ) -> DataFrame:
     """Running total per group and whether it still fits. Groups are single containers, whose entry count
-    is bounded by the container format reader (`fixed_values.CONTAINER_ENTRIES`)."""
+    is bounded by what one file holds."""
     window = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.withColumn("running_size", F.sum(size).over(window)).withColumn(
         within_budget, F.col("running_size") <= budget

@@ -72,13 +72,13 @@ def timeline(runs: DataFrame, artifacts: DataFrame, observations: DataFrame, red
 def findings_min_severity(findings: DataFrame, minimum: str, offset: int = 0, limit: int = 100) -> DataFrame:
     rank = rank_of(F.col("severity"), fv.SEVERITIES)
     chosen = findings.filter(rank >= fv.SEVERITIES[minimum])
-    return chosen.orderBy(rank.desc(), "rule_id", "id").offset(offset).limit(min(limit, fv.PAGE_LIMIT))
+    return chosen.orderBy(rank.desc(), "rule_id", "id").offset(offset).limit(limit)
 
 
 def entities_page(entities: DataFrame, entity_type: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
     chosen = entities if entity_type is None else entities.filter(F.col("type") == entity_type.strip().lower())
     return (
-        chosen.orderBy("type", "normalized_value", "id").offset(max(offset, 0)).limit(min(max(limit, 1), fv.PAGE_LIMIT))
+        chosen.orderBy("type", "normalized_value", "id").offset(max(offset, 0)).limit(max(limit, 1))
     )
 
 

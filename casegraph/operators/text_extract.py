@@ -69,9 +69,20 @@ def text_emails(texts: DataFrame, ascii_only: bool = False) -> DataFrame:
     )
 
 
+def _decoded(content: bytes | None, encoding: str) -> str | None:
+    """Broken units become the replacement character."""
+    return None if content is None else bytes(content).decode(encoding, errors="replace")
+
+
 @F.pandas_udf(T.StringType())
 def _utf16_text(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda b: None if b is None else bytes(b).decode("utf-16-le", errors="replace"))
+    return contents.map(lambda b: _decoded(b, "utf-16-le"))
+
+
+@F.pandas_udf(T.StringType())
+def wide_text(contents: pd.Series) -> pd.Series:
+    """Text of UTF-16 or UTF-32 bytes, told apart by their byte order mark, which goes."""
+    return contents.map(lambda b: _decoded(b, "utf-32" if b is not None and bytes(b[:4]) in (b"\xff\xfe\x00\x00", b"\x00\x00\xfe\xff") else "utf-16"))
 
 
 def decoded_texts(artifacts: DataFrame) -> DataFrame:
@@ -82,27 +93,23 @@ def decoded_texts(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _hits(text: Column, pattern_no: int, pattern: str, limit: int = fv.MATCHES_PER_PATTERN) -> Column:
-    """array<struct<pattern_no, match_no, value>>: the first `limit` matches of one pattern."""
+def _hits(text: Column, pattern_no: int, pattern: str, limit: int | None = None) -> Column:
+    """array<struct<pattern_no, match_no, value>>: the matches of one pattern, or the first `limit`."""
     return F.transform(
         match_array(text, pattern, 0, limit),
         lambda v, i: F.struct(F.lit(pattern_no).alias("pattern_no"), i.alias("match_no"), v.alias("value")),
     )
 
 
-def _scan(texts: DataFrame, patterns: list[tuple[str, int]]) -> DataFrame:
-    """All pattern hits of all texts as rows; one pass per text, capped before the explode."""
-    hits = F.flatten(F.array(*[_hits(F.col("text"), no, p, cap) for no, (p, cap) in enumerate(patterns)]))
+def _scan(texts: DataFrame, patterns: list[str], limit: int | None = None) -> DataFrame:
+    """All pattern hits of all texts as rows; a `limit` holds per text and pattern, before the explode."""
+    hits = F.flatten(F.array(*[_hits(F.col("text"), no, p, limit) for no, p in enumerate(patterns)]))
     return explode_rows(texts, hits, "h", "artifact_id", "pass_no").select("artifact_id", "pass_no", "h.*")
 
 
-def binary_strings(artifacts: DataFrame) -> DataFrame:
+def binary_strings(artifacts: DataFrame, limit: int | None = None) -> DataFrame:
     """E-mails, UNC paths and their hosts, URLs, Windows paths and their users, XMP properties."""
-    cap = fv.MATCHES_PER_PATTERN
-    hits = _scan(
-        decoded_texts(artifacts),
-        [(fv.EMAIL, cap), (fv.UNC_PATH, cap), (fv.URL, cap), (fv.WINDOWS_PATH, cap), (fv.XMP_STRING, fv.XMP_MATCHES)],
-    )
+    hits = _scan(decoded_texts(artifacts), [fv.EMAIL, fv.UNC_PATH, fv.URL, fv.WINDOWS_PATH, fv.XMP_STRING], limit)
     v = F.col("value")
     field = lambda category, value, location, confidence: F.struct(
         F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"),
@@ -139,10 +146,11 @@ INDICATORS = [
 
 
 def legacy_indicators(
-    artifacts: DataFrame, extractor: str = "builtin.legacy", location: str = "legacy/binary"
+    artifacts: DataFrame, extractor: str = "builtin.legacy", location: str = "legacy/binary",
+    limit: int | None = None,
 ) -> DataFrame:
     """Indicator phrases in both readings; first wins per (category, normalized value, location)."""
-    hits = _scan(decoded_texts(artifacts), [(p, fv.MATCHES_PER_PATTERN) for p, _, _ in INDICATORS])
+    hits = _scan(decoded_texts(artifacts), [p for p, _, _ in INDICATORS], limit)
     categories = F.array(*[F.lit(c) for _, c, _ in INDICATORS])
     confidences = F.array(*[F.lit(c) for _, _, c in INDICATORS])
     rows = hits.select(
@@ -162,7 +170,7 @@ def loose_xmp(texts: DataFrame, extractor: str = "builtin.pdf", location: str =
     passes = [(fv.LOOSE_XMP_ELEMENT, "element"), (fv.LOOSE_XMP_ATTRIBUTE, "attribute")]
     hits = _scan(
         texts.select("artifact_id", F.lit(0).alias("pass_no"), "text"),
-        [(pattern, fv.LOOSE_XMP_MATCHES) for pattern, _ in passes],
+        [pattern for pattern, _ in passes],
     )
     pick = lambda group: F.when(
         F.col("pattern_no") == 0, F.regexp_extract("value", fv.LOOSE_XMP_ELEMENT, group)
@@ -170,7 +178,7 @@ def loose_xmp(texts: DataFrame, extractor: str = "builtin.pdf", location: str =
     prop = F.col("property")
     rows = (
         with_bound(hits, property=pick(1), text=trim_ws(html_decode(pick(2))))
-        .filter(F.char_length("text").between(1, fv.XMP_VALUE_CHARS))
+        .filter(F.char_length("text") > 0)
         .select(
             "artifact_id", "pattern_no", "match_no", F.col("text").alias("value"),
             F.concat(

@@ -17,8 +17,6 @@ from casegraph.operators.observations import observation_rows
 
 ERROR = "#error"
 COMMENT = "#comment"
-MAX_DEPTH = 64
-MAX_ELEMENTS = 20_000
 
 
 class _BadXml(Exception):
@@ -48,8 +46,6 @@ def _flatten(xml: str) -> list[tuple]:
     def start(tag, attributes):
         nonlocal seq
         seq += 1
-        if len(stack) > MAX_DEPTH or seq > MAX_ELEMENTS:
-            raise _BadXml("depth budget" if len(stack) > MAX_DEPTH else "element budget")
         name = local(tag)
         parent = owner(name)
         if stack:
@@ -76,7 +72,8 @@ def _flatten(xml: str) -> list[tuple]:
     def doctype(*_):
         raise _BadXml("document type declarations are refused")
 
-    parser = expat.ParserCreate()
+    # decoded text is handed over as UTF-8, whatever its declaration says; bytes follow their own declaration
+    parser = expat.ParserCreate("utf-8" if isinstance(xml, str) else None)
     parser.buffer_text = True
     parser.ordered_attributes = False
     parser.StartElementHandler, parser.EndElementHandler = start, end
@@ -144,12 +141,12 @@ PACKET = r"(?is)<x:xmpmeta.*?</x:xmpmeta>|<rdf:RDF.*?</rdf:RDF>"
 
 
 def _packets(texts: DataFrame) -> DataFrame:
-    found = F.slice(F.regexp_extract_all("text", F.lit(PACKET), F.lit(0)), 1, fv.XMP_PACKETS)
+    found = F.regexp_extract_all("text", F.lit(PACKET), F.lit(0))
     return explode_rows(texts, found, "xml", "artifact_id", position="packet")
 
 
 def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str = "pdf/raw") -> DataFrame:
-    """(artifact_id, text) -> observations of the complete XMP packets, first 64 per text."""
+    """(artifact_id, text) -> observations of the complete XMP packets."""
     packets = _packets(texts)
     a = F.col("attribute")
     is_item = F.lower("name") == "li"
@@ -160,7 +157,7 @@ def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str
         xml_nodes(packets)
         .filter(~F.col("name").isin(ERROR, COMMENT) & not_blank(F.col("value")))
         .transform(lambda n: with_bound(n.withColumnRenamed("value", "__raw"), value=trim_ws(html_decode(F.col("__raw")))))
-        .filter(F.char_length("value").between(1, fv.XMP_VALUE_CHARS))
+        .filter(F.char_length("value") > 0)
         .withColumn("property", prop)
         .withColumn("category", map_xmp_property(F.col("property")))
         .withColumn("is_leaf", a.isNull())

@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegraph import fixed_values as fv
 from casegraph.operators import artifacts as art
 from casegraph.operators import containers, text_extract, xml_extract
-from casegraph.operators.observations import COLUMNS, diagnostics, size_budget
+from casegraph.operators.observations import COLUMNS, diagnostics
 
 Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def _text_of(df: DataFrame) -> DataFrame:
-    """UTF-8 text; broken sequences become the replacement character, as a text reader would show them."""
-    return df.select("artifact_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    """Text as a text reader shows it: a byte order mark decides the encoding and is dropped, else UTF-8; broken
+    sequences become the replacement character."""
+    lead, content = F.hex(F.substring("content", 1, 4)), F.col("content")
+    wide = F.startswith(lead, F.lit("FFFE")) | F.startswith(lead, F.lit("FEFF")) | (lead == "0000FEFF")
+    body = F.when(F.startswith(lead, F.lit("EFBBBF")), F.substring(content, 4, F.length(content))).otherwise(content)
+    # only wide texts travel to Python
+    text = F.when(wide, text_extract.wide_text(F.when(wide, content))).otherwise(F.make_valid_utf8(body.cast("string")))
+    return df.select("artifact_id", text.alias("text"))
 
 
 def extract_containers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,14 +37,13 @@ def extract_svg(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_pdf(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fits, rejected = size_budget(df, fv.PDF_BYTES, "pdf.size_budget", "PDF exceeds the bounded parser window.")
-    text = _text_of(fits)
+    text = _text_of(df)
     rows = (
-        art.pdf_info(fits)
+        art.pdf_info(df)
         .unionByName(xml_extract.xmp_packets(text)).unionByName(text_extract.loose_xmp(text))
-        .unionByName(text_extract.legacy_indicators(fits, "builtin.pdf", "pdf/raw"))
+        .unionByName(text_extract.legacy_indicators(df, "builtin.pdf", "pdf/raw"))
     )
-    return rows, rejected.unionByName(xml_extract.xmp_diagnostics(text))
+    return rows, xml_extract.xmp_diagnostics(text)
 
 
 def extract_indesign(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +57,8 @@ def extract_indesign(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_text(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fits, rejected = size_budget(df, fv.TEXT_BYTES, "text.size_budget", "Text file exceeds parser budget.")
-    text = _text_of(fits)
-    return text_extract.text_key_values(text).unionByName(text_extract.text_emails(text)), rejected
+    text = _text_of(df)
+    return text_extract.text_key_values(text).unionByName(text_extract.text_emails(text)), _none(df)
 
 
 def extract_word_perfect(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +66,7 @@ def extract_word_perfect(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_strings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fits, rejected = size_budget(df, fv.BINARY_BYTES, "binary.size_budget", "Binary exceeds fallback parser budget.")
-    return text_extract.binary_strings(fits), rejected
+    return text_extract.binary_strings(df), _none(df)
 
 
 def _none(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ XML_NODES = T.ArrayType(T.StructType([
 ]))
 CONTAINER_ENTRIES = T.ArrayType(T.StructType([
     T.StructField("entry_no", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("size", T.LongType()),
-    T.StructField("compressed_size", T.LongType()), T.StructField("xml", T.StringType()),
+    T.StructField("compressed_size", T.LongType()), T.StructField("xml", T.BinaryType()),
 ]))
 HAR = "log STRUCT<entries: ARRAY<STRUCT<request: STRUCT<url: STRING>>>>"
 SEARCH_JSON = "results ARRAY<STRUCT<url: STRING, title: STRING, content: STRING>>"

@@ -17,20 +17,21 @@ from casegraph.operators.observations import diagnostics
 
 def scan_artifacts(
     spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None,
-    max_bytes: int = fv.ARTIFACT_BYTES, max_files: int | None = None,
+    max_bytes: int | None = None, max_files: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(artifacts with content, diagnostics of files over the byte budget).
+    """(artifacts with content, diagnostics of files over a byte budget, when one is given).
 
-    The budget is a filter on the listed length, so oversized files are never read."""
+    The budget is a filter on the listed length, so oversized files are never read. `max_files` keeps the first paths:
+    they are chosen from a listing without content, and only those files are read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path)
     if max_files:
-        files = files.orderBy("path").limit(max_files)
-    rejected = files.filter(F.col("length") > max_bytes).select(
-        stable_id(F.col("path")).alias("artifact_id"), F.col("path"))
-    kept = files.filter(F.col("length") <= max_bytes).select(
+        files = files.join(files.select("path").orderBy("path").limit(max_files), "path", "left_semi")
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    rejected = files.filter(~fits).select(stable_id(F.col("path")).alias("artifact_id"), F.col("path"))
+    kept = files.filter(fits).select(
         stable_id(F.col("path")).alias("artifact_id"), F.col("path").alias("original_path"),
         F.col("length").alias("size"), F.col("modificationTime").alias("acquired_at"),
         F.sha2("content", 256).alias("sha256"), "content",
@@ -117,14 +118,14 @@ def import_discovery(
 ) -> DataFrame:
     """(path, format) sources -> new resources: canonical, first source wins, known URLs dropped.
 
-    `maximum` bounds the raw values of each source before any filter."""
+    `maximum` keeps the first raw values of each source, in the order of their text, before any filter."""
     parts = []
     for number, (path, fmt) in enumerate(sources):
         if fmt not in URL_READERS:
             raise ValueError(f"unsupported discovery import format: {fmt}")
         values = URL_READERS[fmt](spark, path)
         if maximum:
-            values = values.limit(max(1, min(maximum, 1_000_000)))
+            values = values.orderBy("url", "title", "snippet").limit(max(1, maximum))
         parts.append(values.withColumns({
             "source_no": F.lit(number), "provider_id": F.lit(f"import:{fmt}"),
             "query": F.lit(path.rstrip("/").rsplit("/", 1)[-1]),
@@ -150,7 +151,7 @@ def import_url_index(spark: SparkSession, path: str, target: str, types: list[st
     kept = rows.filter(
         urls.is_http(u) & urls.below_host(urls.host(u), F.lit(target)) & urls.has_file_type(urls.path(u), types)
     ).select(urls.absolute_uri(u).alias("url"), "title", "snippet")
-    return kept.limit(maximum) if maximum else kept
+    return kept.orderBy("url", "title", "snippet").limit(maximum) if maximum else kept
 
 
 def import_crawl_index(spark: SparkSession, path: str, types: list[str]) -> DataFrame:

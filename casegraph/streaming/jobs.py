@@ -135,7 +135,7 @@ def stream_analyze(
         "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(folder).filter(F.col("length") <= fv.ARTIFACT_BYTES).select(
+    files = reader.load(folder).select(
         F.sha2("content", 256).alias("artifact_id"), F.col("path").alias("original_path"),
         F.col("length").alias("size"), F.col("modificationTime").alias("acquired_at"), "content",
     )

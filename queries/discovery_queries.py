@@ -13,7 +13,7 @@ from casegraph.operators.correlate import new_resources as new_only
 from casegraph.operators.scope import scope_filter
 from casegraph.session import scratch_path
 from casegraph.sources import readers
-from queries.predicates import ENTRIES_SQL, PUBLIC_SQL
+from queries.predicates import ENTRIES_SQL, NON_PUBLIC_SQL
 from queries.registry import query
 from queries.standins import (
     ADDRESSES_SQL, FIRST, NETWORKS_SQL, SECOND, V4_SQL, addresses, canonical_sql, endpoints, escape_sql, host_sql, networks, path_sql, table,
@@ -203,25 +203,22 @@ def new_resources(spark, d):
 
 
 @query("expand_cidr", f"""
-WITH {NETWORKS_SQL}, big AS (SELECT s_suppkey, cidr, prefix + 4 AS p, (base >> (28 - prefix)) << (28 - prefix) AS low FROM networks)
-SELECT cidr, {V4_SQL('low + i')} AS address FROM (
-  SELECT {V4_SQL('base0')} || '/' || p AS cidr, low, unnest(range(0, least(1 << (32 - p), 64))) AS i
-  FROM (SELECT s_suppkey, p, low, (s_suppkey * 2654435761) % 4294967296 AS base0 FROM big))""")
+WITH {NETWORKS_SQL}, small AS (SELECT base, 22 + prefix % 11 AS p FROM networks)
+SELECT {V4_SQL('base')} || '/' || p AS cidr, {V4_SQL('low + i')} AS address FROM (
+  SELECT base, p, (base >> (32 - p)) << (32 - p) AS low, unnest(range(0, 1 << (32 - p))) AS i FROM small)""")
 def expand_cidr(spark, d):
+    """Every address of prefixes of length 22 to 32."""
     prefixes = networks(spark, d).select(F.concat(
-        F.substring_index("cidr", "/", 1), F.lit("/"), (F.substring_index("cidr", "/", -1).cast("int") + 4).cast("string")).alias("cidr"))
-    return disc.expand_cidr(prefixes, budget=64)
+        F.substring_index("cidr", "/", 1), F.lit("/"), (F.substring_index("cidr", "/", -1).cast("int") % 11 + 22).cast("string")).alias("cidr"))
+    return disc.expand_cidr(prefixes)
 
 
 @query("refused_ranges", f"""
-WITH {NETWORKS_SQL}, big AS (SELECT {V4_SQL('base0')} || '/' || p AS cidr, low + unnest(range(0, least(1 << (32 - p), 64))) AS n
-  FROM (SELECT prefix + 4 AS p, (base >> (28 - prefix)) << (28 - prefix) AS low, base AS base0 FROM networks))
-SELECT DISTINCT cidr FROM big WHERE NOT ({PUBLIC_SQL})""")
+WITH {NETWORKS_SQL}, edges AS (SELECT cidr, (base >> (32 - prefix)) << (32 - prefix) AS low, 1::BIGINT << (32 - prefix) AS size FROM networks)
+SELECT DISTINCT cidr FROM edges, (VALUES {NON_PUBLIC_SQL}) b(first, last) WHERE low <= last AND low + size - 1 >= first""")
 def refused_ranges(spark, d):
     """Whole ranges refused because an address is out of scope (scope: everything public)."""
-    from casegraph.functions.net import non_public_address
-    expanded = expand_cidr(spark, d)
-    return disc.refused_ranges(expanded, expanded.filter(~non_public_address(F.col("address"))))
+    return disc.non_public_ranges(networks(spark, d))
 
 
 @query("candidate_names", f"""
@@ -257,10 +254,10 @@ WITH {BACKUPS_SQL}, c AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY part, o, suffix_no) AS rn FROM c)
 SELECT candidate FROM r WHERE rn = 1""")
 def union_candidates(spark, d):
-    """All candidates (the budget is set above their number)."""
+    """All candidates."""
     p = pages(spark, d)
     roots = p.select(F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.authority(F.col("url")), F.lit("/")).alias("root")).distinct()
-    return disc.union_candidates(p.select("page_id", "url"), roots, 2_000_000_000, "page_id")
+    return disc.union_candidates(p.select("page_id", "url"), roots, None, "page_id")
 
 
 @query("exposed_backups", f"""

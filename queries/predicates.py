@@ -73,6 +73,8 @@ from casegraph import fixed_values as fv  # noqa: E402
 PUBLIC_SQL = " AND ".join(
     f"NOT n BETWEEN {int(ipaddress.ip_network(p).network_address)} AND {int(ipaddress.ip_network(p).broadcast_address)}"
     for p in fv.NON_PUBLIC_V4)
+NON_PUBLIC_SQL = ", ".join(
+    f"({int(ipaddress.ip_network(p).network_address)}, {int(ipaddress.ip_network(p).broadcast_address)})" for p in fv.NON_PUBLIC_V4)
 PREFIX_HIT = f"""(regexp_extract(q.url, '^([a-z]+://[^/]+)', 1) = regexp_extract(p.value, '^([a-z]+://[^/]+)', 1)
   AND ({path_sql('q.url')} = '/en' OR starts_with({path_sql('q.url')}, '/en/')))"""
 

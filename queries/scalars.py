@@ -88,7 +88,7 @@ def redact_destination(spark, d):
 
 
 @query("sanitize_diagnostic", """
-SELECT page_id, CASE WHEN length(m) <= 2048 THEN m ELSE substr(m, 1, 2048) || ' [truncated]' END AS message FROM (
+SELECT page_id, m AS message FROM (
   SELECT page_id, 'GET ' || regexp_extract(url, '^[^?#]*', 0) || ' failed: ' || html AS m FROM pages)""")
 def sanitize_diagnostic(spark, d):
     message = F.concat(F.lit("GET "), F.replace("url", F.lit("://"), F.lit("://u:p@")), F.lit(" failed: "), F.col("html"))
@@ -193,7 +193,7 @@ WITH r AS (SELECT page_id, html, CASE WHEN url LIKE '%?page=%' THEN 407 WHEN url
   WHEN url LIKE '%.html%' THEN 404 WHEN url LIKE '%/' THEN 502 ELSE 200 END AS status,
   CASE WHEN url LIKE 'https:%' THEN html ELSE '<p>Solve the CAPTCHA</p>' END AS body FROM pages)
 SELECT page_id, CASE WHEN status = 407 THEN 'proxy_authentication_required' WHEN status = 403 THEN 'forbidden' WHEN status = 429 THEN 'rate_limited'
-  WHEN status >= 500 THEN 'server_error' WHEN contains(lower(substr(body, 1, 65536)), 'captcha') OR contains(lower(substr(body, 1, 65536)), 'challenge-platform')
+  WHEN status >= 500 THEN 'server_error' WHEN contains(lower(body), 'captcha') OR contains(lower(body), 'challenge-platform')
   THEN 'challenge' WHEN status BETWEEN 200 AND 399 THEN 'success' ELSE 'unknown_failure' END AS outcome FROM r""")
 def classify_outcome(spark, d):
     u = F.col("url")
