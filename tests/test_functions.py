@@ -101,7 +101,8 @@ def test_redaction(rows):
 
 def test_sanitize_diagnostic(rows):
     df = rows([("GET https://u:p@h.test/x?t=1, then http://h.test/x and HTTP://[bad",), ("x" * 3000,)], "m string")
-    first, second = values(df.select(redact.sanitize_diagnostic(F.col("m")).alias("o")), "o")
+    assert values(df.select(redact.sanitize_diagnostic(F.col("m")).alias("o")), "o")[1] == "x" * 3000
+    first, second = values(df.select(redact.sanitize_diagnostic(F.col("m"), 2048).alias("o")), "o")
     assert first.startswith("GET https://h.test/x then http://h.test/x and ") and "u:p" not in first
     assert second == "x" * 2048 + " [truncated]"
 

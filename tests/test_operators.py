@@ -186,7 +186,7 @@ def test_unclean_text_is_kept(rows):
     from casegraph.plans.registry import default_extractors
 
     pdf = "%PDF-1.4\xff <x:xmpmeta xmlns:x='x'><dc:creator>".encode("latin-1") + "J\u00e9".encode() + b"</dc:creator></x:xmpmeta>"
-    df = rows([("t", "text", bytearray(b"\xff\xfe\nusername=ann\n")), ("p", "pdf", bytearray(pdf)), ("i", "image", bytearray(b""))],
+    df = rows([("t", "text", bytearray(b"\xc3\x28\nusername=ann\n")), ("p", "pdf", bytearray(pdf)), ("i", "image", bytearray(b""))],
               "artifact_id string, kind string, content binary").withColumn("size", F.octet_length("content").cast("long"))
     observations, notes = default_extractors().extract(df)
     got = {(r.artifact_id, r.category, r.original_value) for r in observations.collect()}
