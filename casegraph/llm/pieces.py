@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from casegraph.llm.common import batches_by_bytes, mix64, sha256, texts_of
 
 BOUNDARY = rb"\n| *[^ \n]+| +"
-BATCH = 3 << 20
+BATCH = 2 << 20
 
 
 @dataclass(frozen=True)
