@@ -223,17 +223,6 @@ LOOSE_XMP_ATTRIBUTE = (
 )
 DIAGNOSTIC_URL = r"""(?i)https?://[^\s<>"']+"""
 
-# Named character references decoded in link text and attribute values ("amp" is decoded last).
-HTML_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "\xa9", "reg": "\xae",
-    "middot": "\xb7", "laquo": "\xab", "raquo": "\xbb", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…",
-    "euro": "€", "trade": "™", "bull": "•", "times": "\xd7", "deg": "\xb0",
-    "auml": "\xe4", "ouml": "\xf6", "uuml": "\xfc", "Auml": "\xc4", "Ouml": "\xd6", "Uuml": "\xdc",
-    "szlig": "\xdf", "eacute": "\xe9", "egrave": "\xe8", "agrave": "\xe0", "ccedil": "\xe7",
-    "ntilde": "\xf1", "amp": "&",
-}
-
 # Accepted date spellings (read as UTC when no offset is given).
 DATE_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?\s?(?:Z|[+-]\d{2}:\d{2})?$"
 DATE_PDF = r"^D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?:Z.*|([+-]\d{2})'(\d{2})'?)?$"

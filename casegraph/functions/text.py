@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 from itertools import chain
 
 import pandas as pd
@@ -74,12 +75,16 @@ def normalize_value(category: Column, value: Column, ascii_only: bool = False) -
     ))
 
 
+# The named character references of HTML, from the standard library; `amp` is decoded last.
+_ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";") and name != "amp;"}
+
+
 def html_decode(value: Column) -> Column:
     """Named references, then numeric ones, then `&amp;`, so nothing is decoded twice."""
-    named = {f"&{name};": char for name, char in fv.HTML_ENTITIES.items() if name != "amp"}
+    entities = F.map_from_arrays(F.split(F.lit(" ".join(_ENTITIES)), " "), F.split(F.lit("\x1f".join(_ENTITIES.values())), "\x1f"))
     out = F.aggregate(
-        F.arrays_zip(F.lit(list(named)).alias("name"), F.lit(list(named.values())).alias("char")), value,
-        lambda acc, entity: F.replace(acc, entity["name"], entity["char"]),
+        F.array_distinct(F.regexp_extract_all(value, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))), value,
+        lambda acc, name: F.coalesce(F.replace(acc, F.concat(F.lit("&"), name, F.lit(";")), entities[name]), acc),
     )
     out = _numeric(out, r"&#(\d{1,7});", lambda n: F.concat(F.lit("&#"), n, F.lit(";")), 10)
     out = _numeric(out, r"&#[xX]([0-9A-Fa-f]{1,6});", lambda n: F.concat(F.lit("&#x"), n, F.lit(";")), 16)

@@ -11,8 +11,12 @@ from casegraph.functions.binding import let, with_bound
 from casegraph.functions.text import html_decode, is_ascii, trim_ws
 
 HTTP = r"(?i)^https?://[^/?#\s]"
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=[^>]*>.*?(?=</a|<a\b|$)"
-HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+# What an HTML reader does not show as links: comments, scripts and styles; unclosed ones reach to the end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_VALUE = r"""(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
+ANCHOR = rf"""(?is)<a(?=[\s/])(?:[\s/]+[^\s=>/"']+{_VALUE})*+[\s/]*+>.*?(?=</a|<a\b|$)"""
+HREF = rf"""(?is)^<a(?:[\s/]+(?!href[\s=])[^\s=>/"']+{_VALUE})*+[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))"""
+TAG = r"""<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*>"""
 
 
 def scheme(url: Column) -> Column:
@@ -127,7 +131,7 @@ def _parts(url: Column) -> Column:
                  fragment(url).alias("fragment")),
         lambda p: let(F.substr(p["rest"], F.length(p["authority"]) + F.lit(1)), lambda tail: F.struct(
             p["scheme"].alias("scheme"),
-            F.regexp_extract(p["authority"], r"^(.*@)", 1).alias("user"),
+            escape_non_ascii(F.regexp_extract(p["authority"], r"^(.*@)", 1)).alias("user"),
             F.lower(F.regexp_replace(F.substring_index(p["authority"], "@", -1), r":\d*$", "")).alias("host"),
             F.regexp_extract(F.substring_index(p["authority"], "@", -1), r":(\d+)$", 1).alias("port"),
             F.substring_index(tail, "?", 1).alias("path"),
@@ -163,7 +167,7 @@ def canonical_url(url: Column) -> Column:
     Non-ASCII hosts need IDNA: use `with_canonical_url`, which sends only those rows to Python.
     """
     return let(trim_ws(url), lambda u: F.when(
-        is_http(u) & is_ascii(authority(u)), _assemble(u, user=True, query=True, fragment=False)))
+        is_http(u) & is_ascii(raw_host(u)), _assemble(u, user=True, query=True, fragment=False)))
 
 
 def absolute_uri(url: Column) -> Column:
@@ -239,15 +243,16 @@ def resolve_link(base: Column, href: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """array<struct<position, href, text>> of the anchors of a page."""
+    shown = F.when(html.rlike("(?i)<!--|<script|<style"), F.regexp_replace(html, HIDDEN, "")).otherwise(html)
     return F.transform(
-        F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)),
+        F.filter(F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0)), lambda tag: tag.rlike(HREF)),
         lambda tag, i: F.struct(
             i.alias("position"),
             let(
                 F.concat(F.regexp_extract(tag, HREF, 1), F.regexp_extract(tag, HREF, 2), F.regexp_extract(tag, HREF, 3)),
                 lambda raw: trim_ws(html_decode(raw)),
             ).alias("href"),
-            let(F.regexp_replace(tag, r"(?s)<[^>]*>", ""), lambda raw: trim_ws(html_decode(raw))).alias("text"),
+            let(F.regexp_replace(tag, TAG, ""), lambda raw: trim_ws(html_decode(raw))).alias("text"),
         ),
     )
 

@@ -87,8 +87,13 @@ def build_relations(scoped: DataFrame, existing: DataFrame | None = None) -> Dat
     )
 
 
-def unanalyzed_artifacts(artifacts: DataFrame, observations: DataFrame) -> DataFrame:
-    return artifacts.join(observations.select(F.col("artifact_id").alias("id")), "id", "left_anti")
+def unanalyzed_artifacts(artifacts: DataFrame, observations: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """Artifacts without observations and, when `attempts` (artifact_id) is given, without a finished analysis: one that
+    held nothing is not analyzed again."""
+    done = observations.select(F.col("artifact_id").alias("id"))
+    if attempts is not None:
+        done = done.unionByName(attempts.select(F.col("artifact_id").alias("id")))
+    return artifacts.join(done, "id", "left_anti")
 
 
 def project_scoped(child: DataFrame, parents: DataFrame, child_key: str, parent_key: str = "id") -> DataFrame:

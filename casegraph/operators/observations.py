@@ -11,7 +11,7 @@ from casegraph.functions.text import normalize_value, not_blank, stable_id
 
 COLUMNS = [
     "artifact_id", "category", "original_value", "normalized_value", "extractor", "extractor_version",
-    "location", "confidence",
+    "location", "confidence", "position",
 ]
 
 
@@ -19,13 +19,15 @@ def observation_rows(
     df: DataFrame, extractor: str, order: list[str], keys: list[str] | None = None, ascii_only: bool = False
 ) -> DataFrame:
     """Finish (artifact_id, category, value, location, confidence, <order>) rows: drop blanks, normalize,
-    and when `keys` is given keep the first row per (artifact, keys)."""
+    and when `keys` is given keep the first row per (artifact, keys). `position` holds the order columns: it tells rows
+    apart that are equal in everything else."""
     rows = (
         df.filter(not_blank(F.col("category")) & not_blank(F.col("value")))
         .withColumn("normalized_value", normalize_value(F.col("category"), F.col("value"), ascii_only))
         .withColumnRenamed("value", "original_value")
         .withColumn("extractor", F.lit(extractor))
         .withColumn("extractor_version", F.lit("1.0.0"))
+        .withColumn("position", F.concat_ws(",", *[F.col(c).cast("string") for c in order]))
         .select(*COLUMNS, *order)
     )
     if keys:
@@ -34,7 +36,7 @@ def observation_rows(
 
 
 def with_identity(observations: DataFrame, observed_at: Column) -> DataFrame:
-    """Deterministic id and observation time."""
+    """Deterministic id, one per observation, and observation time."""
     return observations.withColumn(
         "id", stable_id(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLUMNS])
     ).withColumn("observed_at", observed_at)

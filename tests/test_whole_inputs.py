@@ -131,3 +131,36 @@ def test_candidates_without_a_limit_are_not_sorted_into_one_task(rows):
     plan = discovery.union_candidates(resources, roots, None, "page_id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "SinglePartition" not in plan
     assert discovery.union_candidates(resources, roots, 3, "page_id").count() == 3
+
+
+def test_equal_properties_are_two_observations(rows):
+    from casegraph.operators.correlate import unanalyzed_artifacts
+    from casegraph.operators.observations import with_identity
+
+    core = b"<c><creator>Ann</creator><creator>Ann</creator></c>"
+    df = rows([("a", zipped({"docProps/core.xml": core}))], "artifact_id string, content binary")
+    found = with_identity(containers.office_properties(containers.container_entries(df)), F.lit("2024-01-01").cast("timestamp")).collect()
+    assert len(found) == 2 and len({r.id for r in found}) == 2
+    artifacts, seen = rows([("a",), ("b",), ("c",)], "id string"), rows([("a",)], "artifact_id string")
+    assert {r.id for r in unanalyzed_artifacts(artifacts, seen).collect()} == {"b", "c"}
+    assert {r.id for r in unanalyzed_artifacts(artifacts, seen, rows([("b",)], "artifact_id string")).collect()} == {"c"}
+
+
+def test_links_as_an_html_reader_sees_them(rows):
+    html = (
+        '<a data-href="/no" href="/yes">one</a><!-- <a href="/hidden">x</a> --><script>var s = \'<a href="/script">y</a>\';</script>'
+        "<a title='a > b' HREF = '/two'>two &hearts; &Eacute;</a><a name=x>none</a><a href=/three?a=1&amp;b=2 class=k>th<b>re</b>e</a><abbr href='/no'>z</abbr>"
+        '<A\nhref="/four">&lt;four&gt; &amp;lt; &#233;&#x41;</A><style>a {}</style><a href="/five">five<!-- unclosed <a href="/gone">q</a>')
+    got = discovery.extract_links(rows([("http://h.test/d/", html)], "url string, html string")).orderBy("position").collect()
+    assert [(r.position, r.url, r.text) for r in got] == [
+        (0, "http://h.test/yes", "one"), (1, "http://h.test/two", "two \u2665 \u00c9"), (2, "http://h.test/three?a=1&b=2", "three"),
+        (3, "http://h.test/four", "<four> &lt; \u00e9A"), (4, "http://h.test/five", "five")]
+
+
+def test_user_info_beside_an_ascii_host(rows):
+    from casegraph.functions import urls
+
+    df = rows([("https://\u00fcser@E.test/a",), ("https://b\u00fccher.test/a",)], "u string")
+    assert [r.c for r in df.select(urls.canonical_url(F.col("u")).alias("c")).collect()] == ["https://%C3%BCser@e.test/a", None]
+    assert {r.u: r.c for r in urls.with_canonical_url(df, "u", "c").collect()} == {
+        "https://\u00fcser@E.test/a": "https://%C3%BCser@e.test/a", "https://b\u00fccher.test/a": "https://xn--bcher-kva.test/a"}
