@@ -199,9 +199,16 @@ def lexicon(sample: DataFrame, rate: float) -> frozenset[str]:
     if limit is None:
         return frozenset()
     listed = {*THREAT, *TARGET, *NEGATE, *REPORT}
-    found = {r.feature for r in stats.filter((F.round("surprise", 2) >= float(limit)) & (F.col("t") >= 3)).select("feature").collect()} - listed
-    # a word whose beginning is listed needs no entry
-    return frozenset(f for f in found if not any(f.rstrip("*")[:n] + "*" in found for n in STEM if n < len(f.rstrip("*"))))
+    rows = stats.filter((F.round("surprise", 2) >= float(limit)) & (F.col("t") >= 3)).select("feature", "t", "n").collect()
+    return chosen({r.feature: (r.t, r.n - r.t) for r in rows if r.feature not in listed})
+
+
+def chosen(found: dict[str, tuple[int, int]]) -> frozenset[str]:
+    """From features with their toxic and clean counts: a beginning that clean documents hold gives way to a longer
+    feature that marks nearly as many toxic ones and fewer clean ones; what a listed beginning covers needs no entry."""
+    kept = {f for f, (t, c) in found.items() if not (f.endswith("*") and any(
+        g != f and g.startswith(f[:-1]) and found[g][0] >= 0.95 * t and found[g][1] < c for g in found))}
+    return frozenset(f for f in kept if not any(f.rstrip("*")[:n] + "*" in kept for n in STEM if n < len(f.rstrip("*"))))
 
 
 def fitted(counts: np.ndarray, toxic: np.ndarray, pull: float = 1.0) -> tuple[np.ndarray, float]:

@@ -72,3 +72,8 @@ def test_transducers():
     w = tx.own_weights()
     value = [tx.scores(p[None], w, tx.BIAS)[0] for p in (soft, plain, aimed)]
     assert value == sorted(value) and len(set(value)) == 3
+
+
+def test_beginnings_give_way_to_cleaner_features():
+    found = {"lose*": (100, 6), "loser": (99, 0), "idio*": (50, 0), "idiot": (50, 0), "chll*": (40, 1), "chlla*": (20, 0)}
+    assert tx.chosen(found) == {"loser", "idio*", "chll*"}
