@@ -121,10 +121,8 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, both, na, nb): exact sizes of the intersection and of the sets."""
-    pairs = cut(pairs)
-    full = cut(_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
+def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b, both, na, nb): exact sizes of the intersection and of the full sets (doc_id, shingles)."""
     return (
         pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
         .select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"))
@@ -135,7 +133,7 @@ def is_link(percent: int) -> Column:
     return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
 
 
-def leftovers(placed: DataFrame, stars: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def leftovers(placed: DataFrame, stars: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs under one centre, in different components, that no bound excludes.
 
     With c the centre, a set's part in c and its part outside, counting outside only shingles that another open document
@@ -151,7 +149,7 @@ def leftovers(placed: DataFrame, stars: DataFrame, labels: DataFrame, texts: Dat
     open_ = open_.withColumn("a", F.least("doc_id", "centre")).withColumn("b", F.greatest("doc_id", "centre"))
     open_ = cut(open_.join(stars.select("a", "b", "both"), ["a", "b"]).drop("a", "b"))
     asked = open_.select(F.explode(F.array("doc_id", "centre")).alias("doc_id")).distinct()
-    tokens = cut(_sets(texts, asked, width)).select("doc_id", F.explode("shingles").alias("shingle"))
+    tokens = full.join(asked, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
     several = cut(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle"))
     shared = tokens.join(several, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
     open_ = cut(open_.join(cut(shared), "doc_id").filter(F.col("shared") * 100 >= F.col("n") * percent).withColumn("out", F.col("shared") - F.col("both")))
@@ -175,12 +173,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sets = classes.select("doc_id", "n", "bands")
     known = texts.filter(F.col("doc_id").isNotNull())
     placed, stars = candidates(sets)
-    checked = cut(verified(stars, known, width))
+    stars = cut(stars)
+    # the sets of every document of a bucket, read from the texts once
+    full = cut(_sets(known, stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
+    checked = cut(verified(stars, full))
     linked = cut(checked.filter(is_link(percent)).select("a", "b"))
     labels = components(linked)
-    rest = cut(leftovers(placed, checked, labels, known, width, percent))
+    rest = cut(leftovers(placed, checked, labels, full, percent))
     if not rest.isEmpty():
-        labels = components(linked.unionByName(verified(rest, known, width).filter(is_link(percent)).select("a", "b")))
+        labels = components(linked.unionByName(verified(rest, full).filter(is_link(percent)).select("a", "b")))
     of_class = cut(classes.select("s1", "s2", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "s1", "s2", F.coalesce("component", "doc_id").alias("class_id")))
     named = sketched.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
