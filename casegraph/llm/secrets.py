@@ -1,9 +1,13 @@
 """Secret scan: fixed patterns plus a token-efficiency test.
 
 A tokenizer's vocabulary holds what its language repeats: words give four characters a token or more, random strings
-fewer than two. Runs of 20 to 256 characters of the alphabet of keys that mix letters and digits and give less than
-`ratio` characters a token under the vocabulary become spans of kind `random`, unless they overlap a base span or are a
-known digest or identifier: hex of a digest's length, UUIDs, subresource hashes, dotted versions and dates are out.
+fewer than two. Runs of 20 characters or more of the alphabet of keys that give less than `ratio` characters a token under
+the vocabulary become spans of kind `random`, whatever letters and digits they mix. Base spans cut a run; what is left of
+it on either side is scored as a run of its own. Known digests and identifiers are out: hex of a digest's length, UUIDs,
+subresource hashes, numbers and a date in front.
+
+A run above `PIECE` characters is scored whole and, where that does not pass, in overlapping pieces; pieces that pass and
+touch are one span. Tokens are counted piece by piece, so the work is linear in the run.
 
 Cases: null text is empty and has no span; rows are scanned one by one, so repeated rows, null ids and empty tables need
 no rule; a text of any length is scanned whole.
@@ -24,12 +28,14 @@ from casegraph.llm.common import id_and_text
 KINDS = ("assign", "access", "hex", "random")
 FINDERS = (spans.assigns, spans.accesses, spans.hexes)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
-LONGEST = 256
+SHORTEST, PIECE = 20, 256            # PIECE bounds what is tokenized at once, not what is found
+EDGES = "=-_/+"
 #: Digests and identifiers that look random and are no secrets.
 KNOWN = re.compile(
     r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+|[0-9_/+=-]+|[0-9]{4}-[0-9]{2}-[0-9]{2}.*")
+    r"|sha(?:1|256|384|512)-[A-Za-z0-9+/=]{27,128}|[0-9_/+=-]+")
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])")
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 SPAN_SQL = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
@@ -47,21 +53,42 @@ def tokenizer_of(ranks: dict[bytes, int]):
     return tiktoken.Encoding("secrets", pat_str=words, mergeable_ranks=ranks, special_tokens={})
 
 
-def random_runs(text: str, tokens_of, ratio: float, taken: list[spans.Span]) -> list[spans.Span]:
-    found = []
+def stretches(text: str, taken: list[spans.Span]) -> Iterator[spans.Span]:
+    """Runs without the base spans in them and without a date in front, stripped of signs at the ends."""
+    taken, first = sorted(taken), 0
     for m in RUN.finditer(text):
-        run = m[0].strip("=-_/+")
-        start = m.start() + m[0].find(run)
-        end = start + len(run)
-        if not 20 <= len(run) <= LONGEST or KNOWN.fullmatch(run):
-            continue
-        letters = sum(c.isalpha() for c in run)
-        if letters < 4 or sum(c.isdigit() for c in run) < 3:
-            continue
-        if any(s < end and start < e for s, e in taken):
+        while first < len(taken) and taken[first][1] <= m.start():
+            first += 1
+        at, k = m.start(), first
+        while at < m.end():
+            stop = min(m.end(), max(at, taken[k][0])) if k < len(taken) else m.end()
+            if stop - at >= SHORTEST:
+                date = DATE.match(text, at, stop)
+                left = text[date.end() if date else at: stop].lstrip(EDGES)
+                part = left.rstrip(EDGES)
+                if len(part) >= SHORTEST:
+                    yield stop - len(left), stop - len(left) + len(part)
+            at = max(at, taken[k][1]) if k < len(taken) else m.end()
+            k += 1
+
+
+def random_runs(text: str, tokens_of, ratio: float, taken: list[spans.Span]) -> list[spans.Span]:
+    found: list[spans.Span] = []
+    for start, end in stretches(text, taken):
+        run = text[start:end]
+        if KNOWN.fullmatch(run):
             continue
-        if len(run) / len(tokens_of(run)) < ratio:
+        if len(run) / sum(len(tokens_of(run[k: k + PIECE])) for k in range(0, len(run), PIECE)) < ratio:
             found.append((start, end))
+        elif len(run) > PIECE:
+            joins = False
+            for k in [*range(0, len(run) - PIECE, PIECE // 2), len(run) - PIECE]:
+                if PIECE / len(tokens_of(run[k: k + PIECE])) < ratio:
+                    if joins and start + k <= found[-1][1]:
+                        found[-1] = (found[-1][0], start + k + PIECE)
+                    else:
+                        found.append((start + k, start + k + PIECE))
+                    joins = True
     return found
 
 

@@ -56,6 +56,35 @@ def test_secret_scan(docs):
     assert secrets.scan(docs([]), RANKS).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "two digits", "base62"])
+@pytest.mark.parametrize("size", [20, 24, 32, 256, 257, 700, 5000])
+def test_random_keys_of_any_length_and_mix(docs, alphabet, size):
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(letters + "0123456789" * (alphabet == "base62")) for _ in range(size)) for _ in range(20)]
+    if alphabet == "two digits":
+        keys = [f"{k[:5]}7{k[6:9]}4{k[10:]}" for k in keys]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs([(n, f"é key {k}, then") for n, k in enumerate(keys)]), RANKS).collect()}
+    for n in range(len(keys)):
+        if any(s.base for s in got[n]):  # a hex run by chance
+            continue
+        assert [(s.kind, s.start, s.end) for s in got[n]] == [("random", 6, 6 + size)], keys[n]
+
+
+def test_random_part_of_a_long_run_and_known_values():
+    rng, encode = random.Random(4), secrets.tokenizer_of(secrets.read_ranks(RANKS)).encode_ordinary
+    runs = lambda text, taken=(): secrets.random_runs(text, encode, 2.2, list(taken))
+    made = lambda n: "".join(rng.choice("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    words = "/".join(["configuration", "international", "services", "documents"] * 50)
+    (start, end), = runs(f"{words}/{made(1000)}/{words}")
+    assert start <= len(words) + 129 and end >= len(words) + 1001 - 129 and start >= len(words) - 255 and end <= len(words) + 1257
+    assert runs(words) == [] and runs("a" * 100_000) == []
+    key, digest = made(40), "0af3" * 8
+    assert runs(f"{key}/{digest}/{key}", [(41, 73)]) == [(0, 40), (74, 114)]
+    assert runs(f"2024-05-06-{key}") == [(11, 51)] and runs("2024-05-06-the-name-of-the-article") == []
+    assert runs("123456789012345678901234567890") == [] and runs("0123ABCDABCD4567EFAB8901CDEF2345") == []
+
+
 @pytest.fixture(scope="module")
 def tagger():
     contexts = [("mail me under ", "email", "jane.07@mail3.example.com", " or later"), ("host at ", "ip", "10.20.30.40", " is down"),
