@@ -5,11 +5,13 @@
   (at most `sample` rows, picked by a hash of the id), the same contexts with each value respelled by rule (an address
   with "(at)", a card in groups, a phone without its plus) and digit-bearing text without a span.
 * ``scan`` tags whole texts. A span of these kinds holds a digit or an at-sign, spelled or not, so the tagger reads the
-  regions within `REACH` characters of one - however many - and everything outside is O. A region is cut into overlapping
-  windows, each gives forward-backward marginals; where windows overlap the marginals are averaged, and one Viterbi pass
-  over the whole region under the CRF's transitions decides the spans.
-* A tagged span is added when the mean marginal of its tags reaches `sure`, its shape is possible for the kind (an address
-  has both signs, a number enough digits) and it overlaps no base span and no failed base match.
+  regions of the tokens around one and `REACH` characters on either side - however many and however long - and everything
+  outside is O. A region is cut into overlapping windows, each gives forward-backward marginals; where windows overlap the
+  marginals are averaged, and one Viterbi pass over the whole region under the CRF's transitions decides the spans.
+* A tagged span grows to the ends of the name or number that it cuts and, when several cards stand side by side in it, is
+  cut between them. It is added when the mean marginal of its tags reaches `sure`, its shape is possible for the kind (an
+  address has both signs, a number enough digits) and it overlaps no base span. A pattern's match that failed its test
+  vetoes nothing.
 
 Cases: null text is empty; rows are scanned one by one, so repeated rows, null ids and empty tables need no rule; a
 sample without any base span still trains on generated ones; very long texts are read in full, window by window.
@@ -34,6 +36,9 @@ KINDS = ("email", "ip", "card", "phone")
 FINDERS = (spans.emails, spans.ips, spans.cards, spans.phones)
 TAGS = 1 + 2 * len(KINDS)            # O, then B and I of each kind
 GATE = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]")
+#: Tokens of the characters of addresses and numbers, joined over a spelled at-sign.
+TOKEN = spans.LOCAL | frozenset("@()[]/")
+AROUND = re.compile(r"[A-Za-z0-9._%+@()\[\]/-]++(?:(?:\s(?=[(\[]\s?at\s?[)\]])|(?<=[(\[])\s(?=at\s?[)\]])|(?<=at)\s(?=[)\]])|(?<=at[)\]])\s|(?<=at\s[)\]])\s)[A-Za-z0-9._%+@()\[\]/-]++)*+")
 REACH, WINDOW, STEP, HIDDEN, EMBED = 24, 64, 32, 12, 8
 REGIONS = 256                        # tagged together: bounds a worker's memory, not what is read
 #: Characters: letters by case, digits, the signs of the kinds, space, other letters, the rest.
@@ -280,10 +285,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH characters of a digit or at-sign."""
+    """Stretches within REACH characters of a token with a digit or at-sign."""
     out: list[tuple[int, int]] = []
+    done = 0
     for m in GATE.finditer(text):
-        start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if m.start() < done:
+            continue
+        first = m.start()
+        while first > done and text[first - 1] in TOKEN:
+            first -= 1
+        if first == m.start() and m[0][0] in "([" and first > done and text[first - 1].isspace():
+            first -= 1
+            while first > done and text[first - 1] in TOKEN:
+                first -= 1
+            first += text[first].isspace()
+        done = AROUND.match(text, first).end()
+        start, end = max(0, first - REACH), min(len(text), done + REACH)
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], end)
         else:
@@ -329,6 +346,8 @@ def tagged(tagger: Tagger, pieces: list[str], sure: float) -> list[list[tuple[in
 
 def possible(kind: int, value: str) -> bool:
     """Shapes that a respelled value of the kind can have."""
+    if not value:
+        return False
     n = len(spans.digits_of(value))
     if kind == 0:
         return bool(re.search(r"@|[(\[]\s?at\s?[)\]]", value)) and "." in value and value[0].isalnum() and value[-1].isalnum()
@@ -336,10 +355,48 @@ def possible(kind: int, value: str) -> bool:
     if kind == 1:
         return len(numbers) == 4 and all(len(v) <= 3 and int(v) <= 255 for v in numbers)
     if kind == 2:
-        return 16 <= n <= 19 and spans.luhn(spans.digits_of(value)) and len(numbers) > 1
+        return 16 <= n <= 19 and spans.luhn(spans.digits_of(value))
     return 8 <= n <= 15 and len(numbers) > 1 and not re.search(r"[A-Za-z]", value)
 
 
+NAME = re.compile(r"[A-Za-z0-9_%+-]*+(?:\.[A-Za-z0-9_%+-]++)*+")
+NAME_BACK = re.compile(r"[A-Za-z0-9._%+-]*+")
+DIGITS = re.compile(r"[0-9]*+")
+
+
+def grown(kind: int, text: str, back: str, start: int, end: int) -> tuple[int, int]:
+    """The span with the whole name or number at either end, without signs around it; `back` is the text reversed."""
+    before, after = (NAME_BACK, NAME) if kind == 0 else (DIGITS, DIGITS)
+    if kind == 0 or text[start].isdigit():
+        start -= len(before.match(back, len(text) - start)[0])
+    if kind == 0 or text[end - 1].isdigit():
+        end = after.match(text, end).end()
+    while start < end and not (text[start].isalnum() or kind == 3 and text[start] in "(+"):
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    if kind == 3 and start and text[start - 1] == "(" and ")" in text[start:end] and "(" not in text[start:end]:
+        start -= 1
+    return start, end
+
+
+def side_by_side(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Cards in a span with the digits of several: from left to right, the first group of whole numbers that is one."""
+    numbers = [(start + m.start(), start + m.end()) for m in re.finditer("[0-9]+", text[start:end])]
+    out, k = [], 0
+    while k < len(numbers):
+        n, last = 0, k
+        while last < len(numbers) and (n := n + numbers[last][1] - numbers[last][0]) <= 19 and not (
+                last > k and re.search("[A-Za-z]", text[numbers[last - 1][1]: numbers[last][0]])):
+            if possible(2, text[numbers[k][0]: numbers[last][1]]):
+                out.append((numbers[k][0], numbers[last][1]))
+                k = last
+                break
+            last += 1
+        k += 1
+    return out
+
+
 def scan(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.7) -> DataFrame:
     """(doc_id, spans): kind, start, end and whether a base pattern found it, by kind, then start."""
 
@@ -350,13 +407,18 @@ def scan(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
             where = [(n, s, e) for n, t in enumerate(texts) for s, e in regions(t)]
             parts = (where[low: low + REGIONS] for low in range(0, len(where), REGIONS))
             tags = ((at, own) for part in parts for at, own in zip(part, tagged(tagger, [texts[n][s:e] for n, s, e in part], sure)))
+            backs: dict[int, str] = {}
             for (n, start, _), own in tags:
-                matched = [m.span() for p in (spans.CARD, spans.IP, spans.PHONE) for m in p.finditer(texts[n])] if own else []
+                text, done = texts[n], 0
                 for kind, low, high in own:
-                    s, e = start + low, start + high
-                    taken = any(a < e and s < b for _, a, b, _ in found[n]) or any(a <= s and e <= b for a, b in matched)
-                    if not taken and possible(kind, texts[n][s:e]):
-                        found[n].append((kind, s, e, False))
+                    if start + low < done:
+                        continue
+                    if n not in backs:
+                        backs = {n: text[::-1]}
+                    s, done = grown(kind, text, backs[n], start + low, start + high)
+                    for s, e in [(s, done)] if possible(kind, text[s:done]) else side_by_side(text, s, done) if kind == 2 else []:
+                        if not any(a < e and s < b for _, a, b, _ in found[n]):
+                            found[n].append((kind, s, e, False))
             rows = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(own)] for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, SPAN)], ["doc_id", "spans"])
 

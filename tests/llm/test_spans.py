@@ -136,6 +136,37 @@ def test_private_scan(docs, tagger):
     assert private.scan(docs([]), tagger).count() == 0
 
 
+def test_private_scan_adds_respelled_values(docs, tagger):
+    card, other, long_name = "4111.1111.1111.1111", "5500.0000.0000.0004", "a.very.long.name.of.a.person.in.a.department.that.has.07.names"
+    values = [("email", "jane.07 (at) mail3.example.com"), ("email", "jane.07[at]mail3.example.com"), ("email", "jane.07(at)mail3.example.com"),
+              ("ip", "10[.]20[.]30[.]40"), ("ip", "10(.)20(.)30(.)40"), ("ip", "10 . 20 . 30 . 40"), ("card", card), ("card", card.replace(".", "/")), ("card", card.replace(".", "_")),
+              ("phone", "(555) 123-4567"), ("phone", "555.123.4567"), ("phone", "555-123-4567"),
+              ("email", f"{long_name} (at) mail3.example.com"), ("email", "jane.07 (at) mail3.the-long-name-of-a-company-with-many-words.sub.domain.example.com"),
+              *[("card card", f"{card} {other}".replace(".", sign)) for sign in (".", " ", "")], ("card card", f"{card}-{other}".replace(".", ""))]
+    texts = [(kinds, value, f"{left}{value}{right}") for kinds, value in values for left, right in (("é mail me under ", " or later"), ("paid with ", " today"), ("call ", " now please"))]
+    got = {r.doc_id: r.spans for r in private.scan(docs([(n, t) for n, (_, _, t) in enumerate(texts)]), tagger).collect()}
+    for n, (kinds, value, text) in enumerate(texts):
+        half = len(value) // 2
+        parts = [value[:half], value[half + 1:]] if kinds == "card card" else [value]
+        assert [(s.kind, text[s.start: s.end], s.base) for s in got[n]] == [(k, p, False) for k, p in zip(kinds.split(), parts)], text
+
+
+def test_private_scan_adds_no_part_of_a_failed_number(docs, tagger):
+    texts = ["host at 10.20.30.400 is down", "paid with 4111 1111 1111 1112 today", "on 2024-01-02 10:30 we", "call 1.2.3.4.5.6.777 now", "a hash 6559e745b37cb8be6fc63ae2d235 of it"]
+    for r in private.scan(docs(list(enumerate(texts))), tagger).collect():
+        assert not [s for s in r.spans if not s.base], texts[r.doc_id]
+
+
+def test_regions_hold_whole_tokens():
+    name = "word." * 40
+    for text in (f"x {name}a(at)b.example.org y", f"x {name}a (at) {name}org y", f"x {name}a ( at ) {name}org y", f"x 7{name}a@{name}org y"):
+        assert any(s <= 2 and len(text) - 2 <= e for s, e in private.regions(text)), text
+    start = time.perf_counter()
+    for run in ("a", "1", "(at) ", "a (at) ", "( ", "at "):
+        private.regions(run * (1_000_000 // len(run)))
+    assert time.perf_counter() - start < 20
+
+
 def test_training_reads_a_bounded_sample(docs):
     made = private.train(docs([(k, f"mail u{k}.11@mail{k}.example.com now") for k in range(60)] + [(None, "1"), (100, None)]), sample=20, size=64)
     assert made.weights["E"].shape == (private.N_CHARS, private.EMBED)
