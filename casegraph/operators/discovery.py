@@ -135,13 +135,13 @@ def target_filetype_filter(resources: DataFrame, target: str, types: list[str],
 
 
 def site_map(
-    links: DataFrame, roots: DataFrame, max_depth: int, max_pages: int, canonical: bool = True
+    links: DataFrame, roots: DataFrame, max_depth: int, max_pages: int | None = None, canonical: bool = True
 ) -> DataFrame:
     """Breadth-first walk of captured links, all roots in parallel.
 
     links: (source_url, position, url, text); roots: (root). Output: (root, url, text, depth) for every same-host link
-    on a visited page, first sighting wins; links found at `max_depth` are recorded but not followed. At most
-    `max_pages` pages are visited per root, in queue order. Each level is one join on the page URL and is checkpointed,
+    on a visited page, first sighting wins; links found at `max_depth` are recorded but not followed. With `max_pages` at
+    most so many pages are visited per root, in queue order; without, all, and no root's pages are ranked. Each level is one join on the page URL and is checkpointed,
     so lineage and recomputation stay bounded when executors are lost."""
     spark = links.sparkSession
     shared_folder(spark)
@@ -157,7 +157,9 @@ def site_map(
     for depth in range(max_depth + 1):
         if visited is not None:
             frontier = frontier.join(visited, ["root", "page"], "left_anti")
-        frontier = _within_budget(frontier, visited, max_pages).checkpoint()
+        if max_pages is not None:
+            frontier = _within_budget(frontier, visited, max_pages)
+        frontier = frontier.checkpoint()
         if frontier.isEmpty():
             break
         visited = frontier.select("root", "page") if visited is None else visited.unionByName(

@@ -328,7 +328,7 @@ SELECT root, page, CAST(min(depth) AS BIGINT) AS depth FROM walk WHERE depth > 0
 def site_map(spark, d):
     """One walk per host, from its first URL."""
     roots = pages(spark, d).groupBy(urls.host(F.col("url")).alias("host")).agg(F.min("url").alias("root")).select("root")
-    found = disc.site_map(captured_links(spark, d), roots, max_depth=2, max_pages=10_000)
+    found = disc.site_map(captured_links(spark, d), roots, max_depth=2)
     return found.select("root", F.lower(urls.canonical_url(F.col("url"))).alias("page"), F.col("depth").cast("long").alias("depth"))
 
 

@@ -220,6 +220,14 @@ def test_site_map_depth_and_budget(rows):
     assert got(5, 2) == {("a", 1), ("b", 1), ("c", 2), ("", 2)}  # root and `a` only
 
 
+def test_site_map_visits_every_page_of_a_large_host(rows):
+    root, n = "https://h.test/", 10_500
+    links = rows([(root, k, f"{root}p{k}", "P") for k in range(n)] + [(f"{root}p{k}", 0, f"{root}q{k}", "Q") for k in range(n)],
+                 "source_url string, position int, url string, text string")
+    found = discovery.site_map(links, rows([(root,)], "root string"), 2)
+    assert {(r.url[15:], r.depth) for r in found.collect()} == {(f"p{k}", 1) for k in range(n)} | {(f"q{k}", 2) for k in range(n)}
+
+
 def test_wildcard_sets(rows):
     answers = rows([("d", "same", "1"), ("d", "same", "2"), ("d", "subset", "1"), ("d", "more", "1"), ("d", "more", "2"), ("d", "more", "3"), ("d", "none", None),
                     ("e", "n", "1")], "domain string, name string, address string")
