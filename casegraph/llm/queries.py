@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import chat, decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
+from casegraph.llm import alignment, chat, decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -185,3 +185,8 @@ FROM placed
 """)
 def op8_chat_perspectives(spark, d):
     return chat.perspectives(table(spark, d, "conversations"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
