@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import alignment, chat, decontaminate, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
+from casegraph.llm import alignment, chat, decontaminate, licences, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -190,3 +190,16 @@ def op8_chat_perspectives(spark, d):
 @query("op11_alignment")
 def op11_alignment(spark, d):
     return alignment.align(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op13_licences")
+def op13_licences(spark, d):
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    base = F.filter("places", lambda p: p["kind"] == "base")
+    starts = F.transform(base, lambda p: p["first"])
+    return licences.scan(table(spark, d, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"), "score",
+        F.array_join(F.transform("expressions", lambda e: e["text"]), "; ").alias("expressions"))
