@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm import alignment, chat, decontaminate, licences, line_dedup, near_dedup, pieces, private, secrets, substring_dedup, top_k, toxicity
+from casegraph.llm import alignment, chat, decontaminate, licences, line_dedup, near_dedup, pieces, private, repair, secrets, substring_dedup, top_k, toxicity
 from casegraph.llm.common import id_and_text, prepare, table
 from casegraph.session import use_utc
 
@@ -192,6 +192,11 @@ def op11_alignment(spark, d):
     return alignment.align(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+@query("op12_repair")
+def op12_repair(spark, d):
+    return repair.repair(repair.damaged(table(spark, d, "conversations")), live=F.col("live"))
+
+
 @query("op13_licences")
 def op13_licences(spark, d):
     def labels(places):
