@@ -14,7 +14,8 @@ to the runs in the order of their own keys, through the same passes, and each ru
 Both tokenizers end a token before a single space between two characters that are not white space: the byte-level rule
 starts a word there, and no piece has a space behind another character (`Pair.load` checks both). So a text is cut there
 into units which are aligned apart, and a unit that was seen before is looked up. Where a tokenizer has other rules, a
-whole text is one unit.
+whole text is one unit. A byte-level vocabulary whose ids are in the order of its merges gives the same ids as a table of
+ranks, which is read faster; it serves units of Latin letters, where no version of Unicode changes a character's class.
 
 Cases: a null or empty text has no tokens, and neither has a text that a tokenizer does not give back byte by byte
 (U+2581 stands for a space in pieces): zeros and an empty digest. Rows are aligned one by one, so a repeated row, id or
@@ -30,7 +31,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,17 @@ from pyspark.sql import functions as F
 from casegraph.llm.common import batches_by_bytes, cut, id_and_text, sha256, texts_of
 from casegraph.session import scratch_path
 
-BLOCK = 16 << 20        # bytes of text a run covers
+BLOCK = 8 << 20         # bytes of text a run covers
 PARTS = 32              # radix: B id modulo this
 FAN_IN = 64             # runs merged at once
 FRAME = 1 << 15         # records a zstd frame holds
-CACHED = 250_000        # units a worker remembers, of at most CACHED_CHARS characters in all
-CACHED_CHARS = 16 << 20
+CACHED = 300_000        # units a worker remembers from block to block, of at most CACHED_CHARS characters in all
+CACHED_CHARS = 8 << 20
 
 CLOSE = re.compile(r"\s | \s")
 UNITS = re.compile(r" (\s*\S*(?:(?! \S)\s+\S*)*)")
+LATIN = re.compile(r"[\x00-\u024f]+")
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def units_of(text: str) -> list[str]:
@@ -77,6 +80,7 @@ class Pair:
     a_model: str
     b_model: bytes
     apart: bool      # whether texts may be cut into units
+    ranked: bool     # whether the ids of A are in the order of its merges
 
     @classmethod
     def load(cls, a_file: str, b_file: str) -> Pair:
@@ -91,7 +95,11 @@ class Pair:
         known = range(pieces.get_piece_size())
         plain = not any(re.search("[^▁]▁", pieces.id_to_piece(k)) for k in known)
         probe = "ﬁ é  Å \t x"  # a normalizer would change it
-        return cls(a_model, b_model, words and plain and pieces.decode(pieces.encode(probe)) == probe)
+        apart = words and plain and pieces.decode(pieces.encode(probe)) == probe
+        model = rules["model"]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", [])]
+        ranks = [model["vocab"].get(m.replace(" ", ""), -1) for m in merges]
+        return cls(a_model, b_model, apart, apart and not model.get("dropout") and 0 < len(ranks) and ranks == list(range(ranks[0], ranks[0] + len(ranks))))
 
     def aligner(self) -> Aligner:
         return Aligner(self)
@@ -123,6 +131,15 @@ class Aligner:
         for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.said = [f"{k}{sign}" for k in range(max(self.a_ids, len(self.b_bytes))) for sign in ",|,;\n"]
+        self.ranks = None
+        if pair.ranked:
+            import tiktoken
+
+            special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+            table = {bytes(map(letters.__getitem__, t)): k for t, k in vocabulary.items() if t not in special}
+            self.ranks = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
         self.forget()
 
     def _piece(self, k: int) -> bytes:
@@ -131,8 +148,16 @@ class Aligner:
 
     def forget(self) -> None:
         self.seen, self.groups, self.chars = Seen(), [], 0
-        self.n_a, self.n_b, self.n_links = [], [], []      # n_links -1: the tokens do not give the text back
-        self.links: list[int] = []
+        self.counts = np.zeros((3, 0), np.int64)           # by unit: tokens of A and B, links (-1: text not given back)
+        self.links = np.zeros(0, np.int64)
+
+    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Tokens of a space and each unit."""
+        if self.ranks is None:
+            a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        else:
+            a = [self.ranks.encode_ordinary(" " + u) if LATIN.fullmatch(u) else self.a.encode(" " + u, add_special_tokens=False).ids for u in units]
+        return a, self.b.encode(units, num_threads=1)
 
     def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
         """Groups and links of the tokens of space + text; None if they spell something else."""
@@ -154,20 +179,47 @@ class Aligner:
                 i0, j0 = i, j
         return ";".join(groups), links
 
+    def all_aligned(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """Groups, link numbers and links of many units in one byte string; None if any does not give its text back."""
+        whole = [b" " + u.encode() for u in units]
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+        last_a, last_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) - 1 for x in (a, b))
+        if not (np.array_equal(ends_a[last_a], ends) and np.array_equal(ends_b[last_b], ends)):
+            return None
+        data = b"".join(whole)
+        if b"".join(map(self.a_bytes.__getitem__, flat_a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, flat_b.tolist())) != data:
+            return None
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        link_a, link_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        unit_ends = np.searchsorted(common, ends)
+        n_links = np.diff(unit_ends + 1, prepend=0)
+        # a token's text and the sign behind it: , inside a side, | after A, ; after a group, line feed after a unit
+        sign_a, sign_b = np.zeros(len(flat_a), np.int64), np.full(len(flat_b), 2)
+        sign_a[link_a], sign_b[link_b] = 1, 3
+        sign_b[link_b[unit_ends]] = 4
+        spelled = np.r_[flat_a * 5 + sign_a, flat_b * 5 + sign_b]
+        order = np.argsort(np.r_[np.searchsorted(common, ends_a) * 2, np.searchsorted(common, ends_b) * 2 + 1], kind="stable")
+        text = "".join(map(self.said.__getitem__, spelled[order].tolist()))
+        return text.split("\n")[:-1], n_links, flat_b[link_b] * self.a_ids + flat_a[link_a]
+
     def learn(self, units: list[str]) -> None:
         """Align units that were not seen before."""
-        for k in range(0, len(units), 4096):
-            some = units[k: k + 4096]
-            for unit, a, b in zip(some, self.a.encode_batch([" " + u for u in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                b = b if unit else [self.b.piece_to_id("▁")]
-                found = self.aligned(unit, a.ids, b)
-                groups, links = found if found is not None else ("", [])
-                self.groups.append(groups)
-                self.links.extend(links)
-                self.n_a.append(len(a.ids))
-                self.n_b.append(len(b))
-                self.n_links.append(len(links) if found is not None else -1)
-                self.chars += len(unit)
+        counts, links = [self.counts], [self.links]
+        for k in range(0, len(units), 16384):
+            some = units[k: k + 16384]
+            a, b = self.encoded(some)
+            found = self.all_aligned(some, a, b) if all(b) else None
+            if found is None:
+                one_by_one = [self.aligned(*x) for x in zip(some, a, b)]
+                found = ([f[0] if f else "" for f in one_by_one], np.array([len(f[1]) if f else -1 for f in one_by_one], np.int64),
+                         np.array([x for f in one_by_one if f for x in f[1]], np.int64))
+            self.groups += found[0]
+            counts.append(np.stack([np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b)), found[1]]))
+            links.append(found[2])
+            self.chars += sum(map(len, some))
+        self.counts, self.links = np.concatenate(counts, axis=1), np.concatenate(links)
 
     def block(self, texts: list[bytes | None]) -> Block:
         if len(self.seen) > CACHED or self.chars > CACHED_CHARS:
@@ -176,22 +228,20 @@ class Aligner:
         decoded = [t.decode() if t else None for t in texts]
         units = [list(map(self.seen.__getitem__, units_of(t) if self.apart else [t])) if t else [] for t in decoded]
         if len(self.seen) > before:
-            self.learn(list(self.seen)[before:])
-        n_a, n_b, n_links = (np.array(x, np.int64) for x in (self.n_a, self.n_b, self.n_links))
-        ends = np.cumsum(n_links.clip(0)) if len(n_links) else n_links
-        links, groups = np.array(self.links, np.int64), []
+            self.learn(list(islice(self.seen, before, None)))
+        n_links, groups = self.counts[2], []
+        ends = np.cumsum(n_links.clip(0))
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         flat = np.fromiter(chain.from_iterable(units), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(units)), sizes)
         broken = np.zeros(len(units), bool)
         broken[owner[n_links[flat] < 0]] = True
-        flat, owner = flat[~broken[owner]], owner[~broken[owner]]
-        counts = np.zeros((3, len(units)), np.int64)
-        for row, values in zip(counts, (n_a, n_b, n_links)):
-            np.add.at(row, owner, values[flat])
+        if broken.any():
+            flat, owner = flat[~broken[owner]], owner[~broken[owner]]
         many = n_links[flat]
+        counts = np.stack([np.bincount(owner, row[flat], len(units)).astype(np.int64) for row in self.counts])
         done = np.cumsum(many)
-        keys = links[np.repeat(ends[flat] - many - (done - many), many) + np.arange(int(done[-1]) if len(done) else 0)] if len(flat) else links[:0]
+        keys = self.links[np.repeat(ends[flat] - done, many) + np.arange(int(many.sum()))]
         places = np.repeat(owner, many)
         for k, own in enumerate(units):
             text = None if broken[k] or not own else ";".join(map(self.groups.__getitem__, own))
