@@ -9,7 +9,7 @@ from casegraph import fixed_values as fv
 from casegraph import schemas
 from casegraph.functions import net, urls
 from casegraph.functions.binding import explode_rows, with_bound
-from casegraph.functions.ordered import first_wins
+from casegraph.functions.ordered import first_wins, ranked
 from casegraph.session import shared_folder
 
 
@@ -23,26 +23,36 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 
 def expand_cidr(prefixes: DataFrame, cidr: str = "cidr", budget: int | None = None) -> DataFrame:
-    """(cidr, address): addresses from the masked network upward, all or at most `budget` per prefix.
+    """(cidr, address): addresses from the masked network upward, all of them or at most `budget` (up to 2^62) per prefix.
 
-    Only the last 32 bits are counted up: a v6 prefix shorter than /96 lists its first 2^32 addresses."""
+    An address is eight groups of 16 bits (a v4 address is the last two); each group is counted up by its own host bits,
+    so neither an array nor a number grows with the range, whatever its prefix length. A budget is the index of the last
+    address in the same groups: a group is cut short while all groups before it stand at their last value."""
     parsed = with_bound(
         prefixes.select(F.col(cidr).alias("cidr")), hex=net.cidr_network(F.col("cidr")), prefix=net.cidr_prefix(F.col("cidr")))
     masked = with_bound(parsed, net=net.masked_hex(F.col("hex"), F.col("prefix"))).filter(F.col("net").isNotNull())
-    host_bits = F.least(F.length("net") * 4 - F.col("prefix"), F.lit(32))
-    last = F.pow(F.lit(2), host_bits).cast("long") - 1
-    if budget is not None:
-        last = F.least(last, F.lit(max(1, budget) - 1).cast("long"))
-    # in runs of 2^16, so that no array grows with the range
-    runs = masked.select("cidr", "net", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / 65536))).alias("run"))
-    low, high = F.col("run") * 65536, F.least(F.col("last"), F.col("run") * 65536 + 65535)
-    rows = runs.select("cidr", "net", F.explode(F.sequence(low, high)).alias("i"))
-    v4 = F.length("net") == 8
-    base4 = F.conv("net", 16, 10).cast("long")
-    # a v6 address only changes its last 32 bits, and without a carry: its host bits start at zero
-    low6 = F.conv(F.substring("net", 25, 8), 16, 10).cast("long")
-    address6 = net.v6_text(F.concat(F.substring("net", 1, 24), F.lower(F.lpad(F.hex(low6 + F.col("i")), 8, "0"))))
-    return rows.select("cidr", F.when(v4, net.v4_text(base4 + F.col("i"))).otherwise(address6).alias("address"))
+    rows = masked.select(
+        "cidr", F.lpad("net", 32, "0").alias("digits"), (F.length("net") == 8).alias("v4"),
+        (F.length("net") * 4 - F.col("prefix")).alias("host_bits"), F.lit(True).alias("tight"), F.lit("").alias("done"))
+    for group in range(8):
+        ones = F.least(F.greatest(F.col("host_bits") - 16 * (7 - group), F.lit(0)), F.lit(16))
+        top = F.call_function("shiftleft", F.lit(1), ones) - 1
+        if budget is not None:
+            shift = 16 * (7 - group)
+            end = (max(1, budget) - 1) >> shift
+            above = F.lit(end) if group == 0 else F.when(F.col("tight"), F.least(top, F.lit(end & 0xFFFF))).otherwise(top)
+            # a budget beyond the range leaves a higher group above its own last value: nothing is cut then
+            beyond = F.col("host_bits") < F.lit((max(1, budget) - 1).bit_length())
+            last = F.when(beyond, top).otherwise(F.least(above, top))
+        else:
+            last = top
+        counted = rows.withColumn("last", last.cast("int")).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        value = F.conv(F.substring("digits", 4 * group + 1, 4), 16, 10).cast("int") + F.col("n")
+        rows = counted.select(
+            "cidr", "digits", "v4", "host_bits", (F.col("tight") & (F.col("n") == F.col("last"))).alias("tight"),
+            F.concat("done", F.lower(F.lpad(F.hex(value), 4, "0"))).alias("done"))
+    v4 = net.v4_text(F.conv(F.substring("done", 25, 8), 16, 10).cast("long"))
+    return rows.select("cidr", F.when(F.col("v4"), v4).otherwise(net.v6_text(F.col("done"))).alias("address"))
 
 
 def non_public_ranges(prefixes: DataFrame, cidr: str = "cidr") -> DataFrame:
@@ -53,22 +63,28 @@ def non_public_ranges(prefixes: DataFrame, cidr: str = "cidr") -> DataFrame:
     return edges.filter(net.overlaps_non_public(F.col("low"), F.col("high"))).select("cidr").distinct()
 
 
-def refused_ranges(expanded: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Prefixes with any address that is not allowed: the whole range is refused."""
-    return expanded.join(allowed.select("address"), "address", "left_anti").select("cidr").distinct()
-
+def candidate_names(labels: DataFrame, domains: DataFrame, order: list[str], budget: int | None = None,
+                    block: int = 1024, salts: int = 8) -> DataFrame:
+    """label.domain names: trim, lower, distinct, with a `budget` the first so many labels in `order`, then the label rule
+    (labels that break it use the budget).
 
-def candidate_names(labels: DataFrame, domains: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """label.domain names: trim, lower, distinct, first `budget` labels, then the label rule (bad labels use budget).
-
-    The label list is bounded by `budget` (<= 100 000), so it travels as one array to each domain."""
-    budget = max(1, min(budget, 100_000))
+    A product by definition, dealt out in parts: labels by rank into blocks of `block`, domains into `salts` shares; each
+    task joins one block with one share. No side is gathered or broadcast, and a share is as large as its domains make it."""
     cleaned = labels.withColumn("label", F.lower(F.trim("label"))).filter(F.col("label") != "")
-    first = first_wins(cleaned.select("label", *order), ["label"], order).orderBy(*order).limit(budget)
-    packed = first.filter(F.col("label").rlike(fv.LABEL_PATTERN)).agg(F.collect_list("label").alias("labels"))
+    numbered = ranked(first_wins(cleaned.select("label", *order), ["label"], order), [], [*map(F.col, order), F.col("label")], "rank")
+    if budget is not None:
+        numbered = numbered.filter(F.col("rank") <= max(1, budget))
+    blocks = (
+        numbered.filter(F.col("label").rlike(fv.LABEL_PATTERN))
+        .groupBy(F.floor((F.col("rank") - 1) / block).alias("block")).agg(F.collect_list("label").alias("labels")))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).checkpoint()
+    numbers = blocks.filter("salt = 0").agg(F.max("block")).first()[0]
+    if numbers is None:
+        return domains.limit(0).select(F.lit("").alias("name"), "domain", F.lit("").alias("label"))
+    shares = domains.select("domain", F.pmod(F.xxhash64("domain"), F.lit(salts)).cast("int").alias("salt"),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers).cast("long"))).alias("block"))
     return (
-        domains.withColumn("__one", F.lit(1)).join(F.broadcast(packed.withColumn("__one", F.lit(1))), "__one")
-        .select("domain", F.explode("labels").alias("label"))
+        shares.join(blocks, ["block", "salt"]).select("domain", F.explode("labels").alias("label"))
         .select(F.concat_ws(".", "label", F.rtrim("domain", F.lit("."))).alias("name"), "domain", "label")
     )
 

@@ -203,14 +203,20 @@ def new_resources(spark, d):
 
 
 @query("expand_cidr", f"""
-WITH {NETWORKS_SQL}, small AS (SELECT base, 22 + prefix % 11 AS p FROM networks)
+WITH {NETWORKS_SQL}, small AS (SELECT base, 22 + prefix % 11 AS p FROM networks),
+wide AS (SELECT printf('2001:db8:%x:%x:1:2:', 1 + s_suppkey, 1 + prefix) AS head, 107 + prefix % 22 AS p FROM networks)
 SELECT {V4_SQL('base')} || '/' || p AS cidr, {V4_SQL('low + i')} AS address FROM (
-  SELECT base, p, (base >> (32 - p)) << (32 - p) AS low, unnest(range(0, 1 << (32 - p))) AS i FROM small)""")
+  SELECT base, p, (base >> (32 - p)) << (32 - p) AS low, unnest(range(0, 1 << (32 - p))) AS i FROM small)
+UNION ALL
+SELECT head || '40:1/' || p, head || printf('%x:%x', 64 + (i >> 16), i & 65535) FROM (
+  SELECT head, p, CASE WHEN p = 128 THEN 1 ELSE 0 END + unnest(range(0, 1 << (128 - p))) AS i FROM wide)""")
 def expand_cidr(spark, d):
-    """Every address of prefixes of length 22 to 32."""
-    prefixes = networks(spark, d).select(F.concat(
-        F.substring_index("cidr", "/", 1), F.lit("/"), (F.substring_index("cidr", "/", -1).cast("int") % 11 + 22).cast("string")).alias("cidr"))
-    return disc.expand_cidr(prefixes)
+    """Every address of v4 prefixes of length 22 to 32 and of v6 prefixes of length 107 to 128."""
+    given = networks(spark, d)
+    prefix = F.substring_index("cidr", "/", -1).cast("int")
+    v4 = F.concat(F.substring_index("cidr", "/", 1), F.lit("/"), (prefix % 11 + 22).cast("string"))
+    v6 = F.format_string("2001:db8:%x:%x:1:2:40:1/%d", F.col("s_suppkey") + 1, prefix + 1, prefix % 22 + 107)
+    return disc.expand_cidr(given.select(F.explode(F.array(v4, v6)).alias("cidr")))
 
 
 @query("refused_ranges", f"""
@@ -224,7 +230,7 @@ def refused_ranges(spark, d):
 @query("candidate_names", f"""
 WITH l AS (SELECT lower(trim(p_name)) AS label, 2 * min(p_partkey) AS o FROM part GROUP BY 1 UNION ALL
            SELECT lower(replace(p_name, ' ', '-')) AS label, 2 * min(p_partkey) + 1 FROM part GROUP BY 1),
-f AS (SELECT label, min(o) AS o FROM l GROUP BY 1 ORDER BY o LIMIT 60)
+f AS (SELECT DISTINCT label FROM l)
 SELECT label || '.' || h AS name, h AS domain FROM f, (SELECT DISTINCT {host_sql('url')} AS h FROM pages)
 WHERE regexp_matches(label, '^[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?$')""")
 def candidate_names(spark, d):
@@ -232,7 +238,7 @@ def candidate_names(spark, d):
     labels = part.select(F.concat(F.lit(" "), F.upper("p_name")).alias("label"), (F.col("p_partkey") * 2).alias("o")).unionByName(
         part.select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("label"), (F.col("p_partkey") * 2 + 1).alias("o")))
     domains = pages(spark, d).select(urls.host(F.col("url")).alias("domain")).distinct()
-    return disc.candidate_names(labels, domains, 60, ["o"]).select("name", "domain")
+    return disc.candidate_names(labels, domains, ["o"]).select("name", "domain")
 
 
 SUFFIXES_SQL = "['~', '.bak', '.old', '.orig', '.save', '.zip']"

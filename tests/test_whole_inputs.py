@@ -164,3 +164,38 @@ def test_user_info_beside_an_ascii_host(rows):
     assert [r.c for r in df.select(urls.canonical_url(F.col("u")).alias("c")).collect()] == ["https://%C3%BCser@e.test/a", None]
     assert {r.u: r.c for r in urls.with_canonical_url(df, "u", "c").collect()} == {
         "https://\u00fcser@E.test/a": "https://%C3%BCser@e.test/a", "https://b\u00fccher.test/a": "https://xn--bcher-kva.test/a"}
+
+
+def test_every_prefix_length_is_counted(rows):
+    """Against the standard library: ranges across groups, and the first addresses of ranges that no one can list."""
+    import ipaddress
+    from itertools import islice
+
+    cidrs = ["10.255.0.0/15", "192.0.2.255/32", "2001:db8::/110", "2001:db8:0:ffff::/111", "2001:db8::7/128", "::ffff:0:0/116"]
+    got = {}
+    for r in discovery.expand_cidr(rows([(c,) for c in cidrs], "cidr string")).collect():
+        got.setdefault(r.cidr, []).append(r.address)
+    for c in cidrs:
+        expected = {str(a) if a.version == 4 else a for a in ipaddress.ip_network(c, strict=False)}
+        assert len(got[c]) == len(expected) and {a if ":" not in a else ipaddress.ip_address(a) for a in got[c]} == expected
+    wide = ["2001:db8::/32", "2001:db8:1:2::/64", "::/0", "0.0.0.0/0", "2001:db8::fffe/127", "198.51.100.0/30"]
+    for budget in (1, 3, 70_000):
+        first = {}
+        for r in discovery.expand_cidr(rows([(c,) for c in wide], "cidr string"), budget=budget).collect():
+            first.setdefault(r.cidr, []).append(int(ipaddress.ip_address(r.address)))
+        for c in wide:
+            net = ipaddress.ip_network(c, strict=False)
+            assert sorted(first[c]) == [int(net.network_address) + k for k in range(min(budget, net.num_addresses))]
+
+
+def test_candidate_names_without_and_with_a_budget(rows):
+    labels = [(f" L{k} ", k) for k in range(2500)] + [("l7", 0), ("bad label", -2), ("", -1), ("-x", 5000)]
+    domains = [f"d{k}.test" for k in range(30)] + ["dot.test."]
+    df, dom = rows(labels, "label string, o long"), rows([(d,) for d in domains], "domain string")
+    got = {(r.name, r.domain) for r in discovery.candidate_names(df, dom, ["o"], block=64, salts=3).collect()}
+    assert got == {(f"l{k}.{d.rstrip('.')}", d) for k in range(2500) for d in domains}
+    some = discovery.candidate_names(df, dom, ["o"], budget=4).collect()
+    assert len(some) == 3 * len(domains) and {r.label for r in some} == {"l0", "l7", "l1"}   # the bad label used the fourth
+    plan = discovery.candidate_names(df, dom, ["o"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "broadcast" not in plan.lower()
+    assert discovery.candidate_names(df.limit(0), dom, ["o"]).count() == 0
