@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from casegraph import fixed_values as fv
 from casegraph.functions.urls import canonical_url
@@ -13,9 +13,6 @@ from casegraph.plans.evidence import analyze
 from casegraph.plans.registry import ExtractorRegistry
 
 
-KEPT_STATES = 10  # replays read one state back; older tables are only kept for inspection
-
-
 def _unique_per_batch(batches):
     """Thin out repeats inside each Arrow batch before the shuffle: a URL that makes up a third of the stream reaches
     its state partition about once per ten thousand rows. The stateful step behind it stays exact."""
@@ -74,55 +71,137 @@ def stream_attempt_sessions(
     )
 
 
-def stream_endpoint_health(
-    attempts: DataFrame, state_path: str, checkpoint: str, lateness_seconds: int = 0, slice_seconds: int = att.SLICE_SECONDS
-) -> StreamingQuery:
-    """Running endpoint health, one state table per micro-batch under `state_path/batch=<n>`.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SUMMARY = (
+    "success_count long, failure_count long, latency_sum double, first_latency double, tail_failures long, last_us long, "
+    "last_outcome string, cooldown_us long"
+)
+SUMMARY_COLUMNS = [field.split()[0] for field in SUMMARY.split(", ")]
+
+
+def _slice_summary(rows: Column) -> Column:
+    """Fold of one time slice's attempts (array of structs in time order): the summary that slices are merged by."""
+    empty = F.struct(
+        F.lit(0).cast("long").alias("success_count"), F.lit(0).cast("long").alias("failure_count"), F.lit(0.0).alias("latency_sum"),
+        F.lit(None).cast("double").alias("first_latency"), F.lit(0).cast("long").alias("tail_failures"),
+        F.lit(None).cast("long").alias("last_us"), F.lit(None).cast("string").alias("last_outcome"), F.lit(None).cast("long").alias("cooldown_us"))
+
+    def step(s: Column, r: Column) -> Column:
+        latency = r["duration_ms"].cast("double")
+        until = r["us"] + F.coalesce(r["retry"], F.lit(float(fv.COOLDOWN_SECONDS))).cast("decimal(18,6)") * 1_000_000
+        good = F.struct(
+            (s["success_count"] + 1).alias("success_count"), s["failure_count"].alias("failure_count"),
+            (s["latency_sum"] * fv.EWMA_KEEP + F.coalesce(latency * fv.EWMA_NEW, F.lit(0.0))).alias("latency_sum"),
+            F.when(s["success_count"] == 0, latency).otherwise(s["first_latency"]).alias("first_latency"),
+            F.lit(0).cast("long").alias("tail_failures"), r["us"].alias("last_us"), r["outcome"].alias("last_outcome"),
+            F.lit(None).cast("long").alias("cooldown_us"))
+        bad = F.struct(
+            s["success_count"].alias("success_count"), (s["failure_count"] + 1).alias("failure_count"), s["latency_sum"].alias("latency_sum"),
+            s["first_latency"].alias("first_latency"), (s["tail_failures"] + 1).alias("tail_failures"), r["us"].alias("last_us"),
+            r["outcome"].alias("last_outcome"),
+            F.when(r["outcome"].isin(fv.ROTATING_OUTCOMES), until.cast("long")).otherwise(s["cooldown_us"]).alias("cooldown_us"))
+        return F.when(r["outcome"] == "success", good).otherwise(bad)
+
+    return F.aggregate(rows, empty, step)
+
+
+def merged_summary(older: tuple | None, newer: tuple) -> tuple:
+    """Two summaries of one endpoint, in time order, as one."""
+    if older is None:
+        return newer
+    succeeded, failed, latency, first, tail, _, _, cooldown = older
+    k = newer[0]
+    return (
+        succeeded + k, failed + newer[1], latency * fv.EWMA_KEEP ** k + newer[2], first if succeeded else newer[3],
+        newer[4] if k else tail + newer[4], newer[5], newer[6], newer[7] if k or newer[7] is not None else cooldown)
 
-    Every batch is reduced to time-slice summaries by ordinary aggregation, so a busy endpoint is spread over its
-    slices; the stored state enters the merge as an earlier summary. Batch n reads state n-1 and overwrites state n:
-    a replay after a failure gives the same table. An attempt older than its endpoint's newest merged attempt minus
-    `lateness_seconds` is late and dropped; later ones are folded in arrival-batch order."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            state = spark.read.parquet(f"{state_path}/batch={batch_id - 1}")
-            newest = state.select("endpoint_id", F.col("last_order.at").cast("timestamp").alias("__newest"))
-            batch = (
-                batch.join(newest, "endpoint_id", "left")
-                .filter(F.col("__newest").isNull() | (
-                    F.col("attempted_at").cast("timestamp") >= F.col("__newest") - F.make_dt_interval(secs=F.lit(lateness_seconds))))
-                .drop("__newest")
-            )
-            chunks = att.attempt_chunks(batch, slice_seconds).unionByName(state.withColumn("chunk", F.lit(-1).cast("long")))
-        else:
-            chunks = att.attempt_chunks(batch, slice_seconds)
-        att.combine_chunks(chunks).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-        _delete(batch.sparkSession, f"{state_path}/batch={batch_id - KEPT_STATES}")
+class EndpointHealth(StatefulProcessor):
+    """Keyed state: an endpoint's summary and the end of its newest slice. The slices of a batch all end after those of
+    earlier batches, as an append-mode window is closed once by the watermark, so they are merged in order of their end.
+    With `forget_seconds`, an event-time timer drops an endpoint that has been quiet for so long."""
 
-    return (
-        attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    def __init__(self, forget_seconds: int | None):
+        self.forget_ms = None if forget_seconds is None else forget_seconds * 1000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.summary = handle.getValueState("summary", f"slice_us long, {SUMMARY}")
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    """Remove an old state table, on whatever file system holds it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
 
+        slices = pd.concat(list(rows)).sort_values("slice_us")
+        stored = self.summary.get() if self.summary.exists() else None
+        merged, end = (None, None) if stored is None else (tuple(stored[1:]), stored[0])
+        before = end
+        for row in slices.itertuples(index=False):
+            values = [None if pd.isna(v) else v for v in (getattr(row, c) for c in SUMMARY_COLUMNS)]
+            values = [int(v) if c in _WHOLE and v is not None else v for c, v in zip(SUMMARY_COLUMNS, values)]
+            merged, end = merged_summary(merged, tuple(values)), int(row.slice_us)
+        self.summary.update((end, *merged))
+        if self.forget_ms is not None:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.forget_ms)
+            self.handle.registerTimer(end // 1000 + self.forget_ms)
+        frame = pd.DataFrame([(key[0], end, *merged)], columns=["endpoint_id", "slice_us", *SUMMARY_COLUMNS])
+        yield frame.astype({c: "Int64" for c in ("slice_us", *_WHOLE)})
 
-def latest_health(spark: SparkSession, state_path: str) -> DataFrame:
-    """Health rows of the newest complete state table."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [
-        int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return att.health_view(spark.read.parquet(f"{state_path}/batch={max(done)}"))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.summary.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+_WHOLE = ("success_count", "failure_count", "tail_failures", "last_us", "cooldown_us")
+
+
+def stream_endpoint_health(
+    attempts: DataFrame, out: str, checkpoint: str, delay: str = "0 seconds", slice_seconds: int = att.SLICE_SECONDS,
+    forget_seconds: int | None = None,
+) -> StreamingQuery:
+    """Running endpoint health as a change log under `out`: one row per endpoint that a batch changed.
+
+    Attempts wait in (endpoint, time slice) windows until the watermark (newest attempt less `delay`) has passed a slice;
+    attempts behind the watermark are late and dropped. A busy endpoint is spread over its slices; what reaches its keyed
+    state (RocksDB, one value per endpoint) is one summary a slice. Rows without an endpoint only move the watermark."""
+    retry = F.col("retry_after_seconds").cast("double") if "retry_after_seconds" in attempts.columns else F.lit(None).cast("double")
+    key = attempts.schema["endpoint_id"].dataType.simpleString()
+    rows = F.struct(F.unix_micros("attempted_at").alias("us"), "id", "outcome", "duration_ms", retry.alias("retry"))
+    slices = (
+        attempts.withColumn("attempted_at", F.col("attempted_at").cast("timestamp")).withWatermark("attempted_at", delay)
+        .groupBy("endpoint_id", F.window("attempted_at", f"{slice_seconds} seconds").alias("w"))
+        .agg(F.sort_array(F.collect_list(rows)).alias("rows"), F.count("endpoint_id").alias("known"))
+        .filter("known > 0")  # on a count: a test of the key would move below the watermark and hide the row from it
+        .select("endpoint_id", F.window_time("w").alias("event_time"), F.unix_micros("w.end").alias("slice_us"), _slice_summary(F.col("rows")).alias("s"))
+        .select("endpoint_id", "event_time", "slice_us", "s.*")
+    )
+    changes = slices.groupBy("endpoint_id").transformWithStateInPandas(
+        EndpointHealth(forget_seconds), f"endpoint_id {key}, slice_us long, {SUMMARY}", "Append", "EventTime")
+    spark = attempts.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)   # keyed state variables need it; the query keeps a copy of the settings from its start
+    try:
+        return (
+            changes.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(provider, before)
+
+
+def latest_health(spark: SparkSession, out: str) -> DataFrame:
+    """Newest health row of each endpoint in a change log."""
+    newest = spark.read.parquet(out).groupBy("endpoint_id").agg(
+        F.max_by(F.struct(*SUMMARY_COLUMNS), F.struct("slice_us", "success_count", "failure_count")).alias("s"))
+    state = newest.select(
+        "endpoint_id", "s.success_count", "s.failure_count", "s.latency_sum", "s.first_latency", "s.tail_failures",
+        F.struct(F.timestamp_micros("s.last_us").alias("at")).alias("last_order"), "s.last_outcome",
+        F.timestamp_micros("s.cooldown_us").alias("tail_cooldown"))
+    return att.health_view(state)
 
 
 def stream_analyze(

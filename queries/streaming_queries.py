@@ -64,14 +64,17 @@ SELECT endpoint_id, success_count, failure_count, consecutive_failures, round(e,
   epoch_us(cooldown_until) AS cooldown_until_us
 FROM counts JOIN tails USING (endpoint_id) LEFT JOIN ewma USING (endpoint_id)""")
 def stream_endpoint_health(spark, d):
-    """The log arrives in two halves with a restart between them; the state table ends equal to the batch fold."""
+    """The log arrives in two halves with a restart between them and ends with a row without an endpoint, which lets the
+    watermark pass the last attempts; the change log's newest rows equal the batch fold."""
     log = attempts(spark, d).withColumn("attempted_at", F.col("attempted_at").cast("timestamp"))
-    folder, state, checkpoint = (scratch_path(spark, n) for n in ("log", "health", "health-checkpoint"))
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("log", "health", "health-checkpoint"))
     early = F.col("attempted_at") < F.lit(HALF).cast("timestamp")
-    for part in (early, ~early):
-        log.filter(part).write.mode("append").parquet(folder)
-        jobs.stream_endpoint_health(spark.readStream.schema(log.schema).parquet(folder), state, checkpoint).awaitTermination()
-    return health_columns(jobs.latest_health(spark, state))
+    end = log.agg(F.max("attempted_at").alias("newest")).select(
+        *[(F.col("newest") + F.expr("INTERVAL 1 DAY") if f.name == "attempted_at" else F.lit(None).cast(f.dataType)).alias(f.name) for f in log.schema])
+    for part in (log.filter(early), log.filter(~early), end):
+        part.write.mode("append").parquet(folder)
+        jobs.stream_endpoint_health(spark.readStream.schema(log.schema).parquet(folder), out, checkpoint).awaitTermination()
+    return health_columns(jobs.latest_health(spark, out))
 
 
 @query("stream_analyze", "SELECT DISTINCT 'username' AS category, c_name AS original_value FROM customer UNION SELECT DISTINCT 'config.segment', c_mktsegment FROM customer")
