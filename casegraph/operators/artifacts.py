@@ -13,6 +13,7 @@ from casegraph.functions.binding import explode_rows, let, with_bound
 from casegraph.functions.ordered import first_wins
 from casegraph.functions.text import extension_kind, extension_of, literal_map, not_blank
 from casegraph.operators.containers import INVALID, container_entries, zip_kind
+from casegraph.operators import sweep, swept
 from casegraph.operators.observations import observation_rows
 
 
@@ -69,11 +70,15 @@ def byte_entropy(contents: pd.Series) -> pd.Series:
     return contents.map(one)
 
 
+def _risk_patterns() -> list[sweep.Pattern]:
+    return [sweep.anchored(fv.URL, "http://", "https://"), sweep.anchored("(?i)ddeauto", "ddeauto")]
+
+
 def static_risk(artifacts: DataFrame) -> DataFrame:
     """(artifact_id, original_path, size, sha256, kind, content) -> (artifact_id, kind, value, severity) rows.
 
-    Row-level rules are built in one pass and exploded; only containers are opened."""
-    text = F.decode("content", "ISO-8859-1")
+    Row-level rules are built in one pass and exploded; markers and URLs come from one sweep of the content; only
+    containers are opened."""
     row = lambda kind, value, severity: F.struct(
         F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(severity).alias("severity")
     )
@@ -88,18 +93,12 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
                 "medium")),
             F.when(F.startswith(F.hex(F.substring("content", 1, 2)), F.lit("4D5A")),
                    row("embedded_executable", F.lit("MZ header"), "high")),
-            F.when(F.contains(F.upper(text), F.lit("DDEAUTO")), row("dde", F.lit("DDEAUTO marker"), "high")),
+            F.when(F.exists("__hits", lambda h: h["pattern_no"] == 1), row("dde", F.lit("DDEAUTO marker"), "high")),
         ),
-        F.when(
-            F.contains(F.lower(text), F.lit("://")),
-            F.transform(
-                F.regexp_extract_all(text, F.lit(fv.URL), F.lit(0)),
-                lambda u: row("url", u, "informational"),
-            ),
-        ).otherwise(F.array().cast("array<struct<kind:string,value:string,severity:string>>")),
+        F.transform(F.filter("__hits", lambda h: h["pattern_no"] == 0), lambda h: row("url", h["value"], "informational")),
     )
-    base = explode_rows(artifacts.withColumn("__entropy", byte_entropy("content")), rules, "r", "artifact_id").select(
-        "artifact_id", "r.*")
+    marked = artifacts.withColumns({"__entropy": byte_entropy("content"), "__hits": swept.binary_hits(_risk_patterns, wide=False)(F.col("content"))})
+    base = explode_rows(marked, rules, "r", "artifact_id").select("artifact_id", "r.*")
     return base.unionByName(container_risk(artifacts))
 
 
@@ -127,22 +126,12 @@ def container_risk(artifacts: DataFrame) -> DataFrame:
     )
 
 
-IMAGE_SPAN = (
-    r"(?s)\xff\xd8\xff.*?\xff\xd9|\x89PNG\r\n\x1a\n.*?IEND\xae\x42\x60\x82"
-)
-
-
 def embedded_images(artifacts: DataFrame, extractor: str = "builtin.indesign", location: str = "indesign") -> DataFrame:
     """Complete JPEG and PNG spans inside a content, as `format:length`."""
-    found = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(IMAGE_SPAN), F.lit(0))
-    spans = explode_rows(
-        artifacts, found, "span", "artifact_id", position="image_no")
-    rows = spans.select(
+    images = explode_rows(artifacts, swept.image_spans("content"), "image", "artifact_id", position="image_no")
+    rows = images.select(
         "artifact_id", F.lit("embedded_image").alias("category"),
-        F.concat(
-            F.when(F.startswith("span", F.lit("\xff\xd8\xff")), "jpeg").otherwise("png"), F.lit(":"),
-            F.char_length("span").cast("string"),
-        ).alias("value"),
+        F.concat("image.format", F.lit(":"), F.col("image.size").cast("string")).alias("value"),
         F.concat(F.lit(f"{location}/image:"), F.col("image_no").cast("string")).alias("location"),
         F.lit(1.0).alias("confidence"), "image_no",
     )
@@ -195,30 +184,31 @@ def _utf16_hex(digits: Column) -> Column:
     )
 
 
-def _pdf_tokens(text: Column, number: int, key: str, category: str, location: str, guard: str, confidence: float) -> Column:
-    """Every token of one key in file order, with its string or the empty string. Info keys number from the second
-    occurrence on, file-specification keys always."""
-    found = F.regexp_extract_all(text, F.lit(f"/{key}{guard}{_PDF_GAP}{_PDF_STRING}"), F.lit(1))
-    numbered = lambda i: F.concat(F.lit(location + ":"), i.cast("string"))
-    place = (lambda i: F.when(i == 0, F.lit(location)).otherwise(numbered(i))) if guard else numbered
-    return F.transform(found, lambda v, i: F.struct(
-        F.lit(number).alias("key_no"), i.alias("occurrence"), v.alias("token"), F.lit(category).alias("category"),
-        place(i).alias("location"), F.lit(confidence).alias("confidence")))
+#: (key, category, location, what may not follow, confidence) in the order of precedence.
+_PDF_KEYS = [(k, c, f"pdf/info/{k}", rf"(?!{_PDF_NAME_CHAR})", 1.0) for k, c in fv.PDF_INFO_KEYS.items()]
+_PDF_KEYS += [(k, c, f"pdf/filespec/{k}", "", 0.85) for k, c in fv.PDF_FILE_KEYS.items()]
+
+
+def _pdf_patterns() -> list[sweep.Pattern]:
+    """A key's name, then perhaps a string: the string is the value."""
+    return [sweep.anchored(f"/{key}{guard}{_PDF_GAP}{_PDF_STRING}", f"/{key}", group=1) for key, _, _, guard, _ in _PDF_KEYS]
 
 
 def pdf_info(artifacts: DataFrame) -> DataFrame:
-    """Info dictionary and file-specification strings of uncompressed PDF objects."""
-    text = F.decode("content", "ISO-8859-1")
-    keys = [(k, c, f"pdf/info/{k}", rf"(?!{_PDF_NAME_CHAR})", 1.0) for k, c in fv.PDF_INFO_KEYS.items()]
-    keys += [(k, c, f"pdf/filespec/{k}", "", 0.85) for k, c in fv.PDF_FILE_KEYS.items()]
-    hits = [_pdf_tokens(text, number, *key) for number, key in enumerate(keys)]
+    """Info dictionary and file-specification strings of uncompressed PDF objects, all keys in one sweep. Info keys number
+    from the second occurrence on, file-specification keys always."""
     pdfs = artifacts.filter(F.startswith(F.hex(F.substring("content", 1, 5)), F.lit("255044462D")))
-    rows = (
-        explode_rows(pdfs, F.flatten(F.array(*hits)), "h", "artifact_id").select("artifact_id", "h.*")
-        .filter(F.col("token") != "")
-        .transform(lambda tokens: with_bound(tokens, value=let(F.col("token"), _pdf_string)))
-        .filter(not_blank(F.col("value")))
-    )
+    hits = swept.binary_hits(_pdf_patterns, wide=False, fold=False)(F.col("content"))
+    tokens = explode_rows(pdfs, hits, "h", "artifact_id").select(
+        "artifact_id", F.col("h.pattern_no").alias("key_no"), F.col("h.match_no").alias("occurrence"), F.col("h.value").alias("token")
+    ).filter(F.col("token") != "")
+    of_key = lambda values: F.get(F.array(*map(F.lit, values)), F.col("key_no"))
+    place = of_key([k[2] for k in _PDF_KEYS])
+    plain = of_key([bool(k[3]) for k in _PDF_KEYS]) & (F.col("occurrence") == 0)
+    rows = with_bound(tokens, value=let(F.col("token"), _pdf_string)).filter(not_blank(F.col("value"))).select(
+        "artifact_id", "key_no", "occurrence", "value", of_key([k[1] for k in _PDF_KEYS]).alias("category"),
+        F.when(plain, place).otherwise(F.concat(place, F.lit(":"), F.col("occurrence").cast("string"))).alias("location"),
+        of_key([k[4] for k in _PDF_KEYS]).alias("confidence"))
     return observation_rows(
         rows, "builtin.pdf", ["key_no", "occurrence"], ["category", "normalized_value", "location"]
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from casegraph import fixed_values as fv
 from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.ordered import match_array
 from casegraph.functions.text import html_decode, map_text_key, map_xmp_property, trim_ws
+from casegraph.operators import sweep, swept
 from casegraph.operators.observations import observation_rows
 
 LINE_BREAK = r"\r\n|\n|\r"
@@ -74,42 +77,29 @@ def _decoded(content: bytes | None, encoding: str) -> str | None:
     return None if content is None else bytes(content).decode(encoding, errors="replace")
 
 
-@F.pandas_udf(T.StringType())
-def _utf16_text(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda b: _decoded(b, "utf-16-le"))
-
-
 @F.pandas_udf(T.StringType())
 def wide_text(contents: pd.Series) -> pd.Series:
     """Text of UTF-16 or UTF-32 bytes, told apart by their byte order mark, which goes."""
     return contents.map(lambda b: _decoded(b, "utf-32" if b is not None and bytes(b[:4]) in (b"\xff\xfe\x00\x00", b"\x00\x00\xfe\xff") else "utf-16"))
 
 
-def decoded_texts(artifacts: DataFrame) -> DataFrame:
-    """Both readings of a binary: Latin-1 in the JVM, UTF-16LE with replacement of broken units by Arrow."""
-    return artifacts.select(
-        "artifact_id",
-        F.posexplode(F.array(F.decode("content", "ISO-8859-1"), _utf16_text("content"))).alias("pass_no", "text"),
-    )
-
-
-def _hits(text: Column, pattern_no: int, pattern: str, limit: int | None = None) -> Column:
-    """array<struct<pattern_no, match_no, value>>: the matches of one pattern, or the first `limit`."""
-    return F.transform(
-        match_array(text, pattern, 0, limit),
-        lambda v, i: F.struct(F.lit(pattern_no).alias("pattern_no"), i.alias("match_no"), v.alias("value")),
-    )
+def _scan(artifacts: DataFrame, patterns: Callable[[], list[sweep.Pattern]], limit: int | None = None) -> DataFrame:
+    """All hits of all patterns in both readings of each content as rows, one pass a reading; a `limit` holds per reading
+    and pattern."""
+    hits = swept.binary_hits(patterns, limit)(F.col("content"))
+    return explode_rows(artifacts, hits, "h", "artifact_id").select("artifact_id", "h.*")
 
 
-def _scan(texts: DataFrame, patterns: list[str], limit: int | None = None) -> DataFrame:
-    """All pattern hits of all texts as rows; a `limit` holds per text and pattern, before the explode."""
-    hits = F.flatten(F.array(*[_hits(F.col("text"), no, p, limit) for no, p in enumerate(patterns)]))
-    return explode_rows(texts, hits, "h", "artifact_id", "pass_no").select("artifact_id", "pass_no", "h.*")
+def _string_patterns() -> list[sweep.Pattern]:
+    return [
+        sweep.email(guarded=True), sweep.anchored(fv.UNC_PATH, "\\\\"), sweep.anchored(fv.URL, "http://", "https://"),
+        sweep.anchored(fv.WINDOWS_PATH, ":\\", back=1), sweep.loose_element("dc", "xmp", "pdf", "photoshop"),
+    ]
 
 
 def binary_strings(artifacts: DataFrame, limit: int | None = None) -> DataFrame:
     """E-mails, UNC paths and their hosts, URLs, Windows paths and their users, XMP properties."""
-    hits = _scan(decoded_texts(artifacts), [fv.EMAIL, fv.UNC_PATH, fv.URL, fv.WINDOWS_PATH, fv.XMP_STRING], limit)
+    hits = _scan(artifacts, _string_patterns, limit)
     v = F.col("value")
     field = lambda category, value, location, confidence: F.struct(
         F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"),
@@ -139,10 +129,28 @@ def binary_strings(artifacts: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-INDICATORS = [
-    (fv.EMAIL_UNGUARDED, "email", 0.75), (fv.INDICATOR_URL, "url", 0.75), (fv.INDICATOR_PATH, "path", 0.72),
-    (fv.INDICATOR_PRINTER, "printer", 0.7), (fv.INDICATOR_APPLICATION, "application", 0.68),
-]
+INDICATORS = [("email", 0.75), ("url", 0.75), ("path", 0.72), ("printer", 0.7), ("application", 0.68)]
+
+
+def _indicator_patterns() -> list[sweep.Pattern]:
+    return [
+        sweep.email(guarded=False), sweep.anchored(fv.INDICATOR_URL, "http://", "https://", "ftp://", "ldap://"),
+        _indicator_path(), sweep.anchored(fv.INDICATOR_PRINTER, "winspool", "printer", "printto"),
+        sweep.anchored(
+            fv.INDICATOR_APPLICATION, "adobe", "acrobat", "indesign", "libreoffice", "openoffice", "microsoft word",
+            "microsoft excel", "microsoft powerpoint", "corel wordperfect"),
+    ]
+
+
+def _indicator_path() -> sweep.Pattern:
+    """A path starts at two backslashes, or at the letter before a colon and a backslash."""
+    drive, share = sweep.anchored(fv.INDICATOR_PATH, back=1), sweep.anchored(fv.INDICATOR_PATH)
+
+    def on(text: str) -> sweep.Check:
+        at_drive, at_share = drive.on(text), share.on(text)
+        return lambda at, done: (at_drive if text[at] == ":" else at_share)(at, done)
+
+    return sweep.Pattern((":\\", "\\\\"), on)
 
 
 def legacy_indicators(
@@ -150,9 +158,9 @@ def legacy_indicators(
     limit: int | None = None,
 ) -> DataFrame:
     """Indicator phrases in both readings; first wins per (category, normalized value, location)."""
-    hits = _scan(decoded_texts(artifacts), [p for p, _, _ in INDICATORS], limit)
-    categories = F.array(*[F.lit(c) for _, c, _ in INDICATORS])
-    confidences = F.array(*[F.lit(c) for _, _, c in INDICATORS])
+    hits = _scan(artifacts, _indicator_patterns, limit)
+    categories = F.array(*[F.lit(c) for c, _ in INDICATORS])
+    confidences = F.array(*[F.lit(c) for _, c in INDICATORS])
     rows = hits.select(
         "artifact_id", "pass_no", "pattern_no", "match_no",
         categories[F.col("pattern_no")].alias("category"),
@@ -167,11 +175,7 @@ def legacy_indicators(
 
 def loose_xmp(texts: DataFrame, extractor: str = "builtin.pdf", location: str = "pdf/raw") -> DataFrame:
     """Namespaced properties outside well-formed XML; each gives its mapped and its raw category."""
-    passes = [(fv.LOOSE_XMP_ELEMENT, "element"), (fv.LOOSE_XMP_ATTRIBUTE, "attribute")]
-    hits = _scan(
-        texts.select("artifact_id", F.lit(0).alias("pass_no"), "text"),
-        [pattern for pattern, _ in passes],
-    )
+    hits = explode_rows(texts, swept.loose_properties("text"), "h", "artifact_id").select("artifact_id", "h.*")
     pick = lambda group: F.when(
         F.col("pattern_no") == 0, F.regexp_extract("value", fv.LOOSE_XMP_ELEMENT, group)
     ).otherwise(F.regexp_extract("value", fv.LOOSE_XMP_ATTRIBUTE, group))

@@ -14,6 +14,7 @@ from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.text import classify_reference, html_decode, map_xmp_property, not_blank, trim_ws
 from casegraph.functions.urls import absolute_uri
 from casegraph.operators.observations import observation_rows
+from casegraph.operators.swept import packet_spans
 
 ERROR = "#error"
 COMMENT = "#comment"
@@ -137,12 +138,8 @@ def svg_metadata(artifacts: DataFrame) -> DataFrame:
     return observation_rows(rows, "builtin.svg", ["seq"])
 
 
-PACKET = r"(?is)<x:xmpmeta.*?</x:xmpmeta>|<rdf:RDF.*?</rdf:RDF>"
-
-
 def _packets(texts: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(PACKET), F.lit(0))
-    return explode_rows(texts, found, "xml", "artifact_id", position="packet")
+    return explode_rows(texts, packet_spans("text"), "xml", "artifact_id", position="packet")
 
 
 def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str = "pdf/raw") -> DataFrame:

@@ -204,18 +204,18 @@ def new_resources(spark, d):
 
 @query("expand_cidr", f"""
 WITH {NETWORKS_SQL}, small AS (SELECT base, 22 + prefix % 11 AS p FROM networks),
-wide AS (SELECT printf('2001:db8:%x:%x:1:2:', 1 + s_suppkey, 1 + prefix) AS head, 107 + prefix % 22 AS p FROM networks)
+wide AS (SELECT printf('2001:db8:%x:%x:1:2:', 1 + s_suppkey, 1 + prefix) AS head, 113 + prefix % 16 AS p FROM networks)
 SELECT {V4_SQL('base')} || '/' || p AS cidr, {V4_SQL('low + i')} AS address FROM (
   SELECT base, p, (base >> (32 - p)) << (32 - p) AS low, unnest(range(0, 1 << (32 - p))) AS i FROM small)
 UNION ALL
 SELECT head || '40:1/' || p, head || printf('%x:%x', 64 + (i >> 16), i & 65535) FROM (
   SELECT head, p, CASE WHEN p = 128 THEN 1 ELSE 0 END + unnest(range(0, 1 << (128 - p))) AS i FROM wide)""")
 def expand_cidr(spark, d):
-    """Every address of v4 prefixes of length 22 to 32 and of v6 prefixes of length 107 to 128."""
+    """Every address of v4 prefixes of length 22 to 32 and of v6 prefixes of length 113 to 128."""
     given = networks(spark, d)
     prefix = F.substring_index("cidr", "/", -1).cast("int")
     v4 = F.concat(F.substring_index("cidr", "/", 1), F.lit("/"), (prefix % 11 + 22).cast("string"))
-    v6 = F.format_string("2001:db8:%x:%x:1:2:40:1/%d", F.col("s_suppkey") + 1, prefix + 1, prefix % 22 + 107)
+    v6 = F.format_string("2001:db8:%x:%x:1:2:40:1/%d", F.col("s_suppkey") + 1, prefix + 1, prefix % 16 + 113)
     return disc.expand_cidr(given.select(F.explode(F.array(v4, v6)).alias("cidr")))
 
 
