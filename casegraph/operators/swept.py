@@ -32,7 +32,8 @@ def binary_hits(patterns: Callable[[], list[Pattern]], limit: int | None = None,
             content = bytes(content)
             readings = [(content.decode("latin-1"), content.lower().decode("latin-1") if fold else None)]
             if wide:
-                readings.append((content.decode("utf-16-le", errors="replace"), None))
+                # folding bytes changes other characters too, but none into an ASCII one, and no length
+                readings.append((content.decode("utf-16-le", errors="replace"), content.lower().decode("utf-16-le", errors="replace") if fold else None))
             for pass_no, (text, folded) in enumerate(readings):
                 for pattern_no, spans_of in enumerate(scanner.matches(text, folded)):
                     rows += [{"pass_no": pass_no, "pattern_no": pattern_no, "match_no": n, "value": text[a:b]}
