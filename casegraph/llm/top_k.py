@@ -11,11 +11,11 @@
 Queries and buckets meet block by block (bucket, query block), both bounded in rows. Pruning uses a tolerance and drops
 only what is strictly below the threshold, so ties at rank k stay; they go to the smaller id.
 
-Components become floor(scale * x). Products are summed in double where that is exact (|q| |c| < 2^53), else in 64-bit
-integers; a score beyond 64 bits wraps.
+Components become floor(scale * x), of any size. Products are summed in double where that is exact (|q| |c| < 2^53), else
+in 64-bit integers (|q| |c| < 2^62), else in integers without a bound; a score beyond 64 bits is given as the nearest
+64-bit number, and such scores rank as equal.
 
-Cases: vectors that are null or empty, hold null or non-finite components or components beyond 2^31 after scaling take
-no part, nor do rows with a null id; of several rows under one id the largest vector counts; vectors of different
+Cases: vectors that are null or empty or hold null or non-finite components take no part, nor do rows with a null id; of several rows under one id the largest vector counts; vectors of different
 dimension never meet; fewer than k candidates give all; a query's own id is not its candidate; empty tables give an
 empty result.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.llm.common import cut
@@ -38,9 +38,15 @@ FOCUS = 4               # coordinates looked at
 
 
 def integral(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(vec_id, v array<long>, dim, norm) of the vectors that take part."""
-    scaled = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fits = F.forall(F.col(vec_col), lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(2.0 ** 31 / scale), F.lit(False)))
+    """(vec_id, v array<double> of whole numbers, dim, norm) of the vectors that take part."""
+    largest = float(np.finfo(np.float64).max)
+
+    def whole(x: Column) -> Column:
+        y = F.least(F.greatest(F.lit(float(scale)) * x.cast("double"), F.lit(-largest)), F.lit(largest))
+        return F.when(F.abs(y) < 2.0 ** 52, F.floor(y).cast("double")).otherwise(y)   # larger doubles are whole
+
+    scaled = F.transform(F.col(vec_col), whole)
+    fits = F.forall(F.col(vec_col), lambda x: F.coalesce(F.abs(x.cast("double")) <= F.lit(largest), F.lit(False)))
     kept = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col))
         .filter(F.col("vec_id").isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & fits)
@@ -53,7 +59,7 @@ def integral(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Dat
 
 
 def buckets(vectors: DataFrame, count: int) -> DataFrame:
-    """(bucket, dim, longest, ids, norms, matrix): packed candidates, longest first."""
+    """(bucket, dim, longest, ids, norms, wide, matrix): packed candidates, longest first; 32-bit numbers unless `wide`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -62,22 +68,30 @@ def buckets(vectors: DataFrame, count: int) -> DataFrame:
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim))
                 norms = rows.column("norm").to_numpy()
+                values = rows.column("v").flatten().to_numpy()
+                wide = bool((np.abs(values) >= 2.0 ** 31).any())
                 made += 1
                 yield pa.RecordBatch.from_pylist([{
                     "bucket": (part << 32) + made, "dim": int(dim), "longest": float(norms.max()),
                     "ids": rows.column("vec_id").to_numpy().tobytes(), "norms": norms.tobytes(),
-                    "matrix": rows.column("v").flatten().to_numpy().astype(np.int32).tobytes(),
-                }], schema=pa.schema([("bucket", pa.int64()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("norms", pa.binary()), ("matrix", pa.binary())]))
+                    "wide": wide, "matrix": values.astype(np.float64 if wide else np.int32).tobytes(),
+                }], schema=pa.schema([("bucket", pa.int64()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("norms", pa.binary()), ("wide", pa.bool_()), ("matrix", pa.binary())]))
 
     parts = max(1, -(-count // BUCKET_ROWS))
     return vectors.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(
-        "dim", F.col("norm").desc(), "vec_id").mapInArrow(run, "bucket long, dim int, longest double, ids binary, norms binary, matrix binary")
+        "dim", F.col("norm").desc(), "vec_id").mapInArrow(run, "bucket long, dim int, longest double, ids binary, norms binary, wide boolean, matrix binary")
 
 
 def _products(q: np.ndarray, c: np.ndarray, q_norm: np.ndarray, c_norm: np.ndarray) -> np.ndarray:
-    if len(c_norm) and len(q_norm) and float(q_norm.max()) * float(c_norm.max()) < 2.0 ** 53:
+    """Exact inner products as 64-bit integers. No partial sum is larger than the product of the lengths."""
+    bound = float(q_norm.max()) * float(c_norm.max()) if len(c_norm) and len(q_norm) else 0.0
+    if bound < 2.0 ** 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if bound < 2.0 ** 62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    limit = np.iinfo(np.int64)
+    return np.clip(whole(q) @ whole(c).T, limit.min, limit.max).astype(np.int64)
 
 
 def survivors(q: np.ndarray, q_norm: float, c: np.ndarray, norms: np.ndarray, threshold: float) -> np.ndarray:
@@ -110,9 +124,11 @@ def scored(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if held.num_rows and asked.num_rows:
             row = held.to_pylist()[0]
             ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float64)
-            c = np.frombuffer(row["matrix"], np.int32).reshape(len(ids), row["dim"])
+            c = np.frombuffer(row["matrix"], np.float64 if row["wide"] else np.int32).reshape(len(ids), row["dim"])
             q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, row["dim"])
             q_ids, q_norms = asked.column("vec_id").to_numpy(), asked.column("norm").to_numpy()
+            # compared with exact scores: 64-bit numbers, the least one for no threshold yet
+            exact = np.array([np.iinfo(np.int64).min if t is None else t for t in asked.column("threshold").to_pylist()], np.int64)
             limits = np.array([-np.inf if t is None else float(t) for t in asked.column("threshold").to_pylist()])
             with np.errstate(divide="ignore", invalid="ignore"):
                 local = np.where(q_norms > 0, limits / (q_norms * max(norms[0], 1e-300)), 0.0)
@@ -127,11 +143,11 @@ def scored(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     continue
                 score = _products(q[rows], c[alive], q_norms[rows], norms[alive])
                 for n, own in zip(rows, score):
-                    fit = np.flatnonzero((own >= limits[n]) & (ids[alive] != q_ids[n]))
+                    fit = np.flatnonzero((own >= exact[n]) & (ids[alive] != q_ids[n]))
                     if len(fit) > k:
-                        least = -np.partition(-own[fit], k - 1)[k - 1]
+                        least = np.partition(own[fit], len(fit) - k)[len(fit) - k]
                         fit = fit[own[fit] >= least]
-                        fit = fit[np.lexsort((ids[alive[fit]], -own[fit]))[:k]]
+                        fit = fit[np.lexsort((ids[alive[fit]], ~own[fit]))[:k]]   # ~ turns the order of all 64-bit numbers
                     out[0].append(np.full(len(fit), q_ids[n]))
                     out[1].append(ids[alive[fit]])
                     out[2].append(own[fit])
@@ -151,9 +167,8 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     longest = heads.groupBy("dim").agg(F.max(F.struct("longest", "bucket")).alias("top")).select("dim", F.col("top.bucket").alias("top_bucket"))
     blocks = max(1, -(-counts.q // QUERY_ROWS))
     asked = every.filter(is_query(F.col("vec_id"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    spread = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     first = cut(scored(
-        spread.join(longest.select(F.col("top_bucket").alias("bucket")), "bucket", "left_semi"),
+        packed.join(longest.select(F.col("top_bucket").alias("bucket")), "bucket", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))),
         asked.join(longest, "dim").select(F.col("top_bucket").alias("bucket"), "block", "vec_id", "v", "norm", F.lit(None).cast("long").alias("threshold")), k))
     limits = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("threshold")).filter(F.col("n") >= k).select(
         F.col("query_id").alias("vec_id"), "threshold")
@@ -163,6 +178,8 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
         .filter((F.col("bucket") != F.col("top_bucket")) & able)
         .select("bucket", "block", "vec_id", "v", "norm", "threshold")
     )
-    found = first.unionByName(scored(spread, route, k))
+    # a bucket is copied for the query blocks that come to it, not for all
+    wanted = cut(route.select("bucket", "block").distinct())
+    found = first.unionByName(scored(packed.join(wanted, "bucket"), route, k))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

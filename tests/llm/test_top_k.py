@@ -16,7 +16,7 @@ def brute(rows, k, scale=64.0, every=5):
     out = []
     for q, v in vectors.items():
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in vectors.items() if c != q and len(w) == len(v))[:k]
+            scores = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -2 ** 63), 2 ** 63 - 1), c) for c, w in vectors.items() if c != q and len(w) == len(v))[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores)]
     return sorted(out)
 
@@ -51,11 +51,19 @@ def test_ties_copies_and_bad_vectors(spark, monkeypatch):
     rows = [(k, [0.5, -0.25, 0.125]) for k in range(90)] + [(k, [0.0, 0.0, 0.0]) for k in range(90, 110)]
     rows += [(k, [-0.5, 0.25, 0.1]) for k in range(110, 130)] + [(7, [0.5, -0.25, 0.125]), (5, [0.5, 0.5, 0.5])]
     rows += [(200, None), (205, []), (210, [1.0, None, 1.0]), (215, [float("nan"), 1.0, 1.0]), (220, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
-    rows += [(300, [1.0, 2.0]), (301, [3.0, 4.0]), (400, [1e30, 1.0, 1.0])]
-    rows = [r for r in rows if r[0] != 400]
+    rows += [(300, [1.0, 2.0]), (301, [3.0, 4.0]), (400, [1e30, 1.0, 1.0]), (405, [-1e30, 3e38, 1.0])]
     check(spark, rows, k=6)
 
 
+def test_vectors_of_any_size_take_part(spark, monkeypatch):
+    """Components beyond 32 bits, products beyond 53 and 64 bits, and lengths that differ by many orders."""
+    check(spark, [(0, [1.0, 1.0]), (1, [4e7, 1.0]), (2, [0.5, 0.5])], k=2)
+    monkeypatch.setattr(tk, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(tk, "QUERY_ROWS", 8)
+    rng = random.Random(8)
+    check(spark, [(k, [float(np.float32(rng.gauss(0, 1) * 10.0 ** rng.uniform(-3, 12))) for _ in range(3)]) for k in range(120)])
+
+
 def test_large_components_are_exact(spark):
     rng = random.Random(5)
     check(spark, [(k, [float(np.float32(rng.uniform(-3e7, 3e7))) for _ in range(3)]) for k in range(40)])
