@@ -72,8 +72,9 @@ def test_random_keys_of_any_length_and_mix(docs, alphabet, size):
 
 
 def test_random_part_of_a_long_run_and_known_values():
-    rng, encode = random.Random(4), secrets.tokenizer_of(secrets.read_ranks(RANKS)).encode_ordinary
-    runs = lambda text, taken=(): secrets.random_runs(text, encode, 2.2, list(taken))
+    rng, ranks = random.Random(4), secrets.read_ranks(RANKS)
+    encode, sizes = secrets.tokenizer_of(ranks).encode_ordinary, {k: len(t) for t, k in ranks.items()}
+    runs = lambda text, taken=(): secrets.random_runs(text, encode, sizes, list(taken))
     made = lambda n: "".join(rng.choice("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
     words = "/".join(["configuration", "international", "services", "documents"] * 50)
     (start, end), = runs(f"{words}/{made(1000)}/{words}")
@@ -85,6 +86,69 @@ def test_random_part_of_a_long_run_and_known_values():
     assert runs("123456789012345678901234567890") == [] and runs("0123ABCDABCD4567EFAB8901CDEF2345") == []
 
 
+BASE62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+FEW_WORDS = ["configuration", "international", "services", "documents", "static", "images", "user", "report"]
+
+
+@pytest.fixture(scope="module")
+def finder():
+    ranks = secrets.read_ranks(RANKS)
+    encode, sizes = secrets.tokenizer_of(ranks).encode_ordinary, {k: len(t) for t, k in ranks.items()}
+    return lambda text: secrets.random_runs(text, encode, sizes, [])
+
+
+@pytest.mark.parametrize("size,least", [(12, 0.9), (13, 0.9), (14, 0.95), (16, 0.97), (19, 0.98), (20, 0.99), (24, 0.99)])
+def test_recall_of_short_keys(finder, size, least):
+    rng = random.Random(size)
+    keys = ["".join(rng.choices(BASE62, k=size)) for _ in range(400)]
+    assert sum(finder(f"key {k} end") == [(4, 4 + size)] for k in keys) >= least * len(keys)
+
+
+@pytest.mark.parametrize("run", [60, 120, 200, 257, 400, 1000, 5000])
+@pytest.mark.parametrize("size", [24, 40, 100])
+def test_random_parts_of_longer_runs(finder, size, run):
+    """A random part behind words in one run, at any place and length of the run."""
+    rng = random.Random(run + size)
+    for _ in range(60):
+        before, after = "", ""
+        while len(before) + len(after) + size + 2 < run:
+            if rng.random() < 0.5:
+                before += rng.choice(FEW_WORDS) + rng.choice("/-_")
+            else:
+                after += rng.choice("/-_") + rng.choice(FEW_WORDS)
+        key = "".join(rng.choices(BASE62, k=size))
+        found = finder(f"{before}{key}{after}")
+        held = sum(max(0, min(e, len(before) + size) - max(s, len(before))) for s, e in found)
+        assert found and held >= 0.6 * size, (before, key, after, found)
+
+
+def test_words_are_not_random(finder):
+    rng = random.Random(1)
+    assert sum(bool(finder(rng.choice("/-_").join(rng.choices(FEW_WORDS, k=rng.randrange(1, 60))))) for _ in range(500)) == 0
+    for known in ("550e8400-e29b-41d4-a716-446655440000", "0123ABCDABCD4567EFAB8901CDEF2345"):
+        assert finder(f"images/{known}/report") == []
+    assert len(finder("x1Yz9" * 40_000)) == 1
+
+
+def test_secret_query_equals_the_plain_patterns(spark):
+    """Counts and digest of the base spans over the whole small table."""
+    import hashlib
+
+    from casegraph.llm.queries import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for name, patterns in (("op10_secrets", SECRET), ("op3_private_spans", BASE)):
+        got = {r.doc_id: r for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            found = [(kind, m.start(), m.end()) for kind, (pattern, test) in patterns.items() for m in re.finditer(pattern, r.text or "") if test(m)]
+            if name == "op10_secrets":
+                order = list(patterns)
+                found.sort(key=lambda s: (s[1], order.index(s[0])))
+            assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+            assert [got[r.doc_id][f"n_{k}"] for k in patterns] == [sum(s[0] == k for s in found) for k in patterns]
+
+
 @pytest.fixture(scope="module")
 def tagger():
     contexts = [("mail me under ", "email", "jane.07@mail3.example.com", " or later"), ("host at ", "ip", "10.20.30.40", " is down"),
