@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from casegraph import schemas
 from casegraph.functions import net, urls
 from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.ordered import first_wins, ranked
-from casegraph.session import shared_folder
+from casegraph.session import scratch_path
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -157,41 +159,47 @@ def site_map(
 
     links: (source_url, position, url, text); roots: (root). Output: (root, url, text, depth) for every same-host link
     on a visited page, first sighting wins; links found at `max_depth` are recorded but not followed. With `max_pages` at
-    most so many pages are visited per root, in queue order; without, all, and no root's pages are ranked. Each level is one join on the page URL and is checkpointed,
-    so lineage and recomputation stay bounded when executors are lost."""
+    most so many pages are visited per root, in queue order; without, all, and no root's pages are ranked.
+
+    The edges are written once, bucketed by page, so a level moves its frontier and what it finds, never the edges. What a
+    level finds for the first time is one checkpoint: the level's part of the result and the next frontier."""
     spark = links.sparkSession
-    shared_folder(spark)
     key = lambda c: F.lower(urls.canonical_url(F.col(c)))
     same_host = urls.raw_host(F.col("source_url")) == urls.raw_host(F.col("url"))
-    edges = with_bound(links.filter(same_host), page=key("source_url"), target=key("url")).select(
+    edges = _bucketed(with_bound(links.filter(same_host), page=key("source_url"), target=key("url")).select(
         "page", "position", F.col("url").alias("target_url"), "target", "text"
-    ).filter(F.col("target").isNotNull()).checkpoint()
+    ).filter(F.col("target").isNotNull() & F.col("page").isNotNull()), "page")
     # order: the queue order as a sortable string, parent's key then link position
-    frontier = roots.select("root", key("root").alias("page"), F.lit("").alias("order"))
-    visited = None
-    found = None
+    frontier = roots.select("root", key("root").alias("page"), F.lit("").alias("order")).checkpoint()
+    visited, found = None, None
     for depth in range(max_depth + 1):
-        if visited is not None:
-            frontier = frontier.join(visited, ["root", "page"], "left_anti")
         if max_pages is not None:
-            frontier = _within_budget(frontier, visited, max_pages)
-        frontier = frontier.checkpoint()
-        if frontier.isEmpty():
-            break
-        visited = frontier.select("root", "page") if visited is None else visited.unionByName(
-            frontier.select("root", "page"))
+            frontier = _within_budget(frontier, visited, max_pages).checkpoint()
+            visited = frontier.select("root", "page") if visited is None else visited.unionByName(frontier.select("root", "page"))
         level = frontier.join(edges, "page").select(
             "root", F.col("target").alias("page"), F.col("target_url").alias("url"), "text",
             F.concat("order", F.lpad(F.col("position").cast("string"), 8, "0")).alias("order"),
             F.lit(depth + 1).alias("depth"),
         )
-        level = first_wins(level, ["root", "page"], ["order"]).checkpoint()
+        level = first_wins(level, ["root", "page"], ["order"])
+        if found is not None:
+            level = level.join(found.select("root", "page"), ["root", "page"], "left_anti")
+        level = level.checkpoint()
         found = level if found is None else found.unionByName(level)
-        frontier = level.select("root", "page", "order")
-    if found is None:
-        return roots.limit(0).select(
-            "root", F.lit("").alias("url"), F.lit("").alias("text"), F.lit(0).alias("depth"))
-    return first_wins(found, ["root", "page"], ["depth", "order"]).select("root", "url", "text", "depth")
+        frontier = level.filter(F.col("page") != key("root")).select("root", "page", "order")  # a root was the first to be visited
+        if frontier.isEmpty():
+            break
+    return found.select("root", "url", "text", "depth")
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` as a table of hash buckets in the shared folder: joins on `key` read it without a shuffle."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "bucketed")
+    name = os.path.basename(path).replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def _within_budget(frontier: DataFrame, visited: DataFrame | None, max_pages: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph import fixed_values as fv
@@ -48,10 +48,10 @@ def allowed_hosts(requests: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def _below_prefix(requests: DataFrame, allowed: DataFrame, url: str) -> DataFrame:
     """Rows under an allowed URL: equal scheme, host and port, and a path equal or below."""
-    u, value = F.col(url), F.col("raw_value")
+    u, value = F.col(url), trim_ws(F.col("raw_value"))
     prefix = with_bound(
         allowed.filter(F.col("kind") == "url"), __s=urls.scheme(value), __h=urls.host(value), __p=urls.port(value),
-        __base=F.rtrim(urls.path(trim_ws(value)), F.lit("/")),
+        __base=F.rtrim(urls.path(value), F.lit("/")),
     ).select("__s", "__h", "__p", "__base").distinct()
     keyed = with_bound(requests, __port=urls.port(u), __path=urls.path(u))
     condition = (
@@ -81,36 +81,66 @@ def scope_url_prefix(url_rows: DataFrame, entries: DataFrame, mode: str = "passi
     return _below_prefix(_requests(url_rows, url), _by_mode(entries, mode), url).select(url_rows.columns)
 
 
+BIN_BITS = 8
+
+
+def _bin(digits: Column, level: Column) -> Column:
+    """Leading `level` bits as hex digits."""
+    return F.substr(digits, F.lit(1), (level / 4).cast("int"))
+
+
 def cidr_match(rows: DataFrame, networks: DataFrame, address: str, cidr: str) -> DataFrame:
-    """Rows joined to every network that contains their address.
-
-    The range condition becomes equality: both sides are keyed by (family, prefix length, masked address). A row is
-    repeated once per *distinct prefix length* of its family (at most 33 + 129 values, whatever the table size)."""
-    nets = with_bound(networks, __prefix=net.cidr_prefix(F.col(cidr)))
-    nets = with_bound(nets, __hex=net.cidr_network(F.col(cidr))).withColumn("__width", F.length("__hex"))
-    nets = with_bound(nets, __net=net.network_key(F.col("__hex"), F.col("__prefix"))).filter(
-        F.col("__net").isNotNull()).drop("__hex")
-    lengths = nets.select("__width", "__prefix").distinct()
+    """Rows joined to every network that contains their address: a binned interval join.
+
+    A network is the interval from its first to its last address. It lies in one bin of its leading bits at its level,
+    the largest multiple of `BIN_BITS` up to its prefix length; an address has one bin per level in use (at most 5 for v4,
+    17 for v6, however many prefix lengths there are). Inside a bin the interval decides, and at most 2^BIN_BITS - 1
+    different networks share one."""
+    nets = with_bound(networks, __prefix=net.cidr_prefix(F.col(cidr)), __hex=net.cidr_network(F.col(cidr)))
+    nets = with_bound(nets, __low=net.masked_hex(F.col("__hex"), F.col("__prefix")), __high=net.last_hex(F.col("__hex"), F.col("__prefix")))
+    level = F.floor(F.col("__prefix") / BIN_BITS).cast("int") * BIN_BITS
+    nets = nets.filter(F.col("__low").isNotNull()).withColumns({"__width": F.length("__low"), "__level": level})
+    nets = with_bound(nets, __bin=_bin(F.col("__low"), F.col("__level"))).drop("__hex", "__prefix")
+    levels = nets.select("__width", "__level").distinct()
     hexed = with_bound(rows, __hex=net.address_hex(F.col(address))).filter(F.col("__hex").isNotNull())
-    keyed = hexed.withColumn("__width", F.length("__hex")).join(
-        F.broadcast(lengths), "__width"  # at most 33 + 129 rows by construction
+    keyed = hexed.withColumn("__width", F.length("__hex")).join(F.broadcast(levels), "__width")  # at most 5 + 17 rows by construction
+    keyed = with_bound(keyed, __bin=_bin(F.col("__hex"), F.col("__level")))
+    inside = F.col("__hex").between(F.col("__low"), F.col("__high"))
+    return keyed.join(nets, ["__width", "__level", "__bin"]).filter(inside).drop("__width", "__level", "__bin", "__hex", "__low", "__high")
+
+
+def longest_prefix(rows: DataFrame, networks: DataFrame, address: str, cidr: str) -> DataFrame:
+    """Rows with the narrowest network that contains their address (null for none); of several, the least text. Decided
+    once per distinct address."""
+    addresses = rows.select(F.col(address).alias("__address")).distinct()
+    narrowest = F.struct((-net.cidr_prefix(F.col("__cidr"))).alias("length"), F.col("__cidr").alias("cidr"))
+    best = (
+        cidr_match(addresses, networks.select(F.col(cidr).alias("__cidr")).distinct(), "__address", "__cidr")
+        .groupBy("__address").agg(F.min(narrowest).alias("__best"))
     )
-    keyed = with_bound(keyed, __net=net.network_key(F.col("__hex"), F.col("__prefix"))).drop("__hex")
-    return keyed.join(nets, ["__width", "__prefix", "__net"]).drop("__width", "__prefix", "__net")
+    return rows.join(best, F.col(address) == F.col("__address"), "left").withColumn(cidr, F.col("__best.cidr")).drop("__address", "__best")
 
 
-def resolved_scope(url_rows: DataFrame, dns: DataFrame, url: str = "url") -> DataFrame:
-    """Named hosts need at least one address and only public ones; URLs with user-info are refused."""
+def resolved_scope(
+    url_rows: DataFrame, dns: DataFrame, entries: DataFrame | None = None, mode: str = "active", url: str = "url",
+    allow_private: bool = False,
+) -> DataFrame:
+    """Rows that may be requested: http(s) without user-info, matched by an entry of a sufficient mode (where entries are
+    given), and with a public address. A named host needs at least one answer and only public ones; names are compared
+    without case and trailing dots."""
+    safe = url_rows.filter(urls.user_info(F.col(url)) == "")
+    if entries is not None:
+        safe = scope_filter(safe, entries, mode, url, allow_private)
+    bare = lambda name: F.lower(F.rtrim(name, F.lit(".")))
+    answers = dns.filter(F.col("record_type").isin("A", "AAAA"))
     hosts = (
-        dns.filter(F.col("record_type").isin("A", "AAAA"))
-        .groupBy(F.lower("name").alias("__host"))
-        .agg(F.bool_and(~F.coalesce(net.non_public_address(F.col("value")), F.lit(True))).alias("public"),
-             F.count(F.lit(1)).alias("n"))
-        .filter(F.col("public"))
+        answers.groupBy(bare(F.col("name")).alias("__host"))
+        .agg(F.bool_and(~F.coalesce(net.non_public_address(F.col("value")), F.lit(True))).alias("public"))
+        .filter(F.lit(allow_private) | F.col("public"))
     )
-    requests = with_bound(url_rows.filter(urls.user_info(F.col(url)) == ""), __host=urls.host(F.col(url)))
+    requests = with_bound(safe, __scheme=urls.scheme(F.col(url)), __host=bare(urls.host(F.col(url)))).filter(F.col("__scheme").isin("http", "https"))
     named = requests.filter(net.address_hex(F.col("__host")).isNull()).join(hosts, "__host", "left_semi")
-    literal = requests.filter(~net.non_public_address(F.col("__host")))
+    literal = requests.filter(F.coalesce(F.lit(allow_private) | ~net.non_public_address(F.col("__host")), F.lit(False)) & net.address_hex(F.col("__host")).isNotNull())
     return named.select(url_rows.columns).unionByName(literal.select(url_rows.columns))
 
 

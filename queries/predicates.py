@@ -122,6 +122,19 @@ def resolved_scope(spark, d):
     return scope.resolved_scope(pages.unionByName(with_user), dns_answers(spark, d))
 
 
+@query("resolved_scope_policy", f"""
+WITH {ADDRESSES_SQL}, {DNS_SQL}, {ENTRIES_SQL}, good AS (SELECT name FROM dns GROUP BY name HAVING bool_and({PUBLIC_SQL}))
+SELECT page_id, url FROM pages q WHERE {host_sql('url')} IN (SELECT name FROM good) AND (
+  EXISTS (SELECT 1 FROM entries e WHERE max_rank >= 1 AND ({host_sql('q.url')} = e.value OR (e.kind = 'domain' AND ends_with({host_sql('q.url')}, '.' || e.value))))
+  OR EXISTS (SELECT 1 FROM prefixes p WHERE {PREFIX_HIT}))""")
+def resolved_scope_policy(spark, d):
+    """Scope entries and resolved addresses together; answers in upper case with a trailing dot, other schemes beside."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    other = pages.select("page_id", F.regexp_replace("url", "^[a-z]+:", "ftp:").alias("url"))
+    answers = dns_answers(spark, d).withColumn("name", F.concat(F.upper("name"), F.lit(".")))
+    return scope.resolved_scope(pages.unionByName(other), answers, scope_entries(spark, d))
+
+
 @query("scope_normalize", f"""
 WITH {NETWORKS_SQL}, raw AS (
   SELECT 'url' AS kind, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || rtrim({path_sql('url')}, '/') AS value, page_id,

