@@ -31,7 +31,7 @@ def extract_containers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_svg(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    xml = _text_of(df).withColumnRenamed("text", "xml")
+    xml = df.select("artifact_id", F.col("content").alias("xml"))  # bytes: the parser follows their declaration
     bad = xml_extract.xml_nodes(xml).filter(F.col("name") == xml_extract.ERROR)
     return xml_extract.svg_metadata(xml), diagnostics(bad, "svg.invalid", F.col("value"), True)
 

@@ -190,17 +190,27 @@ def svg_metadata(spark, d):
     return xml_extract.svg_metadata(svg_texts(spark, d)).select(*VIEW)
 
 
-@query("xml_nodes", """
+XML_NODES_SQL = """
 WITH c AS (SELECT 'svg-' || c_custkey AS artifact_id, c_custkey AS k, c_name, c_mktsegment FROM customer),
 t AS (SELECT artifact_id, k, c_name, c_mktsegment, unnest([
   {'seq': 2, 'name': '#comment', 'attribute': NULL, 'value': ' by ' || c_name || ' '}, {'seq': 3, 'name': 'a', 'attribute': 'href', 'value': 'https://example.test/' || k},
   {'seq': 3, 'name': 'a', 'attribute': NULL, 'value': ''}, {'seq': 4, 'name': 'use', 'attribute': 'href', 'value': '#shape'}, {'seq': 4, 'name': 'use', 'attribute': NULL, 'value': ''},
   {'seq': 6, 'name': 'creator', 'attribute': NULL, 'value': c_name}, {'seq': 7, 'name': 'title', 'attribute': NULL, 'value': c_mktsegment}, {'seq': 8, 'name': 'desc', 'attribute': NULL, 'value': 'none'}]) AS s FROM c)
-SELECT artifact_id, s.seq, s.name, s.attribute, s.value FROM t""")
+SELECT artifact_id, s.seq, s.name, s.attribute, s.value FROM t"""
+
+
+@query("xml_nodes", XML_NODES_SQL)
 def xml_nodes(spark, d):
     return xml_extract.xml_nodes(svg_texts(spark, d)).select("artifact_id", "seq", "name", "attribute", "value")
 
 
+@query("xml_nodes_lateral", XML_NODES_SQL)
+def xml_nodes_lateral(spark, d):
+    """The table function in SQL, over bytes."""
+    xml_extract.register_xml_nodes(spark)
+    return spark.sql("SELECT artifact_id, seq, name, attribute, value FROM {docs}, LATERAL xml_nodes(encode(xml, 'UTF-8'))", docs=svg_texts(spark, d))
+
+
 @query("sitemap_locations", "SELECT page_id AS source, url FROM pages")
 def sitemap_locations(spark, d):
     """One sitemap per page plus one with a file location, one with an external entity and one that is broken."""
