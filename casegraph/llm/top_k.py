@@ -9,7 +9,8 @@
    normalized value must lie in q_i c -+ sqrt((1 - c^2)(1 - q_i^2)). What is left is verified with exact products.
 
 Queries and buckets meet block by block (bucket, query block), both bounded in rows. Pruning uses a tolerance and drops
-only what is strictly below the threshold, so ties at rank k stay; they go to the smaller id.
+only what is strictly below the threshold; of candidates at the threshold only smaller ids than the k-th so far come back,
+so a vector that many rows repeat returns k rows for a query, not k from every bucket.
 
 Components become floor(scale * x), of any size. Products are summed in double where that is exact (|q| |c| < 2^53), else
 in 64-bit integers (|q| |c| < 2^62), else in integers without a bound; a score beyond 64 bits is given as the nearest
@@ -117,7 +118,8 @@ def survivors(q: np.ndarray, q_norm: float, c: np.ndarray, norms: np.ndarray, th
 
 def scored(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of each bucket for each query routed to it.
-    `queries`: bucket, block, vec_id, v, norm, threshold (null: none yet)."""
+    `queries`: bucket, block, vec_id, v, norm, threshold and limit_id (null: none yet): the k-th best so far; a candidate
+    must come before it."""
 
     def run(key, held: pa.Table, asked: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -129,6 +131,7 @@ def scored(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             q_ids, q_norms = asked.column("vec_id").to_numpy(), asked.column("norm").to_numpy()
             # compared with exact scores: 64-bit numbers, the least one for no threshold yet
             exact = np.array([np.iinfo(np.int64).min if t is None else t for t in asked.column("threshold").to_pylist()], np.int64)
+            before = np.array([np.iinfo(np.int64).max if t is None else t for t in asked.column("limit_id").to_pylist()], np.int64)
             limits = np.array([-np.inf if t is None else float(t) for t in asked.column("threshold").to_pylist()])
             with np.errstate(divide="ignore", invalid="ignore"):
                 local = np.where(q_norms > 0, limits / (q_norms * max(norms[0], 1e-300)), 0.0)
@@ -143,7 +146,7 @@ def scored(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     continue
                 score = _products(q[rows], c[alive], q_norms[rows], norms[alive])
                 for n, own in zip(rows, score):
-                    fit = np.flatnonzero((own >= exact[n]) & (ids[alive] != q_ids[n]))
+                    fit = np.flatnonzero(((own > exact[n]) | ((own == exact[n]) & (ids[alive] < before[n]))) & (ids[alive] != q_ids[n]))
                     if len(fit) > k:
                         least = np.partition(own[fit], len(fit) - k)[len(fit) - k]
                         fit = fit[own[fit] >= least]
@@ -169,14 +172,15 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     asked = every.filter(is_query(F.col("vec_id"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     first = cut(scored(
         packed.join(longest.select(F.col("top_bucket").alias("bucket")), "bucket", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))),
-        asked.join(longest, "dim").select(F.col("top_bucket").alias("bucket"), "block", "vec_id", "v", "norm", F.lit(None).cast("long").alias("threshold")), k))
-    limits = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("threshold")).filter(F.col("n") >= k).select(
-        F.col("query_id").alias("vec_id"), "threshold")
+        asked.join(longest, "dim").select(F.col("top_bucket").alias("bucket"), "block", "vec_id", "v", "norm", F.lit(None).cast("long").alias("threshold"), F.lit(None).cast("long").alias("limit_id")), k))
+    worst = F.max(F.struct(F.bitwise_not("score").alias("turned"), "vec_id"))   # ~ turns the order of all 64-bit numbers
+    limits = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), worst.alias("worst")).filter(F.col("n") >= k).select(
+        F.col("query_id").alias("vec_id"), F.bitwise_not("worst.turned").alias("threshold"), F.col("worst.vec_id").alias("limit_id"))
     able = F.col("threshold").isNull() | (F.col("threshold") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("threshold"))
     route = (
         asked.join(limits, "vec_id", "left").join(longest, "dim").join(heads, "dim")
         .filter((F.col("bucket") != F.col("top_bucket")) & able)
-        .select("bucket", "block", "vec_id", "v", "norm", "threshold")
+        .select("bucket", "block", "vec_id", "v", "norm", "threshold", "limit_id")
     )
     # a bucket is copied for the query blocks that come to it, not for all
     wanted = cut(route.select("bucket", "block").distinct())
