@@ -103,8 +103,11 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
 
 
 def container_risk(artifacts: DataFrame) -> DataFrame:
-    containers = artifacts.filter(F.col("kind").isin("open_xml", "open_document", "zip"))
-    entries = container_entries(containers)
+    return entry_risk(container_entries(artifacts.filter(F.col("kind").isin("open_xml", "open_document", "zip"))))
+
+
+def entry_risk(entries: DataFrame) -> DataFrame:
+    """Risk rows of container entries, however they were read."""
     low = F.lower("name")
     flag = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
     flags = F.when(

@@ -6,54 +6,16 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph import schemas
 from casegraph.functions.binding import explode_rows, with_bound
-from casegraph.functions.text import classify_reference, map_office_element, safe_entry_path, slug_property
+from casegraph.functions.text import classify_reference, map_office_element, safe_entry_path, slug_property, stable_id
 from casegraph.operators.observations import cumulative_budget, diagnostics, observation_rows
 from casegraph.operators.xml_extract import COMMENT, ERROR, xml_nodes
-
-INVALID = -1  # entry_no of the single row of an unreadable container
-
-
-def _metadata_name(name: str) -> bool:
-    low = name.lower()
-    return (
-        low in ("docprops/core.xml", "docprops/app.xml", "docprops/custom.xml", "meta.xml")
-        or low.endswith((".rels", "versionlist.xml"))
-        or "versions/" in low
-    )
-
-
-def _suspicious(size: int, packed: int) -> bool:
-    return (size > 0 and packed == 0) or (size > 1024 * 1024 and size // max(1, packed) > 1_000)
-
-
-def _directory(content, max_entries: int | None = None, max_bytes: int | None = None) -> list[tuple]:
-    """Central directory of one container; metadata entries carry their XML bytes, whose declared encoding the parser obeys."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-            rows, total = [], 0
-            for number, entry in enumerate(archive.infolist()):
-                total += entry.file_size
-                xml = None
-                readable = (
-                    (max_entries is None or number < max_entries) and (max_bytes is None or total <= max_bytes)
-                    and not _suspicious(entry.file_size, entry.compress_size)
-                )
-                if readable and _metadata_name(entry.filename):
-                    try:
-                        xml = archive.read(entry)
-                    except Exception:  # a broken member is reported as invalid XML
-                        xml = b""
-                rows.append((number, entry.orig_filename, entry.file_size, entry.compress_size, xml))
-            return rows
-    except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError) as problem:
-        return [(INVALID, str(problem), 0, 0, None)]
-
+from casegraph.sources.ranged import INVALID, ContainerSource, directory_rows
 
 _FIELDS = schemas.CONTAINER_ENTRIES.elementType.fieldNames()
 
@@ -61,7 +23,7 @@ _FIELDS = schemas.CONTAINER_ENTRIES.elementType.fieldNames()
 def _directories(content: Column, max_entries: int | None, max_bytes: int | None) -> Column:
     @F.pandas_udf(schemas.CONTAINER_ENTRIES)
     def listed(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in _directory(c, max_entries, max_bytes)])
+        return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in directory_rows(io.BytesIO(bytes(c)), max_entries, max_bytes)])
 
     return listed(content)
 
@@ -88,6 +50,22 @@ def zip_kind(contents: pd.Series) -> pd.Series:
 def container_entries(artifacts: DataFrame, max_entries: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """(artifact_id, content) -> directory rows with running size and safety flags; limits hold when given."""
     rows = explode_rows(artifacts, _directories(F.col("content"), max_entries, max_bytes), "e", "artifact_id").select("artifact_id", "e.*")
+    return _flagged(rows, max_entries, max_bytes)
+
+
+def ranged_entries(spark: SparkSession, path: str, max_entries: int | None = None, max_bytes: int | None = None, pattern: str = "*") -> DataFrame:
+    """The rows of `container_entries` for the files below a folder, by ranged reads: each container is opened once and
+    only its directory and metadata entries are read, whatever its size."""
+    spark.dataSource.register(ContainerSource)
+    reader = spark.read.format(ContainerSource.name()).option("path", path).option("pattern", pattern)
+    for option, value in (("maxEntries", max_entries), ("maxBytes", max_bytes)):
+        if value is not None:
+            reader = reader.option(option, str(value))
+    rows = reader.load().select(stable_id(F.col("path")).alias("artifact_id"), "entry_no", "name", "size", "compressed_size", "xml")
+    return _flagged(rows, max_entries, max_bytes)
+
+
+def _flagged(rows: DataFrame, max_entries: int | None, max_bytes: int | None) -> DataFrame:
     budgeted = cumulative_budget(rows, ["artifact_id"], ["entry_no"], "size", max_bytes if max_bytes is not None else 2 ** 63 - 1)
     size, packed = F.col("size"), F.col("compressed_size")
     return (

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casegraph.functions.text import stable_id
 from casegraph.operators import artifacts as art
 from casegraph.operators import containers, text_extract, xml_extract
 from casegraph.operators.observations import extraction_diagnostics as count_diagnostics
@@ -259,13 +260,42 @@ OFFICE_SQL = "z AS (SELECT 'zip-' || c_custkey AS artifact_id, c_custkey AS k, c
 ENTRY_NAMES = ["[Content_Types].xml", "docProps/core.xml", "docProps/app.xml", "docProps/custom.xml", "word/_rels/document.xml.rels", "word/vbaProject.bin"]
 
 
-@query("container_entries", f"""
+ENTRIES_SQL = f"""
 WITH {OFFICE_SQL}, e AS (SELECT artifact_id, unnest({ENTRY_NAMES}) AS name, unnest(range(0, 6)) AS entry_no FROM z UNION ALL
   SELECT artifact_id, '../docProps/core.xml', 6 FROM z WHERE c_mktsegment = 'BUILDING')
-SELECT artifact_id, name, entry_no, name NOT LIKE '../%' AS safe_path, name LIKE 'docProps/%' OR name LIKE '%.rels' AS is_metadata FROM e""")
+SELECT artifact_id, name, entry_no, name NOT LIKE '../%' AS safe_path, name LIKE 'docProps/%' OR name LIKE '%.rels' AS is_metadata FROM e
+UNION ALL SELECT 'zip-' || c_custkey, 'File is not a zip file', -1, true, false FROM customer WHERE c_mktsegment = 'MACHINERY'"""
+ENTRY_VIEW = ["artifact_id", "name", "CAST(entry_no AS BIGINT) AS entry_no", "safe_path", "is_metadata"]
+
+
+@query("container_entries", ENTRIES_SQL)
 def container_entries(spark, d):
-    return containers.container_entries(office_files(spark, d)).filter(F.col("entry_no") >= 0).select(
-        "artifact_id", "name", F.col("entry_no").cast("long").alias("entry_no"), "safe_path", "is_metadata")
+    """All rows, those of unreadable containers too."""
+    return containers.container_entries(office_files(spark, d)).selectExpr(*ENTRY_VIEW)
+
+
+@query("ranged_container_entries", ENTRIES_SQL)
+def ranged_container_entries(spark, d):
+    """The same files written out and read by ranges."""
+    folder = scratch_path(spark, "containers")
+    files = office_files(spark, d).select("artifact_id", "content")
+
+    def written(batches):
+        from casegraph.sources.ranged import opened
+
+        system, path = opened(folder)
+        system.create_dir(path)
+        for batch in batches:
+            for artifact_id, content in zip(batch["artifact_id"], batch["content"]):
+                with system.open_output_stream(f"{path}/{artifact_id}.docx") as file:
+                    file.write(bytes(content))
+            yield batch[["artifact_id"]]
+
+    files.mapInPandas(written, "artifact_id string").write.format("noop").mode("overwrite").save()
+    names = spark.read.format("binaryFile").load(folder).select(
+        stable_id(F.col("path")).alias("id"), F.regexp_extract("path", r"([^/]+)\.docx$", 1).alias("file"))
+    entries = containers.ranged_entries(spark, folder, pattern="*.docx").withColumnRenamed("artifact_id", "id")
+    return entries.join(names, "id").withColumn("artifact_id", F.col("file")).selectExpr(*ENTRY_VIEW)
 
 
 @query("office_properties", f"WITH {OFFICE_SQL} " + rows_sql(

@@ -199,3 +199,41 @@ def test_candidate_names_without_and_with_a_budget(rows):
     plan = discovery.candidate_names(df, dom, ["o"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "broadcast" not in plan.lower()
     assert discovery.candidate_names(df.limit(0), dom, ["o"]).count() == 0
+
+
+def test_ranged_containers_read_little(spark, tmp_path):
+    """Large members stay unread; the rows equal those of whole contents, broken files included."""
+    import random
+
+    from casegraph.operators.artifacts import entry_risk
+    from casegraph.sources import ranged
+
+    noise = random.Random(1).randbytes(6_000_000)
+    (tmp_path / "deep").mkdir()
+    parts = {"word/media/big.bin": noise, "docProps/core.xml": b"<c><creator>Ann</creator></c>", "word/vbaProject.bin": b"m"}
+    (tmp_path / "a.docx").write_bytes(bytes(zipped(parts)))
+    (tmp_path / "deep" / "b.docx").write_bytes(bytes(zipped({"meta.xml": b"<m><creator>Bo</creator></m>"})))
+    (tmp_path / "c.docx").write_bytes(b"PK\x03\x04 broken")
+    (tmp_path / "skip.txt").write_bytes(b"x")
+    entries = containers.ranged_entries(spark, str(tmp_path), pattern="*.docx")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(str(tmp_path)).select(
+        F.sha2("path", 256).alias("x"), "path", "content")
+    from casegraph.functions.text import stable_id
+
+    expected = containers.container_entries(whole.select(stable_id(F.col("path")).alias("artifact_id"), "content"))
+    order = ["artifact_id", "entry_no"]
+    assert entries.orderBy(order).collect() == expected.select(entries.columns).orderBy(order).collect() and entries.count() == 5
+    assert {r.original_value for r in containers.office_properties(entries).collect()} == {"Ann", "Bo"}
+    assert {(r.kind, r.severity) for r in entry_risk(entries).collect()} == {("macro", "high"), ("container_error", "medium")}
+    limited = containers.ranged_entries(spark, f"file:{tmp_path}", max_entries=1, pattern="a.*")
+    assert [r.within_entries for r in limited.orderBy("entry_no").collect()] == [True, False, False]
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counted.taken += len(data)
+            return data
+
+    assert len(ranged.directory_rows(Counted((tmp_path / "a.docx").read_bytes()))) == 3 and Counted.taken < 100_000
