@@ -192,18 +192,12 @@ def ascii_host(name: Column) -> Column:
 
 
 def with_canonical_url(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the canonical URL. ASCII hosts stay in the JVM; the rest take one Arrow round trip."""
+    """Add the canonical URL, non-ASCII hosts in their IDNA form, in one pass: only those hosts travel to Python."""
     u = trim_ws(F.col(source))
-    plain = with_bound(df.filter(is_ascii(raw_host(u)) | F.col(source).isNull()), **{target: canonical_url(F.col(source))})
-    named = df.filter(~is_ascii(raw_host(u)))
-    puny = _punycode(raw_host(u))
-    named = with_bound(named.withColumn("__host", puny), **{
-        target: F.when(
-            is_http(u) & F.col("__host").isNotNull(),
-            _assemble(u, host_col=F.col("__host"), user=True, query=True, fragment=False),
-        )
-    }).drop("__host")
-    return plain.unionByName(named)
+    host = raw_host(u)
+    named = df.withColumn("__host", _punycode(F.when(is_http(u) & ~is_ascii(host), host)))
+    idna = _assemble(u, host_col=F.lower("__host"), user=True, query=True, fragment=False)
+    return with_bound(named, **{target: F.coalesce(canonical_url(F.col(source)), F.when(F.col("__host").isNotNull(), idna))}).drop("__host")
 
 
 def redact_uri(url: Column) -> Column:

@@ -12,7 +12,7 @@ from casegraph import schemas
 from casegraph.functions import net, urls
 from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.ordered import first_wins, ranked
-from casegraph.session import scratch_path
+from casegraph.session import scratch_path, shared_folder
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -121,7 +121,7 @@ def exposed_backups(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """Findings for candidates that answered 2xx in a captured response log (canonical_url, status_code)."""
     hits = responses.filter(F.col("status_code").between(200, 299)).select("canonical_url").distinct()
     return (
-        with_bound(candidates.select("candidate").distinct(), canonical_url=urls.canonical_url(F.col("candidate")))
+        urls.with_canonical_url(candidates.select("candidate").distinct(), "candidate", "canonical_url")
         .join(hits, "canonical_url", "left_semi")
         .select(
             F.lit("web.backup.exposed").alias("rule_id"), F.lit("Potential backup file exposed").alias("title"),
@@ -163,14 +163,14 @@ def site_map(
 
     The edges are written once, bucketed by page, so a level moves its frontier and what it finds, never the edges. What a
     level finds for the first time is one checkpoint: the level's part of the result and the next frontier."""
-    spark = links.sparkSession
-    key = lambda c: F.lower(urls.canonical_url(F.col(c)))
+    shared_folder(links.sparkSession)
     same_host = urls.raw_host(F.col("source_url")) == urls.raw_host(F.col("url"))
-    edges = _bucketed(with_bound(links.filter(same_host), page=key("source_url"), target=key("url")).select(
-        "page", "position", F.col("url").alias("target_url"), "target", "text"
-    ).filter(F.col("target").isNotNull() & F.col("page").isNotNull()), "page")
+    keyed = urls.with_canonical_url(urls.with_canonical_url(links.filter(same_host), "source_url", "__page"), "url", "__target")
+    edges = _bucketed(keyed.filter(F.col("__target").isNotNull() & F.col("__page").isNotNull()).select(
+        F.lower("__page").alias("page"), "position", F.col("url").alias("target_url"), F.lower("__target").alias("target"), "text"), "page")
     # order: the queue order as a sortable string, parent's key then link position
-    frontier = roots.select("root", key("root").alias("page"), F.lit("").alias("order")).checkpoint()
+    start = urls.with_canonical_url(roots.select("root"), "root", "__page").select("root", F.lower("__page").alias("page")).checkpoint()
+    frontier = start.select("root", "page", F.lit("").alias("order"))
     visited, found = None, None
     for depth in range(max_depth + 1):
         if max_pages is not None:
@@ -186,7 +186,7 @@ def site_map(
             level = level.join(found.select("root", "page"), ["root", "page"], "left_anti")
         level = level.checkpoint()
         found = level if found is None else found.unionByName(level)
-        frontier = level.filter(F.col("page") != key("root")).select("root", "page", "order")  # a root was the first to be visited
+        frontier = level.join(start, ["root", "page"], "left_anti").select("root", "page", "order")  # a root was visited first
         if frontier.isEmpty():
             break
     return found.select("root", "url", "text", "depth")

@@ -13,23 +13,28 @@ from casegraph.plans.registry import ExtractorRegistry, default_extractors
 from casegraph.session import scratch_path
 
 
-def stage_by_kind(artifacts: DataFrame) -> DataFrame:
-    """Classify once and keep the artifacts as a table partitioned by kind in the shared folder. Every extractor then
-    reads the files of its own kinds only, instead of scanning and classifying the whole collection again."""
+def stage_by_kind(artifacts: DataFrame, path: str | None = None) -> DataFrame:
+    """Classify once and keep the artifacts as a table partitioned by kind, in the shared folder or at `path`. Every
+    extractor then reads the files of its own kinds only, instead of scanning and classifying the whole collection again."""
     spark = artifacts.sparkSession
     classified = magic_kind(artifacts)
-    path = scratch_path(spark, "classified")
-    classified.write.partitionBy("kind").parquet(path)
+    path = path or scratch_path(spark, "classified")
+    classified.write.mode("overwrite").partitionBy("kind").parquet(path)
     return spark.read.schema(classified.schema).parquet(path)
 
 
+def extracted(classified: DataFrame, observed_at: Column, registry: ExtractorRegistry | None = None):
+    """Classified artifacts -> (valid observations with their ids, diagnostics)."""
+    observations, notes = (registry or default_extractors()).extract(classified)
+    return with_identity(valid_observations(observations), observed_at), notes
+
+
 def analyze(artifacts: DataFrame, observed_at: Column, registry: ExtractorRegistry | None = None):
     """artifacts(artifact_id, original_path, size, content) -> (observations, diagnostics).
 
     Observations feed several correlation jobs, so they too become a table before they are returned."""
     spark = artifacts.sparkSession
-    observations, notes = (registry or default_extractors()).extract(stage_by_kind(artifacts))
-    identified = with_identity(valid_observations(observations), observed_at)
+    identified, notes = extracted(stage_by_kind(artifacts), observed_at, registry)
     path = scratch_path(spark, "observations")
     identified.write.parquet(path)
     return spark.read.schema(identified.schema).parquet(path), notes

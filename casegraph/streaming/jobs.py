@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from casegraph import fixed_values as fv
-from casegraph.functions.urls import canonical_url
+from casegraph.functions.urls import with_canonical_url
 from casegraph.operators import attempts as att
-from casegraph.plans.evidence import analyze
+from casegraph.plans.evidence import extracted, stage_by_kind
 from casegraph.plans.registry import ExtractorRegistry
+from casegraph.session import shared_folder
 
 
 def _unique_per_batch(batches):
     """Thin out repeats inside each Arrow batch before the shuffle: a URL that makes up a third of the stream reaches
     its state partition about once per ten thousand rows. The stateful step behind it stays exact."""
+    import numpy as np
+
     for batch in batches:
-        yield batch.drop_duplicates("url_key")
+        keys = batch.column(batch.schema.names.index("url_key")).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.sort(np.unique(keys, return_index=True)[1])
+        yield batch if len(first) == batch.num_rows else batch.take(first)
 
 
 def stream_import_urls(urls: DataFrame, out: str, checkpoint: str, within: str | None = None, event_time: str | None = None) -> StreamingQuery:
@@ -26,14 +31,13 @@ def stream_import_urls(urls: DataFrame, out: str, checkpoint: str, within: str |
     State holds one key per URL. With `within` the state is bounded: duplicates inside that delay of event time are
     dropped and older keys expire."""
     keyed = (
-        urls.withColumn("canonical_url", canonical_url(F.col("url"))).filter(F.col("canonical_url").isNotNull())
+        with_canonical_url(urls, "url", "canonical_url").filter(F.col("canonical_url").isNotNull())
         .withColumn("url_key", F.lower("canonical_url"))
     )
-    keyed = keyed.mapInPandas(_unique_per_batch, keyed.schema)
-    if within:
+    if within:  # every row counts for the watermark, so none is thinned out
         fresh = keyed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["url_key"])
     else:
-        fresh = keyed.dropDuplicates(["url_key"])
+        fresh = keyed.mapInArrow(_unique_per_batch, keyed.schema).dropDuplicates(["url_key"])
     return (
         fresh.writeStream.format("parquet").outputMode("append").option("path", out)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -208,8 +212,11 @@ def stream_analyze(
     spark: SparkSession, folder: str, out: str, checkpoint: str, registry: ExtractorRegistry | None = None,
     pattern: str | None = None,
 ) -> StreamingQuery:
-    """New files -> observations exactly once. Each batch overwrites its own partition, so a replay changes nothing;
-    content seen in an earlier batch is skipped by an anti-join on the content hash."""
+    """New files -> observations exactly once.
+
+    A batch is read once, into a table of its own by kind; which of its contents are new is decided on their hashes, and the
+    extractors read that table. Its manifest, the hashes it added, is written last: a batch without one never happened,
+    its replay overwrites what it left, and a batch with one changes nothing when it is replayed."""
     reader = spark.readStream.format("binaryFile").schema(
         "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
     if pattern:
@@ -221,14 +228,25 @@ def stream_analyze(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        staging = f"{out}/staging/batch={batch_id}"
+        staged = stage_by_kind(batch, staging)
+        # same bytes twice in one batch: keep one row, chosen by path; hashes and paths are read, not contents
+        chosen = staged.groupBy("artifact_id").agg(F.min("original_path").alias("original_path"))
         if batch_id > 0:
             earlier = session.read.parquet(f"{out}/seen").filter(F.col("batch") < batch_id)
-            batch = batch.join(earlier.select("artifact_id"), "artifact_id", "left_anti")
-        # same bytes twice in one batch: keep one row, chosen by path, without shuffling contents of others
-        chosen = batch.groupBy("artifact_id").agg(F.min("original_path").alias("original_path"))
-        unique = batch.join(chosen, ["artifact_id", "original_path"], "left_semi")
-        chosen.select("artifact_id").write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
-        observations, _ = analyze(unique, F.lit(None).cast("timestamp"), registry)
+            chosen = chosen.join(earlier.select("artifact_id"), "artifact_id", "left_anti")
+        chosen = chosen.checkpoint()
+        unique = staged.join(chosen, ["artifact_id", "original_path"], "left_semi")
+        observations, _ = extracted(unique, F.lit(None).cast("timestamp"), registry)
         observations.write.mode("overwrite").parquet(f"{out}/observations/batch={batch_id}")
+        chosen.select("artifact_id").write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
+        _delete(session, staging)
 
+    shared_folder(spark)
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove a table that is no longer needed, on whatever file system holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

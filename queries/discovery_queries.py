@@ -40,7 +40,7 @@ SELECT {host_sql('key')} AS host, count(DISTINCT key) AS urls FROM canon GROUP B
 def flagship(spark, d):
     """Captured pages -> links -> canonical URLs -> first sighting -> distinct URLs per host."""
     links = disc.extract_links(pages(spark, d))
-    keyed = links.select(F.lower(urls.canonical_url(F.col("url"))).alias("key"), "source_url", "position")
+    keyed = urls.with_canonical_url(links, "url", "key").select(F.lower("key").alias("key"), "source_url", "position")
     first = first_wins(keyed, ["key"], ["source_url", "position"])
     return first.groupBy(urls.host(F.col("key")).alias("host")).agg(F.count(F.lit(1)).alias("urls"))
 
@@ -197,7 +197,7 @@ WITH {LINKS_SQL}, c AS (SELECT {canonical_sql('url')} AS canonical_url, source_u
 f AS (SELECT lower(canonical_url) AS k, arg_min(canonical_url, source_url || printf('%05d', position)) AS canonical_url FROM c GROUP BY 1)
 SELECT canonical_url FROM f WHERE k NOT IN (SELECT lower({canonical_sql('url')}) FROM links WHERE position = 0)""")
 def new_resources(spark, d):
-    links = disc.extract_links(pages(spark, d)).withColumn("canonical_url", urls.canonical_url(F.col("url")))
+    links = urls.with_canonical_url(disc.extract_links(pages(spark, d)), "url", "canonical_url")
     known = links.filter(F.col("position") == 0).select(F.upper("canonical_url").alias("canonical_url"))
     return new_only(links, known, ["source_url", "position"]).select("canonical_url")
 

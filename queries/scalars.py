@@ -39,6 +39,16 @@ def canonical(spark, d):
     return _variants(spark, d).select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
 
+@query("canonical_url_idn", f"""
+WITH named AS (SELECT page_id, regexp_replace(url, '://', '://xn--bcher-kva.') AS url FROM pages)
+SELECT page_id, {canonical_sql('url')} AS canonical FROM named UNION ALL SELECT page_id, {canonical_sql('url')} FROM pages""")
+def canonical_idn(spark, d):
+    """Every page under its own host and below a host name with an umlaut, in upper case."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    named = p.select("page_id", F.replace("url", F.lit("://"), F.lit("://B\u00dcCHER.")).alias("url"))
+    return urls.with_canonical_url(named.unionByName(p), "url", "canonical").select("page_id", "canonical")
+
+
 @query("normalize_value", """
 WITH v AS (
   SELECT page_id, 'url' AS category, '  ' || upper(url) || chr(9) AS value FROM pages

@@ -45,6 +45,27 @@ def stream_attempt_windows(spark, d):
     return spark.read.parquet(out).select("endpoint_id", F.unix_micros("window_start").alias("start_us"), "attempts", "failures")
 
 
+@query("stream_import_urls_bounded", f"SELECT DISTINCT lower({canonical_sql('url')}) AS url FROM pages")
+def stream_import_urls_bounded(spark, d):
+    """The form whose state expires: a URL's repeats come within the delay of its first sighting."""
+    again = F.explode(F.array("url", F.upper("url")))
+    source = stream_of(spark, d, "pages").select(again.alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 60).alias("seen_at"))
+    out = scratch_path(spark, "bounded-urls")
+    jobs.stream_import_urls(source, out, scratch_path(spark, "bounded-checkpoint"), within="1 hour", event_time="seen_at").awaitTermination()
+    return spark.read.parquet(out).select(F.col("url_key").alias("url"))
+
+
+@query("stream_attempt_windows_sliding", f"""
+WITH {ATTEMPTS_SQL}, w AS (SELECT endpoint_id, time_bucket(INTERVAL 15 MINUTE, attempted_at) - k * INTERVAL 15 MINUTE AS s, outcome FROM attempts, range(0, 4) t(k))
+SELECT endpoint_id, epoch_us(s) AS start_us, count(*) AS attempts, count(*) FILTER (outcome <> 'success') AS failures FROM w
+WHERE s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(attempted_at)) - INTERVAL 10 MINUTE FROM attempts) GROUP BY ALL""")
+def stream_attempt_windows_sliding(spark, d):
+    """Windows of an hour that start every quarter."""
+    out = scratch_path(spark, "sliding")
+    jobs.stream_attempt_windows(attempt_stream(spark, d), out, scratch_path(spark, "sliding-checkpoint"), slide="15 minutes").awaitTermination()
+    return spark.read.parquet(out).select("endpoint_id", F.unix_micros("window_start").alias("start_us"), "attempts", "failures")
+
+
 @query("stream_attempt_sessions", f"""
 WITH {ATTEMPTS_SQL}, g AS (SELECT *, CASE WHEN attempted_at < lag(attempted_at) OVER (PARTITION BY endpoint_id ORDER BY attempted_at) + INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS fresh FROM attempts),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY endpoint_id ORDER BY attempted_at) AS no FROM g)

@@ -94,3 +94,39 @@ def test_merging_is_associative():
         a, b, c = one(), one(), one()
         left, right = jobs.merged_summary(jobs.merged_summary(a, b), c), jobs.merged_summary(a, jobs.merged_summary(b, c))
         assert left[:2] == right[:2] and left[3:] == right[3:] and abs(left[2] - right[2]) < 1e-9
+
+
+def test_bounded_import_forgets(spark):
+    """A URL that comes again after its state has expired is new; before, it is not. IDN hosts are kept."""
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "urls", "urls-checkpoint"))
+    schema = "url string, seen_at timestamp"
+    for rows in ([("http://a.test/", at(0)), ("http://A.test", at(10))], [("http://a.test/", at(30)), ("http://bücher.test/", at(5000))], [("http://a.test/", at(5010))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.stream_import_urls(spark.readStream.schema(schema).parquet(folder), out, checkpoint, within="1 minute", event_time="seen_at").awaitTermination()
+    assert sorted(r.url_key for r in spark.read.parquet(out).collect()) == ["http://a.test/", "http://a.test/", "http://xn--bcher-kva.test/"]
+
+
+def test_analysis_replays_a_batch_without_a_manifest(spark, tmp_path):
+    """A batch that stopped before its manifest is done again; nothing is counted twice."""
+    import os
+    import shutil
+
+    folder, out, checkpoint = tmp_path / "files", scratch_path(spark, "analysis"), scratch_path(spark, "analysis-checkpoint")
+    folder.mkdir()
+    run = lambda: jobs.stream_analyze(spark, str(folder), out, checkpoint, pattern="*.txt").awaitTermination()
+    names = lambda: sorted(r.original_value for r in spark.read.parquet(f"{out}/observations").filter("category = 'username'").collect())
+    (folder / "a.txt").write_text("username=ann\n")
+    (folder / "same.txt").write_text("username=ann\n")
+    run()
+    (folder / "b.txt").write_text("username=bo\n")
+    (folder / "again.txt").write_text("username=ann\n")
+    run()
+    assert names() == ["ann", "bo"] and not os.listdir(f"{out}/staging")
+    # as if the second batch had failed before its manifest: neither it nor the commit of the batch exist
+    shutil.rmtree(f"{out}/seen/batch=1")
+    os.remove(f"{checkpoint}/commits/1")
+    for crc in (f"{checkpoint}/commits/.1.crc",):
+        if os.path.exists(crc):
+            os.remove(crc)
+    run()
+    assert names() == ["ann", "bo"] and spark.read.parquet(f"{out}/seen").count() == 2
