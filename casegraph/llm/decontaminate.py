@@ -7,7 +7,9 @@
 4. ``postings``: the index: (term, doc_id, position) of the anchor terms in all documents.
 5. ``phrases``: posting lists meet the anchors term by term; position minus item position is the diagonal. A window whose
    two anchors lie on one diagonal of a document is a candidate; the full phrase is then compared with the whole text.
-   ``near`` uses the same lists for proximity: anchors of one window within `slack` of one diagonal.
+6. ``proximity``: windows that a document holds nearly: all but `missing` of their words, each at most `slack` words off
+   one diagonal. One of the `missing` + 1 rarest terms that occur must be there, so the lists of these alone (terms that
+   no document has use up the allowance) give all candidates; the whole text decides.
 
 Which words of a document are test terms is decided in the scan by a bit set of fixed size (1 MiB, two bits a term);
 what passes it wrongly finds no partner in the joins. A benchmark of any size therefore gives the same result, and a
@@ -155,25 +157,6 @@ def diagonals(index: DataFrame, items: DataFrame) -> DataFrame:
     return index.join(cut(anchors), "term").select("doc_id", "item_id", "variant", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"))
 
 
-def _windows(items: DataFrame) -> DataFrame:
-    """(item_id, variant, start, one, two) from the packed windows."""
-    return items.select("item_id", "variant", F.explode(F.expr("transform(sequence(1, size(windows), 3), i -> struct(windows[i-1] AS start, windows[i] AS one, windows[i+1] AS two))")).alias("w")).select(
-        "item_id", "variant", "w.*")
-
-
-def near(index: DataFrame, items: DataFrame, slack: int) -> DataFrame:
-    """(doc_id, item_id, variant, start, distance): windows whose two anchors occur in a document at most `slack` words
-    closer or farther than in the item - the least such difference per document and window."""
-    found = diagonals(index, items)
-    wide = _windows(items.filter(F.size("windows") > 0))
-    key = ["doc_id", "item_id", "variant", "start"]
-    cell = F.floor(F.col("diagonal") / F.lit(slack + 1))
-    one = found.join(wide, ["item_id", "variant"]).filter("item_at = one").select(*key, F.col("diagonal").alias("d1"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    two = found.join(wide, ["item_id", "variant"]).filter("item_at = two").select(*key, F.col("diagonal").alias("d2"), cell.alias("cell"))
-    apart = F.abs(F.col("d1") - F.col("d2"))
-    return one.join(two, [*key, "cell"]).filter(apart <= slack).groupBy(*key).agg(F.min(apart).alias("distance"))
-
-
 def phrases(texts: DataFrame, index: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids): all documents with the words inside any occurrence of a window."""
     lined = diagonals(index, items).groupBy("doc_id", "item_id", "variant", "diagonal").agg(F.collect_set("item_at").alias("lined"))
@@ -224,3 +207,76 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = postings(texts, bit_set(anchored))
     return phrases(texts, index, items, window).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def near_windows(terms: np.ndarray, counts: np.ndarray, window: int, missing: int) -> list[tuple[int, list[int]]]:
+    """(start, anchor positions) of each window that a document may hold with at most `missing` words wanting. Every place
+    of a rare term is an anchor, as each of them may be the one that is there."""
+    width = min(window, len(terms))
+    out = []
+    for start in range(len(terms) - width + 1):
+        own = counts[start: start + width]
+        spare = min(missing, width - 1) - int((own == 0).sum())
+        if spare >= 0:
+            order = [int(p) for p in np.argsort(own, kind="stable") if own[p] > 0]
+            out.append((start, sorted(start + p for p in order[: spare + 1])))
+    return out
+
+
+def held(hashes: np.ndarray, terms: np.ndarray, low: int, slack: int) -> int:
+    """How many of the terms stand at most `slack` words behind their place on the diagonal `low`."""
+    there = np.zeros(len(terms), bool)
+    at = np.arange(len(terms)) + low
+    for step in range(slack + 1):
+        inside = (at + step >= 0) & (at + step < len(hashes))
+        there[inside] |= hashes[at[inside] + step] == terms[inside]
+    return int(there.sum())
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+              item_text_col: str = "text", window: int = WINDOW, slack: int = 2, missing: int = 2) -> DataFrame:
+    """(doc_id, item_id, start, wanting, diagonal): a row per document, item and window start that match nearly (exact
+    matches included), with the fewest wanting words and the least diagonal that attains them; of several texts of one item
+    or id, the best. A window of one word must be there."""
+    texts = id_and_text(docs, id_col, text_col)
+    terms = cut(item_terms(benchmark, item_col, item_text_col))
+    counts = frequencies(texts, bit_set(terms))
+    whole = terms.join(counts, "term", "left").groupBy("item_id", "variant").agg(
+        F.sort_array(F.collect_list(F.struct("at", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, w in zip(*(batch.column(c).to_pylist() for c in ("item_id", "w"))):
+                ids = [x["term"] for x in w]
+                for start, anchors in near_windows(np.array(ids), np.array([x["n"] for x in w]), window, missing):
+                    rows += [(item, start, ids[start: start + window], ids[p], p - start) for p in anchors]
+            types = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "start", "terms", "term", "offset"])
+
+    anchors = cut(whole.mapInArrow(windows, "item_id string, start int, terms array<long>, term long, offset int"))
+    index = postings(texts, bit_set(anchors))
+    asked = (
+        index.join(anchors, "term").select("doc_id", "item_id", "start", "terms", (F.col("at") - F.col("offset")).alias("diagonal"))
+        .groupBy("doc_id", "item_id", "start", "terms").agg(F.collect_set("diagonal").alias("diagonals"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "terms", "diagonals")).alias("asked"))
+    )
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            rows = []
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("asked").to_pylist()):
+                hashes = words.of(words_of(text)).view(np.int64)
+                for x in own:
+                    wanted = np.array(x["terms"], np.int64)
+                    least = len(wanted) - min(missing, len(wanted) - 1)
+                    lows = sorted({d - k for d in x["diagonals"] for k in range(slack + 1)})
+                    best = max(((held(hashes, wanted, low, slack), -low) for low in lows), default=(0, 0))
+                    if best[0] >= least:
+                        rows.append((doc, x["item_id"], x["start"], len(wanted) - best[0], -best[1]))
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "item_id", "start", "wanting", "diagonal"])
+
+    found = texts.join(asked, "doc_id").mapInArrow(verified, "doc_id long, item_id string, start int, wanting int, diagonal int")
+    return found.groupBy("doc_id", "item_id", "start").agg(F.min(F.struct("wanting", "diagonal")).alias("best")).select("doc_id", "item_id", "start", "best.*")

@@ -107,6 +107,12 @@ def op6_decontaminate(spark, d):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("proximity_matches")
+def proximity_matches(spark, d):
+    """Windows of benchmark items that documents hold nearly: the other output of operator 6."""
+    return decontaminate.proximity(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def tokenizer(name: str) -> str:
     """Where a public vocabulary file lies; $CASEGRAPH_TOKENIZERS names another folder."""
     folder = os.environ.get("CASEGRAPH_TOKENIZERS", "/opt/tokenizers")

@@ -1,4 +1,6 @@
 import random
+
+import pytest
 import re
 
 from casegraph.llm import decontaminate as dc
@@ -59,16 +61,48 @@ def test_empty_tables(spark, docs):
     assert [tuple(r) for r in dc.contamination(docs([(1, "a b")]), none).collect()] == [(1, 2, 0, [], False)]
 
 
-def test_proximity(spark, docs):
+def near_brute(rows, items, window=13, slack=2, missing=2):
+    """Every window against every diagonal of every document."""
+    out = {}
+    for item, text in items:
+        w = [x.decode() for x in dc.words_of((text or "").encode())]
+        width = min(window, len(w))
+        for start in range(len(w) - width + 1 if item is not None and w else 0):
+            own = w[start: start + width]
+            for doc, body in rows:
+                words = [x.decode() for x in dc.words_of((body or "").encode())]
+                if doc is None or not set(own) & set(words):
+                    continue
+                for low in range(-width - slack, len(words)):
+                    there = sum(any(0 <= low + p + k < len(words) and words[low + p + k] == x for k in range(slack + 1)) for p, x in enumerate(own))
+                    if there >= width - min(missing, width - 1):
+                        key, value = (doc, str(item), start), (width - there, low)
+                        out[key] = min(out.get(key, value), value)
+    return out
+
+
+@pytest.mark.parametrize("slack,missing", [(0, 0), (2, 2), (1, 4)])
+def test_proximity_equals_brute_force(spark, docs, slack, missing):
+    """Passages with words put in, left out and replaced, by words that no document has too."""
+    rng = random.Random(slack + missing)
+    vocabulary = ["w%d" % k for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 6, 13, 15])))) for k in range(12)]
+    items += [(20, items[3][1] + " unseenone " + items[4][1]), (3, items[5][1]), (21, None), (22, "!"), (None, "w1 w2 w3")]
+    rows = []
+    for k in range(40):
+        words = rng.choice(items[:13])[1].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words) + 1)
+            words[at: at + rng.randrange(2)] = rng.choice([[], ["w7"], ["other"]])
+        rows.append((k, " ".join(rng.choices(vocabulary, k=5) + words + rng.choices(vocabulary, k=rng.randrange(8)))))
+    rows += [(50, None), (51, ""), (3, "w1 w2 w3 w4"), (None, items[3][1]), (7, rows[7][1])]
+    got = dc.proximity(docs(rows), spark.createDataFrame(items, "item_id long, text string"), slack=slack, missing=missing).collect()
+    assert {(r.doc_id, r.item_id, r.start): (r.wanting, r.diagonal) for r in got} == near_brute(rows, items, 13, slack, missing) and len(got) == len({tuple(r)[:3] for r in got})
+
+
+def test_proximity_finds_a_word_replaced_everywhere(spark, docs):
     item = "alpha one two beta three four five six seven eight nine ten eleven"
-    texts = [(1, item), (2, item.replace("two beta", "two extra words beta")), (3, "beta " + "x " * 40 + "alpha"), (4, "alpha")]
-    frame = docs(texts)
-    from casegraph.llm.common import cut, id_and_text
-
-    plain = id_and_text(frame, "doc_id", "text")
-    terms = cut(dc.item_terms(spark.createDataFrame([(9, item)], "item_id long, text string")))
-    items = cut(dc.item_windows(terms, dc.frequencies(plain, dc.bit_set(terms)), 13))
-    index = cut(dc.postings(plain, dc.bit_set(terms)))
-    got = {r.doc_id: r.distance for r in dc.near(index, items, 5).collect()}
-    assert got[1] == 0 and set(got) <= {1, 2}
-    assert set(dc.near(index, items, 0).toPandas().doc_id) >= {1}
+    texts = [(1, item), (2, item.replace("beta", "gamma")), (3, item.replace("two beta", "two extra words beta")), (4, "beta " + "x " * 40 + "alpha")]
+    got = {r.doc_id: r.wanting for r in dc.proximity(docs(texts), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    assert {r.doc_id for r in dc.proximity(docs(texts[1:2]), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()} == {2}

@@ -19,6 +19,10 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     if name in SQL:
         assert compare(df, connect(SF), SQL[name]) is None
+    elif name == "proximity_matches":
+        found = {(r.doc_id, r.item_id) for r in df.collect() if r.wanting == 0}
+        exact = decontaminate.contamination(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+        assert found >= {(r.doc_id, i) for r in exact for i in r.item_ids} and found
     else:
         over = "SELECT DISTINCT conv_id FROM conversations" if name == "op12_repair" else "FROM documents"
         assert df.count() == len(connect(SF).execute(over).fetchall())
