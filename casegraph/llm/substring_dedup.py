@@ -15,8 +15,12 @@ follows from the window's own words, equal windows always meet in one block list
 
 Nothing is compared pairwise: a passage that a third of all documents hold is one block list, reduced map-side.
 
-Cases: null or short texts have no window and keep all words; equal rows repeated under one id stay (an id is never its
-own source); copies under larger ids lose every word if they have a window; a null id is neither source nor cleaned.
+This is block parsing, not a greedy longest-match walk: a factor is a whole block or the windows at its ends, found by the
+document's own anchors, and touching factors join. What is removed is the same, as every window that occurs earlier lies in
+some block.
+
+Cases: null or short texts have no window and keep all words; rows repeated under one id stay (an id is never its own
+source), and different texts under one id are parsed apart; copies under larger ids lose every word if they have a window; a null id is neither source nor cleaned.
 """
 
 from __future__ import annotations
@@ -45,13 +49,13 @@ def _text_key(text: bytes) -> tuple[int, int]:
 
 
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(t1, t2, doc_id, anchors): a hash of the text and its distinct anchors, per row with a window."""
+    """(t1, t2, doc_id, words_key, anchors): hashes of the text and its distinct anchors, per row with a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, powers = WordHashes(), Powers()
         for batch in batches:
-            t1, t2, ids, sizes, values = [], [], [], [0], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
+            t1, t2, ids, keys, sizes, values = [], [], [], [], [0], []
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("words_key").to_pylist(), texts_of(batch.column("text"))):
                 found = text.split()
                 if len(found) < window:
                     continue
@@ -60,26 +64,27 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 t1.append(a)
                 t2.append(b)
                 ids.append(doc)
+                keys.append(key)
                 sizes.append(len(own))
                 values.append(own)
             flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(ids, pa.int64()), lists], ["t1", "t2", "doc_id", "anchors"])
+                [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), lists], ["t1", "t2", "doc_id", "words_key", "anchors"])
 
     return texts.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInArrow(
-        run, "t1 long, t2 long, doc_id long, anchors array<long>")
+        run, "t1 long, t2 long, doc_id long, words_key long, anchors array<long>")
 
 
 def occurrences(texts: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, block, doc_id, start, hashes): per document the runs of windows that have one shared anchor."""
+    """(anchor, block, doc_id, words_key, start, hashes): per text the runs of windows that have one shared anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, powers = WordHashes(), Powers()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             lists = batch.column("shared")
-            for n, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")))):
+            for n, (doc, key, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("words_key").to_pylist(), texts_of(batch.column("text")))):
                 own = words.of((text or b"").split())
                 if len(own) < window:
                     continue
@@ -95,17 +100,17 @@ def occurrences(texts: DataFrame, shared: DataFrame, window: int, gram: int) ->
                 hashes = rolling(own, window, powers)[starts]
                 place = np.arange(len(starts), dtype=np.uint64) - np.repeat(first, size).astype(np.uint64)
                 block = np.add.reduceat(mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15)), first) + size.astype(np.uint64)
-                for into, what in zip(out, (value[first], block, np.full(len(first), doc, np.int64), starts[first], size, hashes)):
+                for into, what in zip(out, (value[first], block, np.full(len(first), doc, np.int64), np.full(len(first), key, np.int64), starts[first], size, hashes)):
                     into.append(what)
             if not out[0]:
                 continue
-            value, block, docs, start, size, hashes = (np.concatenate(x) for x in out)
+            value, block, docs, keys, start, size, hashes = (np.concatenate(x) for x in out)
             runs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(block.view(np.int64)), pa.array(docs), pa.array(start.astype(np.int32)), runs],
-                ["anchor", "block", "doc_id", "start", "hashes"])
+                [pa.array(value.view(np.int64)), pa.array(block.view(np.int64)), pa.array(docs), pa.array(keys), pa.array(start.astype(np.int32)), runs],
+                ["anchor", "block", "doc_id", "words_key", "start", "hashes"])
 
-    return texts.join(shared, "doc_id").mapInArrow(run, "anchor long, block long, doc_id long, start int, hashes array<long>")
+    return texts.join(shared, ["doc_id", "words_key"]).mapInArrow(run, "anchor long, block long, doc_id long, words_key long, start int, hashes array<long>")
 
 
 def blocks(found: DataFrame) -> DataFrame:
@@ -124,23 +129,29 @@ def blocks(found: DataFrame) -> DataFrame:
     return cut(distinct.drop("hashes").join(early, ["anchor", "block"], "left"))
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, words_key): the key tells apart texts of different words under one id."""
+    words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return id_and_text(docs, id_col, text_col).withColumn("words_key", F.xxhash64(words))
+
+
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25) -> DataFrame:
-    """(doc_id, factors): per document that is not a copy, its factors (start, windows, early) - windows counted from
+    """(doc_id, words_key, factors): per text that is not a copy, its factors (start, windows, early) - windows counted from
     `start`, or only the offsets `early`."""
-    texts = id_and_text(docs, id_col, text_col)
-    firsts = cut(anchors(texts, window, gram).groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "anchors")).alias("first")).select("first.*"))
-    each = firsts.select("doc_id", F.explode("anchors").alias("anchor"))
+    texts = keyed_texts(docs, id_col, text_col)
+    firsts = cut(anchors(texts, window, gram).groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "words_key", "anchors")).alias("first")).select("first.*"))
+    each = firsts.select("doc_id", "words_key", F.explode("anchors").alias("anchor"))
     held = cut(each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"))
-    shared = each.join(held, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
+    shared = each.join(held, "anchor").groupBy("doc_id", "words_key").agg(F.collect_list("anchor").alias("shared"))
     found = cut(occurrences(texts, shared, window, gram))
     index = blocks(found)
     copied = (
-        found.select("anchor", "block", "doc_id", "start", F.size("hashes").alias("windows")).join(index, ["anchor", "block"])
+        found.select("anchor", "block", "doc_id", "words_key", "start", F.size("hashes").alias("windows")).join(index, ["anchor", "block"])
         .withColumn("early", F.when(F.col("doc_id") == F.col("source"), F.col("early")))
         .filter((F.col("doc_id") > F.col("source")) | F.col("early").isNotNull())
-        .groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "early", "source")).alias("factors"))
+        .groupBy("doc_id", "words_key").agg(F.collect_list(F.struct("start", "windows", "early", "source")).alias("factors"))
     )
-    return firsts.select("doc_id").distinct().join(copied, "doc_id", "left")
+    return firsts.select("doc_id", "words_key").distinct().join(copied, ["doc_id", "words_key"], "left")
 
 
 def covered(n_words: int, found: list[dict], window: int) -> list[tuple[int, int]]:
@@ -157,9 +168,8 @@ def covered(n_words: int, found: list[dict], window: int) -> list[tuple[int, int
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans[, kept]); spans hold word offsets, end exclusive."""
-    texts = id_and_text(docs, id_col, text_col)
     parsed = factors(docs, id_col, text_col, window, gram).withColumn("first", F.lit(True))
-    joined = texts.join(parsed, "doc_id", "left")
+    joined = keyed_texts(docs, id_col, text_col).join(parsed, ["doc_id", "words_key"], "left").drop("words_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

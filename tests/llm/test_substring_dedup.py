@@ -43,6 +43,15 @@ def test_planted_passages_and_edges(docs):
     check(docs, rows)
 
 
+def test_different_texts_under_one_id(docs):
+    """Each text has factors of its own; an id is never its own source, also where only white space differs."""
+    rng = random.Random(6)
+    text = lambda n: ["w%d" % rng.randrange(100_000) for _ in range(n)]
+    passage, own = text(80), text(90)
+    rows = [(1, " ".join(passage)), (5, " ".join(text(80) + passage)), (5, " ".join(own)), (5, "  ".join(own)), (5, " ".join(own[:70] + text(9))), (9, " ".join(own)), (9, " ".join(passage)), (2, " ".join(passage))]
+    check(docs, rows)
+
+
 def test_small_windows_with_few_words(docs):
     rng = random.Random(9)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for k in range(80)]
