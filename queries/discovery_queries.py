@@ -15,6 +15,7 @@ from casegraph.session import scratch_path
 from casegraph.sources import readers
 from queries.predicates import ENTRIES_SQL, NON_PUBLIC_SQL
 from queries.registry import query
+from queries.standins import write_files  # noqa: E402
 from queries.standins import (
     ADDRESSES_SQL, FIRST, NETWORKS_SQL, SECOND, V4_SQL, addresses, canonical_sql, endpoints, escape_sql, host_sql, networks, path_sql, table,
 )
@@ -55,6 +56,25 @@ def scan_artifacts(spark, d):
                         F.lit(None).cast("string").alias("sha256"), "code"))
 
 
+@query("scan_artifacts_budget", """
+WITH f AS (SELECT 'c' || c_custkey || '.txt' AS name, repeat('name=' || c_name || chr(10), CASE WHEN c_nationkey % 5 = 0 THEN 9 ELSE 1 END) AS body FROM customer)
+SELECT name, length(body) AS size, sha256(body) AS sha256, NULL AS code FROM f WHERE length(body) <= 100
+UNION ALL SELECT name, NULL, NULL, 'artifact.size_budget' FROM f WHERE length(body) > 100""")
+def scan_artifacts_budget(spark, d):
+    """A file per customer, a fifth of them over the byte budget, and files of another name beside."""
+    folder = scratch_path(spark, "scan")
+    body = F.concat(F.lit("name="), "c_name", F.lit("\n"))
+    rows = table(spark, d, "customer").select(
+        F.explode(F.array(*[F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(e)) for e in (".txt", ".tmp")])).alias("name"),
+        F.when(F.col("c_nationkey") % 5 == 0, F.repeat(body, 9)).otherwise(body).cast("binary").alias("content"))
+    write_files(rows, folder)
+    found, rejected = readers.scan_artifacts(spark, folder, pattern="*.txt", max_bytes=100)
+    base = lambda c: F.regexp_extract(c, "[^/]+$", 0).alias("name")
+    none = F.lit(None)
+    return found.select(base("original_path"), "size", "sha256", none.cast("string").alias("code")).unionByName(
+        rejected.select(base("message"), none.cast("long").alias("size"), none.cast("string").alias("sha256"), "code"))
+
+
 @query("dedup_artifacts", """
 SELECT sha256(text) AS sha256, 'doc/' || min(doc_id) AS original_path, count(*) AS sightings FROM documents GROUP BY 1""")
 def dedup_artifacts(spark, d):

@@ -79,11 +79,18 @@ def project_status(spark, d):
         ("runs", "orders"), ("artifacts", "documents"), ("scopes", "supplier"), ("observations", "lineitem"))})
 
 
+FAMILIES_SQL = f"""
+m AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{c}')" for f, cs in fv.CATEGORY_FAMILIES.items() for c in cs)}) t(family, pattern)),
+narrow AS (SELECT lower(category) AS category, count(*) AS n FROM page_observations GROUP BY 1),
+wide AS (SELECT lower(category) AS category, count(*) AS n FROM (
+    SELECT category FROM page_observations UNION ALL SELECT 'history.' || lower(c_mktsegment) FROM customer UNION ALL SELECT 'Author' FROM supplier) GROUP BY 1)
+"""
+IN_FAMILY = "category = pattern OR (pattern = 'history*' AND starts_with(category, 'history'))"
+
+
 @query("category_families", f"""
-WITH {PAGES_SQL}, c AS (SELECT lower(category) AS category, count(*) AS n FROM (
-    SELECT category FROM page_observations UNION ALL SELECT 'history.' || lower(c_mktsegment) FROM customer UNION ALL SELECT 'Author' FROM supplier) GROUP BY 1),
-m AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{c}')" for f, cs in fv.CATEGORY_FAMILIES.items() for c in cs)}) t(family, pattern))
-SELECT family, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM m LEFT JOIN c ON category = pattern OR (pattern = 'history*' AND starts_with(category, 'history')) GROUP BY 1""")
+WITH {PAGES_SQL}, {FAMILIES_SQL}
+SELECT family, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM m LEFT JOIN wide ON {IN_FAMILY} GROUP BY 1""")
 def category_families(spark, d):
     return report.category_families(_categories(spark, d))
 
@@ -96,7 +103,9 @@ def _categories(spark, d):
     )
 
 
-@query("category_gap", "SELECT family FROM (VALUES ('users'), ('history')) t(family) WHERE (SELECT count(*) FROM customer) > 0")
+@query("category_gap", f"""
+WITH {PAGES_SQL}, {FAMILIES_SQL}
+SELECT DISTINCT family FROM m JOIN wide ON {IN_FAMILY} WHERE family NOT IN (SELECT family FROM m JOIN narrow ON {IN_FAMILY})""")
 def category_gap(spark, d):
     """Families found by the wider category stream and missed by page observations alone."""
     return report.category_gap(
@@ -237,18 +246,26 @@ def graph_dot(spark, d):
     return graph_export.graph_lines(*graph(spark, d), "dot").select("section", "line")
 
 
+XML_HEAD = '<?xml version="1.0" encoding="utf-8"?>'
+
+
 @query("graph_graphml", f"""
 WITH {PAGES_SQL} SELECT 1 AS section, '<node id="' || id || '"><data key="type">' || type || '</data><data key="value">' || {_xml_sql('value')} || '</data></node>' AS line FROM entities
-UNION ALL SELECT 3, '<edge source="' || from_entity_id || '" target="' || to_entity_id || '"><data key="type">contains</data></edge>' FROM relations""")
+UNION ALL SELECT 3, '<edge source="' || from_entity_id || '" target="' || to_entity_id || '"><data key="type">contains</data></edge>' FROM relations
+UNION ALL SELECT 0, '{XML_HEAD}<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' UNION ALL SELECT 4, '</graph></graphml>'""")
 def graph_graphml(spark, d):
-    return graph_export.graph_lines(*graph(spark, d), "graphml").filter(F.col("section").isin(1, 3)).select("section", "line")
+    """All lines, from the declaration to the closing tags."""
+    return graph_export.graph_lines(*graph(spark, d), "graphml").select("section", "line")
 
 
 @query("graph_gexf", f"""
 WITH {PAGES_SQL} SELECT 1 AS section, '<node id="' || id || '" label="' || {_xml_sql("type || ': ' || value")} || '"/>' AS line FROM entities
-UNION ALL SELECT 3, '<edge id="' || id || '" source="' || from_entity_id || '" target="' || to_entity_id || '" label="contains"/>' FROM relations""")
+UNION ALL SELECT 3, '<edge id="' || id || '" source="' || from_entity_id || '" target="' || to_entity_id || '" label="contains"/>' FROM relations
+UNION ALL SELECT 0, '{XML_HEAD}<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>'
+UNION ALL SELECT 2, '</nodes><edges>' UNION ALL SELECT 4, '</edges></graph></gexf>'""")
 def graph_gexf(spark, d):
-    return graph_export.graph_lines(*graph(spark, d), "gexf").filter(F.col("section").isin(1, 3)).select("section", "line")
+    """All lines, from the declaration to the closing tags."""
+    return graph_export.graph_lines(*graph(spark, d), "gexf").select("section", "line")
 
 
 @query("sink_csv_tables", f"WITH {PAGES_SQL} SELECT id, type, {pseudonym_sql('value')} AS value, {pseudonym_sql('normalized_value')} AS normalized_value FROM entities")

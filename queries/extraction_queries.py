@@ -19,7 +19,7 @@ from casegraph.plans.registry import SearchProviderRegistry, default_extractors
 from casegraph.sources import readers
 from casegraph.session import scratch_path
 from queries.registry import query
-from queries.standins import host_sql, table
+from queries.standins import host_sql, table, write_files
 
 VIEW = ["artifact_id", "category", "original_value", "normalized_value", "location", "confidence"]
 BS = "chr(92)"
@@ -278,20 +278,7 @@ def container_entries(spark, d):
 def ranged_container_entries(spark, d):
     """The same files written out and read by ranges."""
     folder = scratch_path(spark, "containers")
-    files = office_files(spark, d).select("artifact_id", "content")
-
-    def written(batches):
-        from casegraph.sources.ranged import opened
-
-        system, path = opened(folder)
-        system.create_dir(path)
-        for batch in batches:
-            for artifact_id, content in zip(batch["artifact_id"], batch["content"]):
-                with system.open_output_stream(f"{path}/{artifact_id}.docx") as file:
-                    file.write(bytes(content))
-            yield batch[["artifact_id"]]
-
-    files.mapInPandas(written, "artifact_id string").write.format("noop").mode("overwrite").save()
+    write_files(office_files(spark, d).select(F.concat("artifact_id", F.lit(".docx")).alias("name"), "content"), folder)
     names = spark.read.format("binaryFile").load(folder).select(
         stable_id(F.col("path")).alias("id"), F.regexp_extract("path", r"([^/]+)\.docx$", 1).alias("file"))
     entries = containers.ranged_entries(spark, folder, pattern="*.docx").withColumnRenamed("artifact_id", "id")

@@ -272,3 +272,23 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("command"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").alias("created_at"),
     )
+
+
+# ---------------------------------------------------------------- files
+
+
+def write_files(df: DataFrame, folder: str) -> None:
+    """One file per row of (name, content binary) below a folder of the shared store."""
+
+    def written(batches):
+        from casegraph.sources.ranged import opened
+
+        system, path = opened(folder)
+        system.create_dir(path)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                with system.open_output_stream(f"{path}/{name}") as file:
+                    file.write(bytes(content))
+            yield batch[["name"]]
+
+    df.select("name", "content").mapInPandas(written, "name string").write.format("noop").mode("overwrite").save()
