@@ -127,6 +127,7 @@ class LineIndex:
     counts: DataFrame    # k1, k2, n_docs, keeper
     filters: DataFrame   # shard, filter
     shards: int
+    sized_for: int    # keys when the filters were last made anew
     hot_above: int
     min_chars: int
     min_docs: int
@@ -192,16 +193,32 @@ def _index(refs: DataFrame, min_chars: int, min_docs: int) -> LineIndex:
     seen, kept = Observation(), Observation()
     counted = _counted(refs).observe(seen, F.sum("n_docs").alias("refs")).filter(F.col("n_docs") >= min_docs)
     counts = cut(counted.observe(kept, F.count(F.lit(1)).alias("keys")))
-    shards = max(1, -(-(kept.get["keys"] or 0) // KEYS_PER_SHARD))
-    hot_above = max(min_docs, (seen.get["refs"] or 0) // HOT_SHARE)
-    return LineIndex(refs, counts, _filters(counts, shards), shards, hot_above, min_chars, min_docs)
+    keys = kept.get["keys"] or 0
+    shards = _shards(keys)
+    return LineIndex(refs, counts, _filters(counts, shards), shards, keys, _hot_above(seen.get["refs"] or 0, min_docs), min_chars, min_docs)
+
+
+def _shards(keys: int) -> int:
+    return max(1, -(-keys // KEYS_PER_SHARD))
+
+
+def _hot_above(refs: int, min_docs: int) -> int:
+    """More documents than this hold at most HOT_SHARE keys."""
+    return max(min_docs, refs // HOT_SHARE)
 
 
 def _changed(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex:
-    """The index over `refs`, given the keys whose references changed: only their counts and shards are made anew."""
+    """The index over `refs`, given the keys whose references changed: only their counts and shards are made anew. What
+    depends on the corpus' size follows it: the bound of hot keys always, the number of shards and the sizes of the filters
+    when the keys have outgrown them by a tenth; then all filters are made from the counts, which costs a constant share of
+    the insertions that led to it."""
     old = index.counts.join(touched, ["k1", "k2"], "left_semi")
     new = cut(_counted(refs.join(touched, ["k1", "k2"], "left_semi")).filter(F.col("n_docs") >= index.min_docs))
     counts = cut(index.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(new))
+    keys, hot_above = counts.count(), _hot_above(refs.count(), index.min_docs)
+    if keys > max(1.1 * index.sized_for, 16):
+        shards = _shards(keys)
+        return LineIndex(refs, counts, cut(_filters(counts, shards)), shards, keys, hot_above, index.min_chars, index.min_docs)
     gone = old.join(new, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(False).alias("put"))
     come = new.join(old, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(True).alias("put"))
     moves = gone.unionByName(come).select(_shard(index.shards).alias("shard"), "k1", "k2", "put")
@@ -215,7 +232,7 @@ def _changed(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
 
     filters = cut(index.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(run, "shard int, filter binary"))
-    return LineIndex(refs, counts, filters, index.shards, index.hot_above, index.min_chars, index.min_docs)
+    return LineIndex(refs, counts, filters, index.shards, index.sized_for, hot_above, index.min_chars, index.min_docs)
 
 
 def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:

@@ -60,6 +60,31 @@ def test_insert_and_delete_are_reversible(docs):
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
 
 
+def test_small_constants_probe_the_filters(docs, monkeypatch):
+    """No key is hot and shards hold three keys: answers come from the filters, through growth, overflow and deletion."""
+    import random
+
+    monkeypatch.setattr(ld, "HOT_SHARE", 1)
+    monkeypatch.setattr(ld, "KEYS_PER_SHARD", 3)
+    rng = random.Random(2)
+    line = lambda k: f"line number {k} of the common pool"
+    text = lambda pool: "\n".join(line(rng.randrange(pool)) for _ in range(6))
+    base, more = [(k, text(5)) for k in range(20)], [(k, text(200)) for k in range(100, 260)]
+    frame, added = docs(base), docs(more)
+    index = ld.build(frame)
+    assert ld.drops(index, index.refs).count() > 0 and index.counts.filter(f"n_docs >= {index.hot_above}").count() == 0
+    grown = ld.insert(index, added)
+    both = frame.unionByName(added)
+    assert grown.shards > 10 * index.shards and grown.hot_above > index.hot_above
+    assert result(grown, both) == brute(base + more)
+    fewer = ld.delete(grown, docs(more[:80]))
+    assert result(fewer, docs(base + more[80:])) == brute(base + more[80:])
+    back = ld.delete(fewer, docs(more[80:]))
+    assert back.hot_above == index.hot_above and result(back, frame) == brute(base)
+    one = ld.insert(back, docs(more[:1]))
+    assert one.shards == back.shards and result(one, docs(base + more[:1])) == brute(base + more[:1])
+
+
 def test_empty(docs):
     frame = docs([])
     assert ld.clean(ld.build(frame), frame).count() == 0
