@@ -194,10 +194,13 @@ def import_search_pages(pages: DataFrame, target: str, types: list[str]) -> Data
 
 def read_endpoint_records(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """(uri, secret_ref, weight, tags) of a text, CSV, JSON or NDJSON endpoint list."""
-    if fmt in ("json", "ndjson", "jsonl"):
-        return spark.read.schema(schemas.ENDPOINT_RECORDS).json(path, multiLine=fmt == "json")
+    if fmt == "json":
+        return spark.read.schema(schemas.ENDPOINT_RECORDS).json(path, multiLine=True)
     line = trim_ws(F.col("value"))
     lines = spark.read.text(path).filter((line != "") & ~F.startswith(line, F.lit("#"))).select(line.alias("value"))
+    if fmt in ("ndjson", "jsonl"):
+        record = F.from_json("value", schemas.ENDPOINT_RECORDS)
+        return lines.select(F.inline(F.array(F.coalesce(record, F.from_json(F.lit("{}"), schemas.ENDPOINT_RECORDS)))))
     fields = F.split("value", ",") if fmt == "csv" else F.array("value")
     item = lambda i: trim_ws(F.try_element_at(fields, F.lit(i)))
     return lines.select(

@@ -187,22 +187,65 @@ def import_search_results(spark, d):
         readers.search_json_rows(pages(spark, d).select(document.alias("value"))).select("url", "title"))
 
 
-@query("import_endpoints", """
+def endpoint_list_sql(secret: str, weight: str) -> str:
+    return f"""
 WITH r AS (SELECT c_custkey, c_nationkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'http' WHEN 'BUILDING' THEN 'https' WHEN 'FURNITURE' THEN 'socks4'
     WHEN 'HOUSEHOLD' THEN 'socks5' ELSE 'socks5h' END AS s, 'vault/' || c_custkey AS secret FROM customer)
 SELECT s || '://ep' || c_custkey || '.example.net:8080' AS uri, CASE s WHEN 'https' THEN 'https_connect' WHEN 'socks5h' THEN 'socks5_host' ELSE s END AS protocol,
-  CASE s WHEN 'socks5h' THEN 'remote' ELSE 'local' END AS dns_mode, secret AS secret_ref, greatest(c_nationkey - 3, 1) AS weight, NULL AS code
+  CASE s WHEN 'socks5h' THEN 'remote' ELSE 'local' END AS dns_mode, {secret} AS secret_ref, {weight} AS weight, NULL AS code
 FROM r WHERE c_nationkey > 2
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE c_nationkey WHEN 0 THEN 'endpoint.inline_credentials' ELSE 'endpoint.unsupported_scheme' END FROM r WHERE c_nationkey < 2""")
-def import_endpoints(spark, d):
-    """CSV list: nation 0 carries inline credentials, nation 1 an unknown scheme, nation 2 is already in the pool."""
-    rows = endpoints(spark, d)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE c_nationkey WHEN 0 THEN 'endpoint.inline_credentials' ELSE 'endpoint.unsupported_scheme' END FROM r WHERE c_nationkey < 2"""
+
+
+def listed_endpoints(spark, d):
+    """(uri, secret_ref, weight, pool_id): nation 0 carries inline credentials, nation 1 an unknown scheme."""
     uri = F.when(F.col("pool_id") == 0, F.replace("uri", F.lit("://"), F.lit("://user:pw@"))).when(
         F.col("pool_id") == 1, F.regexp_replace("uri", "^[a-z0-9]+", "gopher")).otherwise(F.col("uri"))
-    line = F.concat_ws(",", uri, F.concat(F.lit(" vault/"), F.col("id").cast("string")), (F.col("pool_id") - 3).cast("string"))
-    path = _write_lines(spark, rows.select(F.explode(F.array(line, F.lit("# list"))).alias("value")), "endpoints.csv")
-    known = rows.filter(F.col("pool_id") == 2).select("uri")
-    accepted, rejected = readers.import_endpoints(readers.read_endpoint_records(spark, path, "csv"), known)
+    return endpoints(spark, d).select(
+        uri.alias("uri"), F.concat(F.lit("vault/"), F.col("id").cast("string")).alias("secret_ref"), (F.col("pool_id") - 3).cast("int").alias("weight"), "pool_id")
+
+
+def imported_endpoints(spark, d, lines, fmt):
+    """Write a list, import it; nation 2 is already in the pool."""
+    path = _write_lines(spark, lines, f"endpoints.{fmt}")
+    known = endpoints(spark, d).filter(F.col("pool_id") == 2).select("uri")
+    accepted, rejected = readers.import_endpoints(readers.read_endpoint_records(spark, path, fmt), known)
+    return accepted.select("uri", "protocol", "dns_mode", "secret_ref", "weight", F.lit(None).cast("string").alias("code")).unionByName(
+        rejected.select("code"), allowMissingColumns=True)
+
+
+@query("import_endpoints", endpoint_list_sql("secret", "greatest(c_nationkey - 3, 1)"))
+def import_endpoints(spark, d):
+    """CSV list with comment lines."""
+    line = F.concat_ws(",", "uri", F.concat(F.lit(" "), F.col("secret_ref")), F.col("weight").cast("string"))
+    return imported_endpoints(spark, d, listed_endpoints(spark, d).select(F.explode(F.array(line, F.lit("# list"))).alias("value")), "csv")
+
+
+@query("import_endpoints_text", endpoint_list_sql("NULL", "1"))
+def import_endpoints_text(spark, d):
+    """A URI per line, padded, with comment and blank lines."""
+    padded = F.concat(F.lit("  "), F.col("uri"), F.lit("\t"))
+    return imported_endpoints(spark, d, listed_endpoints(spark, d).select(F.explode(F.array(padded, F.lit(" # list"), F.lit(""))).alias("value")), "txt")
+
+
+def endpoint_record():
+    return F.struct("uri", "secret_ref", "weight", F.array(F.lit("eu"), F.lit("fast")).alias("tags"))
+
+
+@query("import_endpoints_ndjson", endpoint_list_sql("secret", "greatest(c_nationkey - 3, 1)"))
+def import_endpoints_ndjson(spark, d):
+    """A record per line, with comment and blank lines."""
+    return imported_endpoints(spark, d, listed_endpoints(spark, d).select(F.explode(F.array(F.to_json(endpoint_record()), F.lit("# list"), F.lit(""))).alias("value")), "ndjson")
+
+
+@query("import_endpoints_json", endpoint_list_sql("secret", "greatest(c_nationkey - 3, 1)"))
+def import_endpoints_json(spark, d):
+    """One array per file, a file per nation."""
+    rows = listed_endpoints(spark, d).groupBy("pool_id").agg(F.to_json(F.collect_list(endpoint_record())).alias("value"))
+    path = scratch_path(spark, "endpoints.json")
+    rows.write.partitionBy("pool_id").text(path)
+    known = endpoints(spark, d).filter(F.col("pool_id") == 2).select("uri")
+    accepted, rejected = readers.import_endpoints(readers.read_endpoint_records(spark, f"{path}/*", "json"), known)
     return accepted.select("uri", "protocol", "dns_mode", "secret_ref", "weight", F.lit(None).cast("string").alias("code")).unionByName(
         rejected.select("code"), allowMissingColumns=True)
 
