@@ -3,7 +3,9 @@
 1. ``buckets``: candidates are range-partitioned by length, longest first, and packed: one row per bucket with its ids,
    vectors and lengths. Ties of length split by id, so a vector that a third of all rows repeat is spread over buckets.
 2. ``first``: every query meets the bucket of the longest vectors. Its k-th score there is the query's threshold.
-3. ``rest``: a query goes only to buckets whose longest vector can reach the threshold (its length times the query's).
+3. ``rest``: the other buckets come in rounds of doubling size, each with the k-th score of all before it, so a query gets
+   about k rows a round however many buckets there are. It goes only to buckets whose longest vector can reach the
+   threshold (its length times the query's).
    In a bucket the threshold over both lengths is the local cosine threshold c. Low c: length pruning - candidates shorter
    than threshold / |q| are out. High c: coordinate pruning - on the query's heaviest coordinates a candidate's
    normalized value must lie in q_i c -+ sqrt((1 - c^2)(1 - q_i^2)). What is left is verified with exact products.
@@ -160,30 +162,38 @@ def scored(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return packed.groupBy("bucket", "block").cogroup(queries.groupBy("bucket", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where `is_query`, a function of the id column, holds."""
     every = cut(integral(vectors, id_col, vec_col, scale))
     counts = every.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("q")).first()
     packed = cut(buckets(every, counts.n))
     # one row per bucket of thousands of vectors, as (bucket, dim, longest): what queries are routed by
-    heads = cut(packed.select("bucket", "dim", "longest"))
+    spread = 1 << max(0, -(-counts.n // BUCKET_ROWS) - 1).bit_length()
+    turn = F.floor(F.log2(F.pmod(F.xxhash64("bucket"), F.lit(spread)) + 1)).cast("int")
+    heads = cut(packed.select(*[F.col(c).alias(c) for c in ("bucket", "dim", "longest")], turn.alias("round")))  # columns of its own
     longest = heads.groupBy("dim").agg(F.max(F.struct("longest", "bucket")).alias("top")).select("dim", F.col("top.bucket").alias("top_bucket"))
     blocks = max(1, -(-counts.q // QUERY_ROWS))
     asked = every.filter(is_query(F.col("vec_id"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    first = cut(scored(
+    found = cut(scored(
         packed.join(longest.select(F.col("top_bucket").alias("bucket")), "bucket", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))),
         asked.join(longest, "dim").select(F.col("top_bucket").alias("bucket"), "block", "vec_id", "v", "norm", F.lit(None).cast("long").alias("threshold"), F.lit(None).cast("long").alias("limit_id")), k))
     worst = F.max(F.struct(F.bitwise_not("score").alias("turned"), "vec_id"))   # ~ turns the order of all 64-bit numbers
-    limits = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), worst.alias("worst")).filter(F.col("n") >= k).select(
-        F.col("query_id").alias("vec_id"), F.bitwise_not("worst.turned").alias("threshold"), F.col("worst.vec_id").alias("limit_id"))
     able = F.col("threshold").isNull() | (F.col("threshold") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("threshold"))
-    route = (
-        asked.join(limits, "vec_id", "left").join(longest, "dim").join(heads, "dim")
-        .filter((F.col("bucket") != F.col("top_bucket")) & able)
-        .select("bucket", "block", "vec_id", "v", "norm", "threshold", "limit_id")
-    )
-    # a bucket is copied for the query blocks that come to it, not for all
-    wanted = cut(route.select("bucket", "block").distinct())
-    found = first.unionByName(scored(packed.join(wanted, "bucket"), route, k))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rest = heads.join(longest, "dim").filter(F.col("bucket") != F.col("top_bucket"))
+    for number in sorted(r[0] for r in rest.select("round").distinct().collect()):  # at most 64
+        limits = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), worst.alias("worst")).filter(F.col("n") >= k).select(
+            F.col("query_id").alias("vec_id"), F.bitwise_not("worst.turned").alias("threshold"), F.col("worst.vec_id").alias("limit_id"))
+        route = (
+            asked.join(limits, "vec_id", "left").join(rest.filter(F.col("round") == number), "dim").filter(able)
+            .select("bucket", "block", "vec_id", "v", "norm", "threshold", "limit_id")
+        )
+        # a bucket is copied for the query blocks that come to it, not for all
+        wanted = cut(route.select("bucket", "block").distinct())
+        found = cut(best_of(found.unionByName(scored(packed.join(wanted, "bucket"), route, k)), k).drop("rank"))
+    return best_of(found, k).select("query_id", "rank", "vec_id", "score")
