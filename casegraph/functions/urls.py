@@ -142,13 +142,13 @@ def _parts(url: Column) -> Column:
 
 
 def _assemble(url: Column, *, host_col: Column | None = None, user: bool, query: bool, fragment: bool) -> Column:
-    """Rebuild a URL: lower-case scheme and host, default port dropped, clean path."""
+    """Rebuild a URL: lower-case scheme and host (or `host_col` where it is given), default port dropped, clean path."""
     empty = F.lit("")
 
     def build(p: Column) -> Column:
         default = ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
         pieces = [
-            p["scheme"], F.lit("://"), p["user"] if user else empty, p["host"] if host_col is None else host_col,
+            p["scheme"], F.lit("://"), p["user"] if user else empty, p["host"] if host_col is None else F.coalesce(host_col, p["host"]),
             F.when((p["port"] == "") | default, empty).otherwise(F.concat(F.lit(":"), p["port"])),
             clean_path(p["path"]),
         ]
@@ -196,8 +196,8 @@ def with_canonical_url(df: DataFrame, source: str, target: str) -> DataFrame:
     u = trim_ws(F.col(source))
     host = raw_host(u)
     named = df.withColumn("__host", _punycode(F.when(is_http(u) & ~is_ascii(host), host)))
-    idna = _assemble(u, host_col=F.lower("__host"), user=True, query=True, fragment=False)
-    return with_bound(named, **{target: F.coalesce(canonical_url(F.col(source)), F.when(F.col("__host").isNotNull(), idna))}).drop("__host")
+    sound = is_http(u) & (is_ascii(host) | F.col("__host").isNotNull())
+    return with_bound(named, **{target: F.when(sound, _assemble(u, host_col=F.lower("__host"), user=True, query=True, fragment=False))}).drop("__host")
 
 
 def redact_uri(url: Column) -> Column:
