@@ -229,3 +229,21 @@ DATE_PDF = r"^D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?:Z.*|([+-]\d{2})'(\d
 DATE_EXIF = r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$"
 DATE_RFC1123 = r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$"
 DATE_SLASHED = r"^\d{2}/\d{2}/\d{4}( \d{2}:\d{2}:\d{2})?$"
+
+# Column order of the CSV exports, and the columns that redaction hides.
+CSV_COLUMNS = {
+    "entities": ["id", "type", "value", "normalized_value", "confidence"],
+    "observations": ["id", "artifact_id", "category", "original_value", "normalized_value", "extractor", "location",
+                     "confidence"],
+    "relations": ["id", "from_entity_id", "to_entity_id", "type", "evidence_id", "confidence"],
+}
+CSV_HIDDEN = {
+    "entities": ["value", "normalized_value"], "observations": ["original_value", "normalized_value", "location"],
+    "relations": [],
+}
+
+# Texts that stand in results (not only in diagnostics).
+MIME_MISMATCH = ("Extension suggests ", ", magic bytes identify ")
+CONTAINER_ERROR = "Invalid ZIP container"
+BACKUP_TITLE = "Potential backup file exposed"
+UNKNOWN_PROVIDER = "Provider is not registered."

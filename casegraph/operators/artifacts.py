@@ -89,7 +89,7 @@ def static_risk(artifacts: DataFrame) -> DataFrame:
             row("entropy", F.format_string("%.4f", F.col("__entropy")), "informational"),
             F.when(expected != F.col("kind"), row(
                 "mime_mismatch",
-                F.concat(F.lit("Extension suggests "), expected, F.lit(", magic bytes identify "), F.col("kind")),
+                F.concat(F.lit(fv.MIME_MISMATCH[0]), expected, F.lit(fv.MIME_MISMATCH[1]), F.col("kind")),
                 "medium")),
             F.when(F.startswith(F.hex(F.substring("content", 1, 2)), F.lit("4D5A")),
                    row("embedded_executable", F.lit("MZ header"), "high")),
@@ -123,7 +123,7 @@ def entry_risk(entries: DataFrame) -> DataFrame:
         explode_rows(entries, flags, "f", "artifact_id", "entry_no", "name")
         .select(
             "artifact_id", F.col("f.kind").alias("kind"),
-            F.when(F.col("entry_no") == INVALID, "Invalid ZIP container").otherwise(F.col("name")).alias("value"),
+            F.when(F.col("entry_no") == INVALID, fv.CONTAINER_ERROR).otherwise(F.col("name")).alias("value"),
             F.col("f.severity").alias("severity"),
         )
     )

@@ -97,16 +97,16 @@ def container_diagnostics(entries: DataFrame) -> DataFrame:
         diagnostics(entries.filter(F.col("entry_no") == INVALID), "zip.invalid", F.col("name"), True)
         .unionByName(diagnostics(
             good.filter("NOT within_entries").dropDuplicates(["artifact_id"]), "zip.entry_budget",
-            F.lit("Container entry budget reached."), True))
+            F.lit("more entries than asked for; the rest is not listed as data"), True))
         .unionByName(diagnostics(
             good.filter("within_entries AND NOT within_budget").dropDuplicates(["artifact_id"]), "zip.size_budget",
-            F.lit("Uncompressed byte budget reached."), True))
+            F.lit("unpacked sizes exceed the byte limit from this entry on"), True))
         .unionByName(diagnostics(
             within.filter("NOT safe_path"), "zip.path_traversal",
-            F.concat(F.lit("Unsafe entry rejected: "), F.col("name")), True))
+            F.concat(F.lit("path leaves the container, not read: "), F.col("name")), True))
         .unionByName(diagnostics(
             within.filter("safe_path AND is_metadata AND suspicious_ratio"), "zip.compression_ratio",
-            F.concat(F.lit("Suspicious compression ratio rejected: "), F.col("name")), True))
+            F.concat(F.lit("unpacks to far more than its size, not read: "), F.col("name")), True))
         .unionByName(diagnostics(
             xml_nodes(_parts(entries)).filter(F.col("name") == ERROR), "xml.invalid",
             F.concat_ws(": ", "entry", "value"), False))

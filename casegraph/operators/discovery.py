@@ -124,7 +124,7 @@ def exposed_backups(candidates: DataFrame, responses: DataFrame) -> DataFrame:
         urls.with_canonical_url(candidates.select("candidate").distinct(), "candidate", "canonical_url")
         .join(hits, "canonical_url", "left_semi")
         .select(
-            F.lit("web.backup.exposed").alias("rule_id"), F.lit("Potential backup file exposed").alias("title"),
+            F.lit("web.backup.exposed").alias("rule_id"), F.lit(fv.BACKUP_TITLE).alias("title"),
             F.col("candidate").alias("description"), F.lit("high").alias("severity"), F.lit(0.85).alias("confidence"),
         )
     )

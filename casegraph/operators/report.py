@@ -180,7 +180,7 @@ def missing_providers(requested: DataFrame, registered: DataFrame) -> DataFrame:
         requested.withColumn("k", F.lower("provider_id")).join(known, "k", "left_anti")
         .select(
             "provider_id", F.lit("failed").alias("status"), F.lit(1).alias("attempt_count"),
-            F.lit("Provider is not registered.").alias("last_error"),
+            F.lit(fv.UNKNOWN_PROVIDER).alias("last_error"),
         )
     )
 

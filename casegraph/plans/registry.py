@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegraph import fixed_values as fv
 from casegraph.operators import artifacts as art
 from casegraph.operators import containers, text_extract, xml_extract
 from casegraph.operators.observations import COLUMNS, diagnostics
@@ -133,7 +134,7 @@ class SearchProviderRegistry:
         for number, provider_id in enumerate(dict.fromkeys(p.lower() for p in requested)):
             source = self._sources.get(provider_id)
             if source is None:
-                journal.append((provider_id, "failed", 1, "Provider is not registered."))
+                journal.append((provider_id, "failed", 1, fv.UNKNOWN_PROVIDER))
                 continue
             rows = source().select("url", "title", "snippet").withColumns(
                 {"provider_id": F.lit(provider_id), "provider_no": F.lit(number)})

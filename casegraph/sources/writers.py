@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegraph import fixed_values as fv
 from casegraph.functions.redact import csv_safe, pseudonymize
 from casegraph.operators.report import ordered_export
 
-CSV_COLUMNS = {
-    "entities": ["id", "type", "value", "normalized_value", "confidence"],
-    "observations": ["id", "artifact_id", "category", "original_value", "normalized_value", "extractor", "location",
-                     "confidence"],
-    "relations": ["id", "from_entity_id", "to_entity_id", "type", "evidence_id", "confidence"],
-}
-CSV_HIDDEN = {
-    "entities": ["value", "normalized_value"], "observations": ["original_value", "normalized_value", "location"],
-    "relations": [],
-}
-
 
 def csv_view(name: str, df: DataFrame, redact: bool = True) -> DataFrame:
     """Text columns of one CSV table in export order, values hidden and formulas neutralized."""
     ordered = ordered_export(name, df)
     cells = []
-    for column in CSV_COLUMNS[name]:
+    for column in fv.CSV_COLUMNS[name]:
         text: Column = F.coalesce(F.col(column).cast("string"), F.lit(""))
-        if redact and column in CSV_HIDDEN[name]:
+        if redact and column in fv.CSV_HIDDEN[name]:
             text = pseudonymize(text)
         cells.append(csv_safe(text).alias(column))
     return ordered.select(*cells)
@@ -34,7 +24,7 @@ def csv_view(name: str, df: DataFrame, redact: bool = True) -> DataFrame:
 
 def sink_csv_tables(tables: dict[str, DataFrame], path: str, redact: bool = True) -> dict[str, str]:
     written = {}
-    for name in CSV_COLUMNS:
+    for name in fv.CSV_COLUMNS:
         written[name] = f"{path}/{name}"
         csv_view(name, tables[name], redact).write.mode("overwrite").csv(
             written[name], header=True, quoteAll=True, escape='"', emptyValue="")
