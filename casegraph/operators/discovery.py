@@ -15,13 +15,14 @@ from casegraph.functions.ordered import first_wins, ranked
 from casegraph.session import scratch_path, shared_folder
 
 
-def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source_url, position, url, text) of the http(s) links of each page, resolved against the page URL."""
-    links = explode_rows(pages, urls.anchors(F.col(html)), "a", F.col(url).alias("source_url"))
+def extract_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source_url, position, url, text) of the http(s) links of each page, resolved against the page URL, after the
+    columns of the page to `keep`."""
+    links = explode_rows(pages, urls.anchors(F.col(html)), "a", *keep, F.col(url).alias("source_url"))
     resolved = with_bound(
         links, url=urls.absolute_uri(urls.resolve_link(F.col("source_url"), F.col("a.href"))))
     return resolved.filter(F.col("url").isNotNull()).select(
-        "source_url", F.col("a.position").alias("position"), "url", F.col("a.text").alias("text"))
+        *keep, "source_url", F.col("a.position").alias("position"), "url", F.col("a.text").alias("text"))
 
 
 def expand_cidr(prefixes: DataFrame, cidr: str = "cidr", budget: int | None = None) -> DataFrame:

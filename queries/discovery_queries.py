@@ -377,14 +377,10 @@ edges AS (SELECT lower({canonical_sql('source_url')}) AS page, lower({canonical_
 
 def captured_links(spark, d):
     p = pages(spark, d)
-    own = disc.extract_links(p)
-    first = own.filter(F.col("position") == 0).select(F.col("source_url").alias("owner"), F.col("url").alias("at"))
-    nxt = p.select((F.col("page_id") - 1).alias("page_id"), "html")
-    borrowed = (
-        p.select("page_id", F.col("url").alias("owner")).join(first, "owner").join(nxt, "page_id")
-        .select(F.col("at").alias("url"), "html")
-    )
-    return own.unionByName(disc.extract_links(borrowed))
+    own = disc.extract_links(p, keep=("page_id",))  # by number: several pages may share a URL
+    first = own.filter(F.col("position") == 0).select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("at"))
+    borrowed = p.select("page_id", "html").join(first, "page_id").select(F.col("at").alias("url"), "html")
+    return own.drop("page_id").unionByName(disc.extract_links(borrowed))
 
 
 @query("site_map", f"""

@@ -308,3 +308,18 @@ def test_results_do_not_depend_on_partitioning(spark, skewed_log, partitions):
         assert got == sequential_health(skewed_log)[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_captures_of_pages_that_share_a_url(rows, monkeypatch):
+    """Each page's successor is captured at that page's own first link, also when another page has its URL."""
+    from queries import discovery_queries as dq
+
+    link = lambda *paths: "".join(f'<a href="{p}">x</a>' for p in paths)
+    given = rows([
+        (0, "http://a.test/", link("/p")), (1, "http://b.test/", link("/q")), (5, "http://a.test/", link("/r")), (6, "http://c.test/", link("/s")),
+    ], "page_id long, url string, html string")
+    monkeypatch.setattr(dq, "pages", lambda spark, d: given)
+    got = sorted((r.source_url, r.url) for r in dq.captured_links(None, None).collect())
+    assert got == [
+        ("http://a.test/", "http://a.test/p"), ("http://a.test/", "http://a.test/r"), ("http://a.test/p", "http://a.test/q"),
+        ("http://a.test/r", "http://a.test/s"), ("http://b.test/", "http://b.test/q"), ("http://c.test/", "http://c.test/s")]
