@@ -15,9 +15,9 @@ HALF = "2024-01-16 00:00:00"
 
 
 def stream_of(spark, d, name):
-    """A table file as a stream with its fixed schema."""
-    schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream with its fixed schema, whether it is one file or a folder of part files: a glob path may be
+    either."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def attempt_stream(spark, d):

@@ -130,3 +130,13 @@ def test_analysis_replays_a_batch_without_a_manifest(spark, tmp_path):
             os.remove(crc)
     run()
     assert names() == ["ann", "bo"] and spark.read.parquet(f"{out}/seen").count() == 2
+
+
+@pytest.mark.parametrize("name", ["stream_import_urls"])
+def test_streamed_table_may_be_a_folder(spark, tmp_path, name):
+    """A table of several part files streams like a single file."""
+    import __spark_entry__ as contract
+
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = spark.read.parquet(f"{tmp_path}/pages.parquet").select(F.lower("url")).distinct().count()
+    assert contract.queries()[name](spark, str(tmp_path)).count() == want
