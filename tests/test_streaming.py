@@ -132,7 +132,7 @@ def test_analysis_replays_a_batch_without_a_manifest(spark, tmp_path):
     assert names() == ["ann", "bo"] and spark.read.parquet(f"{out}/seen").count() == 2
 
 
-@pytest.mark.parametrize("name", ["stream_import_urls"])
+@pytest.mark.parametrize("name", ["stream_import_urls", "stream_import_urls_bounded"])
 def test_streamed_table_may_be_a_folder(spark, tmp_path, name):
     """A table of several part files streams like a single file."""
     import __spark_entry__ as contract
