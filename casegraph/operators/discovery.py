@@ -25,37 +25,57 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", keep:
         *keep, "source_url", F.col("a.position").alias("position"), "url", F.col("a.text").alias("text"))
 
 
+BLOCK = 1024
+
+
 def expand_cidr(prefixes: DataFrame, cidr: str = "cidr", budget: int | None = None) -> DataFrame:
     """(cidr, address): addresses from the masked network upward, all of them or at most `budget` (up to 2^62) per prefix.
 
     An address is eight groups of 16 bits (a v4 address is the last two); each group is counted up by its own host bits,
     so neither an array nor a number grows with the range, whatever its prefix length. A budget is the index of the last
-    address in the same groups: a group is cut short while all groups before it stand at their last value."""
+    address in the same groups: a group is cut short while all groups before it stand at their last value.
+
+    The last group is counted in blocks of `BLOCK` addresses that are dealt out evenly first, so a task's work follows the
+    addresses, not the prefixes it was given; an address's leading text is made once per block."""
+    spread = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = with_bound(
-        prefixes.select(F.col(cidr).alias("cidr")), hex=net.cidr_network(F.col("cidr")), prefix=net.cidr_prefix(F.col("cidr")))
+        prefixes.select(F.col(cidr).alias("cidr")).repartition(spread), hex=net.cidr_network(F.col("cidr")), prefix=net.cidr_prefix(F.col("cidr")))
     masked = with_bound(parsed, net=net.masked_hex(F.col("hex"), F.col("prefix"))).filter(F.col("net").isNotNull())
     rows = masked.select(
         "cidr", F.lpad("net", 32, "0").alias("digits"), (F.length("net") == 8).alias("v4"),
         (F.length("net") * 4 - F.col("prefix")).alias("host_bits"), F.lit(True).alias("tight"), F.lit("").alias("done"))
-    for group in range(8):
+    group_value = lambda group: F.conv(F.substring("digits", 4 * group + 1, 4), 16, 10).cast("int")
+
+    def last_of(group: int) -> Column:
         ones = F.least(F.greatest(F.col("host_bits") - 16 * (7 - group), F.lit(0)), F.lit(16))
         top = F.call_function("shiftleft", F.lit(1), ones) - 1
-        if budget is not None:
-            shift = 16 * (7 - group)
-            end = (max(1, budget) - 1) >> shift
-            above = F.lit(end) if group == 0 else F.when(F.col("tight"), F.least(top, F.lit(end & 0xFFFF))).otherwise(top)
-            # a budget beyond the range leaves a higher group above its own last value: nothing is cut then
-            beyond = F.col("host_bits") < F.lit((max(1, budget) - 1).bit_length())
-            last = F.when(beyond, top).otherwise(F.least(above, top))
-        else:
-            last = top
-        counted = rows.withColumn("last", last.cast("int")).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        value = F.conv(F.substring("digits", 4 * group + 1, 4), 16, 10).cast("int") + F.col("n")
+        if budget is None:
+            return top.cast("int")
+        end = (max(1, budget) - 1) >> 16 * (7 - group)
+        above = F.lit(end) if group == 0 else F.when(F.col("tight"), F.least(top, F.lit(end & 0xFFFF))).otherwise(top)
+        # a budget beyond the range leaves a higher group above its own last value: nothing is cut then
+        beyond = F.col("host_bits") < F.lit((max(1, budget) - 1).bit_length())
+        return F.when(beyond, top).otherwise(F.least(above, top)).cast("int")
+
+    for group in range(7):
+        counted = rows.withColumn("last", last_of(group)).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("last"))))
         rows = counted.select(
             "cidr", "digits", "v4", "host_bits", (F.col("tight") & (F.col("n") == F.col("last"))).alias("tight"),
-            F.concat("done", F.lower(F.lpad(F.hex(value), 4, "0"))).alias("done"))
-    v4 = net.v4_text(F.conv(F.substring("done", 25, 8), 16, 10).cast("long"))
-    return rows.select("cidr", F.when(F.col("v4"), v4).otherwise(net.v6_text(F.col("done"))).alias("address"))
+            F.concat("done", F.lower(F.lpad(F.hex(group_value(group) + F.col("n")), 4, "0"))).alias("done"))
+    blocks = rows.select("cidr", "v4", "done", group_value(7).alias("base"), last_of(7).alias("last")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("low")).repartition(spread)
+    high = F.conv(F.substring("done", 25, 4), 16, 10).cast("int")
+    after = net.v6_text(F.concat("done", F.lit("ffff")))  # any group but zero leaves the text before it the same
+    headed = with_bound(
+        blocks, head=F.when(F.col("v4"), F.concat(F.floor(high / 256).cast("string"), F.lit("."), (high % 256).cast("string"), F.lit(".")))
+        .otherwise(F.substr(after, F.lit(1), F.length(after) - 4)),
+        zero=F.when(~F.col("v4") & (F.col("base") + F.col("low") == 0), net.v6_text(F.concat("done", F.lit("0000")))))
+    numbers = F.sequence(F.col("base") + F.col("low"), F.col("base") + F.least(F.col("last"), F.col("low") + BLOCK - 1))
+    n = F.col("n")
+    v4 = F.concat("head", F.shiftright(n, 8).cast("string"), F.lit("."), n.bitwiseAND(F.lit(255)).cast("string"))
+    v6 = F.when(n == 0, F.col("zero")).otherwise(F.concat("head", F.lower(F.hex(n))))
+    return headed.select("cidr", "v4", "head", "zero", F.explode(numbers).alias("n")).select(
+        "cidr", F.when(F.col("v4"), v4).otherwise(v6).alias("address"))
 
 
 def non_public_ranges(prefixes: DataFrame, cidr: str = "cidr") -> DataFrame:

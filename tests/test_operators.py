@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import ipaddress
 import random
 import zipfile
 
@@ -323,3 +324,12 @@ def test_captures_of_pages_that_share_a_url(rows, monkeypatch):
     assert got == [
         ("http://a.test/", "http://a.test/p"), ("http://a.test/", "http://a.test/r"), ("http://a.test/p", "http://a.test/q"),
         ("http://a.test/r", "http://a.test/s"), ("http://b.test/", "http://b.test/q"), ("http://c.test/", "http://c.test/s")]
+
+
+def test_addresses_are_dealt_out_in_blocks(spark, rows):
+    """One wide range among small ones: every address once, and no task makes more than a share of them."""
+    given = ["10.1.0.0/16", "10.2.3.4/32", "2001:db8::/114", "::/115", "2001:db8:0:0:1::40:0/113", "fe80::1:0:0:0/119"]
+    found = discovery.expand_cidr(rows([(c,) for c in given], "cidr string").coalesce(1))
+    want = sorted((c, str(a)) for c in given for a in ipaddress.ip_network(c, strict=False))
+    assert sorted((r.cidr, r.address) for r in found.collect()) == want
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < len(want) / 3
