@@ -81,32 +81,34 @@ def scope_url_prefix(url_rows: DataFrame, entries: DataFrame, mode: str = "passi
     return _below_prefix(_requests(url_rows, url), _by_mode(entries, mode), url).select(url_rows.columns)
 
 
-BIN_BITS = 8
-
-
-def _bin(digits: Column, level: Column) -> Column:
-    """Leading `level` bits as hex digits."""
-    return F.substr(digits, F.lit(1), (level / 4).cast("int"))
+BLOCK, SHARES = 64, 32
 
 
 def cidr_match(rows: DataFrame, networks: DataFrame, address: str, cidr: str) -> DataFrame:
-    """Rows joined to every network that contains their address: a binned interval join.
-
-    A network is the interval from its first to its last address. It lies in one bin of its leading bits at its level,
-    the largest multiple of `BIN_BITS` up to its prefix length; an address has one bin per level in use (at most 5 for v4,
-    17 for v6, however many prefix lengths there are). Inside a bin the interval decides, and at most 2^BIN_BITS - 1
-    different networks share one."""
+    """Rows joined to every network that contains their address: an equi-join on the address masked to each prefix length
+    in use (at most 33 for v4, 129 for v6), so no pair is made that is not a result.
+
+    A short prefix may hold most addresses and be given many times over (`10.1.0.0/4` is `0.0.0.0/4`). Its networks are
+    dealt into blocks of about `BLOCK`, and the rows that meet more than one block into `SHARES` shares; each share meets
+    each block once, so no task makes all pairs of such a prefix."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["__width", "__prefix", "__net"]
+    given = networks.columns
     nets = with_bound(networks, __prefix=net.cidr_prefix(F.col(cidr)), __hex=net.cidr_network(F.col(cidr)))
-    nets = with_bound(nets, __low=net.masked_hex(F.col("__hex"), F.col("__prefix")), __high=net.last_hex(F.col("__hex"), F.col("__prefix")))
-    level = F.floor(F.col("__prefix") / BIN_BITS).cast("int") * BIN_BITS
-    nets = nets.filter(F.col("__low").isNotNull()).withColumns({"__width": F.length("__low"), "__level": level})
-    nets = with_bound(nets, __bin=_bin(F.col("__low"), F.col("__level"))).drop("__hex", "__prefix")
-    levels = nets.select("__width", "__level").distinct()
-    hexed = with_bound(rows, __hex=net.address_hex(F.col(address))).filter(F.col("__hex").isNotNull())
-    keyed = hexed.withColumn("__width", F.length("__hex")).join(F.broadcast(levels), "__width")  # at most 5 + 17 rows by construction
-    keyed = with_bound(keyed, __bin=_bin(F.col("__hex"), F.col("__level")))
-    inside = F.col("__hex").between(F.col("__low"), F.col("__high"))
-    return keyed.join(nets, ["__width", "__level", "__bin"]).filter(inside).drop("__width", "__level", "__bin", "__hex", "__low", "__high")
+    nets = with_bound(nets, __net=net.masked_hex(F.col("__hex"), F.col("__prefix"))).filter(F.col("__net").isNotNull())
+    nets = nets.withColumn("__width", F.length("__net")).drop("__hex")
+    blocks = nets.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__blocks"))
+    shares = F.when(F.col("__blocks") > 1, SHARES).otherwise(1)
+    pick = lambda columns, n: F.pmod(F.xxhash64(*columns), n).cast("int")
+    dealt = nets.join(blocks, key).select(
+        *given, *key, pick(given, F.col("__blocks")).alias("__block"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("__share"))
+    lengths = nets.select("__width", "__prefix").distinct()
+    hexed = with_bound(rows.repartition(spread), __hex=net.address_hex(F.col(address))).filter(F.col("__hex").isNotNull())
+    keyed = hexed.withColumn("__width", F.length("__hex")).join(F.broadcast(lengths), "__width")  # at most 33 + 129 rows by construction
+    keyed = with_bound(keyed, __net=net.masked_hex(F.col("__hex"), F.col("__prefix"))).drop("__hex")
+    met = keyed.join(blocks, key).select(
+        *rows.columns, *key, pick(rows.columns, shares).alias("__share"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
+    return met.join(dealt, [*key, "__share", "__block"]).drop(*key, "__share", "__block")
 
 
 def longest_prefix(rows: DataFrame, networks: DataFrame, address: str, cidr: str) -> DataFrame:

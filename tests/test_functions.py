@@ -176,6 +176,24 @@ def test_binned_networks_equal_the_standard_library(rows):
         assert best[a] == (min(inside)[1] if inside else None)
 
 
+def test_cidr_join_deals_out_a_short_prefix(spark, rows):
+    """Many networks and addresses under one short prefix: all pairs, spread over the tasks."""
+    from casegraph.operators import scope
+
+    nets = rows([(k, f"10.{k % 250}.{k // 250}.0/4") for k in range(1000)] + [(1000, "10.0.0.7/32")], "net long, cidr string")
+    hosts = rows([(k, f"10.0.{k // 256}.{k % 256}") for k in range(500)] + [(500, "99.0.0.1")], "host long, address string")
+    found = scope.cidr_match(hosts, nets, "address", "cidr").cache()
+    assert {(r.host, r.net) for r in found.select("host", "net").collect()} == {(h, n) for h in range(500) for n in range(1000)} | {(7, 1000)}
+    assert found.count() == 500_001
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        loads = scope.cidr_match(hosts, nets, "address", "cidr").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    assert max(r["count"] for r in loads) < 500_001 / 3
+
+
 def test_resolved_scope_rules(rows):
     from casegraph.operators import scope
 
