@@ -1,16 +1,22 @@
-"""A Spark data source that reads the directories of ZIP containers by ranges."""
+"""Files below a folder, listed and hashed by tasks, and a Spark data source that reads the directories of ZIP containers by
+ranges."""
 
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from casegraph.session import scratch_path
+
 INVALID = -1  # entry_no of the single row of an unreadable container
 
 
@@ -64,14 +70,85 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def spelled(uri: str, system, folder: str):
+    """How Spark spells a path of the file system of `uri`."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        return lambda path: "file:" + path
+    lead = uri[: len(uri) - len(folder.lstrip("/"))].rstrip("/") + "/"
+    return lambda path: lead + path.lstrip("/")
+
+
 def listed(uri: str, pattern: str) -> list[tuple[str, int]]:
     """(URI, length) of the files below a folder, as Spark spells their paths."""
     from pyarrow import fs
 
     system, folder = opened(uri)
-    prefix = "file:" if isinstance(system, fs.LocalFileSystem) else uri[: len(uri) - len(folder.lstrip("/"))].rstrip("/") + "/"
+    spell = spelled(uri, system, folder)
     files = [f for f in system.get_file_info(fs.FileSelector(folder, recursive=True)) if f.is_file]
-    return sorted((prefix + (f.path if prefix == "file:" else f.path.lstrip("/")), f.size) for f in files if fnmatch.fnmatch(f.base_name, pattern) and f.base_name[0] not in "._")
+    return sorted((spell(f.path), f.size) for f in files if fnmatch.fnmatch(f.base_name, pattern) and f.base_name[0] not in "._")
+
+
+LISTED = "path string, length long, modified_ms long, is_folder boolean"
+
+
+def _children(batches):
+    """Files and folders of each folder; names that start with `_` or `.` are hidden, as for any Spark reader."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch["path"]:
+            system, folder = opened(uri)
+            spell = spelled(uri, system, folder)
+            found = [f for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name[0] not in "._"]
+            for at in range(0, len(found), 10_000):
+                part = found[at: at + 10_000]
+                yield pd.DataFrame({
+                    "path": [spell(f.path) for f in part], "length": pd.array([f.size for f in part], "Int64"),
+                    "modified_ms": [(f.mtime_ns or 0) // 1_000_000 for f in part], "is_folder": [not f.is_file for f in part]})
+
+
+def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None) -> DataFrame:
+    """(path, length, modificationTime) of the files below a folder. Tasks list the folders, level by level, into tables in
+    the scratch folder: the driver holds no listing, however many files there are."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, files = spark.createDataFrame([(path,)], "path string"), None
+    while True:
+        out = scratch_path(spark, "listing")
+        level.mapInPandas(_children, LISTED).write.parquet(out)
+        found = spark.read.schema(LISTED).parquet(out)
+        own = found.filter("NOT is_folder").select("path", "length", F.timestamp_millis("modified_ms").alias("modificationTime"))
+        files = own if files is None else files.unionByName(own)
+        level = found.filter("is_folder").select("path").repartition(spread)
+        if not recursive or level.isEmpty():
+            break
+    if pattern is None:
+        return files
+    return files.filter(F.regexp_extract("path", "[^/]+$", 0).rlike(fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")))
+
+
+def _digested(batches):
+    """SHA-256 of each file, read piece by piece: a file of any size takes the memory of one piece."""
+    for batch in batches:
+        digests = []
+        for uri in batch["path"]:
+            system, path = opened(uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(path) as file:
+                while piece := file.read(1 << 20):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield batch.assign(sha256=digests)
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """(path, length, modificationTime) of files -> with `sha256`; files are dealt out evenly."""
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms")).repartition(spread)
+    hashed = rows.mapInPandas(_digested, "path string, length long, modified_ms long, sha256 string")
+    return hashed.select("path", "length", F.timestamp_millis("modified_ms").alias("modificationTime"), "sha256")
 
 
 @dataclass

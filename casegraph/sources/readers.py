@@ -13,28 +13,33 @@ from casegraph.functions.text import literal_map, stable_id, trim_ws
 from casegraph.operators.correlate import new_resources
 from casegraph.operators.discovery import extract_links
 from casegraph.operators.observations import diagnostics
+from casegraph.sources.ranged import file_digests, list_files
 
 
 def scan_artifacts(
     spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None,
-    max_bytes: int | None = None, max_files: int | None = None,
+    max_bytes: int | None = None, max_files: int | None = None, content: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(artifacts with content, diagnostics of files over a byte budget, when one is given).
 
     The budget is a filter on the listed length, so oversized files are never read. `max_files` keeps the first paths:
-    they are chosen from a listing without content, and only those files are read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path)
+    they are chosen from a listing without content, and only those files are read. Without `content`, files are listed and
+    hashed by tasks: the driver holds no listing, and a file may be larger than a row."""
+    if content:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        if pattern:
+            reader = reader.option("pathGlobFilter", pattern)
+        files = reader.load(path)
+    else:
+        files = list_files(spark, path, recursive, pattern)
     if max_files:
         files = files.join(files.select("path").orderBy("path").limit(max_files), "path", "left_semi")
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     rejected = files.filter(~fits).select(stable_id(F.col("path")).alias("artifact_id"), F.col("path"))
-    kept = files.filter(fits).select(
+    read = files.filter(fits).withColumn("sha256", F.sha2("content", 256)) if content else file_digests(files.filter(fits))
+    kept = read.select(
         stable_id(F.col("path")).alias("artifact_id"), F.col("path").alias("original_path"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("acquired_at"),
-        F.sha2("content", 256).alias("sha256"), "content",
+        F.col("length").alias("size"), F.col("modificationTime").alias("acquired_at"), "sha256", *["content"] * content,
     )
     return kept, diagnostics(
         rejected, "artifact.size_budget", F.concat(F.lit("File exceeds the byte budget: "), F.col("path")), True)

@@ -49,7 +49,7 @@ def flagship(spark, d):
 @query("scan_artifacts")
 def scan_artifacts(spark, d):
     """The table files themselves as artifacts; files over the byte budget appear as diagnostics, unread."""
-    found, rejected = readers.scan_artifacts(spark, d, pattern="*.parquet")
+    found, rejected = readers.scan_artifacts(spark, d, pattern="*.parquet", content=False)
     name = F.regexp_extract(F.col("original_path"), "[^/]+$", 0)
     return found.select(name.alias("name"), "size", "sha256", F.lit(None).cast("string").alias("code")).unionByName(
         rejected.select(F.regexp_extract("message", "[^/]+$", 0).alias("name"), F.lit(None).cast("long").alias("size"),
@@ -64,11 +64,12 @@ def scan_artifacts_budget(spark, d):
     """A file per customer, a fifth of them over the byte budget, and files of another name beside."""
     folder = scratch_path(spark, "scan")
     body = F.concat(F.lit("name="), "c_name", F.lit("\n"))
-    rows = table(spark, d, "customer").select(
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, d, "customer").repartition(spread).select(
         F.explode(F.array(*[F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(e)) for e in (".txt", ".tmp")])).alias("name"),
         F.when(F.col("c_nationkey") % 5 == 0, F.repeat(body, 9)).otherwise(body).cast("binary").alias("content"))
     write_files(rows, folder)
-    found, rejected = readers.scan_artifacts(spark, folder, pattern="*.txt", max_bytes=100)
+    found, rejected = readers.scan_artifacts(spark, folder, pattern="*.txt", max_bytes=100, content=False)
     base = lambda c: F.regexp_extract(c, "[^/]+$", 0).alias("name")
     none = F.lit(None)
     return found.select(base("original_path"), "size", "sha256", none.cast("string").alias("code")).unionByName(

@@ -278,16 +278,23 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(df: DataFrame, folder: str) -> None:
-    """One file per row of (name, content binary) below a folder of the shared store."""
+    """One file per row of (name, content binary) below a folder of the shared store, dealt out to 256 folders: no folder,
+    and so no task that lists one, holds them all."""
 
     def written(batches):
+        import zlib
+
         from casegraph.sources.ranged import opened
 
         system, path = opened(folder)
-        system.create_dir(path)
+        made = set()
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
-                with system.open_output_stream(f"{path}/{name}") as file:
+                own = f"{path}/{zlib.crc32(name.encode()) & 255:02x}"
+                if own not in made:
+                    system.create_dir(own)
+                    made.add(own)
+                with system.open_output_stream(f"{own}/{name}") as file:
                     file.write(bytes(content))
             yield batch[["name"]]
 

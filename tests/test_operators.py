@@ -333,3 +333,26 @@ def test_addresses_are_dealt_out_in_blocks(spark, rows):
     want = sorted((c, str(a)) for c in given for a in ipaddress.ip_network(c, strict=False))
     assert sorted((r.cidr, r.address) for r in found.collect()) == want
     assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < len(want) / 3
+
+
+def test_scan_lists_and_hashes_in_tasks(spark, tmp_path):
+    """Folders of files, hidden ones and other names apart: the rows of a scan with content, whose bytes are not kept."""
+    for name, data in (("a.txt", b"a"), ("b.tmp", b"b"), ("_c.txt", b"c"), ("deep/d.txt", b"d" * 3_000_000), ("deep/er/e f.txt", b"e"), (".h/g.txt", b"g"), ("deep/big.txt", b"x" * 9_000_000)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    view = lambda found: sorted(tuple(r) for r in found.select("artifact_id", "original_path", "size", "acquired_at", "sha256").collect())
+    for options in ({"pattern": "*.txt"}, {"pattern": "*.txt", "max_bytes": 5_000_000}, {"recursive": False}, {"max_files": 2}):
+        found, rejected = readers.scan_artifacts(spark, str(tmp_path), content=False, **options)
+        whole, refused = readers.scan_artifacts(spark, str(tmp_path), **options)
+        assert view(found) == view(whole) and sorted(rejected.collect()) == sorted(refused.collect())
+        assert "content" not in found.columns and found.count() > 0
+
+
+def test_written_files_are_dealt_out_to_folders(spark, rows, tmp_path):
+    import os
+
+    from queries.standins import write_files
+
+    write_files(rows([(f"{k}.txt", bytearray(b"x")) for k in range(2000)], "name string, content binary"), str(tmp_path / "out"))
+    folders = [len(files) for _, _, files in os.walk(tmp_path / "out") if files]
+    assert sum(folders) == 2000 and max(folders) < 50
