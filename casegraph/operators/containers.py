@@ -4,28 +4,25 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph import schemas
 from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.text import classify_reference, map_office_element, safe_entry_path, slug_property, stable_id
-from casegraph.operators.observations import cumulative_budget, diagnostics, observation_rows
-from casegraph.operators.xml_extract import COMMENT, ERROR, xml_nodes
+from casegraph.operators.observations import cumulative_budget, observation_rows
+from casegraph.operators.xml_extract import COMMENT, ERROR, xml_nodes, xml_problem
 from casegraph.sources.ranged import INVALID, ContainerSource, directory_rows
 
-_FIELDS = schemas.CONTAINER_ENTRIES.elementType.fieldNames()
-
-
-def _directories(content: Column, max_entries: int | None, max_bytes: int | None) -> Column:
-    @F.pandas_udf(schemas.CONTAINER_ENTRIES)
-    def listed(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: [] if c is None else [dict(zip(_FIELDS, row)) for row in directory_rows(io.BytesIO(bytes(c)), max_entries, max_bytes)])
-
-    return listed(content)
+_ENTRY = schemas.CONTAINER_ENTRIES.elementType
+_ARROW = [(f.name, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.string())) for f in _ENTRY]
+ROWS = 4096         # rows of an Arrow batch
 
 
 @F.pandas_udf(T.StringType())
@@ -49,8 +46,35 @@ def zip_kind(contents: pd.Series) -> pd.Series:
 
 def container_entries(artifacts: DataFrame, max_entries: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """(artifact_id, content) -> directory rows with running size and safety flags; limits hold when given."""
-    rows = explode_rows(artifacts, _directories(F.col("content"), max_entries, max_bytes), "e", "artifact_id").select("artifact_id", "e.*")
-    return _flagged(rows, max_entries, max_bytes)
+    narrow = artifacts.select("artifact_id", "content")
+    arrow = _ARROW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows leave in batches of their own size, however many a batch of containers holds."""
+        for batch in batches:
+            ids, contents = batch.columns
+            owner: list[int] = []
+            rows: list[tuple] = []
+
+            def flushed() -> pa.RecordBatch:
+                columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), arrow)]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int32())), *columns], [batch.schema.names[0], *(n for n, _ in arrow)])
+
+            for k in range(batch.num_rows):
+                content = contents[k].as_py()
+                found = [] if content is None else directory_rows(io.BytesIO(content), max_entries, max_bytes)
+                for at in range(0, len(found), ROWS):
+                    some = found[at: at + ROWS]
+                    rows += some
+                    owner += [k] * len(some)
+                    if len(rows) >= ROWS:
+                        yield flushed()
+                        owner, rows = [], []
+            if rows:
+                yield flushed()
+
+    listed = narrow.mapInArrow(run, T.StructType([narrow.schema["artifact_id"], *_ENTRY.fields]))
+    return _flagged(listed, max_entries, max_bytes)
 
 
 def ranged_entries(spark: SparkSession, path: str, max_entries: int | None = None, max_bytes: int | None = None, pattern: str = "*") -> DataFrame:
@@ -90,33 +114,32 @@ def metadata_entry(name: Column) -> Column:
 
 
 def container_diagnostics(entries: DataFrame) -> DataFrame:
-    """One row per rule that rejected something."""
-    good = entries.filter(F.col("entry_no") != INVALID)
-    within = good.filter("within_entries AND within_budget")
-    return (
-        diagnostics(entries.filter(F.col("entry_no") == INVALID), "zip.invalid", F.col("name"), True)
-        .unionByName(diagnostics(
-            good.filter("NOT within_entries").dropDuplicates(["artifact_id"]), "zip.entry_budget",
-            F.lit("more entries than asked for; the rest is not listed as data"), True))
-        .unionByName(diagnostics(
-            good.filter("within_entries AND NOT within_budget").dropDuplicates(["artifact_id"]), "zip.size_budget",
-            F.lit("unpacked sizes exceed the byte limit from this entry on"), True))
-        .unionByName(diagnostics(
-            within.filter("NOT safe_path"), "zip.path_traversal",
-            F.concat(F.lit("path leaves the container, not read: "), F.col("name")), True))
-        .unionByName(diagnostics(
-            within.filter("safe_path AND is_metadata AND suspicious_ratio"), "zip.compression_ratio",
-            F.concat(F.lit("unpacks to far more than its size, not read: "), F.col("name")), True))
-        .unionByName(diagnostics(
-            xml_nodes(_parts(entries)).filter(F.col("name") == ERROR), "xml.invalid",
-            F.concat_ws(": ", "entry", "value"), False))
+    """One row per rule that rejected something; a budget speaks at a container's first entry beyond it. All rules are read
+    in one pass: the containers are opened once."""
+    before = W.partitionBy("artifact_id").orderBy("entry_no").rowsBetween(W.unboundedPreceding, -1)
+    good, listed, fits = F.col("entry_no") != INVALID, F.col("within_entries"), F.col("within_budget")
+    first = lambda c: c & (F.count(F.when(c, 1)).over(before) == 0)
+    note = lambda when, code, message, is_error: F.when(when, F.struct(
+        F.lit(code).alias("code"), message.alias("message"), F.lit(is_error).alias("is_error")))
+    name, problem = F.col("name"), F.col("__problem")
+    rows = entries.withColumns({"__problem": xml_problem(F.when(F.expr(PART), F.col("xml"))), "__many": first(good & ~listed), "__large": first(good & listed & ~fits)})
+    notes = F.array(
+        note(~good, "zip.invalid", name, True),
+        note(F.col("__many"), "zip.entry_budget", F.lit("more entries than asked for; the rest is not listed as data"), True),
+        note(F.col("__large"), "zip.size_budget", F.lit("unpacked sizes exceed the byte limit from this entry on"), True),
+        note(good & listed & fits & ~F.col("safe_path"), "zip.path_traversal", F.concat(F.lit("path leaves the container, not read: "), name), True),
+        note(good & listed & fits & F.col("safe_path") & F.col("is_metadata") & F.col("suspicious_ratio"), "zip.compression_ratio",
+             F.concat(F.lit("unpacks to far more than its size, not read: "), name), True),
+        note(problem.isNotNull(), "xml.invalid", F.concat_ws(": ", name, problem), False),
     )
+    return explode_rows(rows, notes, "note", "artifact_id").select("artifact_id", "note.*")
+
+
+PART = "within_entries AND within_budget AND safe_path AND is_metadata AND NOT suspicious_ratio AND xml IS NOT NULL"
 
 
 def _parts(entries: DataFrame) -> DataFrame:
-    return entries.filter(
-        "within_entries AND within_budget AND safe_path AND is_metadata AND NOT suspicious_ratio AND xml IS NOT NULL"
-    ).select("artifact_id", "entry_no", F.col("name").alias("entry"), "xml")
+    return entries.filter(PART).select("artifact_id", "entry_no", F.col("name").alias("entry"), "xml")
 
 
 def office_properties(entries: DataFrame) -> DataFrame:

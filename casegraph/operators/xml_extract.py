@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +116,23 @@ def node_rows(xml: str | bytes | None) -> Iterator[list[tuple]]:
         yield held
 
 
+def _problem(xml: str | bytes | None) -> str | None:
+    if xml is None:
+        return None
+    try:
+        for _ in _Nodes(xml, silent=True):
+            pass
+    except (expat.ExpatError, _BadXml, UnicodeEncodeError) as problem:
+        return str(problem)
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def xml_problem(documents: pd.Series) -> pd.Series:
+    """The value of a document's `#error` row; null for a sound one and for null."""
+    return documents.map(lambda xml: _problem(xml if xml is None or isinstance(xml, str) else bytes(xml)))
+
+
 _FIELDS = schemas.XML_NODES.elementType.fields
 _ARROW = [(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in _FIELDS]
 
@@ -239,8 +257,8 @@ def xmp_packets(texts: DataFrame, extractor: str = "builtin.pdf", location: str
 
 def xmp_diagnostics(texts: DataFrame, location: str = "pdf/raw") -> DataFrame:
     """Packets that do not parse, as diagnostics."""
-    return xml_nodes(_packets(texts)).filter(F.col("name") == ERROR).select(
+    return with_bound(_packets(texts), problem=xml_problem("xml")).filter(F.col("problem").isNotNull()).select(
         "artifact_id", F.lit("xmp.invalid").alias("code"),
-        F.concat(F.lit(f"{location}/xmp:"), F.col("packet").cast("string"), F.lit(": "), F.col("value")).alias("message"),
+        F.concat(F.lit(f"{location}/xmp:"), F.col("packet").cast("string"), F.lit(": "), F.col("problem")).alias("message"),
         F.lit(False).alias("is_error"),
     )
