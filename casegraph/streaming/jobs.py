@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -133,23 +133,17 @@ class EndpointHealth(StatefulProcessor):
         self.summary = handle.getValueState("summary", f"slice_us long, {SUMMARY}")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        slices = pd.concat(list(rows)).sort_values("slice_us")
         stored = self.summary.get() if self.summary.exists() else None
         merged, end = (None, None) if stored is None else (tuple(stored[1:]), stored[0])
         before = end
-        for row in slices.itertuples(index=False):
-            values = [None if pd.isna(v) else v for v in (getattr(row, c) for c in SUMMARY_COLUMNS)]
-            values = [int(v) if c in _WHOLE and v is not None else v for c, v in zip(SUMMARY_COLUMNS, values)]
-            merged, end = merged_summary(merged, tuple(values)), int(row.slice_us)
+        for row in sorted(rows, key=lambda r: r["slice_us"]):
+            merged, end = merged_summary(merged, tuple(row[c] for c in SUMMARY_COLUMNS)), row["slice_us"]
         self.summary.update((end, *merged))
         if self.forget_ms is not None:
             if before is not None:
                 self.handle.deleteTimer(before // 1000 + self.forget_ms)
             self.handle.registerTimer(end // 1000 + self.forget_ms)
-        frame = pd.DataFrame([(key[0], end, *merged)], columns=["endpoint_id", "slice_us", *SUMMARY_COLUMNS])
-        yield frame.astype({c: "Int64" for c in ("slice_us", *_WHOLE)})
+        yield Row(endpoint_id=key[0], slice_us=end, **dict(zip(SUMMARY_COLUMNS, merged)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.summary.clear()
@@ -159,9 +153,6 @@ class EndpointHealth(StatefulProcessor):
         pass
 
 
-_WHOLE = ("success_count", "failure_count", "tail_failures", "last_us", "cooldown_us")
-
-
 def stream_endpoint_health(
     attempts: DataFrame, out: str, checkpoint: str, delay: str = "0 seconds", slice_seconds: int = att.SLICE_SECONDS,
     forget_seconds: int | None = None,
@@ -182,7 +173,7 @@ def stream_endpoint_health(
         .select("endpoint_id", F.window_time("w").alias("event_time"), F.unix_micros("w.end").alias("slice_us"), _slice_summary(F.col("rows")).alias("s"))
         .select("endpoint_id", "event_time", "slice_us", "s.*")
     )
-    changes = slices.groupBy("endpoint_id").transformWithStateInPandas(
+    changes = slices.groupBy("endpoint_id").transformWithState(
         EndpointHealth(forget_seconds), f"endpoint_id {key}, slice_us long, {SUMMARY}", "Append", "EventTime")
     spark = attempts.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"

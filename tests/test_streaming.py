@@ -140,3 +140,29 @@ def test_streamed_table_may_be_a_folder(spark, tmp_path, name):
     spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     want = spark.read.parquet(f"{tmp_path}/pages.parquet").select(F.lower("url")).distinct().count()
     assert contract.queries()[name](spark, str(tmp_path)).count() == want
+
+
+def test_health_state_takes_rows():
+    """Slices reach the state as plain rows, in any order; a data frame per endpoint cost more than the fold itself."""
+    from pyspark.sql import Row
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    slice_of = lambda end, ok, bad: Row(endpoint_id="a", event_time=None, slice_us=end, **dict(zip(
+        jobs.SUMMARY_COLUMNS, (ok, bad, 2.0 * ok, 10.0 if ok else None, bad, end - 1, "success" if ok else "timeout", None))))
+    keyed = jobs.EndpointHealth(None)
+    keyed.summary = Value()
+    first = list(keyed.handleInputRows(("a",), iter([slice_of(120, 0, 1), slice_of(60, 1, 0)]), None))
+    assert [(r.slice_us, r.success_count, r.failure_count, r.tail_failures, r.first_latency, r.last_us) for r in first] == [(120, 1, 1, 1, 10.0, 119)]
+    second, = keyed.handleInputRows(("a",), iter([slice_of(180, 1, 0)]), None)
+    assert (second.slice_us, second.success_count, second.tail_failures, second.last_outcome) == (180, 2, 0, "success")
