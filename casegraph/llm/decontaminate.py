@@ -8,8 +8,8 @@
 5. ``phrases``: posting lists meet the anchors term by term; position minus item position is the diagonal. A window whose
    two anchors lie on one diagonal of a document is a candidate; the full phrase is then compared with the whole text.
 6. ``proximity``: windows that a document holds nearly: all but `missing` of their words, each at most `slack` words off
-   one diagonal. One of the `missing` + 1 rarest terms that occur must be there, so the lists of these alone (terms that
-   no document has use up the allowance) give all candidates; the whole text decides.
+   one diagonal. Two of the `missing` + 2 rarest terms that occur must be there, so two anchors of one segment of an item on
+   neighbouring diagonals give all candidates (terms that no document has use up the allowance); the whole text decides.
 
 Which words of a document are test terms is decided in the scan by a bit set of fixed size (1 MiB, two bits a term);
 what passes it wrongly finds no partner in the joins. A benchmark of any size therefore gives the same result, and a
@@ -33,6 +33,7 @@ from casegraph.llm.common import WordHashes, cut, id_and_text, mix64, texts_of
 
 WINDOW = 13
 BITS = 1 << 23
+STARTS = 64          # window starts of one segment of an item: a segment is a small row, whatever the item's length
 #: Words are runs of a-z, 0-9 and all bytes of non-ASCII characters; A-Z become a-z, the rest separates.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -209,28 +210,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def near_windows(terms: np.ndarray, counts: np.ndarray, window: int, missing: int) -> list[tuple[int, list[int]]]:
-    """(start, anchor positions) of each window that a document may hold with at most `missing` words wanting. Every place
-    of a rare term is an anchor, as each of them may be the one that is there."""
-    width = min(window, len(terms))
-    out = []
-    for start in range(len(terms) - width + 1):
+def near_anchors(counts: np.ndarray, window: int, missing: int) -> list[int]:
+    """Anchor places of the windows of these terms that a document may hold with at most `missing` words wanting. Of the
+    `spare` + 2 rarest terms that occur, `spare` may be the wanting ones, so two are there (one, where a window needs no
+    more). Every place of a rare term is an anchor, as each of them may be the one that is there."""
+    width = min(window, len(counts))
+    allowed = min(missing, width - 1)
+    out: set[int] = set()
+    for start in range(len(counts) - width + 1):
         own = counts[start: start + width]
-        spare = min(missing, width - 1) - int((own == 0).sum())
+        spare = allowed - int((own == 0).sum())
         if spare >= 0:
             order = [int(p) for p in np.argsort(own, kind="stable") if own[p] > 0]
-            out.append((start, sorted(start + p for p in order[: spare + 1])))
-    return out
+            out.update(start + p for p in order[: spare + min(2, width - allowed)])
+    return sorted(out)
 
 
-def held(hashes: np.ndarray, terms: np.ndarray, low: int, slack: int) -> int:
-    """How many of the terms stand at most `slack` words behind their place on the diagonal `low`."""
-    there = np.zeros(len(terms), bool)
-    at = np.arange(len(terms)) + low
+def held(hashes: np.ndarray, terms: np.ndarray, lows: np.ndarray, slack: int, width: int) -> np.ndarray:
+    """Per diagonal and window start: how many terms of the window stand at most `slack` words behind their place."""
+    at = lows[:, None] + np.arange(len(terms))
+    there = np.zeros(at.shape, bool)
     for step in range(slack + 1):
-        inside = (at + step >= 0) & (at + step < len(hashes))
-        there[inside] |= hashes[at[inside] + step] == terms[inside]
-    return int(there.sum())
+        there |= (at + step >= 0) & (at + step < len(hashes)) & (hashes[np.clip(at + step, 0, len(hashes) - 1)] == terms)
+    sums = np.zeros((len(lows), len(terms) + 1), np.int32)
+    np.cumsum(there, axis=1, out=sums[:, 1:])
+    return sums[:, width:] - sums[:, :-width]
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -244,37 +248,54 @@ def proximity(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     whole = terms.join(counts, "term", "left").groupBy("item_id", "variant").agg(
         F.sort_array(F.collect_list(F.struct("at", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, w in zip(*(batch.column(c).to_pylist() for c in ("item_id", "w"))):
-                ids = [x["term"] for x in w]
-                for start, anchors in near_windows(np.array(ids), np.array([x["n"] for x in w]), window, missing):
-                    rows += [(item, start, ids[start: start + window], ids[p], p - start) for p in anchors]
-            types = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "start", "terms", "term", "offset"])
-
-    anchors = cut(whole.mapInArrow(windows, "item_id string, start int, terms array<long>, term long, offset int"))
+                ids, n = [x["term"] for x in w], np.array([x["n"] for x in w])
+                width = min(window, len(ids))
+                for first in range(0, len(ids) - width + 1, STARTS):
+                    end = first + STARTS + width - 1
+                    if places := near_anchors(n[first:end], width, missing):
+                        rows.append((item, first, width, ids[first:end], places))
+            types = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item_id", "first", "width", "terms", "places"])
+
+    segments = cut(whole.mapInArrow(segmented, "item_id string, first int, width int, terms array<long>, places array<int>").withColumn(
+        "segment", F.monotonically_increasing_id()))
+    anchors = cut(segments.select("segment", F.least(F.lit(2), F.greatest(F.col("width") - missing, F.lit(1))).alias("least"), F.explode("places").alias("place"), "terms")
+                  .withColumn("term", F.element_at("terms", F.col("place") + 1)).drop("terms"))
     index = postings(texts, bit_set(anchors))
+    # the words of a match stand on `slack` + 1 neighbouring diagonals: these share a band with the one before it
+    band = F.floor((F.col("at") - F.col("place")) / F.lit(slack + 1)).cast("int")
+    lined = (
+        index.join(anchors, "term").select("doc_id", "segment", "least", "place", F.explode(F.array(band, band - 1)).alias("band"))
+        .groupBy("doc_id", "segment", "band").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.first("least").alias("least"))
+        .filter((F.col("least") == 1) | (F.col("low") < F.col("high")))
+    )
     asked = (
-        index.join(anchors, "term").select("doc_id", "item_id", "start", "terms", (F.col("at") - F.col("offset")).alias("diagonal"))
-        .groupBy("doc_id", "item_id", "start", "terms").agg(F.collect_set("diagonal").alias("diagonals"))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "terms", "diagonals")).alias("asked"))
+        lined.groupBy("doc_id", "segment").agg(F.collect_list("band").alias("bands"))
+        .join(segments.drop("places"), "segment")
+        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "first", "width", "terms", "bands")).alias("asked"))
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
+        # a match whose least apparent diagonal lies in a band begins at most `slack` before it
+        offsets = np.arange(-slack, slack + 1)
         for batch in batches:
             rows = []
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("asked").to_pylist()):
                 hashes = words.of(words_of(text)).view(np.int64)
+                if not len(hashes):
+                    continue
                 for x in own:
-                    wanted = np.array(x["terms"], np.int64)
-                    least = len(wanted) - min(missing, len(wanted) - 1)
-                    lows = sorted({d - k for d in x["diagonals"] for k in range(slack + 1)})
-                    best = max(((held(hashes, wanted, low, slack), -low) for low in lows), default=(0, 0))
-                    if best[0] >= least:
-                        rows.append((doc, x["item_id"], x["start"], len(wanted) - best[0], -best[1]))
+                    wanted, width = np.array(x["terms"], np.int64), x["width"]
+                    lows = np.unique(np.array(x["bands"], np.int64)[:, None] * (slack + 1) + offsets)
+                    n = held(hashes, wanted, lows, slack, width)
+                    best, least = n.argmax(axis=0), width - min(missing, width - 1)
+                    for k in np.flatnonzero(n.max(axis=0) >= least).tolist():
+                        rows.append((doc, x["item_id"], x["first"] + k, width - int(n[best[k], k]), int(lows[best[k]]) + k))
             types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "item_id", "start", "wanting", "diagonal"])
 

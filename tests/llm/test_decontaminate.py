@@ -106,3 +106,29 @@ def test_proximity_finds_a_word_replaced_everywhere(spark, docs):
     got = {r.doc_id: r.wanting for r in dc.proximity(docs(texts), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
     assert {r.doc_id for r in dc.proximity(docs(texts[1:2]), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()} == {2}
+
+
+def test_near_anchors_leave_two_wherever_words_are_wanting():
+    """Whichever `missing` words of a window are wanting, two of its anchors are there: one alone is no candidate."""
+    import itertools
+
+    rng = random.Random(5)
+    for width, missing in [(13, 2), (6, 2), (4, 2), (3, 2), (1, 2), (6, 0), (6, 3)]:
+        for _ in range(20):
+            counts = dc.np.array(rng.choices([0, 1, 1, 5, 9, 9], k=width + rng.randrange(4)))
+            places = set(dc.near_anchors(counts, width, missing))
+            allowed = min(missing, width - 1)
+            for start in range(len(counts) - width + 1):
+                own = range(start, start + width)
+                absent = {p for p in own if counts[p] == 0}
+                for wanting in itertools.combinations(own, allowed):
+                    if absent <= set(wanting):
+                        assert len((places & set(own)) - set(wanting)) >= min(2, width - allowed)
+
+
+def test_proximity_of_an_item_of_many_segments(spark, docs):
+    rng = random.Random(8)
+    item = ["t%d" % rng.randrange(150) for _ in range(3 * dc.STARTS + 5)]
+    rows = [(k, " ".join(["x"] * k + item[max(0, at - 20): at] + ["x"] * (k % 2) + item[at: at + 20])) for k, at in enumerate(range(10, len(item), 17))]
+    got = dc.proximity(docs(rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start): (r.wanting, r.diagonal) for r in got} == near_brute(rows, [(1, " ".join(item))]) and len(got) > 200
