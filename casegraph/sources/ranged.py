@@ -3,6 +3,7 @@ ranges."""
 
 from __future__ import annotations
 
+import ctypes
 import fnmatch
 import hashlib
 import io
@@ -70,6 +71,15 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def reachable(uri: str) -> bool:
+    """Whether tasks can open files of this store themselves; some stores only Spark's readers know."""
+    try:
+        opened(uri)
+        return True
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
 def spelled(uri: str, system, folder: str):
     """How Spark spells a path of the file system of `uri`."""
     from pyarrow import fs
@@ -129,6 +139,44 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern:
     return files.filter(F.regexp_extract("path", "[^/]+$", 0).rlike(fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")))
 
 
+class Sha256:
+    """SHA-256 whose state is bytes, so that one task can go on where another stopped: hashlib's library by its own names,
+    as hashlib does not give the state away."""
+
+    SIZE = 256  # more than the library's structure takes
+
+    def __init__(self, state: bytes | None = None):
+        import _hashlib
+
+        self.lib = ctypes.CDLL(_hashlib.__file__)
+        self.own = ctypes.create_string_buffer(state or b"", self.SIZE)
+        if state is None:
+            self.lib.SHA256_Init(self.own)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.own, data, ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self.own.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, self.own)
+        return out.raw.hex()
+
+
+def resumable() -> bool:
+    """Whether this interpreter's hash library can be resumed."""
+    try:
+        first = Sha256()
+        first.update(b"a" * 70)
+        second = Sha256(first.state())
+        second.update(b"b" * 70)
+        return second.hexdigest() == hashlib.sha256(b"a" * 70 + b"b" * 70).hexdigest()
+    except (AttributeError, ImportError, OSError):
+        return False
+
+
 def _digested(batches):
     """SHA-256 of each file, read piece by piece: a file of any size takes the memory of one piece."""
     for batch in batches:
@@ -143,11 +191,49 @@ def _digested(batches):
         yield batch.assign(sha256=digests)
 
 
-def file_digests(files: DataFrame) -> DataFrame:
-    """(path, length, modificationTime) of files -> with `sha256`; files are dealt out evenly."""
-    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms")).repartition(spread)
-    hashed = rows.mapInPandas(_digested, "path string, length long, modified_ms long, sha256 string")
+def _advanced(stretch: int):
+    """Reads on in each file by `stretch` bytes at most; at its end the state becomes the digest."""
+
+    def run(batches):
+        for batch in batches:
+            states, digests = [], []
+            for uri, at, state in zip(batch["path"], batch["at"], batch["state"]):
+                system, path = opened(uri)
+                digest, left = Sha256(state), stretch
+                with system.open_input_file(path) as file:
+                    file.seek(at)
+                    while left and (piece := file.read(min(left, 1 << 20))):
+                        digest.update(piece)
+                        left -= len(piece)
+                states.append(digest.state() if not left else None)
+                digests.append(None if not left else digest.hexdigest())
+            yield batch.assign(at=batch["at"] + stretch, state=states, sha256=digests)
+
+    return run
+
+
+STRETCH = 256 << 20  # bytes of a file that one task reads
+
+
+def file_digests(files: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(path, length, modificationTime) of files -> with `sha256`; files are dealt out evenly. A digest runs through a file
+    from its start, but not in one task: of a long file each job reads one stretch on and hands the digest's state to the
+    next job."""
+    spark = files.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms"))
+    named = "path string, length long, modified_ms long, sha256 string"
+    long = rows.filter(F.col("length") >= stretch).withColumns({"at": F.lit(0).cast("long"), "state": F.lit(None).cast("binary")})
+    parts = []
+    while resumable() and not long.isEmpty():
+        out = scratch_path(spark, "digests")
+        long.repartition(spread).mapInPandas(_advanced(stretch), f"{named}, at long, state binary").write.parquet(out)
+        parts.append(spark.read.parquet(out).filter("sha256 IS NOT NULL").select("path", "length", "modified_ms", "sha256"))
+        long = spark.read.parquet(out).filter("sha256 IS NULL").drop("sha256")
+    short = rows.filter(F.col("length") < stretch) if parts else rows
+    hashed = short.repartition(spread).mapInPandas(_digested, named)
+    for part in parts:
+        hashed = hashed.unionByName(part)
     return hashed.select("path", "length", F.timestamp_millis("modified_ms").alias("modificationTime"), "sha256")
 
 

@@ -13,7 +13,7 @@ from casegraph.functions.text import literal_map, stable_id, trim_ws
 from casegraph.operators.correlate import new_resources
 from casegraph.operators.discovery import extract_links
 from casegraph.operators.observations import diagnostics
-from casegraph.sources.ranged import file_digests, list_files
+from casegraph.sources.ranged import file_digests, list_files, reachable
 
 
 def scan_artifacts(
@@ -24,8 +24,10 @@ def scan_artifacts(
 
     The budget is a filter on the listed length, so oversized files are never read. `max_files` keeps the first paths:
     they are chosen from a listing without content, and only those files are read. Without `content`, files are listed and
-    hashed by tasks: the driver holds no listing, and a file may be larger than a row."""
-    if content:
+    hashed by tasks: the driver holds no listing, and a file may be larger than a row; where only Spark can open the store,
+    its reader reads each file as a row."""
+    by_rows = content or not reachable(path)
+    if by_rows:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
         if pattern:
             reader = reader.option("pathGlobFilter", pattern)
@@ -36,7 +38,7 @@ def scan_artifacts(
         files = files.join(files.select("path").orderBy("path").limit(max_files), "path", "left_semi")
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     rejected = files.filter(~fits).select(stable_id(F.col("path")).alias("artifact_id"), F.col("path"))
-    read = files.filter(fits).withColumn("sha256", F.sha2("content", 256)) if content else file_digests(files.filter(fits))
+    read = files.filter(fits).withColumn("sha256", F.sha2("content", 256)) if by_rows else file_digests(files.filter(fits))
     kept = read.select(
         stable_id(F.col("path")).alias("artifact_id"), F.col("path").alias("original_path"),
         F.col("length").alias("size"), F.col("modificationTime").alias("acquired_at"), "sha256", *["content"] * content,

@@ -283,3 +283,35 @@ def test_stand_in_tasks_do_not_grow_with_the_table(spark, tmp_path):
     spark.range(n).selectExpr(*columns).write.parquet(f"{tmp_path}/customer.parquet")
     sizes = [r["count"] for r in customer(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == n and max(sizes) < 1.2 * TASK_ROWS
+
+
+def test_long_files_are_hashed_in_stretches(spark, tmp_path):
+    """No task reads more than a stretch of one file; the digests are those of the whole files."""
+    import hashlib
+    import random
+
+    from casegraph.sources import ranged
+
+    sizes = [0, 1, 999, 1000, 1001, 2000, 3517]
+    bodies = {f"f{n}.bin": random.Random(n).randbytes(n) for n in sizes}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in ranged.file_digests(ranged.list_files(spark, str(tmp_path)), stretch=1000).collect()}
+    assert got == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items()}
+    import pandas as pd
+
+    path, state, rounds = str(tmp_path / "f3517.bin"), None, []
+    while not rounds or rounds[-1].sha256[0] is None:
+        row = pd.DataFrame({"path": [path], "at": [1000 * len(rounds)], "state": [state]})
+        rounds += ranged._advanced(1000)([row])
+        state = rounds[-1].state[0]
+    assert len(rounds) == 4 and rounds[-1].sha256[0] == got["f3517.bin"][1]
+
+
+def test_files_of_a_store_that_only_spark_opens(spark, tmp_path):
+    from casegraph.sources import readers
+
+    (tmp_path / "a.txt").write_bytes(b"abc")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    found, _ = readers.scan_artifacts(spark, "viewfs://store/in", pattern="*.txt", content=False)
+    assert [(r.size, r.sha256[:8]) for r in found.collect()] == [(3, "ba7816bf")] and "content" not in found.columns
