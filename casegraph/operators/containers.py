@@ -18,11 +18,12 @@ from casegraph.functions.binding import explode_rows, with_bound
 from casegraph.functions.text import classify_reference, map_office_element, safe_entry_path, slug_property, stable_id
 from casegraph.operators.observations import cumulative_budget, observation_rows
 from casegraph.operators.xml_extract import COMMENT, ERROR, xml_nodes, xml_problem
-from casegraph.sources.ranged import INVALID, ContainerSource, directory_rows
+from casegraph.sources.ranged import INVALID, directory_rows, file_rows, list_files
 
 _ENTRY = schemas.CONTAINER_ENTRIES.elementType
 _ARROW = [(f.name, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.string())) for f in _ENTRY]
 ROWS = 4096         # rows of an Arrow batch
+BYTES = 8 << 20     # or so much XML
 
 
 @F.pandas_udf(T.StringType())
@@ -77,16 +78,37 @@ def container_entries(artifacts: DataFrame, max_entries: int | None = None, max_
     return _flagged(listed, max_entries, max_bytes)
 
 
-def ranged_entries(spark: SparkSession, path: str, max_entries: int | None = None, max_bytes: int | None = None, pattern: str = "*") -> DataFrame:
+def ranged_entries(spark: SparkSession, path: str, max_entries: int | None = None, max_bytes: int | None = None, pattern: str = "*",
+                   with_path: bool = False) -> DataFrame:
     """The rows of `container_entries` for the files below a folder, by ranged reads: each container is opened once and
-    only its directory and metadata entries are read, whatever its size."""
-    spark.dataSource.register(ContainerSource)
-    reader = spark.read.format(ContainerSource.name()).option("path", path).option("pattern", pattern)
-    for option, value in (("maxEntries", max_entries), ("maxBytes", max_bytes)):
-        if value is not None:
-            reader = reader.option(option, str(value))
-    rows = reader.load().select(stable_id(F.col("path")).alias("artifact_id"), "entry_no", "name", "size", "compressed_size", "xml")
-    return _flagged(rows, max_entries, max_bytes)
+    only its directory and metadata entries are read, whatever its size. Tasks list the folders and read the files, which
+    are dealt out evenly; the driver holds no listing."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = list_files(spark, path, pattern=pattern).select("path", "length").repartition(spread)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths: list[str] = []
+            rows: list[tuple] = []
+            size = 0
+            for uri, length in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in file_rows(uri, length, max_entries, max_bytes):
+                    paths.append(uri)
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if len(rows) >= ROWS or size >= BYTES:
+                        yield _with_paths(paths, rows)
+                        paths, rows, size = [], [], 0
+            if rows:
+                yield _with_paths(paths, rows)
+
+    listed = files.mapInArrow(run, T.StructType([files.schema["path"], *_ENTRY.fields])).withColumn("artifact_id", stable_id(F.col("path")))
+    return _flagged(listed.select(*["path"] * with_path, "artifact_id", *_ENTRY.names), max_entries, max_bytes)
+
+
+def _with_paths(paths: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _ARROW)]
+    return pa.RecordBatch.from_arrays([pa.array(paths), *columns], ["path", *(n for n, _ in _ARROW)])
 
 
 def _flagged(rows: DataFrame, max_entries: int | None, max_bytes: int | None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from casegraph.session import scratch_path
 
 INVALID = -1  # entry_no of the single row of an unreadable container
+RANGE = 16 << 10
 
 
 def _metadata_name(name: str) -> bool:
@@ -237,6 +238,13 @@ def file_digests(files: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return hashed.select("path", "length", F.timestamp_millis("modified_ms").alias("modificationTime"), "sha256")
 
 
+def file_rows(uri: str, length: int, max_entries: int | None = None, max_bytes: int | None = None) -> list[tuple]:
+    """`directory_rows` of one file. A file of no more than one range's worth is read whole: its parts would take as long."""
+    system, path = opened(uri)
+    with system.open_input_file(path) as file:
+        return directory_rows(file if length >= RANGE else io.BytesIO(file.read()), max_entries, max_bytes)
+
+
 @dataclass
 class Files(InputPartition):
     files: list[tuple[str, int]]
@@ -258,12 +266,8 @@ class ContainerReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for uri, length in partition.files:
-            system, path = opened(uri)
-            with system.open_input_file(path) as opened_file:
-                # a file shorter than any directory is read whole: its end cannot be sought
-                file = opened_file if length >= 1024 else io.BytesIO(opened_file.read())
-                for row in directory_rows(file, self.max_entries, self.max_bytes):
-                    yield (uri, length, *row)
+            for row in file_rows(uri, length, self.max_entries, self.max_bytes):
+                yield (uri, length, *row)
 
 
 class ContainerSource(DataSource):

@@ -315,3 +315,18 @@ def test_files_of_a_store_that_only_spark_opens(spark, tmp_path):
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
     found, _ = readers.scan_artifacts(spark, "viewfs://store/in", pattern="*.txt", content=False)
     assert [(r.size, r.sha256[:8]) for r in found.collect()] == [(3, "ba7816bf")] and "content" not in found.columns
+
+
+def test_ranged_entries_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists no file; the data source over the same folder gives the same rows."""
+    from casegraph.sources import ranged
+
+    for k in range(40):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}" / f"{k}.docx").write_bytes(bytes(zipped({"meta.xml": b"<m/>" * k, "x" * k + ".bin": b"y" * (k * 3000)})))
+    spark.dataSource.register(ranged.ContainerSource)
+    order = ["path", "entry_no", "name", "size", "compressed_size", "xml"]
+    expected = spark.read.format("zip_directory").option("path", str(tmp_path)).load().select(order).orderBy(order).collect()
+    monkeypatch.setattr(ranged, "listed", lambda *a: pytest.fail("listed on the driver"))
+    entries = containers.ranged_entries(spark, str(tmp_path), with_path=True)
+    assert entries.select(order).orderBy(order).collect() == expected and len(expected) == 80
