@@ -42,22 +42,32 @@ def nfkc(value: Column) -> Column:
     return F.coalesce(_nfkc(F.when(~is_ascii(value), value)), value)
 
 
+def date_text(value: Column) -> Column:
+    """What `date_of` reads: the trimmed value, NULL below ten characters, the shortest accepted spelling. Trimming is
+    dear beside the rest, so values that begin and end with a visible ASCII character go without it."""
+    visible = lambda at: F.substring(value, at, 1).between("!", "~")
+    return F.when(F.char_length(value) >= 10, F.when(visible(1) & visible(-1), value).otherwise(trim_ws(value)))
+
+
+def date_of(text: Column) -> Column:
+    """Timestamp of a trimmed text in an accepted spelling, else NULL. One character that only one spelling has there
+    picks the spelling, so one pattern at most is tried. `text` is named many times: give a column, not an expression."""
+    part = lambda at, n: F.substring(text, at, n)
+    pdf = F.regexp_replace(text, fv.DATE_PDF, "$1-$2-$3T$4:$5:$6$7:$8")
+    exif = F.concat(part(1, 4), F.lit("-"), part(6, 2), F.lit("-"), part(9, 2), F.lit("T"), part(12, 8))
+    rfc1123 = F.regexp_extract(text, fv.DATE_RFC1123, 1)
+    return (
+        F.when(part(5, 1) == "-", F.when(text.rlike(fv.DATE_ISO), text.try_cast("timestamp")))
+        .when(part(5, 1) == ":", F.when(text.rlike(fv.DATE_EXIF), exif.try_cast("timestamp")))
+        .when(part(2, 1) == ":", F.when(text.rlike(fv.DATE_PDF), F.rtrim(pdf, F.lit(":")).try_cast("timestamp")))
+        .when(part(4, 1) == ",", F.when(text.rlike(fv.DATE_RFC1123), F.try_to_timestamp(rfc1123, F.lit("dd MMM yyyy HH:mm:ss"))))
+        .when(part(3, 1) == "/", F.when(text.rlike(fv.DATE_SLASHED), F.try_to_timestamp(text, F.lit("MM/dd/yyyy[ HH:mm:ss]"))))
+    )
+
+
 def parse_date(value: Column) -> Column:
-    """Timestamp of an accepted spelling, else NULL. The shape test picks one parser per value."""
-
-    def parse(text: Column) -> Column:
-        pdf = F.regexp_replace(text, fv.DATE_PDF, "$1-$2-$3T$4:$5:$6$7:$8")
-        return (
-            F.when(text.rlike(fv.DATE_ISO), text.try_cast("timestamp"))
-            .when(text.rlike(fv.DATE_PDF), F.rtrim(pdf, F.lit(":")).try_cast("timestamp"))
-            .when(text.rlike(fv.DATE_EXIF), F.regexp_replace(text, fv.DATE_EXIF, "$1-$2-$3T$4").try_cast("timestamp"))
-            .when(text.rlike(fv.DATE_RFC1123), F.try_to_timestamp(
-                F.regexp_extract(text, fv.DATE_RFC1123, 1), F.lit("dd MMM yyyy HH:mm:ss")))
-            .when(text.rlike(fv.DATE_SLASHED), F.try_to_timestamp(text, F.lit("MM/dd/yyyy[ HH:mm:ss]")))
-        )
-
-    # the shortest accepted spelling has ten characters: most other values stop here
-    return F.when(F.char_length(value) >= 10, let(trim_ws(value), parse))
+    """Timestamp of an accepted spelling, else NULL, as one expression."""
+    return let(date_text(value), date_of)
 
 
 def iso_date(ts: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casegraph import fixed_values as fv
 from casegraph.functions.binding import with_bound
 from casegraph.functions.redact import is_sensitive, pseudonymize
-from casegraph.functions.text import literal_map, parse_date, rank_of
+from casegraph.functions.text import date_of, date_text, literal_map, rank_of
 from casegraph.functions.urls import redact_uri
 
 
@@ -55,10 +55,13 @@ def timeline(runs: DataFrame, artifacts: DataFrame, observations: DataFrame, red
         F.col("id").alias("source_id"), value.alias("value"),
     )
     original = F.col("original_value")
-    dated = with_bound(
+    normalized = F.col("normalized_value")
+    # the sort below runs all this twice, once for its sample: texts are bound first, so that the parser runs as compiled code
+    texts = with_bound(
         observations.filter(F.contains(F.lower("category"), F.lit("date"))).select("id", "original_value", "normalized_value"),
-        __at=F.coalesce(parse_date(F.col("normalized_value")), parse_date(original)),
+        __first=date_text(normalized), __second=F.when(~original.eqNullSafe(normalized), date_text(original)),
     )
+    dated = with_bound(texts, __at=F.coalesce(date_of(F.col("__first")), date_of(F.col("__second"))))
     rows = (
         event(runs, "created_at", "run_created", F.col("command"))
         .unionByName(event(runs, "started_at", "run_started", F.col("command")))

@@ -172,9 +172,10 @@ def _timeline(spark, d, redact=False):
         F.col("o_orderdate").alias("created_at"), F.when(state != "P", hours(1)).alias("started_at"), F.when(state == "F", hours(2)).alias("finished_at"))
     artifact_rows = table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("id"), F.col("ts").alias("acquired_at"), F.sha2("props", 256).alias("sha256"))
-    raw = F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss")
+    raw = F.col("raw")
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id")
-    observed = table(spark, d, "lineitem").select(key, F.explode(F.array(
+    shipped = table(spark, d, "lineitem").select(key, F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss").alias("raw"))
+    observed = shipped.select("id", F.explode(F.array(
         F.struct(F.lit("Date").alias("category"), raw.alias("original_value"), raw.alias("normalized_value")),
         F.struct(F.lit("links_up_to_date").alias("category"), F.lit("true").alias("original_value"), F.lit("true").alias("normalized_value")),
     )).alias("o")).select("id", "o.*")

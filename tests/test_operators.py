@@ -370,3 +370,30 @@ def test_evidence_flow_keeps_customers_of_one_name_apart(spark, tmp_path):
     next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "customer.parquet")
     query = contract.queries()["evidence_flow"]
     assert compare(query(spark, str(tmp_path)), connect(str(tmp_path)), contract.oracle_sql()["evidence_flow"]) is None
+
+
+def test_timeline_reads_every_spelling_of_a_date(rows):
+    """Spellings with and without blanks around, the original where the normalized text is no date, and no others."""
+    at = dt.datetime(2024, 1, 2, 3, 4, 5)
+    dated = [
+        ("a", "2024:01:02 03:04:05", "2024:01:02 03:04:05"), ("b", None, " D:20240102050405+02'00'\n"), ("c", "none at all", "2024-01-02T03:04:05Z"),
+        ("d", "\tTue, 02 Jan 2024 03:04:05 GMT ", "soon"), ("e", "01/02/2024 03:04:05", None), ("f", "2024:13:02 03:04:05", "2024-01-02 03:04:05"),
+    ]
+    others = [("g", "2024:13:02 03:04:05", "2024:13:02 03:04:05"), ("h", None, None), ("i", "é024:01:02 03:04:05", "D:2024:01:02"), ("j", "true", "true")]
+    observed = rows([(i, "Date", o, n) for i, n, o in dated + others], "id string, category string, original_value string, normalized_value string")
+    out = report.timeline(*_no_runs(rows), observed).collect()
+    assert [tuple(r) for r in out] == [(at, "metadata_date", i, o) for i, _, o in dated]
+
+
+def test_timeline_parses_dates_in_compiled_code(rows):
+    """The sort computes its rows twice, so no lambda (interpreted row by row) may stand in their dates."""
+    observed = rows([("a", "Date", "2024-01-02", "2024-01-02")], "id string, category string, original_value string, normalized_value string")
+    plan = report.timeline(*_no_runs(rows), observed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def _no_runs(rows):
+    return (
+        rows([], "id string, command string, status string, created_at timestamp, started_at timestamp, finished_at timestamp"),
+        rows([], "id string, acquired_at timestamp, sha256 string"),
+    )
